@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborscale.llm import toxicity
+from arborscale.llm import decontaminate, langid, pack, toxicity
 from arborscale.llm._shared import ship
 
 
@@ -21,8 +21,42 @@ def op7_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op3_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document."""
+    return langid.predict(table(spark, sf_dir, "documents"))
+
+
+def op8_aho_corasick_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Benchmark windows in every document."""
+    return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
+
+
+def op6_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of 4096 tokens along the curve."""
+    return pack.pack(table(spark, sf_dir, "documents"), digests_only=True)
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op3_compression_language": op3_compression_language,
+    "op6_hilbert_packing": op6_hilbert_packing,
+    "op8_aho_corasick_decontamination": op8_aho_corasick_decontamination,
     "op7_kneser_ney_toxicity": op7_kneser_ney_toxicity,
 }
 
-ORACLES: dict[str, str] = {}
+#: Words of both tables in order; each position is looked up among the item windows of the same text.
+OP8_SQL = r"""
+WITH doc AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM documents),
+item AS (SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS w FROM benchmark),
+win AS (SELECT DISTINCT item_id, least(len(w), 10) AS k, array_to_string(w[i : i + least(len(w), 10) - 1], ' ') AS win
+  FROM item, unnest(range(1, greatest(len(w) - 10, 0) + 2)) AS t(i) WHERE len(w) > 0),
+size AS (SELECT DISTINCT k FROM win),
+hit AS (SELECT doc_id, p, win.k, item_id FROM (SELECT doc_id, i AS p, k, array_to_string(w[i : i + k - 1], ' ') AS win
+    FROM doc, size, unnest(range(1, greatest(len(w) - k, -1) + 2)) AS t(i)) JOIN win USING (k, win)),
+word AS (SELECT doc_id, count(DISTINCT p + o) AS n FROM hit, unnest(range(0, k)) AS t(o) GROUP BY doc_id),
+found AS (SELECT doc_id, count(DISTINCT item_id) AS n, string_agg(DISTINCT item_id::VARCHAR, ',' ORDER BY item_id::VARCHAR) AS ids FROM hit GROUP BY doc_id)
+SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(word.n, 0)::BIGINT AS n_hit, coalesce(found.n, 0)::BIGINT AS n_items,
+  sha256(coalesce(ids, '')) AS items_sha256, coalesce(word.n, 0) > 0 AS contaminated
+FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN found USING (doc_id)
+"""
+
+ORACLES: dict[str, str] = {"op8_aho_corasick_decontamination": OP8_SQL}
