@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborscale.llm import decontaminate, langid, pack, toxicity
+from arborscale.llm import decontaminate, langid, neardup, pack, toxicity
 from arborscale.llm._shared import ship
 
 
@@ -21,6 +21,11 @@ def op7_kneser_ney_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.score(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op1_bag_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The near-duplicate class of every document."""
+    return neardup.classes(table(spark, sf_dir, "documents"))
+
+
 def op3_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     return langid.predict(table(spark, sf_dir, "documents"))
@@ -37,6 +42,7 @@ def op6_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_bag_minhash_near_duplicates": op1_bag_minhash_near_duplicates,
     "op3_compression_language": op3_compression_language,
     "op6_hilbert_packing": op6_hilbert_packing,
     "op8_aho_corasick_decontamination": op8_aho_corasick_decontamination,
