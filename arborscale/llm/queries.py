@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborscale.llm import decontaminate, langid, neardup, pack, toxicity
+from arborscale.llm import chunkstore, decontaminate, langid, linkgraph, neardup, pack, shard, toxicity
 from arborscale.llm._shared import ship
 
 
@@ -41,9 +41,27 @@ def op6_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack.pack(table(spark, sf_dir, "documents"), digests_only=True)
 
 
+def op4_bounded_ring_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents in 24 shards."""
+    return shard.shard(table(spark, sf_dir, "documents"))
+
+
+def op9_link_graph_verdicts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A verdict on every page's url."""
+    return linkgraph.judge(table(spark, sf_dir, "pages"))
+
+
+def op10_chunked_media(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document's payload, stored in chunks and read back."""
+    return chunkstore.media(table(spark, sf_dir, "documents"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bag_minhash_near_duplicates": op1_bag_minhash_near_duplicates,
     "op3_compression_language": op3_compression_language,
+    "op4_bounded_ring_shards": op4_bounded_ring_shards,
+    "op9_link_graph_verdicts": op9_link_graph_verdicts,
+    "op10_chunked_media": op10_chunked_media,
     "op6_hilbert_packing": op6_hilbert_packing,
     "op8_aho_corasick_decontamination": op8_aho_corasick_decontamination,
     "op7_kneser_ney_toxicity": op7_kneser_ney_toxicity,
