@@ -8,11 +8,15 @@ along the curve is cut every ``length`` tokens. Only the very last sequence can
 from __future__ import annotations
 
 import re
+import unicodedata
 import zlib
+from array import array
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -23,7 +27,7 @@ LENGTH, END = 4096, 2
 #: Dimensions of the projection and bits of each on the curve; the rest of the key spreads equal vectors.
 DIMS, BITS, SPREAD_BITS = 3, 10, 30
 #: Words that a worker remembers with their ids before it starts anew.
-MEMO_WORDS = 200_000
+MEMO_WORDS = 400_000
 #: Ranges of the curve: several for each shuffle partition, at most this many.
 MAX_RANGES = 4096
 #: The white space that the tokenizer drops; Python's own split also takes the four separators below it.
@@ -37,27 +41,59 @@ def tokenizer_path(name: str = TOKENIZER_FILE) -> str:
     return public_tokenizers.path(name)
 
 
+def byte_letters() -> list[str]:
+    """The letter that stands for each byte in byte-level vocabularies: printable bytes stand for themselves, the others
+    for the letters from 256 on."""
+    plain = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    others = iter(range(256, 512))
+    return [chr(b) if b in plain else chr(next(others)) for b in range(256)]
+
+
 class WordTokenizer:
-    """Ids of whole texts. White space always parts words for this tokenizer, so each distinct word is encoded once
-    and remembered."""
+    """Ids of whole texts, as the tokenizer gives them.
+
+    White space always parts words for this tokenizer, so each distinct word is encoded once and remembered; a word is
+    put together from its pieces (runs of letters, single digits, runs of signs), which are remembered too, and only a
+    new piece goes through the merges. Words with the text of a special token go through the tokenizer whole."""
+
+    PIECE = regex.compile(r"'s|'t|'re|'ve|'m|'ll|'d|\p{L}+|\p{N}|[^\s\p{L}\p{N}]+")
 
     def __init__(self, path: str):
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.memo: dict[str, bytes] = {}
+        self.model = self.tokenizer.model
+        self.special = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
+        self.letters = dict(enumerate(byte_letters()))
+        self.words: dict[str, bytes] = {}
+        self.pieces: dict[str, bytes] = {}
+
+    def _word(self, word: str) -> bytes:
+        if "<" in word and any(s in word for s in self.special):
+            return np.array(self.tokenizer.encode(word, add_special_tokens=False).ids, np.uint16).tobytes()
+        ascii_ = word.isascii()
+        small = word if ascii_ else unicodedata.normalize("NFC", word)
+        small = small.lower() if "Σ" not in small else "".join(map(str.lower, small))  # no final form of the sigma
+        out = b""
+        for piece in [small] if ascii_ and small.isalpha() else self.PIECE.findall(small):
+            ids = self.pieces.get(piece)
+            if ids is None:
+                plain = piece.isascii() and piece.isprintable()
+                found = self.model.tokenize(piece if plain else piece.encode().decode("latin-1").translate(self.letters))
+                ids = self.pieces[piece] = array("H", [t.id for t in found]).tobytes()
+            out += ids
+        return out
 
     def encode(self, texts: list[str | None]) -> list[np.ndarray]:
         split = [(CHUNK.findall(t) if ODD_SPACE.search(t) else t.split()) if t else [] for t in texts]
-        if len(self.memo) > MEMO_WORDS:
-            self.memo = {}
-        missing = list({w for words in split for w in words}.difference(self.memo))
-        for i in range(0, len(missing), 10_000):
-            part = missing[i : i + 10_000]
-            for word, found in zip(part, self.tokenizer.encode_batch_fast(part, add_special_tokens=False), strict=True):
-                self.memo[word] = np.array(found.ids, np.uint16).tobytes()
-        end = np.array([END], np.uint16).tobytes()
-        get = self.memo.__getitem__
+        if len(self.words) > MEMO_WORDS:
+            self.words = {}
+        if len(self.pieces) > MEMO_WORDS:
+            self.pieces = {}
+        for word in set(chain.from_iterable(split)).difference(self.words):
+            self.words[word] = self._word(word)
+        end = array("H", [END]).tobytes()
+        get = self.words.__getitem__
         return [np.frombuffer(b"".join([*map(get, words), end]), np.uint16) for words in split]
 
 
@@ -67,9 +103,6 @@ _TOKENIZERS: dict[str, WordTokenizer] = {}
 def word_tokenizer(path: str) -> WordTokenizer:
     """One tokenizer a worker process."""
     if path not in _TOKENIZERS:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         _TOKENIZERS[path] = WordTokenizer(path)
     return _TOKENIZERS[path]
 
@@ -111,7 +144,8 @@ def curve_keys(ids: list[np.ndarray], table: np.ndarray) -> np.ndarray:
     if not ids:
         return np.zeros(0, np.int64)
     starts = np.concatenate([[0], np.cumsum([len(i) for i in ids])[:-1]])
-    sums = np.add.reduceat(table[np.concatenate(ids)].astype(np.float64), starts, axis=0)
+    each = table[np.concatenate(ids)]
+    sums = np.stack([np.add.reduceat(each[:, d], starts, dtype=np.float64) for d in range(DIMS)], axis=1)
     means = sums / np.array([len(i) for i in ids])[:, None]
     cells = ((np.tanh(3 * means) + 1) / 2 * (1 << BITS)).clip(0, (1 << BITS) - 1).astype(np.int64)
     return hilbert(cells)
