@@ -198,7 +198,8 @@ def pack(documents: DataFrame, path: str | None = None, length: int = LENGTH, di
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         now, at = None, 0
-        for batch in batches:
+        parts = (batch.slice(i, 250) for batch in batches for i in range(0, batch.num_rows, 250))  # bounds what is held
+        for batch in parts:
             out: list[tuple] = []
             for doc_id, n, ids, number in zip(*(batch.column(c).to_pylist() for c in ("doc_id", "n", "ids", "range")), strict=True):
                 if number != now:
@@ -210,7 +211,7 @@ def pack(documents: DataFrame, path: str | None = None, length: int = LENGTH, di
                     piece = tokens[start : start + size].tobytes()
                     out.append((doc_id, start, size, zlib.crc32(piece), n, at // length, at % length, None if digests_only else piece))
                     start, at = start + size, at + size
-            yield pa.RecordBatch.from_pylist([dict(zip(names, r, strict=True)) for r in out], schema=arrow)
+            yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*out, strict=True), arrow.types, strict=True)], names)
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
     arrow = pa.schema([(c, pa.binary() if c == "ids" else pa.int64()) for c in names])

@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborscale.llm import chunkstore, decontaminate, langid, linkgraph, neardup, pack, shard, toxicity
+from arborscale.llm import chunkstore, decontaminate, hmm, langid, linkgraph, neardup, pack, shard, toxicity
 from arborscale.llm._shared import ship
 
 
@@ -26,6 +26,11 @@ def op1_bag_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFra
     return neardup.classes(table(spark, sf_dir, "documents"))
 
 
+def op2_hidden_markov_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Log10 probability of every document."""
+    return hmm.score(table(spark, sf_dir, "documents"))
+
+
 def op3_compression_language(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Language of every document."""
     return langid.predict(table(spark, sf_dir, "documents"))
@@ -58,6 +63,7 @@ def op10_chunked_media(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bag_minhash_near_duplicates": op1_bag_minhash_near_duplicates,
+    "op2_hidden_markov_scores": op2_hidden_markov_scores,
     "op3_compression_language": op3_compression_language,
     "op4_bounded_ring_shards": op4_bounded_ring_shards,
     "op9_link_graph_verdicts": op9_link_graph_verdicts,
