@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arborscale.functions.lineage import scratch
 from arborscale.operators import clean
 from arborscale.plans.registry import Views, query
 from arborscale.sources import scans
@@ -30,6 +31,20 @@ def _(v: Views) -> DataFrame:
     return scans.with_columns(v.table("supplier"), required=["s_suppkey", "s_name"], optional={"height_m": "double"})
 
 
+@query("s3_csv_null_token", "SELECT p_partkey, CASE WHEN p_partkey % 3 > 0 THEN p_brand END AS brand FROM part")
+def _(v: Views) -> DataFrame:
+    path = scratch(v.spark, "csv")
+    v.table("part").select("p_partkey", F.when(F.col("p_partkey") % 3 > 0, F.col("p_brand")).alias("brand")).write.csv(path, header=True, nullValue="NA")
+    return scans.read_csv(v.spark, path, "p_partkey long, brand string")
+
+
+@query("s8_sorted_sink", "SELECT o_custkey, o_orderkey, o_totalprice FROM orders")
+def _(v: Views) -> DataFrame:
+    path = scratch(v.spark, "sorted")
+    scans.write_sorted(v.table("orders").select("o_custkey", "o_orderkey", "o_totalprice"), path, ["o_custkey", "o_orderkey"], 8)
+    return v.spark.read.parquet(path)
+
+
 @query("s4_ndjson_records", "SELECT event_id, (props::JSON ->> 'k')::BIGINT AS k, NULL::VARCHAR AS missing FROM events")
 def _(v: Views) -> DataFrame:
     return scans.json_records(v.table("events"), "props", "k long, missing string").select("event_id", "k", "missing")
@@ -43,7 +58,9 @@ def _(v: Views) -> DataFrame:
 
 @query("s6_partition_pruned_read", "WITH {OBS} SELECT tree_id, species FROM obs WHERE city = 'c3'")
 def _(v: Views) -> DataFrame:
-    return v.obs.where(F.col("city") == "c3").select("tree_id", "species")
+    path = scratch(v.spark, "by-city")
+    scans.write_by_city(v.obs.select("tree_id", "species", "city"), path)
+    return scans.read_city(v.spark, path, "c3").select("tree_id", "species")
 
 
 @query("s7_territory_filter", "WITH {OBS} SELECT tree_id FROM obs WHERE (latitude >= 40.002 AND latitude < 40.006 AND longitude >= -71.01 AND longitude < -71.002) OR (latitude >= 40.015 AND latitude < 40.02 AND longitude >= -71.02 AND longitude < -71.015)")
