@@ -1,7 +1,7 @@
 """A hidden Markov language model.
 
-States emit words. The ``TOP`` most frequent training words have an emission of their own in every state; all other
-words are emitted as one class, and which of them it is follows a distribution that all states share and that counts
+States emit words. The most frequent training words, ``TOP`` at most, have an emission of their own in every state; all
+other words are emitted as one class, and which of them it is follows a distribution that all states share and that counts
 every word of the corpus. Baum-Welch expectations are computed in the tasks and summed by Spark. The likelihood of a
 text is exact: the scaled forward recursion runs over its whole token sequence, and the shared part of its rare words,
 which doesn't depend on the states, comes from a join with the full table of counts.
@@ -87,7 +87,14 @@ class Vocabulary:
 
 def vocabulary(counts: DataFrame, texts: int, top: int = TOP) -> Vocabulary:
     tokens, kinds = counts.agg(F.coalesce(F.sum("n"), F.lit(0)), F.count("*")).head()
-    most = counts.orderBy(F.desc("n"), "word").limit(top).toPandas()
+    # the cut is found from a histogram of counts on a fine log scale, so that only the words above it are collected
+    bin_ = F.floor(F.log2("n") * 64)
+    kept, cut = 0, None
+    for r in counts.groupBy(bin_.alias("bin")).agg(F.count("*").alias("words")).orderBy(F.desc("bin")).collect():
+        if (kept := kept + r["words"]) > top:
+            break
+        cut = r["bin"]
+    most = counts.where(bin_ >= cut if cut is not None else F.lit(False)).toPandas().sort_values(["n", "word"], ascending=[False, True])
     return Vocabulary([bytes(w) for w in most["word"]], most["n"].tolist(), texts, tokens, kinds)
 
 
@@ -133,50 +140,69 @@ class Model:
         move = np.full((states, states), 0.05 / max(states - 1, 1)) + np.eye(states) * (0.95 - 0.05 / max(states - 1, 1))
         return Model(np.full(states, 1 / states), move / move.sum(1, keepdims=True), emit / emit.sum(0))
 
-    def log10_likelihood(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
-        """Of each of the sequences that lie one after the other in ``ids``, by the scaled forward recursion."""
+    @staticmethod
+    def by_time(lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """How sequences that lie one after the other are read step by step, the longest first: their order, how many
+        still run at each step, and the place of each token, step after step."""
         order = np.argsort(-lengths, kind="stable")
         start = (np.cumsum(lengths) - lengths)[order]
         running = np.searchsorted(-lengths[order], -np.arange(lengths.max(initial=0)), side="left")
-        out, alpha = np.zeros(len(lengths)), np.tile(self.start, (len(lengths), 1))
-        for t, n in enumerate(running):
-            alpha = (alpha[:n] if t == 0 else alpha[:n] @ self.move) * self.emit[ids[start[:n] + t]]
-            scale = alpha.sum(1)
+        step = np.repeat(np.arange(len(running)), running)
+        first = np.cumsum(running) - running
+        return order, running, start[np.arange(len(step)) - first[step]] + step
+
+    def log10_likelihood(self, ids: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+        """Of each of the sequences that lie one after the other in ``ids``, by the scaled forward recursion."""
+        order, running, place = self.by_time(lengths)
+        emitted = self.emit[ids[place]]
+        scales = np.empty(len(place))
+        alpha, at = None, 0
+        for n in running:
+            now = emitted[at : at + n]
+            alpha = now * self.start if alpha is None else (alpha[:n] @ self.move) * now
+            scale = alpha @ np.ones(alpha.shape[1])
             alpha /= scale[:, None]
-            out[:n] += np.log10(scale)
-        found = np.empty(len(lengths))
-        found[order] = out
-        return found
+            scales[at : at + n] = scale
+            at += n
+        each = np.empty(len(place))
+        each[place] = np.log10(scales)
+        return np.add.reduceat(each, np.cumsum(lengths) - lengths) if len(lengths) else np.zeros(0)
 
     def expectations(self, ids: np.ndarray, lengths: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected starts, moves and emissions of sequences of bounded length."""
-        order = np.argsort(-lengths, kind="stable")
-        start = (np.cumsum(lengths) - lengths)[order]
-        running = np.searchsorted(-lengths[order], -np.arange(lengths.max(initial=0)), side="left")
+        """Expected starts, moves and emissions of sequences of bounded length, in single precision."""
+        _, running, place = self.by_time(lengths)
+        ids = ids[place]
+        emitted, move = self.emit.astype(np.float32)[ids], self.move.astype(np.float32)
         k = len(self.start)
-        forward = np.zeros((len(ids), k), np.float32)
-        alpha, scales = None, []
-        for t, n in enumerate(running):
-            at = start[:n] + t
-            alpha = (np.tile(self.start, (n, 1)) if t == 0 else alpha[:n] @ self.move) * self.emit[ids[at]]
-            scale = alpha.sum(1)
+        ones = np.ones(k, np.float32)
+        forward, scales = np.empty_like(emitted), np.empty(len(place), np.float32)
+        ends = np.cumsum(running)
+        for t, (n, end) in enumerate(zip(running, ends, strict=True)):
+            now = slice(end - n, end)
+            if t == 0:
+                alpha = emitted[now] * self.start.astype(np.float32)
+            else:
+                before = ends[t - 1] - running[t - 1]
+                alpha = (forward[before : before + n] @ move) * emitted[now]
+            scale = alpha @ ones
             alpha /= scale[:, None]
-            scales.append(scale)
-            forward[at] = alpha
+            forward[now], scales[now] = alpha, scale
+        emitted /= scales[:, None]
         moves = np.zeros((k, k))
-        beta = np.ones((len(lengths), k))
+        beta = np.ones((len(lengths), k), np.float32)
         for t in range(len(running) - 1, 0, -1):
-            n = running[t]
-            at = start[:n] + t
-            ahead = self.emit[ids[at]] * beta[:n] / scales[t][:, None]
-            moves += forward[at - 1].T.astype(float) @ ahead
-            forward[at] *= beta[:n]
-            beta[:n] = ahead @ self.move.T
+            n, now = running[t], slice(ends[t] - running[t], ends[t])
+            before = ends[t - 1] - running[t - 1]
+            ahead = emitted[now] * beta[:n]
+            moves += forward[before : before + n].T @ ahead
+            forward[now] *= beta[:n]
+            beta[:n] = ahead @ move.T
         if len(running):
-            forward[start] *= beta
-        states = forward / forward.sum(1, keepdims=True)
-        emitted = np.stack([np.bincount(ids, weights=states[:, s], minlength=len(self.emit)) for s in range(k)], 1)
-        return states[start].sum(0, dtype=float), moves * self.move, emitted
+            forward[: running[0]] *= beta
+        forward /= (forward @ ones)[:, None]
+        of_word = np.stack([np.bincount(ids, weights=forward[:, s], minlength=len(self.emit)) for s in range(k)], 1)
+        first = forward[: running[0]].sum(0, dtype=float) if len(running) else np.zeros(k)
+        return first, moves * self.move, of_word
 
 
 def _buffers(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[tuple[list[pa.RecordBatch], np.ndarray, np.ndarray]]:
