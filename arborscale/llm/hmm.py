@@ -24,6 +24,8 @@ from pyspark.sql import functions as F
 from arborscale.llm._shared import fold, written
 
 STATES, ROUNDS, TOP, WINDOW = 8, 6, 60_000, 256
+#: Training occurrences from which a word can have emissions of its own; below it the states would learn them by heart.
+LEAST = 3
 #: Share of the corpus-wide distribution in each state's emissions.
 SHARED = 0.01
 #: Tokens that a task works on at once.
@@ -90,11 +92,11 @@ def vocabulary(counts: DataFrame, texts: int, top: int = TOP) -> Vocabulary:
     # the cut is found from a histogram of counts on a fine log scale, so that only the words above it are collected
     bin_ = F.floor(F.log2("n") * 64)
     kept, cut = 0, None
-    for r in counts.groupBy(bin_.alias("bin")).agg(F.count("*").alias("words")).orderBy(F.desc("bin")).collect():
+    for r in counts.where(F.col("n") >= LEAST).groupBy(bin_.alias("bin")).agg(F.count("*").alias("words")).orderBy(F.desc("bin")).collect():
         if (kept := kept + r["words"]) > top:
             break
         cut = r["bin"]
-    most = counts.where(bin_ >= cut if cut is not None else F.lit(False)).toPandas().sort_values(["n", "word"], ascending=[False, True])
+    most = counts.where((bin_ >= cut) & (F.col("n") >= LEAST) if cut is not None else F.lit(False)).toPandas().sort_values(["n", "word"], ascending=[False, True])
     return Vocabulary([bytes(w) for w in most["word"]], most["n"].tolist(), texts, tokens, kinds)
 
 
