@@ -89,4 +89,28 @@ SELECT doc_id, len(w)::BIGINT AS n_words, coalesce(word.n, 0)::BIGINT AS n_hit,
 FROM doc LEFT JOIN word USING (doc_id) LEFT JOIN found USING (doc_id)
 """
 
-ORACLES: dict[str, str] = {"op8_aho_corasick_decontamination": OP8_SQL}
+def _propagated(name: str, edges: str, seeds: str) -> str:
+    """The rounds of propagation as chained common table expressions."""
+    steps = [f"{name}0 AS MATERIALIZED (SELECT host, {seeds} * 0.15::DOUBLE AS r FROM h WHERE {seeds} > 0)", f"{name}s AS MATERIALIZED (SELECT src, dst, w / sum(w) OVER (PARTITION BY src) AS share FROM {edges})"]
+    for i in range(1, linkgraph.ROUNDS + 1):
+        moved = f"SELECT dst AS host, 0.85::DOUBLE * sum(r * share) AS r FROM {name}{i - 1} JOIN {name}s ON host = src GROUP BY dst"
+        steps.append(f"{name}{i} AS MATERIALIZED (SELECT host, sum(r) AS r FROM (FROM {name}0 UNION ALL {moved}) GROUP BY host)")
+    return ", ".join(steps)
+
+
+#: The rules as one CASE each, the longest first.
+_BEST = sorted(linkgraph.RULES, key=lambda r: (-len(r[0] + r[1]), r[0] + r[1]))
+_FITS = [f"((host = '{h}' OR ends_with(host, '.{h}')) AND starts_with(path, '{p}'))" for h, p, _ in _BEST]
+OP9_SQL = rf"""
+WITH u AS (SELECT page_id, html, coalesce(translate(regexp_extract(url, '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '') AS host, coalesce(regexp_extract(url, '^.*?://[^/?#]*([^?#]*)', 1, 's'), '') AS path FROM pages),
+j AS (SELECT *, CASE {' '.join(f"WHEN {f} THEN '{r[0] + r[1]}'" for f, r in zip(_FITS, _BEST))} END AS rule, CASE {' '.join(f"WHEN {f} THEN '{r[2]}'" for f, r in zip(_FITS, _BEST))} END AS v FROM u),
+h AS MATERIALIZED (SELECT host, count(*) FILTER (WHERE v = 'allow') / count(*) AS good, count(*) FILTER (WHERE v = 'block') / count(*) AS bad FROM j WHERE host <> '' GROUP BY host),
+l AS (SELECT host AS src, translate(regexp_extract(unnest(regexp_extract_all(coalesce(html, ''), '(?i)(?:href|src)\s*=\s*["'']?([a-z][a-z0-9+.-]*://[^\s"''<>]+)', 1)), '^.*?://([^/?#]*)', 1, 's'), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS dst FROM u),
+p AS (SELECT host AS child, regexp_extract(host, '^[^.]+\.(.+\..+)$', 1) AS up FROM h), k AS (SELECT child, up FROM p WHERE up IN (SELECT host FROM h)),
+e AS MATERIALIZED (SELECT src, dst, count(*) AS w FROM (FROM l UNION ALL SELECT child, up FROM k UNION ALL SELECT up, child FROM k) WHERE src <> dst AND src <> '' AND dst <> '' GROUP BY ALL), back AS (SELECT dst AS src, src AS dst, w FROM e),
+{_propagated('t', 'e', 'good')}, {_propagated('d', 'back', 'bad')},
+b AS (SELECT d.host FROM d{linkgraph.ROUNDS} d LEFT JOIN t{linkgraph.ROUNDS} t USING (host) WHERE d.r > coalesce(t.r, 0) + 1e-9)
+SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host IN (SELECT host FROM b) THEN 'block' END, 'allow') AS verdict FROM j
+"""
+
+ORACLES: dict[str, str] = {"op9_link_graph_verdicts": OP9_SQL, "op8_aho_corasick_decontamination": OP8_SQL}
