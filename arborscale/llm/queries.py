@@ -8,7 +8,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborscale.llm import chunkstore, decontaminate, hmm, langid, linkgraph, neardup, pack, shard, toxicity
+from arborscale.llm import chunkstore, decontaminate, hmm, langid, linkgraph, neardup, order, pack, shard, toxicity
 from arborscale.llm._shared import ship
 
 
@@ -41,6 +41,11 @@ def op8_aho_corasick_decontamination(spark: SparkSession, sf_dir: str) -> DataFr
     return decontaminate.scan(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark")).drop("spans")
 
 
+def op5_feistel_training_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The materialised training order of all documents."""
+    return order.training_order(table(spark, sf_dir, "documents"))
+
+
 def op6_hilbert_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents packed into sequences of 4096 tokens along the curve."""
     return pack.pack(table(spark, sf_dir, "documents"), digests_only=True)
@@ -66,6 +71,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_hidden_markov_scores": op2_hidden_markov_scores,
     "op3_compression_language": op3_compression_language,
     "op4_bounded_ring_shards": op4_bounded_ring_shards,
+    "op5_feistel_training_order": op5_feistel_training_order,
     "op9_link_graph_verdicts": op9_link_graph_verdicts,
     "op10_chunked_media": op10_chunked_media,
     "op6_hilbert_packing": op6_hilbert_packing,

@@ -4,7 +4,7 @@ rows, columns with names that the operators use themselves, and no rows at all."
 import corpus_pipeline
 import pytest
 
-from arborscale.llm import chunkstore, decontaminate, hmm, langid, linkgraph, neardup, pack, shard, toxicity
+from arborscale.llm import chunkstore, decontaminate, hmm, langid, linkgraph, neardup, order, pack, shard, toxicity
 
 COLUMNS = "doc_id long, text string, lang string, source string, n_chars long, score double, label int, text_key string, language_found string, toxicity_score double, benchmark_hits int, kept_id long, shard int, place long"
 LONG = " ".join(f"word{i % 977}" for i in range(30_000))
@@ -35,16 +35,16 @@ def benchmark(spark):
 
 def applied(labels, benchmark):
     return {
-        "neardup": neardup.classes, "hmm": lambda d: hmm.score(d, states=2, rounds=1), "langid": langid.predict, "shard": shard.shard, "pack": pack.pack,
+        "neardup": neardup.classes, "hmm": lambda d: hmm.score(d, states=2, rounds=1), "langid": langid.predict, "shard": shard.shard, "pack": pack.pack, "order": order.training_order,
         "toxicity": lambda d: toxicity.score(d, labels), "decontaminate": lambda d: decontaminate.scan(d, benchmark), "media": chunkstore.media,
     }
 
 
-@pytest.mark.parametrize("name", ["neardup", "hmm", "langid", "shard", "pack", "toxicity", "decontaminate", "media"])
+@pytest.mark.parametrize("name", ["neardup", "hmm", "langid", "shard", "pack", "order", "toxicity", "decontaminate", "media"])
 def test_odd_rows_and_no_rows(spark, odd, none, labels, benchmark, name):
     f = applied(labels, benchmark)[name]
     got = f(odd).collect()
-    if name == "pack":
+    if name in ("pack", "order"):
         assert sum(r["start"] == 0 for r in got) == odd.count()
     else:
         assert len(got) == odd.count()

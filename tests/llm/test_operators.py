@@ -11,7 +11,7 @@ from itertools import combinations
 import numpy as np
 import pytest
 
-from arborscale.llm import chunkstore, decontaminate, hmm, langid, linkgraph, neardup, pack, queries, shard, toxicity
+from arborscale.llm import chunkstore, decontaminate, hmm, langid, linkgraph, neardup, order, pack, queries, shard, toxicity
 
 DATA = "/root/testdata/sf0.001"
 
@@ -211,6 +211,30 @@ def test_hilbert_keys_visit_neighbours():
     assert (np.abs(np.diff(path, axis=0)).sum(1) == 1).all()
 
 
+# --- training order
+
+
+def test_permutation_is_a_bijection():
+    for n in (1, 2, 3, 5, 64, 1000, 4097):
+        assert sorted(order.permute(np.arange(n), n, 3)) == list(range(n))
+    assert (order.permute(np.arange(1000), 1000, 3) != order.permute(np.arange(1000), 1000, 4)).any()
+
+
+def test_records_round_trip(spark, documents, texts, tmp_path):
+    from tokenizers import Tokenizer
+
+    tokenizer = Tokenizer.from_file(pack.tokenizer_path())
+    back = order.materialise(documents, str(tmp_path / "order"), length=512)
+    rows = back.collect()
+    assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
+    assert all(r["slot"] == r["shard"] * order.SHARD_RECORDS + r["record"] and len(r["data"]) == 1024 for r in rows)
+    own = {}
+    for r in sorted(rows, key=lambda r: r["start"]):
+        own.setdefault(r["doc_id"], []).extend(np.frombuffer(r["data"], "<u2")[: r["tokens"]].tolist())
+    assert own == {i: tokenizer.encode(t, add_special_tokens=False).ids + [2] for i, t in texts.items()}
+    assert [r["slot"] for r in order.resume(back, len(rows) - 5).collect()] == list(range(len(rows) - 5, len(rows)))
+
+
 # --- toxicity
 
 
