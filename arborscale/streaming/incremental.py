@@ -18,4 +18,4 @@ def latest_reports(stream: DataFrame, key: str, order: str, field: str) -> DataF
 
 def windowed_counts(stream: DataFrame, stamp: str, late: str, width: str, *keys: str) -> DataFrame:
     """Counts by event-time window and keys; rows later than the watermark are not counted."""
-    return stream.withWatermark(stamp, late).groupBy(F.window(stamp, width), *keys).agg(F.count("*").alias("n"))
+    return stream.withColumn(stamp, F.col(stamp).cast("timestamp")).withWatermark(stamp, late).groupBy(F.window(stamp, width), *keys).agg(F.count("*").alias("n"))
