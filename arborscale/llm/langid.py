@@ -28,7 +28,7 @@ DOCS, DOC_BYTES, DICT_BYTES = 400, 1000, 64 * 1024
 #: Blocks are encoded alone, so that the dictionary and not the text's own past decides, however long the text is.
 BLOCK = 8192
 #: Least margin, as a share of the second smallest size, for a prediction to be accepted.
-MARGIN = 0.01
+MARGIN = 0.005
 LETTER = re.compile(r"[^\W\d_]")
 
 

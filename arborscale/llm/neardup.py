@@ -9,8 +9,9 @@ reading the bag.
 
 Signatures are banded. Within a band's bucket every text is paired with the least one; what verification (the exact
 overlap of the bags) confirms is joined into classes, so a bucket of copies costs a line, not a square. Buckets that
-then still hold several classes, such as texts that share a common passage, are banded again by other components of the
-signature, and all pairs across classes in these finer buckets are verified too.
+then still hold several classes, such as texts that share a common passage, have the signatures of all their pairs
+across classes compared, a block of a bucket against a block at a time, and pairs that agree enough are verified too. So
+no candidate of any bucket is lost.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql.types import ArrayType, BooleanType, LongType
+from pyspark.sql.types import BooleanType
 
 from arborscale.llm._shared import unused, written
 from arborscale.llm.graph import components
@@ -33,9 +34,8 @@ SHINGLE, THRESHOLD = 5, 0.8
 #: A pair at the threshold agrees in no band with a probability of (1 - 0.8 ** ROWS) ** BANDS, or 0.00007.
 BANDS, ROWS = 24, 5
 COMPONENTS = BANDS * ROWS
-#: Within a bucket a pair at the threshold agrees in no finer band with a probability of (1 - 0.8 ** 4) ** 12, or 0.002;
-#: as it meets in eight buckets on average, this hardly adds to the figure above.
-FINE_BANDS, FINE_ROWS = 12, 4
+#: Members of a bucket that are compared at once; a larger bucket is compared block against block.
+BLOCK = 256
 #: Agreeing components below which a pair isn't verified: six standard errors under the threshold.
 LEAST_AGREEING = int(COMPONENTS * (THRESHOLD - 6 * (THRESHOLD * (1 - THRESHOLD) / COMPONENTS) ** 0.5))
 WORD = re.compile(r"\w+")
@@ -165,19 +165,46 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-@F.arrow_udf(ArrayType(LongType()))
-def _fine_bands(band: pa.Array, signature: pa.Array) -> pa.Array:
-    """Keys of the finer bands in a bucket, from the components that follow those of the band."""
-    if not len(band):
-        return pa.array([], pa.list_(pa.int64()))
-    signed = np.frombuffer(b"".join(signature.to_pylist()), np.uint32).reshape(-1, COMPONENTS)
-    at = (band.to_numpy()[:, None] * ROWS + ROWS + np.arange(FINE_BANDS * FINE_ROWS)) % COMPONENTS
-    fine = np.take_along_axis(signed, at, axis=1).reshape(-1, FINE_BANDS, FINE_ROWS)
-    key = np.zeros(fine.shape[:2], np.uint64)
-    with np.errstate(over="ignore"):
-        for i in range(FINE_ROWS):
-            key = _mixed(key + GOLDEN + fine[:, :, i])
-    return pa.array(list(key.view(np.int64)), pa.list_(pa.int64()))
+def _like_pairs(keys: list[bytes], signed: np.ndarray, label: list[bytes], head: bytes, side: np.ndarray, band: int) -> Iterator[tuple[bytes, bytes]]:
+    """Pairs of different classes whose signatures agree enough, of a block or between two (``side`` 0 and 1, or all 0).
+    A pair is told in the first band where it agrees; those with the head have been looked at."""
+    numbers = {v: i for i, v in enumerate(dict.fromkeys(label))}
+    of = np.array([numbers[v] for v in label])
+    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == side.max()))
+    for i in left:
+        others = right[(right > i) if side.max() == 0 else slice(None)]
+        others = others[of[others] != of[i]]
+        same = signed[others] == signed[i]
+        near = np.flatnonzero(same.sum(axis=1) >= LEAST_AGREEING)
+        whole = same[near].reshape(-1, BANDS, ROWS).all(axis=2)
+        for j in others[near[whole.argmax(axis=1) == band]] if len(near) else ():
+            a, b = sorted((keys[i], keys[j]))
+            if a != head:
+                yield a, b
+
+
+def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Pairs of the units of comparison (a block of a bucket, or two), which come one after the other."""
+
+    def compared(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
+        signed = np.frombuffer(b"".join(r[7] for r in rows), np.uint32).reshape(-1, COMPONENTS)
+        side = np.array([int(r[8] != r[2]) for r in rows])
+        return list(_like_pairs([r[4] for r in rows], signed, [r[6] for r in rows], rows[0][5], side, rows[0][0]))
+
+    def out(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"])
+
+    unit: list[tuple] = []
+    for batch in batches:
+        found: list[tuple[bytes, bytes]] = []
+        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if unit and row[:4] != unit[0][:4]:
+                found += compared(unit)
+                unit = []
+            unit.append(row)
+        yield out(found)
+    if unit:
+        yield out(compared(unit))
 
 
 @F.arrow_udf(BooleanType())
@@ -239,15 +266,13 @@ def _classed(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     # buckets that still hold several classes: every pair across them, but for those just looked at
     found = components(first).withColumnRenamed("node", "text_key")
     named = members.join(found, "text_key", "left").withColumn("label", F.coalesce("label", "text_key"))
-    mixed = named.groupBy(*key).agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select(*key)
-    fine = F.posexplode(_fine_bands("band", "signature")).alias("fine_band", "fine_bucket")
-    rest = named.join(mixed, key).select(*key, "text_key", "head", "label").join(signed.select("text_key", "signature"), "text_key").select(*key, "text_key", "head", "label", fine)
-    finer = [*key, "fine_band", "fine_bucket"]
-    kept = rest.groupBy(*finer).agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select(*finer)
-    rest = written(rest.join(kept, finer), "mixed-buckets")
-    x = rest.select(*finer, F.col("text_key").alias("a"), F.col("label").alias("la"), "head")
-    y = rest.select(*finer, F.col("text_key").alias("b"), F.col("label").alias("lb"))
-    across = x.join(y, finer).where("a < b and la <> lb and a <> head").select("a", "b").distinct()
+    of_bucket = named.groupBy(*key).agg(F.min("label").alias("l"), F.max("label").alias("m"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("l <> m").select(*key, "blocks")
+    rest = named.join(of_bucket, key).withColumn("block", F.pmod(F.xxhash64("text_key"), F.col("blocks")))
+    other = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    units = other.select(*key, F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"), "text_key", "head", "label", "block").join(signed.select("text_key", "signature"), "text_key")
+    unit = [*key, "u", "v"]
+    dealt = units.select(*unit, "text_key", "head", "label", "signature", "block").repartition(*unit).sortWithinPartitions(*unit, "text_key")
+    across = dealt.mapInArrow(_across, "a binary, b binary").distinct()
     links = first.union(_links(across, signed, some, "across"))
     label = components(links).withColumnRenamed("node", "text_key")
     degree = links.select(F.explode(F.array("a", "b")).alias("text_key")).groupBy("text_key").agg(F.count("*").alias("n_links"))
