@@ -215,6 +215,8 @@ def pack(documents: DataFrame, path: str | None = None, length: int = LENGTH, di
 
     names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset", "ids"]
     arrow = pa.schema([(c, pa.binary() if c == "ids" else pa.int64()) for c in names])
-    sorted_docs = docs.withColumn("range", range_of("place")).repartition(partitions, "range").sortWithinPartitions("range", "place", "doc_id", "ids")
+    # neighbouring ranges go to one partition, as many to each
+    partition = F.floor(F.col("range") * partitions / (len(edges) + 1)).cast("int")
+    sorted_docs = docs.withColumn("range", range_of("place")).repartitionById(partitions, partition).sortWithinPartitions("range", "place", "doc_id", "ids")
     found = sorted_docs.mapInArrow(cut, ", ".join(f"`{c}` {'binary' if c == 'ids' else 'long'}" for c in names))
     return found.drop("ids") if digests_only else found
