@@ -4,7 +4,6 @@ from __future__ import annotations
 
 from collections.abc import Callable, Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -136,10 +135,10 @@ def border_duplicates(df: DataFrame, lat_deg: float, lon_deg: float, rank: Colum
     return df.select("tree_id").join(found, "tree_id", "left").select("tree_id", (F.coalesce("d", F.lit(0)) == 1).alias("is_duplicate"))
 
 
-def greedy_suppress(rows: DataFrame, conflicts: DataFrame, group: str, order: Sequence[str], stop: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def greedy_suppress(rows: DataFrame, conflicts: DataFrame, stop: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Greedy suppression in order: a row goes if a kept row before it conflicts with it.
 
-    ``rows`` has ``id`` and the order columns; ``conflicts`` the pairs ``first``, ``second`` with the first ahead in
+    ``rows`` has ``id``; ``conflicts`` the pairs ``first``, ``second`` with the first ahead in
     order. Rounds of joins instead of one sequential task: a row with no undecided row ahead of it is kept, and what it
     conflicts with is dropped; each round decides the head of every chain. ``stop`` cuts lineage (a checkpoint)."""
     state = stop(rows.select("id", F.lit(None).cast("boolean").alias("kept")))
@@ -174,8 +173,3 @@ def patch_replace(old: DataFrame, new: DataFrame, covered: DataFrame) -> DataFra
 
 def content_id(*parts: Column | str) -> Column:
     return F.sha1(F.concat_ws("|", *parts))
-
-
-def in_pandas(df: DataFrame, keys: Sequence[str], f: Callable[[pd.DataFrame], pd.DataFrame], schema: str) -> DataFrame:
-    """A greedy step on groups that are small by nature, such as the chips of an image."""
-    return df.groupBy(*keys).applyInPandas(f, schema)

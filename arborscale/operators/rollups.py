@@ -54,19 +54,6 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: Column, at: Mapping[str
     return df.where(plausible).groupBy(*keys).agg(*[F.percentile(value, F.lit(p)).alias(name) for name, p in at.items()], F.count("*").alias("n"))
 
 
-def hierarchical_share(df: DataFrame, levels: Sequence[str], is_member: Column, least: int) -> DataFrame:
-    """For every combination of the levels the share of members at the first level with ``least`` rows or more."""
-    keyed = df.withColumn("m_", is_member.cast("int"))
-    out = keyed.select(*levels).distinct()
-    shares = []
-    for level in levels:
-        t = keyed.groupBy(level).agg(F.count("m_").alias("n_"), F.avg("m_").alias("s_")).where(F.col("n_") >= least).select(F.col(level), F.col("s_").alias(f"share_{level}"))
-        out = out.join(t, level, "left")
-        shares.append(F.col(f"share_{level}"))
-    level_name = F.coalesce(*[F.when(s.isNotNull(), F.lit(c)) for s, c in zip(shares, levels, strict=True)])
-    return out.select(*levels, F.coalesce(*shares).alias("share"), level_name.alias("level"))
-
-
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """Present, null, least, greatest and distinct of each column, a row each, from one pass."""
     one = df.agg(*[a for c in columns for a in (F.count(c).alias(f"n_{c}"), F.count_if(F.col(c).isNull()).alias(f"z_{c}"), F.min(c).cast("string").alias(f"lo_{c}"), F.max(c).cast("string").alias(f"hi_{c}"), F.countDistinct(c).alias(f"d_{c}"))])

@@ -123,7 +123,7 @@ def detections(v: Views) -> DataFrame:
 @query("d13_seam_dedup")
 def _(v: Views) -> DataFrame:
     rows = checkpointed(detections(v))
-    return dedup.greedy_suppress(rows, checkpointed(dedup.seam_conflicts(rows, 8.0)), "tile", ["score", "id"], checkpointed).select("id", "kept")
+    return dedup.greedy_suppress(rows, checkpointed(dedup.seam_conflicts(rows, 8.0)), checkpointed).select("id", "kept")
 
 
 @query("d14_absorbed_flags", f"""WITH {{OBS}}, c AS (SELECT *, {', '.join(f'{c} AS cell{i}' for i, c in enumerate(CELLS))} FROM obs)
@@ -150,7 +150,7 @@ def _(v: Views) -> DataFrame:
     near = cells.pairs_within(rows.where("score is not null"), rows, 4.0, keys=("tile", "score"))
     close = (F.abs(F.col("l_x") - F.col("r_x")) <= 2) & (F.abs(F.col("l_y") - F.col("r_y")) <= 2)
     ties = near.where(close & (F.col("l_id") < F.col("r_id"))).select(F.col("l_id").alias("first"), F.col("r_id").alias("second"))
-    return dedup.greedy_suppress(rows, checkpointed(ties), "tile", ["score", "id"], checkpointed).select("id", "kept")
+    return dedup.greedy_suppress(rows, checkpointed(ties), checkpointed).select("id", "kept")
 
 
 @query("d18_first_source", "WITH {OBS} SELECT order_key, min(data_source) AS data_source FROM obs GROUP BY order_key")

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborscale.functions.lineage import scratch
-from arborscale.operators import blocks, clean, lookups, quality, rank, rollups
+from arborscale.operators import blocks, clean, quality, rank, rollups
 from arborscale.plans.q_dedup import TILE
 from arborscale.plans.q_rollups import CROWN, DBH, KIND
 from arborscale.plans.registry import Views, query

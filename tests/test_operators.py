@@ -24,7 +24,7 @@ def test_seam_dedup_is_greedy(spark):
     rng = random.Random(1)
     rows = [(f"p{i:03}", round(rng.random(), 1), rng.random() * 40, rng.random() * 40, f"t{rng.randrange(3)}") for i in range(200)]
     df = checkpointed(spark.createDataFrame(rows, "id string, score double, x double, y double, tile string"))
-    got = dedup.greedy_suppress(df, checkpointed(dedup.seam_conflicts(df, 4.0)), "tile", ["score"], checkpointed)
+    got = dedup.greedy_suppress(df, checkpointed(dedup.seam_conflicts(df, 4.0)), checkpointed)
     want = brute_suppress(rows, lambda a, b: a[4] != b[4] and math.dist(a[2:4], b[2:4]) <= 4)
     assert {r["id"] for r in got.where("kept").collect()} == want
 
