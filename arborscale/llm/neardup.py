@@ -36,8 +36,9 @@ BANDS, ROWS = 24, 5
 COMPONENTS = BANDS * ROWS
 #: Members of a bucket that are compared at once; a larger bucket is compared block against block.
 BLOCK = 256
-#: Agreeing components below which a pair isn't verified: six standard errors under the threshold.
-LEAST_AGREEING = int(COMPONENTS * (THRESHOLD - 6 * (THRESHOLD * (1 - THRESHOLD) / COMPONENTS) ** 0.5))
+#: Agreeing components below which a pair isn't verified: 4.5 standard errors under the threshold, which a pair at the
+#: threshold misses with a probability of 0.000003.
+LEAST_AGREEING = int(COMPONENTS * (THRESHOLD - 4.5 * (THRESHOLD * (1 - THRESHOLD) / COMPONENTS) ** 0.5))
 WORD = re.compile(r"\w+")
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -165,12 +166,20 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             )
 
 
-def _like_pairs(keys: list[bytes], signed: np.ndarray, label: list[bytes], head: bytes, side: np.ndarray, band: int) -> Iterator[tuple[bytes, bytes]]:
-    """Pairs of different classes whose signatures agree enough, of a block or between two (``side`` 0 and 1, or all 0).
-    A pair is told in the first band where it agrees; those with the head have been looked at."""
+def _like_pairs(keys: list[bytes], signed: np.ndarray, label: list[bytes], head: bytes, side: np.ndarray, band: int, nearest: bool) -> Iterator[tuple[bytes, bytes]]:
+    """Pairs of different classes whose signatures agree enough, of a block or between two (``side`` 0 and 1, or all 0):
+    with ``nearest`` for each text the one that agrees most, else all, each in the first band where it agrees."""
     numbers = {v: i for i, v in enumerate(dict.fromkeys(label))}
     of = np.array([numbers[v] for v in label])
-    left, right = (np.flatnonzero(side == 0), np.flatnonzero(side == side.max()))
+    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == side.max())
+    if nearest:
+        for one, other in ((left, right), (right, left)) if side.max() else ((left, right),):
+            for i in one:
+                others = other[of[other] != of[i]]
+                agreeing = (signed[others] == signed[i]).sum(axis=1)
+                if len(others) and agreeing.max() >= LEAST_AGREEING:
+                    yield tuple(sorted((keys[i], keys[others[agreeing.argmax()]])))
+        return
     for i in left:
         others = right[(right > i) if side.max() == 0 else slice(None)]
         others = others[of[others] != of[i]]
@@ -183,13 +192,13 @@ def _like_pairs(keys: list[bytes], signed: np.ndarray, label: list[bytes], head:
                 yield a, b
 
 
-def _across(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _across(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.RecordBatch]:
     """Pairs of the units of comparison (a block of a bucket, or two), which come one after the other."""
 
     def compared(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
         signed = np.frombuffer(b"".join(r[7] for r in rows), np.uint32).reshape(-1, COMPONENTS)
         side = np.array([int(r[8] != r[2]) for r in rows])
-        return list(_like_pairs([r[4] for r in rows], signed, [r[6] for r in rows], rows[0][5], side, rows[0][0]))
+        return list(_like_pairs([r[4] for r in rows], signed, [r[6] for r in rows], rows[0][5], side, rows[0][0], nearest))
 
     def out(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"])
@@ -243,6 +252,19 @@ def _links(pairs: DataFrame, signed: DataFrame, texts: DataFrame, name: str) ->
     return written(both.mapInArrow(_verify, "a binary, b binary, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity")), f"{name}-links")
 
 
+def _candidates(members: DataFrame, signed: DataFrame, links: DataFrame, nearest: bool) -> DataFrame:
+    """Candidate pairs of different classes within the buckets."""
+    key = ["band", "bucket"]
+    named = members.join(components(links).withColumnRenamed("node", "text_key"), "text_key", "left").withColumn("label", F.coalesce("label", "text_key"))
+    of_bucket = named.groupBy(*key).agg(F.min("label").alias("l"), F.max("label").alias("m"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("l <> m").select(*key, "blocks")
+    rest = named.join(of_bucket, key).withColumn("block", F.pmod(F.xxhash64("text_key"), F.col("blocks")))
+    other = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    units = other.select(*key, F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"), "text_key", "head", "label", "block").join(signed.select("text_key", "signature"), "text_key")
+    unit = [*key, "u", "v"]
+    dealt = units.select(*unit, "text_key", "head", "label", "signature", "block").repartition(*unit).sortWithinPartitions(*unit, "text_key")
+    return dealt.mapInArrow(lambda batches: _across(batches, nearest), "a binary, b binary").distinct()
+
+
 def _key() -> Column:
     return F.unhex(F.md5(F.col("text").cast("binary")))
 
@@ -263,17 +285,11 @@ def _classed(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     some = written(texts.join(one_row, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left_semi").select("text_key", "text"), "bucket-texts")
     stars = members.where("text_key <> head").select(F.col("head").alias("a"), F.col("text_key").alias("b")).distinct()
     first = _links(stars, signed, some, "stars")
-    # buckets that still hold several classes: every pair across them, but for those just looked at
-    found = components(first).withColumnRenamed("node", "text_key")
-    named = members.join(found, "text_key", "left").withColumn("label", F.coalesce("label", "text_key"))
-    of_bucket = named.groupBy(*key).agg(F.min("label").alias("l"), F.max("label").alias("m"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("l <> m").select(*key, "blocks")
-    rest = named.join(of_bucket, key).withColumn("block", F.pmod(F.xxhash64("text_key"), F.col("blocks")))
-    other = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    units = other.select(*key, F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"), "text_key", "head", "label", "block").join(signed.select("text_key", "signature"), "text_key")
-    unit = [*key, "u", "v"]
-    dealt = units.select(*unit, "text_key", "head", "label", "signature", "block").repartition(*unit).sortWithinPartitions(*unit, "text_key")
-    across = dealt.mapInArrow(_across, "a binary, b binary").distinct()
-    links = first.union(_links(across, signed, some, "across"))
+    # in buckets that still hold several classes each text first tries the one of another class that agrees most, which
+    # joins nearly all that belong together; then every pair across the classes that are left
+    second = _links(_candidates(members, signed, first, nearest=True), signed, some, "nearest")
+    joined = first.union(second)
+    links = joined.union(_links(_candidates(members, signed, joined, nearest=False), signed, some, "across")).distinct()
     label = components(links).withColumnRenamed("node", "text_key")
     degree = links.select(F.explode(F.array("a", "b")).alias("text_key")).groupBy("text_key").agg(F.count("*").alias("n_links"))
     of_text = label.join(degree, "text_key", "left")
