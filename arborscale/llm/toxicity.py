@@ -8,8 +8,10 @@ share. A class keeps counts of its own only for expressions whose share differs
 shared counts alone and so costs both classes the same. A logistic curve, fitted on rows that the counts did not use,
 turns the difference per word into a probability.
 
-The classifier is fitted on a bounded sample of labelled rows: at most ``max_docs`` of each class, those with the
-smallest hash of the id. Scoring reads every whole text.
+The classifier is fitted on a sample of labelled rows, chosen by a hash of the id, that keeps what the class shares of
+all labelled rows say. Counts take both classes at one common rate, at which the rarer class comes to ``max_docs``; the
+curve takes ``max_docs`` of each class, and each row weighs as many labelled rows as it stands for. So neither the prior
+nor the number of contexts that an expression needs depends on the size of the input. Scoring reads every whole text.
 """
 
 from __future__ import annotations
@@ -21,7 +23,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborscale.llm._shared import fold, unused, written
@@ -33,8 +35,11 @@ DISCOUNT = 0.75
 LEAST = 3
 #: Standard errors and log ratio from which an expression counts by class.
 SIGNIFICANT, RATIO = 4.5, 2.0
-#: The most n-grams of either order that the model keeps, the most frequent first: it bounds what tasks get.
+#: The most words, and the most bigrams that differ between the classes, that the model keeps, the most frequent first: it
+#: bounds what tasks get.
 MAX_NGRAMS = 400_000
+#: Up to so many sampled labels are sent to all tasks; more are joined as Spark sees fit.
+MAX_SENT = 1_000_000
 
 
 def _trigram_kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -69,11 +74,13 @@ class KneserNeyPair:
     """The log ratio of the two models by word and by known bigram: 0 where both stand on the shared counts."""
 
     def __init__(self, bigrams: pd.DataFrame, unigrams: pd.DataFrame):
+        """``unigrams`` has the words with their contexts by class (``n0``, ``n1``); ``bigrams`` has those that differ beyond chance, each with its own and, of all
+        bigrams with the same first word, the contexts (``t0``, ``t1``) and the number (``k0``, ``k1``)."""
         words = sorted(set(unigrams.word) | set(bigrams.before) | set(bigrams.word))
         index = {w: i for i, w in enumerate(words)}
         size = max(len(words), 1)
         ends = np.zeros((2, size))
-        np.add.at(ends, (unigrams.label.to_numpy(int), unigrams.word.map(index).to_numpy(int)), unigrams.kinds.to_numpy(float))
+        ends[:, unigrams.word.map(index).to_numpy(int)] = unigrams[["n0", "n1"]].to_numpy(float).T
         both, seen = ends.sum(0), max(ends.sum(), 1)
         shared = np.maximum(both - DISCOUNT, 0) / seen + (DISCOUNT * (both > 0).sum() + 1) / seen / size
         sums = np.maximum(ends.sum(1, keepdims=True), 1)
@@ -81,19 +88,12 @@ class KneserNeyPair:
         unigram = np.maximum(ends - DISCOUNT, 0) / sums + left * shared
         ratio = np.log(unigram[1]) - np.log(unigram[0])
         of_word = np.where((_differs(ends) < SIGNIFICANT) | (np.abs(ratio) < RATIO), 0.0, ratio)
-        before, word = bigrams.before.map(index).to_numpy(np.int64), bigrams.word.map(index).to_numpy(np.int64)
-        pairs, place = np.unique(before * size + word, return_inverse=True)
-        n = np.zeros((2, len(pairs)))
-        np.add.at(n, (bigrams.label.to_numpy(int), place), bigrams.kinds.to_numpy(float))
-        b, w = pairs // size, pairs % size
-        total, kinds = np.zeros((2, size)), np.zeros((2, size))
-        for c in (0, 1):
-            np.add.at(total[c], b, n[c])
-            np.add.at(kinds[c], b, n[c] > 0)
+        b, w = bigrams.before.map(index).to_numpy(np.int64), bigrams.word.map(index).to_numpy(np.int64)
+        n, total, kinds = (bigrams[[f"{x}0", f"{x}1"]].to_numpy(float).T for x in "ntk")
         weight = (DISCOUNT * kinds + 1) / (total + 1)
-        high = np.maximum(n - DISCOUNT, 0) / np.maximum(total[:, b], 1) + weight[:, b] * unigram[:, w]
+        high = np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1) + weight * unigram[:, w]
         step = np.log(high[1]) - np.log(high[0])
-        kept = (_differs(n) >= SIGNIFICANT) & (np.abs(step) >= RATIO) if len(pairs) else np.zeros(0, bool)
+        kept = np.abs(step) >= RATIO
         self.words = {x: float(of_word[i]) for x, i in index.items() if of_word[i]}
         self.bigrams = {(words[i], words[j]): float(r) for i, j, r in zip(b[kept], w[kept], step[kept], strict=True)}
 
@@ -114,16 +114,17 @@ class KneserNeyPair:
         return means, lengths
 
 
-def _logistic(x: np.ndarray, y: np.ndarray) -> tuple[float, float]:
+def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float, float]:
     """Slope and intercept by Newton's method with a small ridge; the slope never turns negative."""
     if len(x) == 0 or y.min() == y.max():
-        return 1.0, 0.0 if len(x) == 0 else float(np.log((y.sum() + 0.5) / (len(y) - y.sum() + 0.5)))
+        toxic = (weight * y).sum()
+        return 1.0, 0.0 if len(x) == 0 else float(np.log((toxic + 0.5) / (weight.sum() - toxic + 0.5)))
     scale = max(float(x.std()), 1e-9)
     design, theta = np.stack([x / scale, np.ones(len(x))], 1), np.zeros(2)
     for _ in range(50):
         p = 1 / (1 + np.exp(-np.clip(design @ theta, -30, 30)))
-        gradient = design.T @ (y - p) - 1e-3 * theta
-        hessian = (design * (p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
+        gradient = design.T @ (weight * (y - p)) - 1e-3 * theta
+        hessian = (design * (weight * p * (1 - p))[:, None]).T @ design + 1e-3 * np.eye(2)
         theta = np.clip(theta + np.clip(np.linalg.solve(hessian, gradient), -2, 2), -40, 40)
     return max(float(theta[0]) / scale, 1e-6), float(theta[1])
 
@@ -145,29 +146,42 @@ def fit(documents: DataFrame, labels: DataFrame, max_docs: int = 3000) -> Toxici
     ``labels`` has ``doc_id`` and ``toxic``; rows with a null in either are passed over and a repeated id is toxic if
     any of its rows is. With no labelled rows at all every text gets the score 0.5."""
     spark = documents.sparkSession
-    by_rank = Window.partitionBy("label", "fitting").orderBy(F.xxhash64("doc_id"), "doc_id")
-    sample = (
+    labelled = (
         labels.select("doc_id", F.col("toxic").cast("int").alias("label"))
         .where("doc_id is not null and label in (0, 1)")
         .where(fold() != 0)
         .groupBy("doc_id")
         .agg(F.max("label").alias("label"))
         .withColumn("fitting", fold() != 1)
-        .withColumn("rank", F.row_number().over(by_rank))
-        .where(F.col("rank") <= max_docs)
-        .drop("rank")
     )
-    # at most 4 * max_docs rows of two small columns, so this side can be broadcast
-    texts = written(documents.select("doc_id", "text").join(F.broadcast(sample), "doc_id"), "toxic-sample")
-    kinds = texts.where("fitting").select("label", "text").mapInArrow(_trigram_kinds, "label int, first long, before string, word string").distinct()
-    counted = written(kinds.groupBy("label", "before", "word").agg(F.count("*").alias("kinds")), "toxic-bigrams")
-    unigrams = counted.groupBy("label", "word").agg(F.count("*").alias("kinds"))
-
-    def frequent(table: DataFrame, *key: str) -> DataFrame:
-        most = table.groupBy(*key).agg(F.sum("kinds").alias("all")).where(F.col("all") >= LEAST).orderBy(F.desc("all"), *key).limit(MAX_NGRAMS)
-        return table.join(most, [*key], "left_semi").orderBy("label", *key)
 
-    pair = KneserNeyPair(frequent(counted, "before", "word").toPandas(), frequent(unigrams, "word").toPandas())
+    def sizes(rows: DataFrame) -> dict[tuple[bool, int], int]:
+        return {(r["fitting"], r["label"]): r["n"] for r in rows.groupBy("fitting", "label").agg(F.count("*").alias("n")).collect()}
+
+    size = sizes(labelled)
+    common = min(1.0, max_docs / min((n for (fitting, _), n in size.items() if fitting), default=1))
+    rates = {key: common if key[0] else min(1.0, max_docs / n) for key, n in size.items()}
+    rate = F.lit(0.0)
+    for (fitting, label), r in rates.items():
+        rate = F.when((F.col("fitting") == fitting) & (F.col("label") == label), r).otherwise(rate)
+    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < rate * float(1 << 40))
+    taken = sizes(sample)
+    if sum(taken.values()) <= MAX_SENT:
+        sample = F.broadcast(sample)
+    texts = written(documents.select("doc_id", "text").join(sample, "doc_id"), "toxic-sample")
+    kinds = texts.where("fitting").select("label", "text").mapInArrow(_trigram_kinds, "label int, first long, before string, word string").distinct()
+    both = F.col("n0") + F.col("n1")
+    # one row a pair with its contexts by class, so that its words and the pairs that differ need no second pass over all contexts
+    pairs = written(kinds.groupBy("before", "word").agg(*(F.count_if(F.col("label") == c).alias(f"n{c}") for c in (0, 1))), "toxic-bigrams")
+    words = pairs.groupBy("word").agg(*(F.count_if(F.col(n) > 0).alias(n) for n in ("n0", "n1"))).where(both >= LEAST).orderBy(both.desc(), "word").limit(MAX_NGRAMS)
+
+    bigrams = pairs.where(both >= LEAST)
+    ordinary, toxic = bigrams.agg(*(F.coalesce(F.sum(n), F.lit(0)) for n in ("n0", "n1"))).head()
+    share = toxic / max(ordinary + toxic, 1)
+    differs = F.abs(F.col("n1") - both * share) / F.sqrt(both * share * (1 - share) + 1e-9)  # as _differs
+    of_first = bigrams.groupBy("before").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.count_if(F.col("n0") > 0).alias("k0"), F.count_if(F.col("n1") > 0).alias("k1"))
+    telling = bigrams.where(differs >= SIGNIFICANT).orderBy(both.desc(), "before", "word").limit(MAX_NGRAMS)
+    pair = KneserNeyPair(telling.join(of_first, "before").orderBy("before", "word").toPandas(), words.toPandas())
     shipped = spark.sparkContext.broadcast(pair)
 
     def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -175,8 +189,9 @@ def fit(documents: DataFrame, labels: DataFrame, max_docs: int = 3000) -> Toxici
             means, lengths = shipped.value.ratios(batch.column(1).to_pylist())
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(means), pa.array(lengths)], ["label", "mean", "words"])
 
-    held = texts.where("not fitting").select("label", "text").mapInArrow(of, "label int, mean double, words long").where("words > 0").orderBy("mean", "label").toPandas()
-    return ToxicityModel(pair, *_logistic(held["mean"].to_numpy(float), held["label"].to_numpy(float)))
+    held = texts.where("not fitting").select("label", "text").mapInArrow(of, "label int, mean double, words long").where("words > 0").toPandas().sort_values(["mean", "label"])
+    weight = held["label"].map({label: size[fitting, label] / n for (fitting, label), n in taken.items() if not fitting})
+    return ToxicityModel(pair, *_logistic(held["mean"].to_numpy(float), held["label"].to_numpy(float), weight.to_numpy(float)))
 
 
 def score_column(model: ToxicityModel, documents: DataFrame):

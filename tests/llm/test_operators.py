@@ -257,6 +257,21 @@ def test_toxic_words_are_found(spark):
     assert sum(truth[i] for i in kept) <= 3 and len(kept) >= 0.97 * (900 - sum(truth.values()))
 
 
+def test_sampled_labels_keep_the_prior(spark):
+    rng = random.Random(16)
+    labels = spark.createDataFrame([(i, int(i % 8 == 0)) for i in range(1600)], "doc_id long, toxic int")
+
+    def docs(word):
+        rows = [(i, " ".join([f"w{rng.randrange(300)}" for _ in range(20)] + [word] * (i % 8 == 0) + [f"w{rng.randrange(300)}"])) for i in range(1600)]
+        return spark.createDataFrame(rows, "doc_id long, text string")
+
+    # labels that no word explains: every score is the share of toxic rows, whatever the sample
+    scores = [r["score"] for r in toxicity.score(docs("w1"), labels, max_docs=15).collect()]
+    assert abs(sum(scores) / len(scores) - 1 / 8) < 0.05
+    # with one row in eight toxic, three contexts tell a word of toxic texts, not the 21 of an even sample
+    assert "vile" in toxicity.fit(docs("vile"), labels, max_docs=15).pair.words
+
+
 # --- benchmark
 
 
