@@ -1,9 +1,9 @@
 """Training-order materialisation.
 
 Documents become sequences of at most ``LENGTH`` tokens. A keyed Feistel permutation with cycle-walking gives every
-sequence a global slot: a bijection of 0 to n - 1 that needs no sort and no state, and that the key alone repeats. Slots
-are range-partitioned and written in order as records of one size, ``SHARD_RECORDS`` to a shard, so the place of a slot is
-a product and a reader can resume at any of them.
+sequence a global slot: a bijection of 0 to n - 1 that needs no sort and no state, and that the key alone repeats. Every
+shard is one uncompressed file of ``SHARD_RECORDS`` records of one size, written in order by one task, so the place of a
+slot is a product and a reader can open a shard at any of them. A table beside the shards says what each record holds.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyarrow.fs import FileSystem, FileType
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -70,12 +71,66 @@ def sequences(documents: DataFrame, path: str, length: int) -> DataFrame:
     return documents.select("doc_id", "text").mapInArrow(run, "task int, number long, doc_id long, start long, ids binary")
 
 
+def shard_file(folder: str, shard: int) -> str:
+    return f"{folder}/shards/{shard:010d}.bin"
+
+
+class _Shards:
+    """Writes records, in the order of their slots, to the shards of one task. A shard gets its name when it is whole, so
+    a retry or a second attempt does no harm."""
+
+    def __init__(self, folder: str):
+        self.fs, self.root = FileSystem.from_uri(folder)
+        self.shard, self.out = -1, None
+
+    def write(self, shard: int, data: bytes) -> None:
+        if shard != self.shard:
+            self.close()
+            self.shard, self.temporary = shard, f"{shard_file(self.root, shard)}.{uuid.uuid4().hex}.tmp"
+            self.out = self.fs.open_output_stream(self.temporary, compression=None)
+        self.out.write(data)
+
+    def close(self) -> None:
+        if self.out is None:
+            return
+        self.out.close()
+        self.out = None
+        place = shard_file(self.root, self.shard)
+        try:
+            self.fs.move(self.temporary, place)
+        except OSError:  # some stores don't replace; another attempt has written the same bytes
+            if self.fs.get_file_info(place).type != FileType.File:
+                raise
+            self.fs.delete_file(self.temporary)
+
+
+def _stored(path: pa.Array, offset: pa.Array, stride: pa.Array) -> pa.Array:
+    """The bytes at a place of a shard; a file stays open as long as the rows stay in it."""
+    out, name, file = [], None, None
+    for p, at, n in zip(path.to_pylist(), offset.to_pylist(), stride.to_pylist(), strict=True):
+        if p != name:
+            if file is not None:
+                file.close()
+            fs, local = FileSystem.from_uri(p)
+            name, file = p, fs.open_input_file(local)
+        file.seek(at)
+        out.append(file.read(n))
+    if file is not None:
+        file.close()
+    return pa.array(out, pa.binary())
+
+
+def with_data(index: DataFrame) -> DataFrame:
+    return index.withColumn("data", F.arrow_udf(_stored, "binary")("path", "byte_offset", "stride"))
+
+
 def materialise(documents: DataFrame, folder: str, key: int = 17, length: int = LENGTH, path: str | None = None) -> DataFrame:
     """Write every sequence as a record at its slot, and return the records as read back: ``slot``, ``shard``, ``record``
-    (the place in the shard), ``doc_id``, ``start``, ``tokens`` and ``data``, ``length`` little-endian 16-bit ids.
+    (the place in the shard), ``path`` of the shard, ``byte_offset`` in it, ``stride``, ``doc_id``, ``start``, ``tokens`` and
+    ``data``, ``length`` little-endian 16-bit ids.
 
-    A null text is an empty one, which has its end token only; a repeated row has sequences of its own; an empty table
-    has no records."""
+    ``folder`` is one that all tasks reach. A null text is an empty one, which has its end token only; a repeated row has
+    sequences of its own; an empty table has no records."""
     numbered = written(sequences(documents, path or tokenizer_path(), length), "sequences")
     counts = {r["task"]: r["n"] for r in numbered.groupBy("task").agg(F.count("*").alias("n")).collect()}  # one row a task
     base = np.zeros(max(counts, default=0) + 1, np.int64)
@@ -87,32 +142,53 @@ def materialise(documents: DataFrame, folder: str, key: int = 17, length: int =
     def slot(task: pa.Array, number: pa.Array) -> pa.Array:
         return pa.array(permute(base[task.to_numpy()] + number.to_numpy(), n, key))
 
-    def padded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                ids = part.column("ids").to_pylist()
-                fill = np.full(length, PAD, "<u2").tobytes()
-                slots = part.column("slot").to_numpy()
-                yield pa.RecordBatch.from_arrays(
-                    [part.column("slot"), pa.array(slots // SHARD_RECORDS), pa.array(slots % SHARD_RECORDS), part.column("doc_id"), part.column("start"), pa.array([len(i) // 2 for i in ids], pa.int64()), pa.array([i + fill[len(i) :] for i in ids], pa.binary())],
-                    ["slot", "shard", "record", "doc_id", "start", "tokens", "data"],
-                )
+    stride = 2 * length
+    fs, root = FileSystem.from_uri(folder)
+    if fs.get_file_info(f"{root}/shards").type == FileType.Directory:
+        fs.delete_dir(f"{root}/shards")
+    fs.create_dir(f"{root}/shards", recursive=True)
 
-    placed = numbered.select(slot("task", "number").alias("slot"), "doc_id", "start", "ids")
-    ordered = placed.repartitionByRange("slot").sortWithinPartitions("slot")
-    rows = ordered.mapInArrow(padded, schema := "slot long, shard long, record long, doc_id long, start long, tokens long, data binary")
-    rows.write.mode("overwrite").option("compression", "zstd").parquet(folder)
-    return documents.sparkSession.read.schema(schema).parquet(folder)
+    def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shards, fill = _Shards(folder), np.full(length, PAD, "<u2").tobytes()
+        for batch in batches:
+            slots, ids = batch.column("slot").to_numpy(), batch.column("ids").to_pylist()
+            for s, i in zip(slots.tolist(), ids, strict=True):
+                shards.write(s // SHARD_RECORDS, i + fill[len(i) :])
+            record = slots % SHARD_RECORDS
+            columns = [batch.column("slot"), batch.column("shard"), pa.array(record), pa.array([shard_file(folder, s // SHARD_RECORDS) for s in slots.tolist()]), pa.array(record * stride), pa.array(np.full(len(slots), stride))]
+            yield pa.RecordBatch.from_arrays(
+                [*columns, batch.column("doc_id"), batch.column("start"), pa.array([len(i) // 2 for i in ids], pa.int64())],
+                ["slot", "shard", "record", "path", "byte_offset", "stride", "doc_id", "start", "tokens"],
+            )
+        shards.close()
+
+    placed = numbered.select(slot("task", "number").alias("slot"), "doc_id", "start", "ids").withColumn("shard", F.expr(f"slot div {SHARD_RECORDS}"))
+    # by shard, so that no shard is parted between tasks
+    ordered = placed.repartitionByRange("shard").sortWithinPartitions("slot")
+    rows = ordered.mapInArrow(dealt, schema := "slot long, shard long, record long, path string, byte_offset long, stride long, doc_id long, start long, tokens long")
+    rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/index")
+    return with_data(documents.sparkSession.read.schema(schema).parquet(f"{folder}/index"))
 
 
 def resume(records: DataFrame, slot: int) -> DataFrame:
-    """The records from a slot on, in order; ranges of files before it are skipped by their statistics."""
-    return records.where(F.col("slot") >= slot).orderBy("slot")
+    """The records from a slot on, in order. Only what the index says of them is sorted; their bytes are read in place."""
+    return with_data(records.drop("data").where(F.col("slot") >= slot).orderBy("slot"))
+
+
+def read_from(folder: str, slot: int, length: int = LENGTH) -> Iterator[bytes]:
+    """The bytes of the records from a slot on, without Spark: the shard is opened at the place of the slot."""
+    fs, root = FileSystem.from_uri(folder)
+    shard, at, stride = slot // SHARD_RECORDS, slot % SHARD_RECORDS * 2 * length, 2 * length
+    while fs.get_file_info(place := shard_file(root, shard)).type == FileType.File:
+        with fs.open_input_file(place) as file:
+            file.seek(min(at, file.size()))
+            while data := file.read(stride):
+                yield data
+        shard, at = shard + 1, 0
 
 
 def training_order(documents: DataFrame, key: int = 17, length: int = LENGTH) -> DataFrame:
     """The index of the materialised order as read back from the stored records: a row for each slot with its ``shard``,
     ``byte_offset`` in the shard, document, tokens, and the checksum of the stored bytes."""
     back = materialise(documents, f"{shared_dir(documents.sparkSession)}/arborscale-order-{uuid.uuid4().hex}", key, length)
-    return back.select("slot", "shard", (F.col("record") * (2 * length)).alias("byte_offset"), "doc_id", "start", "tokens", F.crc32("data").alias("data_crc32"), F.octet_length("data").cast("long").alias("data_bytes"))
+    return back.select("slot", "shard", "byte_offset", "doc_id", "start", "tokens", F.crc32("data").alias("data_crc32"), F.octet_length("data").cast("long").alias("data_bytes"))

@@ -235,6 +235,20 @@ def test_records_round_trip(spark, documents, texts, tmp_path):
     assert [r["slot"] for r in order.resume(back, len(rows) - 5).collect()] == list(range(len(rows) - 5, len(rows)))
 
 
+def test_shards_are_files_of_fixed_records(documents, tmp_path, monkeypatch):
+    monkeypatch.setattr(order, "SHARD_RECORDS", 64)
+    folder = tmp_path / "order"
+    rows = sorted(order.materialise(documents, str(folder), length=256).collect(), key=lambda r: r["slot"])
+    files = sorted((folder / "shards").iterdir())
+    n = len(rows)
+    assert n > 3 * 64 and len(files) == -(-n // 64) and all(f.stat().st_size == 64 * 512 for f in files[:-1])
+    for r in rows:  # the index and the bare files agree
+        with open(files[r["shard"]], "rb") as f:
+            f.seek(r["byte_offset"])
+            assert f.read(512) == r["data"]
+    assert list(order.read_from(str(folder), n - 100, 256)) == [r["data"] for r in rows[-100:]]
+
+
 # --- toxicity
 
 
