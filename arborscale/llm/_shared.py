@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import weakref
 import zipfile
 from pathlib import Path
 
@@ -15,10 +16,12 @@ TOKENIZER_FILE = "word_bpe_49k.json"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or one set here when none is set."""
+    """The folder that driver and executors share: ``spark.checkpoint.dir``, or where none is set one set here, in the
+    warehouse; only a local session, whose executors are this machine, gets a temporary one."""
     found = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not found:
-        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="arborscale-"))
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="arborscale-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/arborscale-scratch")
         found = spark.sparkContext.getCheckpointDir()
     return found
 
@@ -41,8 +44,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
     executor costs a re-read and not a re-computation, and what is used twice is computed once."""
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/arborscale-{name}-{uuid.uuid4().hex}"
+    ship(spark)
     df.write.option("compression", "zstd").parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    _PLACES[id(back)] = (weakref.ref(back), path)
+    return back
+
+
+#: Where written tables lie, as long as their frames are in use.
+_PLACES: dict[int, tuple[weakref.ref, str]] = {}
+
+
+def discard(*tables: DataFrame) -> None:
+    """Delete written tables that nothing reads any more."""
+    for df in tables:
+        known, path = _PLACES.pop(id(df), (lambda: None, ""))
+        if known() is df:
+            context = df.sparkSession.sparkContext
+            place = context._jvm.org.apache.hadoop.fs.Path(path)
+            place.getFileSystem(context._jsc.hadoopConfiguration()).delete(place, True)
 
 
 def unused(df: DataFrame, name: str) -> str:

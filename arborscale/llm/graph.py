@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborscale.llm._shared import written
+from arborscale.llm._shared import discard, written
 
 
 def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame:
@@ -17,10 +17,12 @@ def components(links: DataFrame, left: str = "a", right: str = "b") -> DataFrame
     edges = written(edges.union(edges.select("to", "node")).where("node <> to").distinct(), "edges")
     labels = written(edges.groupBy("node").agg(F.least(F.min("to"), F.first("node")).alias("label")), "labels")
     while True:
-        told = edges.join(labels.withColumnRenamed("node", "to"), "to").groupBy("node").agg(F.min("label").alias("told"))
+        told = edges.join(labels.select(F.col("node").alias("to"), "label"), "to").groupBy("node").agg(F.min("label").alias("told"))
         near = labels.join(told, "node").select("node", "label", F.least("label", "told").alias("near"))
         jump = labels.select(F.col("node").alias("near"), F.col("label").alias("far"))
         step = written(near.join(jump, "near").select("node", F.least("near", "far").alias("label"), (F.least("near", "far") < F.col("label")).alias("changed")), "labels")
-        labels = step.select("node", "label")
+        discard(labels)
+        labels = step
         if step.where("changed").isEmpty():
-            return labels
+            discard(edges)
+            return step.select("node", "label")

@@ -7,11 +7,19 @@ don't count: so two bags share a component's earliest point with a probability e
 similarity. A process stops as soon as it passes the latest component, which makes a signature cost about as much as
 reading the bag.
 
-Signatures are banded. Within a band's bucket every text is paired with the least one; what verification (the exact
-overlap of the bags) confirms is joined into classes, so a bucket of copies costs a line, not a square. Buckets that
-then still hold several classes, such as texts that share a common passage, have the signatures of all their pairs
-across classes compared, a block of a bucket against a block at a time, and pairs that agree enough are verified too. So
-no candidate of any bucket is lost.
+Signatures are banded, and classes grow in three steps. In each, what verification (the exact overlap of the bags)
+confirms is joined, and only pairs of different classes go on.
+
+1. Every text of a bucket is paired with the bucket's least text, so a bucket of copies costs a line, not a square.
+2. In buckets that still hold several classes, each text is paired with the text of another class that agrees with it
+   most.
+3. What two bags can have in common is at most what one of them has in common with all texts of other classes together.
+   Spark counts that for each text that has a resembling text of another class, and only pairs for which it allows a
+   similarity of 0.8 are verified. Near copies that each differ on their own from a common original, or texts around a
+   common passage, drop out here without a pair.
+
+Comparing happens inside tasks, a block of a bucket against a block, and gives out no pair that steps 2 and 3 exclude. A
+bucket has no cap. A candidate is verified unless its signatures agree in under ``LEAST_AGREEING`` of 120 components.
 """
 
 from __future__ import annotations
@@ -27,7 +35,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from arborscale.llm._shared import unused, written
+from arborscale.llm._shared import discard, unused, written
 from arborscale.llm.graph import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -35,7 +43,7 @@ SHINGLE, THRESHOLD = 5, 0.8
 BANDS, ROWS = 24, 5
 COMPONENTS = BANDS * ROWS
 #: Members of a bucket that are compared at once; a larger bucket is compared block against block.
-BLOCK = 256
+BLOCK = 2048
 #: Agreeing components below which a pair isn't verified: 4.5 standard errors under the threshold, which a pair at the
 #: threshold misses with a probability of 0.000003.
 LEAST_AGREEING = int(COMPONENTS * (THRESHOLD - 4.5 * (THRESHOLD * (1 - THRESHOLD) / COMPONENTS) ** 0.5))
@@ -143,16 +151,20 @@ def bag_minhash(n: int, doc: np.ndarray, seed: np.ndarray, weight: np.ndarray, m
     return (point >> np.uint64(32)).astype(np.uint32).reshape(-1, m)
 
 
+def _runs(batch: pa.RecordBatch, column: str = "text", limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices with a bounded number of characters of text together (or one row)."""
+    sizes, at = np.cumsum([len(t or "") for t in batch.column(column).to_pylist()]), 0
+    while at < batch.num_rows:
+        upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + limit, side="right")))
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """``signature`` and ``bands`` of each row's text, a bounded amount of text at a time; no bands without words."""
+    """``sketch`` (the low byte of each component) and ``bands`` of each row's text; no bands without words."""
     for batch in batches:
-        sizes = np.cumsum([len(t) for t in batch.column(2).to_pylist()])
-        at = 0
-        while at < batch.num_rows:
-            upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 2_000_000, side="right")))
-            part = batch.slice(at, upto - at)
-            at = upto
-            doc, seed, weight = hashed_bags(part.column(2).to_pylist())
+        for part in _runs(batch):
+            doc, seed, weight = hashed_bags(part.column("text").to_pylist())
             signed = bag_minhash(part.num_rows, doc, seed, weight)
             some = np.bincount(doc, minlength=part.num_rows) > 0
             key = np.zeros((part.num_rows, BANDS), np.uint64)
@@ -160,68 +172,63 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 for i in range(ROWS):
                     key = _mixed(key + GOLDEN + signed.reshape(-1, BANDS, ROWS)[:, :, i])
             bands = [k if has else None for k, has in zip(key.view(np.int64).tolist(), some, strict=True)]
-            yield pa.RecordBatch.from_arrays(
-                [part.column(0), part.column(1), pa.array([r.tobytes() for r in signed], pa.binary()), pa.array(bands, pa.list_(pa.int64()))],
-                ["doc_id", "text_key", "signature", "bands"],
-            )
-
-
-def _like_pairs(keys: list[bytes], signed: np.ndarray, label: list[bytes], head: bytes, side: np.ndarray, band: int, nearest: bool) -> Iterator[tuple[bytes, bytes]]:
-    """Pairs of different classes whose signatures agree enough, of a block or between two (``side`` 0 and 1, or all 0):
-    with ``nearest`` for each text the one that agrees most, else all, each in the first band where it agrees."""
-    numbers = {v: i for i, v in enumerate(dict.fromkeys(label))}
-    of = np.array([numbers[v] for v in label])
-    left, right = np.flatnonzero(side == 0), np.flatnonzero(side == side.max())
-    if nearest:
-        for one, other in ((left, right), (right, left)) if side.max() else ((left, right),):
+            sketch = pa.array([r.tobytes() for r in signed.astype(np.uint8)], pa.binary())
+            yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), sketch, pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_key", "sketch", "bands"])
+
+
+def _unit_pairs(rows: list[dict], bounded: bool) -> Iterator[tuple[bytes, bytes]]:
+    """Pairs of different classes that agree enough, of a block or between two blocks of a bucket: for each text the
+    one that agrees most, or with ``bounded`` all whose common shingles allow the threshold and that no star had."""
+    keys, sketch = [r["text_key"] for r in rows], np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(-1, COMPONENTS)
+    numbers = {v: i for i, v in enumerate(dict.fromkeys(r["label"] for r in rows))}
+    of = np.array([numbers[r["label"]] for r in rows])
+    if len(numbers) == 1:
+        return
+    side = np.array([r["block"] != r["u"] for r in rows])
+    left, right = np.flatnonzero(~side), np.flatnonzero(side) if side.any() else np.arange(len(rows))
+    if not bounded:
+        for one, other in ((left, right), (right, left)) if side.any() else ((left, left),):
             for i in one:
                 others = other[of[other] != of[i]]
-                agreeing = (signed[others] == signed[i]).sum(axis=1)
+                agreeing = (sketch[others] == sketch[i]).sum(axis=1)
                 if len(others) and agreeing.max() >= LEAST_AGREEING:
-                    yield tuple(sorted((keys[i], keys[others[agreeing.argmax()]])))
+                    yield keys[i], keys[others[agreeing.argmax()]]
         return
+    n, common = (np.array([r[c] for r in rows], float) for c in ("n", "common"))
     for i in left:
-        others = right[(right > i) if side.max() == 0 else slice(None)]
-        others = others[of[others] != of[i]]
-        same = signed[others] == signed[i]
-        near = np.flatnonzero(same.sum(axis=1) >= LEAST_AGREEING)
-        whole = same[near].reshape(-1, BANDS, ROWS).all(axis=2)
-        for j in others[near[whole.argmax(axis=1) == band]] if len(near) else ():
-            a, b = sorted((keys[i], keys[j]))
-            if a != head:
-                yield a, b
-
+        others = right if side.any() else right[right > i]
+        allowed = (of[others] != of[i]) & ((1 + THRESHOLD) * np.minimum(common[others], common[i]) >= THRESHOLD * (n[others] + n[i]) - 1e-6)
+        others = others[allowed]
+        for j in others[(sketch[others] == sketch[i]).sum(axis=1) >= LEAST_AGREEING]:
+            if rows[0]["head"] not in (keys[i], keys[j]):
+                yield keys[i], keys[j]
 
-def _across(batches: Iterator[pa.RecordBatch], nearest: bool) -> Iterator[pa.RecordBatch]:
-    """Pairs of the units of comparison (a block of a bucket, or two), which come one after the other."""
 
-    def compared(rows: list[tuple]) -> list[tuple[bytes, bytes]]:
-        signed = np.frombuffer(b"".join(r[7] for r in rows), np.uint32).reshape(-1, COMPONENTS)
-        side = np.array([int(r[8] != r[2]) for r in rows])
-        return list(_like_pairs([r[4] for r in rows], signed, [r[6] for r in rows], rows[0][5], side, rows[0][0], nearest))
-
-    def out(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"])
-
-    unit: list[tuple] = []
+def _across(batches: Iterator[pa.RecordBatch], bounded: bool) -> Iterator[pa.RecordBatch]:
+    """Pairs of the units of comparison, which come one after the other."""
+    unit: list[dict] = []
     for batch in batches:
         found: list[tuple[bytes, bytes]] = []
-        for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-            if unit and row[:4] != unit[0][:4]:
-                found += compared(unit)
+        for row in batch.to_pylist():
+            if unit and any(row[c] != unit[0][c] for c in UNIT):
+                found += _unit_pairs(unit, bounded)
                 unit = []
             unit.append(row)
-        yield out(found)
+        yield _pair_batch(found)
     if unit:
-        yield out(compared(unit))
+        yield _pair_batch(list(_unit_pairs(unit, bounded)))
+
+
+def _pair_batch(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"])
 
 
 @F.arrow_udf(BooleanType())
 def _resemble(one: pa.Array, other: pa.Array) -> pa.Array:
-    """Whether two signatures agree in enough components to be worth verifying."""
+    """Whether two sketches agree in enough components to be worth verifying."""
     if not len(one):
         return pa.array([], pa.bool_())
-    a, b = (np.frombuffer(b"".join(x.to_pylist()), np.uint32).reshape(-1, COMPONENTS) for x in (one, other))
+    a, b = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, COMPONENTS) for x in (one, other))
     return pa.array((a == b).sum(axis=1) >= LEAST_AGREEING)
 
 
@@ -230,39 +237,69 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     kept while they last."""
     last, bag = None, Counter()
     for batch in batches:
-        a, b, similar = [], [], []
+        a, b = [], []
         for one, other, text, text_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if one != last:
                 last, bag = one, shingles(text)
-            if (found := similarity(bag, shingles(text_))) >= THRESHOLD:
+            if similarity(bag, shingles(text_)) >= THRESHOLD:
                 a.append(one)
                 b.append(other)
-                similar.append(found)
-        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(similar, pa.float64())], ["a", "b", "similarity"])
+        yield pa.RecordBatch.from_arrays([pa.array(a, pa.binary()), pa.array(b, pa.binary())], ["a", "b"])
 
 
 def _links(pairs: DataFrame, signed: DataFrame, texts: DataFrame, name: str) -> DataFrame:
-    """The verified ones of the distinct candidate pairs."""
-    one = signed.select(F.col("text_key").alias("a"), F.col("signature").alias("sa"))
-    other = signed.select(F.col("text_key").alias("b"), F.col("signature").alias("sb"))
-    likely = written(pairs.join(one, "a").join(other, "b").where(_resemble("sa", "sb")).select("a", "b"), f"{name}-candidates")
+    """The verified ones of the candidate pairs."""
+    one = signed.select(F.col("text_key").alias("a"), F.col("sketch").alias("sa"))
+    other = signed.select(F.col("text_key").alias("b"), F.col("sketch").alias("sb"))
+    ordered = pairs.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+    likely = written(ordered.join(one, "a").join(other, "b").where(_resemble("sa", "sb")).select("a", "b"), f"{name}-candidates")
     left = texts.select(F.col("text_key").alias("a"), F.col("text").alias("ta"))
     right = texts.select(F.col("text_key").alias("b"), F.col("text").alias("tb"))
     both = likely.join(right, "b").join(left, "a").select("a", "b", "ta", "tb")
-    return written(both.mapInArrow(_verify, "a binary, b binary, similarity double").groupBy("a", "b").agg(F.max("similarity").alias("similarity")), f"{name}-links")
+    links = written(both.mapInArrow(_verify, "a binary, b binary"), f"{name}-links")
+    discard(likely)
+    return links
 
 
-def _candidates(members: DataFrame, signed: DataFrame, links: DataFrame, nearest: bool) -> DataFrame:
-    """Candidate pairs of different classes within the buckets."""
-    key = ["band", "bucket"]
+def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
+    """Members of buckets that hold several classes, with their ``label``."""
     named = members.join(components(links).withColumnRenamed("node", "text_key"), "text_key", "left").withColumn("label", F.coalesce("label", "text_key"))
-    of_bucket = named.groupBy(*key).agg(F.min("label").alias("l"), F.max("label").alias("m"), F.ceil(F.count("*") / BLOCK).alias("blocks")).where("l <> m").select(*key, "blocks")
-    rest = named.join(of_bucket, key).withColumn("block", F.pmod(F.xxhash64("text_key"), F.col("blocks")))
-    other = rest.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    units = other.select(*key, F.least("block", "other").alias("u"), F.greatest("block", "other").alias("v"), "text_key", "head", "label", "block").join(signed.select("text_key", "signature"), "text_key")
-    unit = [*key, "u", "v"]
-    dealt = units.select(*unit, "text_key", "head", "label", "signature", "block").repartition(*unit).sortWithinPartitions(*unit, "text_key")
-    return dealt.mapInArrow(lambda batches: _across(batches, nearest), "a binary, b binary").distinct()
+    mixed = named.groupBy("band", "bucket").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("band", "bucket")
+    return named.join(mixed, ["band", "bucket"], "left_semi")
+
+
+UNIT = ("band", "bucket", "u", "v")
+
+
+def _compared(members: DataFrame, signed: DataFrame, bounded: bool) -> DataFrame:
+    """Pairs across the classes of each bucket, found in tasks that hold two blocks of it at most."""
+    key = ["band", "bucket"]
+    blocks = members.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
+    placed = members.join(blocks, key).withColumn("block", F.pmod(F.xxhash64("text_key"), F.col("blocks")))
+    other = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
+    units = other.withColumns({"u": F.least("block", "other"), "v": F.greatest("block", "other")}).join(signed.select("text_key", "sketch"), "text_key")
+    of_text = ["text_key", "head", "label", "block", "sketch", *(["n", "common"] if bounded else [])]
+    dealt = units.select(*UNIT, *of_text).repartition(*UNIT).sortWithinPartitions(*UNIT, "text_key")
+    return dealt.mapInArrow(lambda batches: _across(batches, bounded), "a binary, b binary")
+
+
+def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in _runs(batch):
+            doc, run, weight = hashed_bags(part.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([part.column("who").take(pa.array(doc)), part.column("label").take(pa.array(doc)), pa.array(run.view(np.int64)), pa.array(weight.astype(np.int32))], ["who", "label", "shingle", "weight"])
+
+
+def _bounds(members: DataFrame, texts: DataFrame) -> DataFrame:
+    """``text_key``, its shingles ``n`` and those in ``common`` with texts of other classes, for the texts that can
+    reach the threshold with one of these at all."""
+    who = members.select("text_key", F.xxhash64("label").alias("label")).distinct()
+    bags = written(texts.join(who, "text_key").select(F.xxhash64("text_key").alias("who"), "label", "text").mapInArrow(_bags, "who long, label long, shingle long, weight int"), "bags")
+    shared = bags.groupBy("shingle").agg(F.min("label").alias("l"), F.max("label").alias("m")).where("l <> m").select("shingle", F.lit(True).alias("shared"))
+    sums = bags.join(shared, "shingle", "left").groupBy("who").agg(F.sum("weight").alias("n"), F.sum(F.when(F.col("shared"), F.col("weight")).otherwise(0)).alias("common"))
+    found = written(sums.where(F.col("common") >= THRESHOLD * F.col("n") - 1e-6), "bounds")
+    discard(bags)
+    return who.select("text_key", F.xxhash64("text_key").alias("who")).join(found, "who").drop("who")
 
 
 def _key() -> Column:
@@ -270,51 +307,54 @@ def _key() -> Column:
 
 
 def _classed(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Rows with a text as ``doc_id``, ``text_key``, ``label`` of the class and ``n_links``; and for each label the
-    least ``head`` (``doc_id``, ``text_key``) and the ``class_size``."""
+    """Rows with a text as ``doc_id``, ``text_key`` and ``label`` of the class; and for each label the least ``head``
+    (``doc_id``, ``text_key``) and the ``class_size``."""
     texts = documents.select("doc_id", _key().alias("text_key"), "text").where("text is not null")
-    # wide rows are signed where they lie; only keys, signatures and bands go on
-    rows = written(texts.mapInArrow(_sign, "doc_id long, text_key binary, signature binary, bands array<long>"), "signatures")
-    signed = written(rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("signature").alias("signature"), F.first("bands").alias("bands")), "signed-texts")
+    # wide rows are signed where they lie; only keys, sketches and bands go on
+    rows = written(texts.mapInArrow(_sign, "doc_id long, text_key binary, sketch binary, bands array<long>"), "sketches")
+    signed = written(rows.groupBy("text_key").agg(F.min("doc_id").alias("doc_id"), F.first("sketch").alias("sketch"), F.first("bands").alias("bands")), "signed-texts")
     key = ["band", "bucket"]
     buckets = signed.where("bands is not null").select("text_key", F.posexplode("bands").alias(*key))
     heads = buckets.groupBy(*key).agg(F.min("text_key").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
     members = written(buckets.join(heads, key), "buckets")
     in_bucket = signed.select("doc_id", "text_key").join(members.select("text_key").distinct(), "text_key", "left_semi")
     one_row = in_bucket.select(F.col("doc_id").alias("d"), F.col("text_key").alias("k"))
-    some = written(texts.join(one_row, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left_semi").select("text_key", "text"), "bucket-texts")
-    stars = members.where("text_key <> head").select(F.col("head").alias("a"), F.col("text_key").alias("b")).distinct()
-    first = _links(stars, signed, some, "stars")
-    # in buckets that still hold several classes each text first tries the one of another class that agrees most, which
-    # joins nearly all that belong together; then every pair across the classes that are left
-    second = _links(_candidates(members, signed, first, nearest=True), signed, some, "nearest")
-    joined = first.union(second)
-    links = joined.union(_links(_candidates(members, signed, joined, nearest=False), signed, some, "across")).distinct()
+    some = written(texts.join(one_row, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left_semi").select("text_key", "text").dropDuplicates(["text_key"]), "bucket-texts")
+    stars = _links(members.where("text_key <> head").select(F.col("head").alias("a"), F.col("text_key").alias("b")), signed, some, "stars")
+    mixed = written(_labelled(members, stars), "mixed")
+    nearest = written(_compared(mixed, signed, bounded=False).distinct(), "nearest")
+    links = stars.union(_links(nearest, signed, some, "nearest"))
+    # only texts with a resembling text of another class can have links that are still missing
+    left = mixed.drop("label").join(nearest.select(F.col("a").alias("text_key")).distinct(), "text_key", "left_semi")
+    rest = written(_labelled(left, links), "rest")
+    bounds = _bounds(rest, some)
+    last = written(rest.join(bounds, "text_key"), "last")
+    links = written(links.union(_links(_compared(last, signed, bounded=True), signed, some, "last")), "links")
     label = components(links).withColumnRenamed("node", "text_key")
-    degree = links.select(F.explode(F.array("a", "b")).alias("text_key")).groupBy("text_key").agg(F.count("*").alias("n_links"))
-    of_text = label.join(degree, "text_key", "left")
-    classed = rows.select("doc_id", "text_key").join(of_text, "text_key", "left").select("doc_id", "text_key", F.coalesce("label", "text_key").alias("label"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    classed = written(rows.select("doc_id", "text_key").join(label, "text_key", "left").select("doc_id", "text_key", F.coalesce("label", "text_key").alias("label")), "classed")
+    discard(rows, signed, members, some, mixed, nearest, rest, last, links)
     heads = classed.groupBy("label").agg(F.min(F.struct("doc_id", "text_key")).alias("head"), F.count("*").alias("class_size"))
     return classed, heads
 
 
 def classes(documents: DataFrame) -> DataFrame:
-    """One row per row of ``documents``: ``doc_id``, ``class_id`` (the least id of its class), ``class_size`` in rows,
-    and ``n_links``, the verified links of its text to different texts.
+    """One row per row of ``documents``: ``doc_id``, ``class_id`` (the least id of its class) and ``class_size`` in
+    rows. The links behind the classes join each text to one that stands for its class; copies aren't expanded.
 
     Equal texts are one class. Texts are linked from a weighted Jaccard similarity of 0.8 of their five-word shingles
     up, and classes are the connected components of the links. A null text is a class of its own; empty texts are
     equal texts, and texts without words are in one class only when they are equal. Rows with a null id take part; a
-    class that holds one has a null ``class_id``."""
+    class that holds one has a null ``class_id``. Repeated rows are members of one class each; no rows give none. Texts
+    of any length count whole, and other columns aren't read."""
     classed, heads = _classed(documents)
-    alone = documents.where("text is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"), F.lit(0).cast("long").alias("n_links"))
-    return classed.join(heads, "label").select("doc_id", F.col("head.doc_id").alias("class_id"), "class_size", "n_links").union(alone)
+    alone = documents.where("text is null").select("doc_id", F.col("doc_id").alias("class_id"), F.lit(1).cast("long").alias("class_size"))
+    return classed.join(heads, "label").select("doc_id", F.col("head.doc_id").alias("class_id"), "class_size").union(alone)
 
 
 def keep_one(documents: DataFrame) -> DataFrame:
     """``documents``, all columns, with one row of each class: the one with the least id, and of repeated rows one.
 
-    Rows with a null text are kept."""
+    Rows with a null text are kept; of empty texts one is; no rows give none."""
     id_, key, text_key = unused(documents, "kept_id"), unused(documents, "kept_key"), unused(documents, "row_key")
     heads = _classed(documents)[1].select(F.col("head.doc_id").alias(id_), F.col("head.text_key").alias(key))
     keyed = documents.where("text is not null").withColumn(text_key, _key())
