@@ -9,6 +9,7 @@ from collections import Counter
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from arborscale.llm import chunkstore, decontaminate, hmm, langid, linkgraph, neardup, order, pack, queries, shard, toxicity
@@ -201,8 +202,21 @@ def test_word_tokenizer_is_the_tokenizer():
     tokenizer, own, rng = Tokenizer.from_file(pack.tokenizer_path()), pack.WordTokenizer(pack.tokenizer_path()), random.Random(5)
     letters = "aAzZéÉßΣςİıǅﬁ ½²٣५'\"-_.!<|>\x1c\x85\xa0 　​漢字😀́\x00\t\n09sStTdDlLmMrRvVeE"
     odd = ["".join(rng.choice(letters) for _ in range(rng.randrange(40))) for _ in range(3000)] + ["a<|endoftext|>b <|startoftext|>", "I'll've 'S don't", "", None]
-    for t, ids in zip(odd, own.encode(odd), strict=True):
-        assert ids[:-1].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids and ids[-1] == 2
+    for some in (odd, ["plain words, with signs.", None, "Éa ß", ""], []):  # the first holds white space that the tokenizer doesn't know
+        ids, lengths = own.encode(pa.array(some, pa.string()))
+        for t, found in zip(some, np.split(ids, np.cumsum(lengths)[:-1]) if some else [], strict=True):
+            assert found[:-1].tolist() == tokenizer.encode(t or "", add_special_tokens=False).ids and found[-1] == 2
+    own.by_words = False  # another file: the tokenizer itself
+    assert own.encode(pa.array(odd))[0].tolist() == pack.WordTokenizer(pack.tokenizer_path()).encode(pa.array(odd))[0].tolist()
+
+
+def test_pieces_follow_the_curve(documents):
+    by_sequence = sorted(pack.pack(documents).collect(), key=lambda r: (r["sequence_id"], r["offset"]))
+    order_ = [r["doc_id"] for r in by_sequence if r["start"] == 0]
+    encoder, table = pack.word_tokenizer(pack.tokenizer_path()), pack._projection()
+    rows = documents.select("doc_id", "text").collect()
+    keys = dict(zip([r["doc_id"] for r in rows], pack.curve_keys(*encoder.encode(pa.array([r["text"] for r in rows])), table).tolist(), strict=True))
+    assert [keys[i] for i in order_] == sorted(keys.values())
 
 
 def test_hilbert_keys_visit_neighbours():
