@@ -1,9 +1,10 @@
 """Training-order materialisation.
 
-Documents become sequences of at most ``LENGTH`` tokens. A keyed Feistel permutation with cycle-walking gives every
-sequence a global slot: a bijection of 0 to n - 1 that needs no sort and no state, and that the key alone repeats. Every
-shard is one uncompressed file of ``SHARD_RECORDS`` records of one size, written in order by one task, so the place of a
-slot is a product and a reader can open a shard at any of them. A table beside the shards says what each record holds.
+The token stream of each task's documents is cut into sequences of ``LENGTH`` tokens, so only a task's last one can be
+short. A keyed Feistel permutation with cycle-walking gives every sequence a global slot: a bijection of 0 to n - 1 that
+needs no sort and no state, and that the key alone repeats. Every shard is one uncompressed file of ``SHARD_RECORDS``
+records of one size, written in order by one task, so the place of a slot is a product and a reader can open a shard at
+any of them. A table beside the shards says what each record holds.
 """
 
 from __future__ import annotations
@@ -20,10 +21,10 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborscale.llm._shared import shared_dir, written
-from arborscale.llm.pack import tokenizer_path, word_tokenizer
+from arborscale.llm._shared import discard, shared_dir, ship, written
+from arborscale.llm.pack import binary_rows, text_runs, tokenizer_path, word_tokenizer
 
-#: Tokens of a record, records of a shard, and the id that fills a short record. An id takes two bytes.
+#: Tokens of a record, records of a shard, and the id that fills a short record.
 LENGTH, SHARD_RECORDS, PAD = 2048, 4096, 0
 ROUNDS = 6
 
@@ -52,23 +53,42 @@ def permute(i: np.ndarray, n: int, key: int) -> np.ndarray:
     return out.astype(np.int64)
 
 
+SEQUENCE = "task int, number long, pieces array<struct<doc_id:long,start:long,length:long>>, ids binary"
+
+
 def sequences(documents: DataFrame, path: str, length: int) -> DataFrame:
-    """All tokens of all documents (each with its end) in sequences of one document, numbered within their task."""
+    """All tokens of all documents (each with its end) in sequences, numbered within their task, and the ``pieces`` of
+    documents in each."""
+    kinds = pa.schema([("task", pa.int32()), ("number", pa.int64()), ("pieces", pa.list_(pa.struct([("doc_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64())]))), ("ids", pa.binary())])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder, task, number = word_tokenizer(path), TaskContext.get().partitionId(), 0
-        for batch in batches:
-            for at in range(0, batch.num_rows, 500):
-                part = batch.slice(at, 500)
-                rows = [(doc_id, start, ids[start : start + length]) for doc_id, ids in zip(part.column(0).to_pylist(), encoder.encode(part.column(1).to_pylist()), strict=True) for start in range(0, len(ids), length)]
-                doc_id, start, ids = zip(*rows, strict=True)
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array([task] * len(rows), pa.int32()), pa.array(np.arange(number, number + len(rows))), pa.array(doc_id, pa.int64()), pa.array(start, pa.int64()), pa.array([i.tobytes() for i in ids], pa.binary())],
-                    ["task", "number", "doc_id", "start", "ids"],
-                )
-                number += len(rows)
+        rest, open_ = np.zeros(0, encoder.type), []  # of the sequence that isn't full yet
 
-    return documents.select("doc_id", "text").mapInArrow(run, "task int, number long, doc_id long, start long, ids binary")
+        def out(whole: list[list[tuple]], ids: np.ndarray, lengths: np.ndarray) -> pa.RecordBatch:
+            pieces = pa.array([[{"doc_id": d, "start": s, "length": n} for d, s, n in p] for p in whole], kinds.field("pieces").type)
+            return pa.RecordBatch.from_arrays([pa.array([task] * len(whole), pa.int32()), pa.array(np.arange(number, number + len(whole))), pieces, binary_rows(ids, lengths)], schema=kinds)
+
+        for batch in batches:
+            for part in text_runs(batch):
+                ids, lengths = encoder.encode(part.column("text"))
+                ids, whole, at = np.concatenate([rest, ids]), [], len(rest)
+                for doc_id, n in zip(part.column("doc_id").to_pylist(), lengths.tolist(), strict=True):
+                    start = 0
+                    while start < n:
+                        size = min(n - start, length - at)
+                        open_.append((doc_id, start, size))
+                        start, at = start + size, at + size
+                        if at == length:
+                            whole.append(open_)
+                            open_, at = [], 0
+                cut = len(whole) * length
+                yield out(whole, ids[:cut], np.full(len(whole), length))
+                rest, number = ids[cut:], number + len(whole)
+        if open_:
+            yield out([open_], rest, np.array([len(rest)]))
+
+    return documents.select("doc_id", "text").mapInArrow(run, SEQUENCE)
 
 
 def shard_file(folder: str, shard: int) -> str:
@@ -126,48 +146,52 @@ def with_data(index: DataFrame) -> DataFrame:
 
 def materialise(documents: DataFrame, folder: str, key: int = 17, length: int = LENGTH, path: str | None = None) -> DataFrame:
     """Write every sequence as a record at its slot, and return the records as read back: ``slot``, ``shard``, ``record``
-    (the place in the shard), ``path`` of the shard, ``byte_offset`` in it, ``stride``, ``doc_id``, ``start``, ``tokens`` and
-    ``data``, ``length`` little-endian 16-bit ids.
+    (the place in the shard), ``path`` of the shard, ``byte_offset`` in it, ``stride``, ``tokens``, ``pieces`` (``doc_id``,
+    ``start`` in the document, ``length``) in their order, and ``data``, ``length`` little-endian ids of 16 bits (32 where
+    the vocabulary asks for them).
 
     ``folder`` is one that all tasks reach. A null text is an empty one, which has its end token only; a repeated row has
-    sequences of its own; an empty table has no records."""
-    numbered = written(sequences(documents, path or tokenizer_path(), length), "sequences")
+    tokens of its own; very long texts run over as many records as they need; an empty table has no records. Other
+    columns of ``documents`` aren't read."""
+    spark = ship(documents.sparkSession)
+    path = path or tokenizer_path()
+    kind = word_tokenizer(path).type.newbyteorder("<")
+    numbered = written(sequences(documents, path, length), "sequences")
     counts = {r["task"]: r["n"] for r in numbered.groupBy("task").agg(F.count("*").alias("n")).collect()}  # one row a task
-    base = np.zeros(max(counts, default=0) + 1, np.int64)
-    for task in sorted(counts)[:-1]:
-        base[task + 1 :] += counts[task]
-    n = sum(counts.values())
+    each = np.zeros(max(counts, default=0) + 1, np.int64)
+    each[list(counts)] = list(counts.values())
+    base, n = np.cumsum(each) - each, int(each.sum())
 
     @F.arrow_udf("long")
     def slot(task: pa.Array, number: pa.Array) -> pa.Array:
         return pa.array(permute(base[task.to_numpy()] + number.to_numpy(), n, key))
 
-    stride = 2 * length
+    stride = kind.itemsize * length
     fs, root = FileSystem.from_uri(folder)
     if fs.get_file_info(f"{root}/shards").type == FileType.Directory:
         fs.delete_dir(f"{root}/shards")
     fs.create_dir(f"{root}/shards", recursive=True)
 
     def dealt(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shards, fill = _Shards(folder), np.full(length, PAD, "<u2").tobytes()
+        shards, fill = _Shards(folder), np.full(length, PAD, kind).tobytes()
         for batch in batches:
             slots, ids = batch.column("slot").to_numpy(), batch.column("ids").to_pylist()
             for s, i in zip(slots.tolist(), ids, strict=True):
                 shards.write(s // SHARD_RECORDS, i + fill[len(i) :])
             record = slots % SHARD_RECORDS
-            columns = [batch.column("slot"), batch.column("shard"), pa.array(record), pa.array([shard_file(folder, s // SHARD_RECORDS) for s in slots.tolist()]), pa.array(record * stride), pa.array(np.full(len(slots), stride))]
             yield pa.RecordBatch.from_arrays(
-                [*columns, batch.column("doc_id"), batch.column("start"), pa.array([len(i) // 2 for i in ids], pa.int64())],
-                ["slot", "shard", "record", "path", "byte_offset", "stride", "doc_id", "start", "tokens"],
+                [batch.column("slot"), batch.column("shard"), pa.array(record), pa.array([shard_file(folder, s // SHARD_RECORDS) for s in slots.tolist()]), pa.array(record * stride), pa.array(np.full(len(slots), stride)), pa.array([len(i) // kind.itemsize for i in ids], pa.int64()), batch.column("pieces")],
+                ["slot", "shard", "record", "path", "byte_offset", "stride", "tokens", "pieces"],
             )
         shards.close()
 
-    placed = numbered.select(slot("task", "number").alias("slot"), "doc_id", "start", "ids").withColumn("shard", F.expr(f"slot div {SHARD_RECORDS}"))
+    placed = numbered.select(slot("task", "number").alias("slot"), "pieces", "ids").withColumn("shard", F.expr(f"slot div {SHARD_RECORDS}"))
     # by shard, so that no shard is parted between tasks
     ordered = placed.repartitionByRange("shard").sortWithinPartitions("slot")
-    rows = ordered.mapInArrow(dealt, schema := "slot long, shard long, record long, path string, byte_offset long, stride long, doc_id long, start long, tokens long")
-    rows.write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/index")
-    return with_data(documents.sparkSession.read.schema(schema).parquet(f"{folder}/index"))
+    schema = "slot long, shard long, record long, path string, byte_offset long, stride long, tokens long, pieces array<struct<doc_id:long,start:long,length:long>>"
+    ordered.mapInArrow(dealt, schema).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/index")
+    discard(numbered)
+    return with_data(spark.read.schema(schema).parquet(f"{folder}/index"))
 
 
 def resume(records: DataFrame, slot: int) -> DataFrame:
@@ -188,7 +212,10 @@ def read_from(folder: str, slot: int, length: int = LENGTH) -> Iterator[bytes]:
 
 
 def training_order(documents: DataFrame, key: int = 17, length: int = LENGTH) -> DataFrame:
-    """The index of the materialised order as read back from the stored records: a row for each slot with its ``shard``,
-    ``byte_offset`` in the shard, document, tokens, and the checksum of the stored bytes."""
+    """The index of the materialised order as read back from the stored records: a row for each piece of a document with
+    its ``slot``, ``shard``, ``byte_offset`` of the record in the shard, ``offset`` in the record, ``start`` in the document
+    and ``length`` in tokens, and the checksum and size of the record's stored bytes."""
     back = materialise(documents, f"{shared_dir(documents.sparkSession)}/arborscale-order-{uuid.uuid4().hex}", key, length)
-    return back.select("slot", "shard", "byte_offset", "doc_id", "start", "tokens", F.crc32("data").alias("data_crc32"), F.octet_length("data").cast("long").alias("data_bytes"))
+    read = back.select("slot", "shard", "byte_offset", F.crc32("data").alias("data_crc32"), F.octet_length("data").cast("long").alias("data_bytes"), F.posexplode("pieces").alias("at", "piece"), "pieces")
+    before = F.aggregate(F.slice("pieces", 1, F.col("at")), F.lit(0).cast("long"), lambda so_far, p: so_far + p["length"])
+    return read.select("slot", "shard", "byte_offset", before.alias("offset"), "piece.*", "data_crc32", "data_bytes")
