@@ -1,116 +1,193 @@
 """Toxicity by class-conditional Kneser-Ney models.
 
-Two bigram models, one of toxic and one of ordinary text, are compared by their length-normalised log-likelihoods.
-Both levels use continuation counts (in how many different contexts an n-gram stands), so a passage that many copies
-repeat counts once. Each class backs off from the bigram to its own unigrams and from these to counts that both classes
-share. A class keeps counts of its own only for expressions whose share differs between the classes beyond chance
-(``SIGNIFICANT`` standard errors and a log ratio of ``RATIO``); every rarer or evenly spread expression stands on the
-shared counts alone and so costs both classes the same. A logistic curve, fitted on rows that the counts did not use,
-turns the difference per word into a probability.
-
-The classifier is fitted on a sample of labelled rows, chosen by a hash of the id, that keeps what the class shares of
-all labelled rows say. Counts take both classes at one common rate, at which the rarer class comes to ``max_docs``; the
-curve takes ``max_docs`` of each class, and each row weighs as many labelled rows as it stands for. So neither the prior
-nor the number of contexts that an expression needs depends on the size of the input. Scoring reads every whole text.
+Two bigram models, one of toxic and one of ordinary text, give every word of a text a probability; the difference of
+their length-normalised log-likelihoods decides. Counts are continuation counts at both levels (in how many different
+contexts an n-gram stands), so a passage that many copies repeat counts once, and discounts are estimated from the counts
+of counts. The levels, each of which sums to 1:
+
+* unigrams of the counts that both classes share, backing off to equal shares;
+* unigrams of a class, backing off to the shared ones;
+* bigrams of the shared counts, backing off to shared unigrams, and scaled for each class by what its unigrams say of the
+  word (the marginal adaptation of Kneser, Peters and Klakow, 1997);
+* bigrams of a class, backing off to those.
+
+A rare expression says little about its class, and thousands of such differences would drown the few that matter. So an
+expression keeps its class counts as far as they are likely to differ: ``differing`` gives the posterior probability that
+its share of toxic contexts is its own and not that of the whole corpus, with the prior and the ordinary variation of
+shares estimated from all expressions. The rest of its counts goes to the shared backoff. No expression is left out:
+every n-gram of the sample is in the model.
+
+A logistic curve, fitted on rows that the counts did not use, turns the difference per word into a probability. The
+classifier is fitted on a sample of labelled rows, chosen by a hash of the id: up to about ``max_docs`` of each class for
+the counts, and as many for the curve, where each row weighs as many labelled rows as it stands for, so that the prior is
+that of all labelled rows. Scoring reads every whole text.
 """
 
 from __future__ import annotations
 
+import math
 import re
-import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborscale.llm._shared import fold, unused, written
+from arborscale.llm._shared import discard, fold, ship, unused, written
 
 WORD = re.compile(r"\w+")
-#: Discount of the absolute-discounting step at each level.
-DISCOUNT = 0.75
-#: An expression needs so many contexts in both classes together to enter the model.
-LEAST = 3
-#: Standard errors and log ratio from which an expression counts by class.
-SIGNIFICANT, RATIO = 4.5, 2.0
-#: The most words, and the most bigrams that differ between the classes, that the model keeps, the most frequent first: it
-#: bounds what tasks get.
-MAX_NGRAMS = 400_000
-#: Up to so many sampled labels are sent to all tasks; more are joined as Spark sees fit.
-MAX_SENT = 1_000_000
-
-
-def _trigram_kinds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The distinct (class, word before the last, word before, word) of a task; empty words stand before the first."""
-
-    def out(kinds: set) -> pa.RecordBatch:
-        label, first, before, word = zip(*kinds, strict=True)
-        arrays = [pa.array(label, pa.int32()), pa.array(first, pa.int64()), pa.array(before), pa.array(word)]
-        return pa.RecordBatch.from_arrays(arrays, ["label", "first", "before", "word"])
-
-    kinds: set = set()
+#: Words that a worker remembers before it starts anew, and words of text that it works on at once.
+MEMO_WORDS, BUFFER = 400_000, 500_000
+GOLDEN = np.uint64(0x9E3779B97F4A7C15)
+
+
+def words_of(text: str | None) -> list[str]:
+    return WORD.findall((text or "").lower())
+
+
+def hashes_of(words: list[str]) -> np.ndarray:
+    """A 64-bit number for each word, never 0, which stands for what is before the first word."""
+    return np.fromiter((xxhash.xxh3_64_intdigest(w) | 1 for w in words), np.uint64, len(words))
+
+
+def _first_of(x: np.ndarray) -> np.ndarray:
+    """1 where a value stands for the first time, else 0."""
+    out = np.zeros(len(x), np.int32)
+    out[np.unique(x, return_index=True)[1]] = 1
+    return out
+
+
+def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(class, the two words before as one number, the word before, word) for every word, and whether its text has the
+    bigram, and the word, for the first time there."""
     for batch in batches:
-        for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            words = WORD.findall((text or "").lower())
-            hashed = [zlib.crc32(w.encode()) for w in words]
-            kinds.update(zip([label] * len(words), [0, 0, *hashed], ["", *words], words, strict=False))
-            if len(kinds) > 300_000:
-                yield out(kinds)
-                kinds = set()
-    if kinds:
-        yield out(kinds)
-
-
-def _differs(n: np.ndarray) -> np.ndarray:
-    """Standard errors between the share of each column in the second row and what its total lets expect."""
+        for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
+            word = hashes_of(words_of(text))
+            before = np.concatenate([[np.uint64(0)], word[:-1]])[: len(word)]
+            with np.errstate(over="ignore"):
+                first = np.concatenate([[np.uint64(0)], before[:-1]])[: len(word)] * GOLDEN + before
+                new = _first_of(before * GOLDEN + word), _first_of(word)
+            columns = [pa.array(np.full(len(word), label, np.int32)), *(pa.array(c.view(np.int64)) for c in (first, before, word)), *map(pa.array, new)]
+            yield pa.RecordBatch.from_arrays(columns, ["label", "first", "before", "word", "new_pair", "new_word"])
+
+
+def discount(n: np.ndarray) -> float:
+    """Of Kneser and Ney: from how many n-grams have a count of one and how many of two."""
+    one, two = (n == 1).sum(), (n == 2).sum()
+    return float(one / (one + 2 * two)) if one else 0.5
+
+
+def _log_beta_binomial(k: np.ndarray, n: np.ndarray, a: float, b: float) -> np.ndarray:
+    """Log probability of a sequence of ``k`` toxic and ``n - k`` ordinary contexts when the share has a beta prior."""
+    log_gamma = np.vectorize(math.lgamma, otypes=[float])
+    return log_gamma(k + a) + log_gamma(n - k + b) - log_gamma(n + a + b) - math.lgamma(a) - math.lgamma(b) + math.lgamma(a + b)
+
+
+def differing(n: np.ndarray) -> np.ndarray:
+    """The posterior probability, for each column of counts by class, that its share of toxic contexts is its own.
+
+    An expression that doesn't differ has a share that varies about the common one like a beta variable of some
+    strength; one that differs has any share. The strength and the part of expressions that differ are those of the
+    greatest likelihood."""
     share = n[1].sum() / max(n.sum(), 1)
-    total = n.sum(0)
-    return np.abs(n[1] - total * share) / np.sqrt(total * share * (1 - share) + 1e-9)
+    if not 0 < share < 1:
+        return np.zeros(n.shape[1])
+    kinds, which, times = np.unique(n, axis=1, return_inverse=True, return_counts=True)
+    total, toxic = kinds.sum(0), kinds[1]
+    own = _log_beta_binomial(toxic, total, share, 1 - share)
+    best = (-np.inf, np.zeros(len(total)))
+    for strength in (30, 100, 300, 1000, 3000, 10_000, 1_000_000):
+        common = _log_beta_binomial(toxic, total, share * strength, (1 - share) * strength)
+        part = 0.01
+        for _ in range(60):
+            odds = np.exp(np.clip(own - common + math.log(part / (1 - part)), -500, 500))
+            posterior = odds / (1 + odds)
+            part = float(np.clip((posterior * times).sum() / times.sum(), 1e-9, 0.5))
+        likelihood = (times * np.logaddexp(math.log(part) + own, math.log1p(-part) + common)).sum()
+        best = max(best, (likelihood, posterior), key=lambda x: x[0])
+    return best[1][which.ravel()]
 
 
 class KneserNeyPair:
-    """The log ratio of the two models by word and by known bigram: 0 where both stand on the shared counts."""
-
-    def __init__(self, bigrams: pd.DataFrame, unigrams: pd.DataFrame):
-        """``unigrams`` has the words with their contexts by class (``n0``, ``n1``); ``bigrams`` has those that differ beyond chance, each with its own and, of all
-        bigrams with the same first word, the contexts (``t0``, ``t1``) and the number (``k0``, ``k1``)."""
-        words = sorted(set(unigrams.word) | set(bigrams.before) | set(bigrams.word))
-        index = {w: i for i, w in enumerate(words)}
-        size = max(len(words), 1)
-        ends = np.zeros((2, size))
-        ends[:, unigrams.word.map(index).to_numpy(int)] = unigrams[["n0", "n1"]].to_numpy(float).T
-        both, seen = ends.sum(0), max(ends.sum(), 1)
-        shared = np.maximum(both - DISCOUNT, 0) / seen + (DISCOUNT * (both > 0).sum() + 1) / seen / size
-        sums = np.maximum(ends.sum(1, keepdims=True), 1)
-        left = (DISCOUNT * (ends > 0).sum(1, keepdims=True) + 1) / sums
-        unigram = np.maximum(ends - DISCOUNT, 0) / sums + left * shared
-        ratio = np.log(unigram[1]) - np.log(unigram[0])
-        of_word = np.where((_differs(ends) < SIGNIFICANT) | (np.abs(ratio) < RATIO), 0.0, ratio)
-        b, w = bigrams.before.map(index).to_numpy(np.int64), bigrams.word.map(index).to_numpy(np.int64)
-        n, total, kinds = (bigrams[[f"{x}0", f"{x}1"]].to_numpy(float).T for x in "ntk")
-        weight = (DISCOUNT * kinds + 1) / (total + 1)
-        high = np.maximum(n - DISCOUNT, 0) / np.maximum(total, 1) + weight * unigram[:, w]
-        step = np.log(high[1]) - np.log(high[0])
-        kept = np.abs(step) >= RATIO
-        self.words = {x: float(of_word[i]) for x, i in index.items() if of_word[i]}
-        self.bigrams = {(words[i], words[j]): float(r) for i, j, r in zip(b[kept], w[kept], step[kept], strict=True)}
+    """Both models over the same n-grams: ``log_p`` of a known word, of an unknown one, and of a known bigram, by class."""
+
+    def __init__(self, before: np.ndarray, word: np.ndarray, n: np.ndarray, texts: np.ndarray, word_texts: np.ndarray):
+        """For each bigram of ``before`` and ``word`` (hashes; 0 is the start of a text), by class: ``n`` has its contexts, ``texts`` the texts
+        that hold it, and ``word_texts`` those in which the word stands for the first time in it.
+
+        What an expression says of its class counts no text and no context twice."""
+        self.words, (b, w) = np.unique(np.concatenate([before, word])), (None, None)
+        b, w = np.searchsorted(self.words, before), np.searchsorted(self.words, word)
+        size = len(self.words)
+        ends = np.stack([np.bincount(w[n[c] > 0], minlength=size) for c in (0, 1)]).astype(float)
+        both = ends.sum(0)
+        seen, less = max(both.sum(), 1), discount(both)
+        # an unknown word and the start have what equal shares of the discounts give
+        shared = np.append(np.maximum(both - less, 0), 0) / seen + (less * (both > 0).sum() / seen if both.any() else 1) / (size + 1)
+        of_texts = np.stack([np.bincount(w, weights=word_texts[c], minlength=size) for c in (0, 1)])
+        keep, keep_pair = np.zeros(size + 1), differing(np.minimum(n, texts))
+        keep[:-1][both > 0] = differing(np.minimum(ends, of_texts)[:, both > 0])
+        pairs = n.sum(0)
+        common = np.maximum(pairs - discount(pairs), 0) / np.bincount(b, weights=pairs, minlength=size + 1)[b]
+        rest = 1 - np.bincount(b, weights=common, minlength=size + 1)
+        unigram, pair, self.back = np.zeros((2, size + 1)), np.zeros((2, len(b))), np.zeros((2, size + 1))
+        for c in (0, 1):
+            kept = np.append(keep[:-1] * np.maximum(ends[c] - discount(ends[c]), 0) / max(ends[c].sum(), 1), 0)
+            unigram[c] = kept + (1 - kept.sum()) * shared
+            scale = unigram[c] / shared
+            norm = np.bincount(b, weights=common * scale[w], minlength=size + 1) + rest
+            high = keep_pair * np.maximum(n[c] - discount(n[c]), 0) / np.maximum(np.bincount(b, weights=n[c], minlength=size + 1)[b], 1)
+            left = (1 - np.bincount(b, weights=high, minlength=size + 1)) / norm
+            pair[c] = np.log(high + left[b] * (common + rest[b] * shared[w]) * scale[w])
+            self.back[c] = np.log(left * rest)
+        self.word_log_p = np.log(unigram)
+        order = np.argsort(b * (size + 1) + w)
+        self.pairs, self.pair_log_p = (b * (size + 1) + w)[order], pair[:, order].astype(np.float32)
+        self._memo: dict[str, int] = {}
+
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"_memo": {}}
+
+    def _numbers(self, words: list[str]) -> np.ndarray:
+        """The place of each word among the known ones, or the number of these."""
+        if len(self._memo) > MEMO_WORDS:
+            self._memo = {}
+        if new := list(set(words).difference(self._memo)):
+            h = hashes_of(new)
+            at = np.minimum(np.searchsorted(self.words, h), max(len(self.words) - 1, 0))
+            known = self.words[at] == h if len(self.words) else np.zeros(len(h), bool)
+            self._memo.update(zip(new, np.where(known, at, len(self.words)).tolist(), strict=True))
+        return np.fromiter(map(self._memo.__getitem__, words), np.int64, len(words))
+
+    def log_likelihoods(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+        """The natural log-likelihood of each whole text by class, and its number of words."""
+        split = [words_of(t) for t in texts]
+        lengths = np.fromiter(map(len, split), np.int64, len(split))
+        w = self._numbers([x for words in split for x in words])
+        start = (np.cumsum(lengths) - lengths)[lengths > 0]
+        b = np.concatenate([w[:1], w[:-1]])
+        b[start] = 0 if len(self.words) and self.words[0] == 0 else len(self.words)
+        key = b * (len(self.words) + 1) + w
+        at = np.minimum(np.searchsorted(self.pairs, key), max(len(self.pairs) - 1, 0))
+        known = self.pairs[at] == key if len(self.pairs) else np.zeros(len(key), bool)
+        out = np.zeros((2, len(texts)))
+        for c in (0, 1):
+            each = self.back[c][b] + self.word_log_p[c][w]
+            each[known] = self.pair_log_p[c][at[known]]
+            out[c][lengths > 0] = np.add.reduceat(each, start) if len(start) else 0
+        return out, lengths
 
     def ratios(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
-        """The mean log ratio per word of each whole text (0 where it has none), and its number of words."""
-        means, lengths = np.zeros(len(texts)), np.zeros(len(texts), np.int64)
-        of_word, of_pair = self.words, self.bigrams
-        for i, text in enumerate(texts):
-            words = WORD.findall((text or "").lower())
-            if not words:
-                continue
-            total = sum(of_word[w] for w in words if w in of_word)
-            if of_pair:
-                for pair in zip(["", *words], words, strict=False):
-                    if pair in of_pair:
-                        total += of_pair[pair] - of_word.get(pair[1], 0.0)
-            means[i], lengths[i] = total / len(words), len(words)
+        """Toxic minus ordinary log-likelihood per word of each whole text (0 where it has none), and its words."""
+        means, lengths, at = np.zeros(len(texts)), np.zeros(len(texts), np.int64), 0
+        sizes = np.cumsum([len(t or "") for t in texts])
+        while at < len(texts):  # a bounded amount of text at once, or one text
+            upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + 6 * BUFFER, side="right")))
+            found, lengths[at:upto] = self.log_likelihoods(texts[at:upto])
+            means[at:upto] = (found[1] - found[0]) / np.maximum(lengths[at:upto], 1)
+            at = upto
         return means, lengths
 
 
@@ -145,7 +222,7 @@ def fit(documents: DataFrame, labels: DataFrame, max_docs: int = 3000) -> Toxici
 
     ``labels`` has ``doc_id`` and ``toxic``; rows with a null in either are passed over and a repeated id is toxic if
     any of its rows is. With no labelled rows at all every text gets the score 0.5."""
-    spark = documents.sparkSession
+    spark = ship(documents.sparkSession)
     labelled = (
         labels.select("doc_id", F.col("toxic").cast("int").alias("label"))
         .where("doc_id is not null and label in (0, 1)")
@@ -154,43 +231,34 @@ def fit(documents: DataFrame, labels: DataFrame, max_docs: int = 3000) -> Toxici
         .agg(F.max("label").alias("label"))
         .withColumn("fitting", fold() != 1)
     )
-
-    def sizes(rows: DataFrame) -> dict[tuple[bool, int], int]:
-        return {(r["fitting"], r["label"]): r["n"] for r in rows.groupBy("fitting", "label").agg(F.count("*").alias("n")).collect()}
-
-    size = sizes(labelled)
-    common = min(1.0, max_docs / min((n for (fitting, _), n in size.items() if fitting), default=1))
-    rates = {key: common if key[0] else min(1.0, max_docs / n) for key, n in size.items()}
+    # four rows
+    size = {(r["fitting"], r["label"]): r["n"] for r in labelled.groupBy("fitting", "label").agg(F.count("*").alias("n")).collect()}
     rate = F.lit(0.0)
-    for (fitting, label), r in rates.items():
-        rate = F.when((F.col("fitting") == fitting) & (F.col("label") == label), r).otherwise(rate)
-    sample = labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < rate * float(1 << 40))
-    taken = sizes(sample)
-    if sum(taken.values()) <= MAX_SENT:
-        sample = F.broadcast(sample)
+    for (fitting, label), n in size.items():
+        rate = F.when((F.col("fitting") == fitting) & (F.col("label") == label), min(1.0, max_docs / n)).otherwise(rate)
+    # some four times max_docs rows at most, whatever the input
+    sample = F.broadcast(labelled.where(F.pmod(F.xxhash64("doc_id"), F.lit(1 << 40)) < rate * float(1 << 40)))
     texts = written(documents.select("doc_id", "text").join(sample, "doc_id"), "toxic-sample")
-    kinds = texts.where("fitting").select("label", "text").mapInArrow(_trigram_kinds, "label int, first long, before string, word string").distinct()
-    both = F.col("n0") + F.col("n1")
-    # one row a pair with its contexts by class, so that its words and the pairs that differ need no second pass over all contexts
-    pairs = written(kinds.groupBy("before", "word").agg(*(F.count_if(F.col("label") == c).alias(f"n{c}") for c in (0, 1))), "toxic-bigrams")
-    words = pairs.groupBy("word").agg(*(F.count_if(F.col(n) > 0).alias(n) for n in ("n0", "n1"))).where(both >= LEAST).orderBy(both.desc(), "word").limit(MAX_NGRAMS)
-
-    bigrams = pairs.where(both >= LEAST)
-    ordinary, toxic = bigrams.agg(*(F.coalesce(F.sum(n), F.lit(0)) for n in ("n0", "n1"))).head()
-    share = toxic / max(ordinary + toxic, 1)
-    differs = F.abs(F.col("n1") - both * share) / F.sqrt(both * share * (1 - share) + 1e-9)  # as _differs
-    of_first = bigrams.groupBy("before").agg(F.sum("n0").alias("t0"), F.sum("n1").alias("t1"), F.count_if(F.col("n0") > 0).alias("k0"), F.count_if(F.col("n1") > 0).alias("k1"))
-    telling = bigrams.where(differs >= SIGNIFICANT).orderBy(both.desc(), "before", "word").limit(MAX_NGRAMS)
-    pair = KneserNeyPair(telling.join(of_first, "before").orderBy("before", "word").toPandas(), words.toPandas())
+    # equal texts of a class count once
+    different = texts.where("fitting").select("label", "text").dropDuplicates()
+    contexts = different.mapInArrow(_contexts, "label int, first long, before long, word long, new_pair int, new_word int")
+    once = contexts.groupBy("label", "first", "before", "word").agg(F.sum("new_pair").alias("t"), F.sum("new_word").alias("u"))
+    of_class = [F.col("label") == c for c in (0, 1)]
+    sums = [f(w).alias(f"{name}{c}") for name, f in (("n", F.count_if), ("t", lambda w: F.sum(F.when(w, F.col("t")).otherwise(0))), ("u", lambda w: F.sum(F.when(w, F.col("u")).otherwise(0)))) for c, w in enumerate(of_class)]
+    counts = once.groupBy("before", "word").agg(*sums).toPandas().sort_values(["before", "word"])
+    of = lambda name: counts[[f"{name}0", f"{name}1"]].to_numpy(float).T
+    pair = KneserNeyPair(*(counts[c].to_numpy(np.int64).view(np.uint64) for c in ("before", "word")), of("n"), of("t"), of("u"))
     shipped = spark.sparkContext.broadcast(pair)
 
-    def of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            means, lengths = shipped.value.ratios(batch.column(1).to_pylist())
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(means), pa.array(lengths)], ["label", "mean", "words"])
+            means, lengths = shipped.value.ratios(batch.column("text").to_pylist())
+            yield pa.RecordBatch.from_arrays([batch.column("label"), pa.array(means), pa.array(lengths)], ["label", "mean", "words"])
 
-    held = texts.where("not fitting").select("label", "text").mapInArrow(of, "label int, mean double, words long").where("words > 0").toPandas().sort_values(["mean", "label"])
-    weight = held["label"].map({label: size[fitting, label] / n for (fitting, label), n in taken.items() if not fitting})
+    held = texts.where("not fitting").select("label", "text").mapInArrow(compared, "label int, mean double, words long").where("words > 0").toPandas().sort_values(["mean", "label"])
+    discard(texts)
+    taken = held["label"].value_counts().to_dict()
+    weight = held["label"].map({label: size[False, label] / n for label, n in taken.items()})
     return ToxicityModel(pair, *_logistic(held["mean"].to_numpy(float), held["label"].to_numpy(float), weight.to_numpy(float)))
 
 
@@ -209,13 +277,15 @@ def score(documents: DataFrame, labels: DataFrame, max_docs: int = 3000) -> Data
     """One row per row of ``documents`` with ``score`` in 0 to 1 and ``predicted`` (1 from 0.5 up).
 
     Null and empty texts, and texts without words, get the score of a difference of 0. A repeated row gives a repeated
-    result; other columns of ``documents`` are not read."""
+    result; texts of any length count whole; other columns of ``documents`` are not read; no rows give none."""
     model = fit(documents, labels, max_docs)
     return documents.select("doc_id", (fold() == 0).alias("held_out"), score_column(model, documents)("text").alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, max_docs: int = 3000) -> DataFrame:
-    """``documents``, all columns, without the rows that score ``threshold`` or more."""
+    """``documents``, all columns, without the rows that score ``threshold`` or more.
+
+    Null, empty and repeated texts score as in ``score`` and go or stay accordingly; no rows give none."""
     name = unused(documents, "toxicity_score")
     model = fit(documents, labels, max_docs)
     return documents.withColumn(name, score_column(model, documents)("text")).where(F.col(name) < threshold).drop(name)

@@ -317,8 +317,79 @@ def test_sampled_labels_keep_the_prior(spark):
     # labels that no word explains: every score is the share of toxic rows, whatever the sample
     scores = [r["score"] for r in toxicity.score(docs("w1"), labels, max_docs=15).collect()]
     assert abs(sum(scores) / len(scores) - 1 / 8) < 0.05
-    # with one row in eight toxic, three contexts tell a word of toxic texts, not the 21 of an even sample
-    assert "vile" in toxicity.fit(docs("vile"), labels, max_docs=15).pair.words
+    pair = toxicity.fit(docs("vile"), labels, max_docs=15).pair
+    vile, plain = pair._numbers(["vile", "w1"])
+    ratio = pair.word_log_p[1] - pair.word_log_p[0]
+    assert ratio[vile] > 1 > 0.5 > abs(ratio[plain])
+
+
+def plain_models(texts):
+    """Both models from texts by class with sets and dictionaries, as log P(word | before) by class."""
+    contexts, of_text = ({}, {}), ({}, {})
+    for c in (0, 1):
+        for number, t in enumerate(texts[c]):
+            words = [None, None, *toxicity.words_of(t)]
+            for first, b, w in zip(words, words[1:], words[2:]):
+                contexts[c].setdefault((b, w), set()).add(first)
+                of_text[c].setdefault((b, w), set()).add(number)
+    pairs = sorted({*contexts[0], *contexts[1]}, key=repr)
+    words = sorted({w for _, w in pairs})
+    n = {(c, p): len(contexts[c].get(p, ())) for c in (0, 1) for p in pairs}
+    m = {(c, w): len({b for b, x in contexts[c] if x == w}) for c in (0, 1) for w in words}
+    texts_of = {(c, w): len(set().union(*[v for (b, x), v in of_text[c].items() if x == w], set())) for c in (0, 1) for w in words}
+    gamma_word = dict(zip(words, toxicity.differing(np.array([[min(m[c, w], texts_of[c, w]) for w in words] for c in (0, 1)], float))))
+    gamma_pair = dict(zip(pairs, toxicity.differing(np.array([[min(n[c, p], len(of_text[c].get(p, ()))) for p in pairs] for c in (0, 1)], float))))
+
+    def less(counts):
+        one, two = sum(x == 1 for x in counts), sum(x == 2 for x in counts)
+        return one / (one + 2 * two) if one else 0.5
+
+    size = len({*words, *(b for b, _ in pairs)}) + 1  # the start and the unknown word included
+    both = {w: m[0, w] + m[1, w] for w in words}
+    d, seen = less(both.values()), sum(both.values())
+    shared = lambda w: max(both.get(w, 0) - d, 0) / seen + d * len(words) / seen / size
+    nb = {p: n[0, p] + n[1, p] for p in pairs}
+    db = less(nb.values())
+
+    def p_word(c, w):
+        dc, total = less([m[c, x] for x in words]), sum(m[c, x] for x in words)
+        kept = {x: gamma_word[x] * max(m[c, x] - dc, 0) / total for x in words}
+        return kept.get(w, 0) + (1 - sum(kept.values())) * shared(w)
+
+    def p(c, w, b):
+        after = [x for h, x in pairs if h == b]
+        total, own, dc = sum(nb[b, x] for x in after), sum(n[c, (b, x)] for x in after), less([n[c, x] for x in pairs])
+        common = {x: max(nb[b, x] - db, 0) / total for x in after}
+        rest = 1 - sum(common.values())
+        scale = lambda x: p_word(c, x) / shared(x)
+        norm = sum(common[x] * scale(x) for x in after) + rest
+        kept = {x: gamma_pair[b, x] * max(n[c, (b, x)] - dc, 0) / max(own, 1) for x in after}
+        return kept.get(w, 0) + (1 - sum(kept.values())) * (common.get(w, 0) + rest * shared(w)) * scale(w) / norm
+
+    return p
+
+
+def test_likelihoods_match_plain_models_and_sum_to_one(spark):
+    rng = random.Random(18)
+    texts = [[" ".join(f"w{int(rng.paretovariate(0.8)) % 30}" + ("x" if c and rng.random() < 0.2 else "") for _ in range(rng.randrange(1, 25))) for _ in range(25)] for c in (0, 1)]
+    p = plain_models(texts)
+    numbered = [(i + 1000 * c, t, c) for c in (0, 1) for i, t in enumerate(texts[c])]
+    used = [r for r in numbered if fold(r[0]) not in (0, 1)]
+    p = plain_models([[t for _, t, c in used if c == k] for k in (0, 1)])
+    docs = spark.createDataFrame([r[:2] for r in numbered] + [(9999, used[0][1])], "doc_id long, text string")  # and a copy
+    model = toxicity.fit(docs, spark.createDataFrame([(r[0], r[2]) for r in numbered] + [(9999, used[0][2])], "doc_id long, toxic int"))
+    some = ["w1 w2 w1x", "w3", "never seen w1", "w1 w1 w1 w1x w1x", "", *texts[1][:5]]
+    found, lengths = model.pair.log_likelihoods(some)
+    for i, t in enumerate(some):
+        words = toxicity.words_of(t)
+        want = [sum(math.log(p(c, w, b)) for b, w in zip([None, *words], words)) for c in (0, 1)]
+        assert found[:, i] == pytest.approx(want, abs=1e-4) and lengths[i] == len(words)
+    vocabulary = sorted({w for t in (t for _, t, _ in used) for w in toxicity.words_of(t)})
+    for before in [vocabulary[0], vocabulary[-1], "unseen"]:
+        one = model.pair.log_likelihoods([before])[0]
+        each = np.exp(model.pair.log_likelihoods([f"{before} {w}" for w in [*vocabulary, "unknownword"]])[0] - one)
+        start = np.exp(model.pair.back[:, len(model.pair.words) if before == "unseen" else model.pair._numbers([before])[0]] + model.pair.word_log_p[:, 0])
+        assert each.sum(1) + start == pytest.approx([1, 1], abs=1e-4)  # words, an unknown one, and the start as a word
 
 
 # --- benchmark
