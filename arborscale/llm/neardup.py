@@ -15,11 +15,12 @@ confirms is joined, and only pairs of different classes go on.
    most.
 3. What two bags can have in common is at most what one of them has in common with all texts of other classes together.
    Spark counts that for each text that has a resembling text of another class, and only pairs for which it allows a
-   similarity of 0.8 are verified. Near copies that each differ on their own from a common original, or texts around a
+   similarity of 0.8 are verified: first, for each text, the likeliest one, then all that are left. Near copies that each differ on their own from a common original, or texts around a
    common passage, drop out here without a pair.
 
 Comparing happens inside tasks, a block of a bucket against a block, and gives out no pair that steps 2 and 3 exclude. A
-bucket has no cap. A candidate is verified unless its signatures agree in under ``LEAST_AGREEING`` of 120 components.
+bucket has no cap. A candidate is verified unless its signatures agree in fewer components than ``least_agreeing`` says;
+the last step compares signatures of ``FINE`` components.
 """
 
 from __future__ import annotations
@@ -44,9 +45,16 @@ BANDS, ROWS = 24, 5
 COMPONENTS = BANDS * ROWS
 #: Members of a bucket that are compared at once; a larger bucket is compared block against block.
 BLOCK = 2048
-#: Agreeing components below which a pair isn't verified: 4.5 standard errors under the threshold, which a pair at the
-#: threshold misses with a probability of 0.000003.
-LEAST_AGREEING = int(COMPONENTS * (THRESHOLD - 4.5 * (THRESHOLD * (1 - THRESHOLD) / COMPONENTS) ** 0.5))
+#: Components of the finer signature of texts that are compared with all that is left.
+FINE = 480
+
+
+def least_agreeing(components: int) -> int:
+    """Agreeing components below which a pair isn't verified: 4.5 standard errors under the threshold, which a pair at
+    the threshold misses with a probability of 0.000003."""
+    return int(components * (THRESHOLD - 4.5 * (THRESHOLD * (1 - THRESHOLD) / components) ** 0.5))
+
+
 WORD = re.compile(r"\w+")
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
@@ -176,47 +184,61 @@ def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             yield pa.RecordBatch.from_arrays([part.column("doc_id"), part.column("text_key"), sketch, pa.array(bands, pa.list_(pa.int64()))], ["doc_id", "text_key", "sketch", "bands"])
 
 
-def _unit_pairs(rows: list[dict], bounded: bool) -> Iterator[tuple[bytes, bytes]]:
+def _unit_pairs(rows: list[dict], how: str) -> Iterator[tuple[bytes, bytes]]:
     """Pairs of different classes that agree enough, of a block or between two blocks of a bucket: for each text the
-    one that agrees most, or with ``bounded`` all whose common shingles allow the threshold and that no star had."""
-    keys, sketch = [r["text_key"] for r in rows], np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(-1, COMPONENTS)
+    one that agrees most (``nearest``); or of those whose common shingles allow the threshold, the one that agrees most
+    and has the least of its own (``likely``), or all that no star had (``all``)."""
+    keys, sketch = [r["text_key"] for r in rows], np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(len(rows), -1)
+    components_, least = sketch.shape[1], least_agreeing(sketch.shape[1])
     numbers = {v: i for i, v in enumerate(dict.fromkeys(r["label"] for r in rows))}
     of = np.array([numbers[r["label"]] for r in rows])
     if len(numbers) == 1:
         return
     side = np.array([r["block"] != r["u"] for r in rows])
     left, right = np.flatnonzero(~side), np.flatnonzero(side) if side.any() else np.arange(len(rows))
-    if not bounded:
-        for one, other in ((left, right), (right, left)) if side.any() else ((left, left),):
-            for i in one:
-                others = other[of[other] != of[i]]
-                agreeing = (sketch[others] == sketch[i]).sum(axis=1)
-                if len(others) and agreeing.max() >= LEAST_AGREEING:
-                    yield keys[i], keys[others[agreeing.argmax()]]
+    n, common = (np.array([r[c] for r in rows], float) for c in ("n", "common")) if how != "nearest" else (None, None)
+
+    def partners(i: int, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        others = others[of[others] != of[i]]
+        if how != "nearest":
+            others = others[(1 + THRESHOLD) * np.minimum(common[others], common[i]) >= THRESHOLD * (n[others] + n[i]) - 1e-6]
+        agreeing = (sketch[others] == sketch[i]).sum(axis=1)
+        near = agreeing >= least
+        return others[near], agreeing[near]
+
+    if how == "all":
+        for i in left:
+            for j in partners(i, right if side.any() else right[right > i])[0]:
+                if rows[0]["head"] not in (keys[i], keys[j]):
+                    yield keys[i], keys[j]
         return
-    n, common = (np.array([r[c] for r in rows], float) for c in ("n", "common"))
-    for i in left:
-        others = right if side.any() else right[right > i]
-        allowed = (of[others] != of[i]) & ((1 + THRESHOLD) * np.minimum(common[others], common[i]) >= THRESHOLD * (n[others] + n[i]) - 1e-6)
-        others = others[allowed]
-        for j in others[(sketch[others] == sketch[i]).sum(axis=1) >= LEAST_AGREEING]:
-            if rows[0]["head"] not in (keys[i], keys[j]):
-                yield keys[i], keys[j]
+    for one, other in ((left, right), (right, left)) if side.any() else ((left, left),):
+        for i in one:
+            others, agreeing = partners(i, other)
+            if len(others):
+                yield keys[i], keys[others[(agreeing / components_ + (common[others] / n[others] if how == "likely" else 0)).argmax()]]
 
 
-def _across(batches: Iterator[pa.RecordBatch], bounded: bool) -> Iterator[pa.RecordBatch]:
+def _across(batches: Iterator[pa.RecordBatch], how: str) -> Iterator[pa.RecordBatch]:
     """Pairs of the units of comparison, which come one after the other."""
     unit: list[dict] = []
     for batch in batches:
         found: list[tuple[bytes, bytes]] = []
         for row in batch.to_pylist():
             if unit and any(row[c] != unit[0][c] for c in UNIT):
-                found += _unit_pairs(unit, bounded)
+                found += _unit_pairs(unit, how)
                 unit = []
             unit.append(row)
         yield _pair_batch(found)
     if unit:
-        yield _pair_batch(list(_unit_pairs(unit, bounded)))
+        yield _pair_batch(list(_unit_pairs(unit, how)))
+
+
+def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for part in _runs(batch, limit=500_000):
+            signed = bag_minhash(part.num_rows, *hashed_bags(part.column("text").to_pylist()), FINE).astype(np.uint8)
+            yield pa.RecordBatch.from_arrays([part.column("text_key"), pa.array([r.tobytes() for r in signed], pa.binary())], ["text_key", "sketch"])
 
 
 def _pair_batch(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
@@ -229,7 +251,7 @@ def _resemble(one: pa.Array, other: pa.Array) -> pa.Array:
     if not len(one):
         return pa.array([], pa.bool_())
     a, b = (np.frombuffer(b"".join(x.to_pylist()), np.uint8).reshape(-1, COMPONENTS) for x in (one, other))
-    return pa.array((a == b).sum(axis=1) >= LEAST_AGREEING)
+    return pa.array((a == b).sum(axis=1) >= least_agreeing(COMPONENTS))
 
 
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -271,16 +293,16 @@ def _labelled(members: DataFrame, links: DataFrame) -> DataFrame:
 UNIT = ("band", "bucket", "u", "v")
 
 
-def _compared(members: DataFrame, signed: DataFrame, bounded: bool) -> DataFrame:
+def _compared(members: DataFrame, signed: DataFrame, how: str) -> DataFrame:
     """Pairs across the classes of each bucket, found in tasks that hold two blocks of it at most."""
     key = ["band", "bucket"]
     blocks = members.groupBy(*key).agg(F.ceil(F.count("*") / BLOCK).alias("blocks"))
     placed = members.join(blocks, key).withColumn("block", F.pmod(F.xxhash64("text_key"), F.col("blocks")))
     other = placed.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
     units = other.withColumns({"u": F.least("block", "other"), "v": F.greatest("block", "other")}).join(signed.select("text_key", "sketch"), "text_key")
-    of_text = ["text_key", "head", "label", "block", "sketch", *(["n", "common"] if bounded else [])]
+    of_text = ["text_key", "head", "label", "block", "sketch", *(["n", "common"] if how != "nearest" else [])]
     dealt = units.select(*UNIT, *of_text).repartition(*UNIT).sortWithinPartitions(*UNIT, "text_key")
-    return dealt.mapInArrow(lambda batches: _across(batches, bounded), "a binary, b binary")
+    return dealt.mapInArrow(lambda batches: _across(batches, how), "a binary, b binary")
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -322,17 +344,20 @@ def _classed(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     some = written(texts.join(one_row, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("text_key") == F.col("k")), "left_semi").select("text_key", "text").dropDuplicates(["text_key"]), "bucket-texts")
     stars = _links(members.where("text_key <> head").select(F.col("head").alias("a"), F.col("text_key").alias("b")), signed, some, "stars")
     mixed = written(_labelled(members, stars), "mixed")
-    nearest = written(_compared(mixed, signed, bounded=False).distinct(), "nearest")
+    nearest = written(_compared(mixed, signed, "nearest").distinct(), "nearest")
     links = stars.union(_links(nearest, signed, some, "nearest"))
     # only texts with a resembling text of another class can have links that are still missing
     left = mixed.drop("label").join(nearest.select(F.col("a").alias("text_key")).distinct(), "text_key", "left_semi")
     rest = written(_labelled(left, links), "rest")
     bounds = _bounds(rest, some)
-    last = written(rest.join(bounds, "text_key"), "last")
-    links = written(links.union(_links(_compared(last, signed, bounded=True), signed, some, "last")), "links")
+    bounded = written(rest.join(bounds, "text_key"), "bounded")
+    likely = _links(_compared(bounded, signed, "likely"), signed, some, "likely")
+    last = written(_labelled(bounded.drop("label"), links := links.union(likely)), "last")
+    fine = written(some.join(last.select("text_key").distinct(), "text_key", "left_semi").mapInArrow(_finer, "text_key binary, sketch binary"), "fine")
+    links = written(links.union(_links(_compared(last, fine, "all"), signed, some, "last")), "links")
     label = components(links).withColumnRenamed("node", "text_key")
     classed = written(rows.select("doc_id", "text_key").join(label, "text_key", "left").select("doc_id", "text_key", F.coalesce("label", "text_key").alias("label")), "classed")
-    discard(rows, signed, members, some, mixed, nearest, rest, last, links)
+    discard(rows, signed, members, some, mixed, nearest, rest, bounded, last, fine, links)
     heads = classed.groupBy("label").agg(F.min(F.struct("doc_id", "text_key")).alias("head"), F.count("*").alias("class_size"))
     return classed, heads
 

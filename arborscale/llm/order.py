@@ -124,9 +124,9 @@ class _Shards:
             self.fs.delete_file(self.temporary)
 
 
-def _stored(path: pa.Array, offset: pa.Array, stride: pa.Array) -> pa.Array:
+def _stored(path: pa.Array, offset: pa.Array, stride: pa.Array) -> Iterator[bytes]:
     """The bytes at a place of a shard; a file stays open as long as the rows stay in it."""
-    out, name, file = [], None, None
+    name, file = None, None
     for p, at, n in zip(path.to_pylist(), offset.to_pylist(), stride.to_pylist(), strict=True):
         if p != name:
             if file is not None:
@@ -134,21 +134,33 @@ def _stored(path: pa.Array, offset: pa.Array, stride: pa.Array) -> pa.Array:
             fs, local = FileSystem.from_uri(p)
             name, file = p, fs.open_input_file(local)
         file.seek(at)
-        out.append(file.read(n))
+        yield file.read(n)
     if file is not None:
         file.close()
-    return pa.array(out, pa.binary())
+
+
+def _data(path: pa.Array, offset: pa.Array, stride: pa.Array) -> pa.Array:
+    return pa.array(list(_stored(path, offset, stride)), pa.binary())
+
+
+def _digest(path: pa.Array, offset: pa.Array, stride: pa.Array) -> pa.Array:
+    found = [(zlib.crc32(data), len(data)) for data in _stored(path, offset, stride)]
+    return pa.StructArray.from_arrays([pa.array([x[i] for x in found], pa.int64()) for i in (0, 1)], ["data_crc32", "data_bytes"])
+
+
+PLACE = ("path", "byte_offset", "stride")
 
 
 def with_data(index: DataFrame) -> DataFrame:
-    return index.withColumn("data", F.arrow_udf(_stored, "binary")("path", "byte_offset", "stride"))
+    """The records that the index names, with the bytes read from their shards as ``data``."""
+    return index.withColumn("data", F.arrow_udf(_data, "binary")(*PLACE))
 
 
 def materialise(documents: DataFrame, folder: str, key: int = 17, length: int = LENGTH, path: str | None = None) -> DataFrame:
-    """Write every sequence as a record at its slot, and return the records as read back: ``slot``, ``shard``, ``record``
+    """Write every sequence as a record at its slot, and return their index: ``slot``, ``shard``, ``record``
     (the place in the shard), ``path`` of the shard, ``byte_offset`` in it, ``stride``, ``tokens``, ``pieces`` (``doc_id``,
-    ``start`` in the document, ``length``) in their order, and ``data``, ``length`` little-endian ids of 16 bits (32 where
-    the vocabulary asks for them).
+    ``start`` in the document, ``length``) in their order. A record holds ``length`` little-endian ids of 16 bits (32 where
+    the vocabulary asks for them); ``with_data`` reads them.
 
     ``folder`` is one that all tasks reach. A null text is an empty one, which has its end token only; a repeated row has
     tokens of its own; very long texts run over as many records as they need; an empty table has no records. Other
@@ -191,12 +203,12 @@ def materialise(documents: DataFrame, folder: str, key: int = 17, length: int =
     schema = "slot long, shard long, record long, path string, byte_offset long, stride long, tokens long, pieces array<struct<doc_id:long,start:long,length:long>>"
     ordered.mapInArrow(dealt, schema).write.mode("overwrite").option("compression", "zstd").parquet(f"{folder}/index")
     discard(numbered)
-    return with_data(spark.read.schema(schema).parquet(f"{folder}/index"))
+    return spark.read.schema(schema).parquet(f"{folder}/index")
 
 
-def resume(records: DataFrame, slot: int) -> DataFrame:
+def resume(index: DataFrame, slot: int) -> DataFrame:
     """The records from a slot on, in order. Only what the index says of them is sorted; their bytes are read in place."""
-    return with_data(records.drop("data").where(F.col("slot") >= slot).orderBy("slot"))
+    return with_data(index.where(F.col("slot") >= slot).orderBy("slot"))
 
 
 def read_from(folder: str, slot: int, length: int = LENGTH) -> Iterator[bytes]:
@@ -215,7 +227,7 @@ def training_order(documents: DataFrame, key: int = 17, length: int = LENGTH) ->
     """The index of the materialised order as read back from the stored records: a row for each piece of a document with
     its ``slot``, ``shard``, ``byte_offset`` of the record in the shard, ``offset`` in the record, ``start`` in the document
     and ``length`` in tokens, and the checksum and size of the record's stored bytes."""
-    back = materialise(documents, f"{shared_dir(documents.sparkSession)}/arborscale-order-{uuid.uuid4().hex}", key, length)
-    read = back.select("slot", "shard", "byte_offset", F.crc32("data").alias("data_crc32"), F.octet_length("data").cast("long").alias("data_bytes"), F.posexplode("pieces").alias("at", "piece"), "pieces")
+    index = materialise(documents, f"{shared_dir(documents.sparkSession)}/arborscale-order-{uuid.uuid4().hex}", key, length)
+    read = index.withColumn("stored", F.arrow_udf(_digest, "data_crc32 long, data_bytes long")(*PLACE)).select("slot", "shard", "byte_offset", "stored.*", F.posexplode("pieces").alias("at", "piece"), "pieces")
     before = F.aggregate(F.slice("pieces", 1, F.col("at")), F.lit(0).cast("long"), lambda so_far, p: so_far + p["length"])
     return read.select("slot", "shard", "byte_offset", before.alias("offset"), "piece.*", "data_crc32", "data_bytes")

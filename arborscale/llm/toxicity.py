@@ -94,8 +94,10 @@ def differing(n: np.ndarray) -> np.ndarray:
     share = n[1].sum() / max(n.sum(), 1)
     if not 0 < share < 1:
         return np.zeros(n.shape[1])
-    kinds, which, times = np.unique(n, axis=1, return_inverse=True, return_counts=True)
-    total, toxic = kinds.sum(0), kinds[1]
+    base = int(n.max()) + 1
+    kinds, which, times = np.unique(n[1].astype(np.int64) * base + n[0].astype(np.int64), return_inverse=True, return_counts=True)
+    toxic = (kinds // base).astype(float)
+    total = toxic + kinds % base
     own = _log_beta_binomial(toxic, total, share, 1 - share)
     best = (-np.inf, np.zeros(len(total)))
     for strength in (30, 100, 300, 1000, 3000, 10_000, 1_000_000):
@@ -107,44 +109,45 @@ def differing(n: np.ndarray) -> np.ndarray:
             part = float(np.clip((posterior * times).sum() / times.sum(), 1e-9, 0.5))
         likelihood = (times * np.logaddexp(math.log(part) + own, math.log1p(-part) + common)).sum()
         best = max(best, (likelihood, posterior), key=lambda x: x[0])
-    return best[1][which.ravel()]
+    return best[1][which]
 
 
 class KneserNeyPair:
     """Both models over the same n-grams: ``log_p`` of a known word, of an unknown one, and of a known bigram, by class."""
 
-    def __init__(self, before: np.ndarray, word: np.ndarray, n: np.ndarray, texts: np.ndarray, word_texts: np.ndarray):
-        """For each bigram of ``before`` and ``word`` (hashes; 0 is the start of a text), by class: ``n`` has its contexts, ``texts`` the texts
-        that hold it, and ``word_texts`` those in which the word stands for the first time in it.
-
-        What an expression says of its class counts no text and no context twice."""
-        self.words, (b, w) = np.unique(np.concatenate([before, word])), (None, None)
-        b, w = np.searchsorted(self.words, before), np.searchsorted(self.words, word)
-        size = len(self.words)
-        ends = np.stack([np.bincount(w[n[c] > 0], minlength=size) for c in (0, 1)]).astype(float)
+    def __init__(self, words: dict[str, np.ndarray], pairs: dict[str, np.ndarray]):
+        """``words`` has ``word`` (a hash) and by class the different words before it (``m0``, ``m1``) and the texts that hold
+        it (``t0``, ``t1``); ``pairs`` has ``before`` (0 is the start of a text), ``word``, by class the different words before
+        both (``n0``, ``n1``) and the texts that hold it (``t0``, ``t1``). What an expression says of its class counts no text
+        and no context twice."""
+        self.words = np.unique(np.append(words["word"].view(np.uint64), np.uint64(0)))
+        size, at = len(self.words), np.searchsorted(self.words, words["word"].view(np.uint64))
+        b, w = (np.searchsorted(self.words, pairs[c].view(np.uint64)) for c in ("before", "word"))
+        ends, of_texts = np.zeros((2, size)), np.zeros((2, size))
+        for c in (0, 1):
+            ends[c][at], of_texts[c][at] = words[f"m{c}"], words[f"t{c}"]
         both = ends.sum(0)
         seen, less = max(both.sum(), 1), discount(both)
         # an unknown word and the start have what equal shares of the discounts give
         shared = np.append(np.maximum(both - less, 0), 0) / seen + (less * (both > 0).sum() / seen if both.any() else 1) / (size + 1)
-        of_texts = np.stack([np.bincount(w, weights=word_texts[c], minlength=size) for c in (0, 1)])
-        keep, keep_pair = np.zeros(size + 1), differing(np.minimum(n, texts))
+        keep, keep_pair = np.zeros(size + 1), differing(np.stack([np.minimum(pairs[f"n{c}"], pairs[f"t{c}"]) for c in (0, 1)]))
         keep[:-1][both > 0] = differing(np.minimum(ends, of_texts)[:, both > 0])
-        pairs = n.sum(0)
-        common = np.maximum(pairs - discount(pairs), 0) / np.bincount(b, weights=pairs, minlength=size + 1)[b]
+        together = pairs["n0"] + pairs["n1"]
+        common = np.maximum(together - discount(together), 0) / np.bincount(b, weights=together, minlength=size + 1)[b]
         rest = 1 - np.bincount(b, weights=common, minlength=size + 1)
-        unigram, pair, self.back = np.zeros((2, size + 1)), np.zeros((2, len(b))), np.zeros((2, size + 1))
+        unigram, self.back, self.pair_log_p = np.zeros((2, size + 1)), np.zeros((2, size + 1)), np.zeros((2, len(b)), np.float32)
         for c in (0, 1):
             kept = np.append(keep[:-1] * np.maximum(ends[c] - discount(ends[c]), 0) / max(ends[c].sum(), 1), 0)
             unigram[c] = kept + (1 - kept.sum()) * shared
-            scale = unigram[c] / shared
+            scale, n = unigram[c] / shared, pairs[f"n{c}"]
             norm = np.bincount(b, weights=common * scale[w], minlength=size + 1) + rest
-            high = keep_pair * np.maximum(n[c] - discount(n[c]), 0) / np.maximum(np.bincount(b, weights=n[c], minlength=size + 1)[b], 1)
+            high = keep_pair * np.maximum(n - discount(n), 0) / np.maximum(np.bincount(b, weights=n, minlength=size + 1)[b], 1)
             left = (1 - np.bincount(b, weights=high, minlength=size + 1)) / norm
-            pair[c] = np.log(high + left[b] * (common + rest[b] * shared[w]) * scale[w])
+            self.pair_log_p[c] = np.log(high + left[b] * (common + rest[b] * shared[w]) * scale[w])
             self.back[c] = np.log(left * rest)
         self.word_log_p = np.log(unigram)
         order = np.argsort(b * (size + 1) + w)
-        self.pairs, self.pair_log_p = (b * (size + 1) + w)[order], pair[:, order].astype(np.float32)
+        self.pairs, self.pair_log_p = (b * (size + 1) + w)[order], self.pair_log_p[:, order]
         self._memo: dict[str, int] = {}
 
     def __getstate__(self) -> dict:
@@ -156,9 +159,8 @@ class KneserNeyPair:
             self._memo = {}
         if new := list(set(words).difference(self._memo)):
             h = hashes_of(new)
-            at = np.minimum(np.searchsorted(self.words, h), max(len(self.words) - 1, 0))
-            known = self.words[at] == h if len(self.words) else np.zeros(len(h), bool)
-            self._memo.update(zip(new, np.where(known, at, len(self.words)).tolist(), strict=True))
+            at = np.minimum(np.searchsorted(self.words, h), len(self.words) - 1)
+            self._memo.update(zip(new, np.where(self.words[at] == h, at, len(self.words)).tolist(), strict=True))
         return np.fromiter(map(self._memo.__getitem__, words), np.int64, len(words))
 
     def log_likelihoods(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -168,7 +170,7 @@ class KneserNeyPair:
         w = self._numbers([x for words in split for x in words])
         start = (np.cumsum(lengths) - lengths)[lengths > 0]
         b = np.concatenate([w[:1], w[:-1]])
-        b[start] = 0 if len(self.words) and self.words[0] == 0 else len(self.words)
+        b[start] = 0
         key = b * (len(self.words) + 1) + w
         at = np.minimum(np.searchsorted(self.pairs, key), max(len(self.pairs) - 1, 0))
         known = self.pairs[at] == key if len(self.pairs) else np.zeros(len(key), bool)
@@ -243,11 +245,19 @@ def fit(documents: DataFrame, labels: DataFrame, max_docs: int = 3000) -> Toxici
     different = texts.where("fitting").select("label", "text").dropDuplicates()
     contexts = different.mapInArrow(_contexts, "label int, first long, before long, word long, new_pair int, new_word int")
     once = contexts.groupBy("label", "first", "before", "word").agg(F.sum("new_pair").alias("t"), F.sum("new_word").alias("u"))
-    of_class = [F.col("label") == c for c in (0, 1)]
-    sums = [f(w).alias(f"{name}{c}") for name, f in (("n", F.count_if), ("t", lambda w: F.sum(F.when(w, F.col("t")).otherwise(0))), ("u", lambda w: F.sum(F.when(w, F.col("u")).otherwise(0)))) for c, w in enumerate(of_class)]
-    counts = once.groupBy("before", "word").agg(*sums).toPandas().sort_values(["before", "word"])
-    of = lambda name: counts[[f"{name}0", f"{name}1"]].to_numpy(float).T
-    pair = KneserNeyPair(*(counts[c].to_numpy(np.int64).view(np.uint64) for c in ("before", "word")), of("n"), of("t"), of("u"))
+    def by_class(name: str, column: str | None = None) -> list:
+        """Rows of each class, or the sum of a column over them."""
+        return [F.sum(F.when(F.col("label") == c, F.col(column) if column else 1).otherwise(0)).cast("int").alias(f"{name}{c}") for c in (0, 1)]
+
+    counts = written(once.groupBy("before", "word").agg(*by_class("n"), *by_class("t", "t"), *by_class("u", "u")), "toxic-bigrams")
+    words = counts.groupBy("word").agg(*(F.count_if(F.col(f"n{c}") > 0).cast("int").alias(f"m{c}") for c in (0, 1)), *(F.sum(f"u{c}").cast("int").alias(f"t{c}") for c in (0, 1)))
+
+    def columns(df: DataFrame) -> dict[str, np.ndarray]:
+        # as many rows as the sample has n-grams
+        return {c: x.to_numpy() for c, x in zip(df.columns, df.toArrow().columns, strict=True)}
+
+    pair = KneserNeyPair(columns(words), columns(counts.drop("u0", "u1")))
+    discard(counts)
     shipped = spark.sparkContext.broadcast(pair)
 
     def compared(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

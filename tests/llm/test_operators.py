@@ -248,7 +248,7 @@ def test_records_round_trip(spark, documents, texts, tmp_path):
 
     tokenizer = Tokenizer.from_file(pack.tokenizer_path())
     back = order.materialise(documents, str(tmp_path / "order"), length=512)
-    rows = back.collect()
+    rows = order.with_data(back).collect()
     assert sorted(r["slot"] for r in rows) == list(range(len(rows)))
     assert all(r["slot"] == r["shard"] * order.SHARD_RECORDS + r["record"] and len(r["data"]) == 1024 for r in rows)
     assert sum(r["tokens"] < 512 for r in rows) <= documents.rdd.getNumPartitions()  # a task's last one
@@ -263,7 +263,7 @@ def test_records_round_trip(spark, documents, texts, tmp_path):
 def test_shards_are_files_of_fixed_records(documents, tmp_path, monkeypatch):
     monkeypatch.setattr(order, "SHARD_RECORDS", 64)
     folder = tmp_path / "order"
-    rows = sorted(order.materialise(documents, str(folder), length=256).collect(), key=lambda r: r["slot"])
+    rows = sorted(order.with_data(order.materialise(documents, str(folder), length=256)).collect(), key=lambda r: r["slot"])
     files = sorted((folder / "shards").iterdir())
     n = len(rows)
     assert n > 2 * 64 and len(files) == -(-n // 64) and all(f.stat().st_size == 64 * 512 for f in files[:-1])
