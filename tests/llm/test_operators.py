@@ -119,6 +119,20 @@ def test_forward_and_expectations_match_brute_force():
     assert first == pytest.approx(want_first, rel=1e-4) and moves == pytest.approx(want_moves, rel=1e-4) and emitted == pytest.approx(want_emitted, rel=1e-4, abs=1e-6)
 
 
+def test_overlapping_windows_count_like_whole_sequences():
+    rng = np.random.default_rng(5)
+    move = np.eye(3) * 5 + rng.random((3, 3))
+    emit = rng.random((20, 3)) ** 3
+    model = hmm.Model(np.array([0.5, 0.3, 0.2]), move / move.sum(1, keepdims=True), emit / emit.sum(0))
+    lengths = np.array([1, 130, 131, 700, 50, 194, 1])
+    ids = rng.integers(0, 20, lengths.sum()).astype(np.uint16)
+    whole = model.expectations(ids, lengths)
+    cut, sizes, counted, first = hmm.windows(ids, lengths, 64, 32)
+    assert counted.sum() == len(ids) and first.sum() == len(lengths) and sizes.max() <= 64 + 3 * 32
+    for a, b in zip(whole, model.expectations(cut, sizes, counted, first), strict=True):
+        assert b == pytest.approx(a, rel=2e-3, abs=2e-3)
+
+
 def test_scores(documents, texts):
     got = {r["doc_id"]: r for r in hmm.score(documents).collect()}
     tokens = {i: hmm.words_of(t) + [None] for i, t in texts.items()}
@@ -131,6 +145,34 @@ def test_scores(documents, texts):
         assert r["base_score"] == pytest.approx(base)
     held = [r for r in got.values() if r["held_out"]]
     assert sum(r["score"] for r in held) > sum(r["base_score"] for r in held)
+    # where counts are looked up changes nothing; few words that travel put most, ties too, through the join
+    few = {r["doc_id"]: r for r in hmm.score(documents, top=40).collect()}
+    assert all(few[i][c] == pytest.approx(got[i][c], rel=1e-6) for i in got for c in ("score", "base_score", "n_known"))
+
+
+def test_scores_match_a_plain_model(spark, monkeypatch):
+    rng = random.Random(19)
+    monkeypatch.setattr(hmm, "CLASSES", 31)  # few classes, so that words share them
+    texts = {i: " ".join(f"w{int(rng.paretovariate(1)) % 60}" for _ in range(rng.randrange(30))) for i in range(60)}
+    models = []
+    fit = hmm.fit
+    monkeypatch.setattr(hmm, "fit", lambda *a, **k: models.append(fit(*a, **k)) or models[-1])
+    monkeypatch.setattr(hmm, "END", 31)
+    monkeypatch.setattr(hmm, "BLOCK", 32)
+    got = {r["doc_id"]: r["score"] for r in hmm.score(spark.createDataFrame(list(texts.items()), "doc_id long, text string"), states=3, rounds=3, top=10).collect()}
+    (model,) = models
+    counts = Counter(w for i, t in texts.items() if fold(i) != 1 for w in hmm.words_of(t))
+    classes = {}
+    for w in counts:
+        classes.setdefault(hmm.class_of(w), []).append(w)
+    for i, t in texts.items():
+        words = hmm.words_of(t)
+        want = plain_likelihood(model, [*map(hmm.class_of, words), 31])
+        for w in words:
+            of = classes.get(hmm.class_of(w), [])
+            want += math.log10((counts[w] + 0.5) / (sum(counts[x] for x in of) + 0.5 * (len(of) + 1)))
+        assert got[i] == pytest.approx(want)
+    assert model.emit.sum(0) == pytest.approx(np.ones(3)) and model.move.sum(1) == pytest.approx(np.ones(3))
 
 
 # --- language
