@@ -123,7 +123,19 @@ def maybe_shared(shared: DataFrame) -> MaybeShared:
     return MaybeShared(out)
 
 
-PACK = "row_key long, doc_id long, n_bytes long, digests array<binary>, bodies array<binary>, alone boolean"
+def manifest_of(chunks: list[bytes], digests: list[bytes]) -> bytes:
+    """The stored form of a payload: its ordered list of digests and lengths."""
+    return MAGIC + struct.pack("<I", len(chunks)) + b"".join(d + struct.pack("<I", len(c)) for d, c in zip(digests, chunks, strict=True))
+
+
+def listed(manifest: bytes) -> list[tuple[bytes, int]]:
+    """Digests and lengths of a stored list."""
+    if manifest[:4] != MAGIC:
+        raise ValueError("this isn't a chunk list")
+    return [(d, n) for d, n in struct.iter_unpack("<32sI", manifest[8:])]
+
+
+PACK = "row_key long, doc_id long, n_bytes long, manifest binary, digests array<binary>, bodies array<binary>, alone boolean"
 
 
 def store(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
@@ -143,10 +155,10 @@ def store(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
                 for i, (text, chunks) in enumerate(zip(part, chunks_of([payload_of(t) for t in part]), strict=True)):
                     digests = [hashlib.sha256(c).digest() for c in chunks]
                     bodies = [None if d in filter_.value else compress(c) for d, c in zip(digests, chunks, strict=True)]
-                    rows.append((number, ids[start + i], len((text or "").encode()), digests, bodies, None not in bodies))
+                    rows.append((number, ids[start + i], len((text or "").encode()), manifest_of(chunks, digests), digests, bodies, None not in bodies))
                     number += 1
-                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.bool_())
-                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["row_key", "doc_id", "n_bytes", "digests", "bodies", "alone"])
+                kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.list_(pa.binary()), pa.list_(pa.binary()), pa.bool_())
+                yield pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*rows, strict=True), kinds, strict=True)], ["row_key", "doc_id", "n_bytes", "manifest", "digests", "bodies", "alone"])
 
     def shared_bodies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         compress, told = zstandard.ZstdCompressor(level=3).compress, set()
@@ -167,14 +179,15 @@ def store(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 
 def rebuilt(packs: DataFrame, shared: DataFrame) -> DataFrame:
-    """``doc_id``, ``n_bytes`` and the ordered ``digests`` and ``bodies`` of every payload. Only payloads with shared
-    chunks are shuffled."""
-    whole = packs.where("alone").select("doc_id", "n_bytes", "digests", "bodies")
-    parts = packs.where("not alone").select("row_key", "doc_id", "n_bytes", F.posexplode(F.arrays_zip("digests", "bodies")).alias("at", "part"))
-    named = parts.select("row_key", "doc_id", "n_bytes", "at", F.col("part.digests").alias("digest"), F.col("part.bodies").alias("own"))
-    joined = named.join(shared, "digest", "left").select("row_key", "doc_id", "n_bytes", "at", "digest", F.coalesce("own", "body").alias("body"))
-    lists = joined.groupBy("row_key", "doc_id", "n_bytes").agg(F.sort_array(F.collect_list(F.struct("at", "digest", "body"))).alias("parts"))
-    return whole.union(lists.select("doc_id", "n_bytes", "parts.digest", "parts.body"))
+    """``doc_id``, ``n_bytes``, the stored ``manifest`` and the ordered ``bodies`` of every payload. Only payloads with
+    shared chunks are shuffled."""
+    whole = packs.where("alone").select("doc_id", "n_bytes", "manifest", "bodies")
+    parts = packs.where("not alone").select("row_key", F.posexplode(F.arrays_zip("digests", "bodies")).alias("at", "part"))
+    named = parts.select("row_key", "at", F.col("part.digests").alias("digest"), F.col("part.bodies").alias("own"))
+    joined = named.join(shared, "digest", "left").select("row_key", "at", F.coalesce("own", "body").alias("body"))
+    lists = joined.groupBy("row_key").agg(F.sort_array(F.collect_list(F.struct("at", "body"))).alias("parts"))
+    heads = packs.where("not alone").select("row_key", "doc_id", "n_bytes", "manifest")
+    return whole.union(heads.join(lists, "row_key").select("doc_id", "n_bytes", "manifest", "parts.body"))
 
 
 def _features(payload: bytes) -> str:
@@ -190,17 +203,14 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     decompress = zstandard.ZstdDecompressor().decompress
     for batch in batches:
         rows = []
-        for doc_id, n_bytes, digests, bodies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for doc_id, n_bytes, manifest, bodies in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             chunks = [decompress(b) for b in bodies]
-            for d, c in zip(digests, chunks, strict=True):
-                if hashlib.sha256(c).digest() != d:
-                    raise ValueError(f"a chunk of document {doc_id} doesn't have its digest")
+            if listed(manifest) != [(hashlib.sha256(c).digest(), len(c)) for c in chunks]:
+                raise ValueError(f"the chunks of document {doc_id} aren't those of its list")
             payload = b"".join(chunks)
-            listed = b"".join(d + struct.pack("<I", len(c)) for d, c in zip(digests, chunks, strict=True))
-            media = MAGIC + struct.pack("<I", len(chunks)) + listed + b"".join(dict(zip(digests, bodies, strict=True)).values())
             rows.append({
                 "doc_id": doc_id, "n_bytes": n_bytes, "payload_bytes": len(payload), "payload_sha256": hashlib.sha256(payload).hexdigest(), "tail_crc32": zlib.crc32(payload[-UNIT:]),
-                "media_bytes": len(media), "media_sha256": hashlib.sha256(media).hexdigest(), "feature": _features(payload), "n_chunks": len(chunks),
+                "media_bytes": len(manifest), "media_sha256": hashlib.sha256(manifest).hexdigest(), "feature": _features(payload), "n_chunks": len(chunks),
             })
         kinds = {"payload_sha256": pa.string(), "media_sha256": pa.string(), "feature": pa.string()}
         names = ["doc_id", "n_bytes", "payload_bytes", "payload_sha256", "tail_crc32", "media_bytes", "media_sha256", "feature", "n_chunks"]
@@ -210,8 +220,9 @@ def _read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def media(documents: DataFrame) -> DataFrame:
     """Store the payload of every row, read it back from the stored chunks and describe it.
 
-    The stored form of a payload is its ordered chunk list (digests and lengths) followed by its distinct compressed
-    chunks; ``media_bytes`` and ``media_sha256`` are of that. A null text is an empty one, whose payload is 64 zeros;
-    equal texts give equal values; repeated rows give repeated rows."""
+    The stored form of a payload is its ordered chunk list (digests and lengths), which lies in the packs and refers to the
+    chunk store; ``media_bytes`` and ``media_sha256`` are of its bytes as read back. A null text is an empty one, whose
+    payload is 64 zeros; equal texts give equal values; repeated rows give repeated rows; very long texts have as many
+    chunks as they need; other columns aren't read; no rows give none."""
     result = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string, n_chunks long"
     return rebuilt(*store(documents)).mapInArrow(_read, result)

@@ -10,22 +10,22 @@ from __future__ import annotations
 import hashlib
 import re
 from collections.abc import Iterator
-from itertools import islice
 
 import ahocorasick
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborscale.llm._shared import unused
+from arborscale.llm._shared import ship, unused
 
 WINDOW = 10
 #: Bytes that separate words: all of ASCII but digits and letters. Capital letters turn small.
 SEPARATORS = [b for b in range(128) if not chr(b).isalnum()]
 TABLE = bytes(32 if b in set(SEPARATORS) else b + 32 if 65 <= b <= 90 else b for b in range(256))
 WORD = re.compile(rb"[0-9A-Za-z\x80-\xff]+")
-#: A benchmark with more windows is scanned for in blocks of this many, which bounds an automaton's memory.
-BLOCK_WINDOWS = 200_000
+#: Bytes of benchmark text that the automaton is built for at most. The benchmark is the stated query set and small beside
+#: the corpus; a larger one is refused with an error before anything is read to the driver.
+MOST_BYTES = 64 << 20
 
 
 def normalised(text: str | None) -> str:
@@ -40,31 +40,27 @@ def windows_of(text: str | None, window: int = WINDOW) -> set[str]:
     return {f" {' '.join(words[i : i + window])} " for i in range(max(1, len(words) - window + 1))} if words else set()
 
 
-class Automaton:
-    """The windows of a block of items; built in each worker from the patterns that travel."""
+class Scanner:
+    """The automaton of all windows of a benchmark, built in each worker from the items that travel, and what it finds."""
 
-    def __init__(self, patterns: dict[str, tuple[int, ...]]):
-        self.patterns, self._built = patterns, None
+    def __init__(self, items: list[tuple[object, str]], window: int = WINDOW):
+        self.items, self.window, self._automaton = items, window, None
 
     def __getstate__(self) -> dict:
-        return {"patterns": self.patterns, "_built": None}
-
-    def matches(self, text: str) -> Iterator[tuple[int, int, tuple[int, ...]]]:
-        """Start, end and items of each occurrence of a window in normalised text."""
-        if self._built is None:
-            self._built = ahocorasick.Automaton()
-            for pattern, items in self.patterns.items():
-                self._built.add_word(pattern, (len(pattern), items))
-            self._built.make_automaton()
-        for last, (length, items) in self._built.iter(text):
-            yield last + 1 - length, last + 1, items
-
-
-class Scanner:
-    """All automata of a benchmark, with what they find in a text."""
-
-    def __init__(self, automata: list[Automaton]):
-        self.automata = automata
+        return self.__dict__ | {"_automaton": None}
+
+    @property
+    def automaton(self) -> ahocorasick.Automaton:
+        if self._automaton is None:
+            patterns: dict[str, set] = {}
+            for item, text in self.items:
+                for pattern in windows_of(text, self.window):
+                    patterns.setdefault(pattern, set()).add(item)
+            self._automaton = ahocorasick.Automaton()
+            for pattern, items in patterns.items():
+                self._automaton.add_word(pattern, (len(pattern), tuple(i for i in items if i is not None)))
+            self._automaton.make_automaton()
+        return self._automaton
 
     def scan(self, text: str | None) -> tuple[int, list[tuple[int, int]], set]:
         """The number of words, the hit words as merged runs [from, to) of word numbers, and the items found."""
@@ -72,9 +68,9 @@ class Scanner:
         if not clean:
             return 0, [], set()
         spans, items = [], set()
-        for automaton in self.automata:
-            for start, end, found in automaton.matches(clean):
-                spans.append((start, end))
+        if len(self.automaton):
+            for last, (length, found) in self.automaton.iter(clean):
+                spans.append((last + 1 - length, last + 1))
                 items.update(found)
         n_words = clean.count(" ") - 1
         runs: list[list[int]] = []
@@ -96,20 +92,14 @@ class Scanner:
         return [(len(data[: ends[a][0]].decode()), len(data[: ends[b - 1][1]].decode())) for a, b in runs]
 
 
-def build(benchmark: DataFrame, window: int = WINDOW) -> Scanner:
-    """Automata of the items of ``benchmark`` (``item_id``, ``text``), read a block at a time: the benchmark is the
-    stated query set, and its windows are the only thing that travels to the tasks."""
-    rows = benchmark.select("item_id", "text").where("item_id is not null and text is not null").toLocalIterator()
-    automata, patterns = [], {}
-    while block := list(islice(rows, 1000)):
-        for r in block:
-            for pattern in windows_of(r["text"], window):
-                patterns.setdefault(pattern, set()).add(r["item_id"])
-        if len(patterns) >= BLOCK_WINDOWS:
-            automata, patterns = [*automata, Automaton({p: tuple(sorted(i)) for p, i in patterns.items()})], {}
-    if patterns:
-        automata.append(Automaton({p: tuple(sorted(i)) for p, i in patterns.items()}))
-    return Scanner(automata)
+def build(benchmark: DataFrame, window: int = WINDOW, limit: int = MOST_BYTES) -> Scanner:
+    """The scanner for the items of ``benchmark`` (``item_id``, ``text``), whose size Spark measures first."""
+    items = benchmark.select("item_id", "text").where("text is not null")
+    size = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).head()[0]
+    if size > limit:
+        raise ValueError(f"the benchmark has {size} bytes of text; {limit} are the most for one automaton")
+    ship(benchmark.sparkSession)
+    return Scanner([(r["item_id"], r["text"]) for r in items.toLocalIterator()], window)
 
 
 def scan_column(scanner: Scanner, documents: DataFrame, text: str = "text") -> Column:
@@ -134,13 +124,17 @@ def scan_column(scanner: Scanner, documents: DataFrame, text: str = "text") -> C
 def scan(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """One row per row of ``documents``: words, hit words, items whose windows occur, and the hit spans.
 
-    A null or empty text has no words; an empty benchmark hits nothing; equal items count each under its own id."""
+    A null or empty text has no words; an empty benchmark hits nothing; equal items count each under its own id. An item
+    without an id hits words like any other, but isn't counted or listed. Repeated rows give repeated results; texts of
+    any length are read whole; other columns aren't read; no rows give none."""
     found = documents.select("doc_id", scan_column(build(benchmark, window), documents).alias("s"))
     return found.select("doc_id", "s.*", (F.col("s.n_hit") > 0).alias("contaminated"))
 
 
 def drop_contaminated(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """``documents``, all columns, without the rows in which a window of the benchmark occurs."""
+    """``documents``, all columns, without the rows in which a window of the benchmark occurs.
+
+    Null and empty texts stay; repeated rows stay or go together; no rows give none."""
     name = unused(documents, "benchmark_hits")
     found = documents.withColumn(name, scan_column(build(benchmark, window), documents))
     return found.where(F.col(name)["n_hit"] == 0).drop(name)

@@ -4,8 +4,9 @@ For each language a raw-content zstandard dictionary is cut from training texts.
 dictionary; the language whose dictionary gives the fewest bytes wins. A narrow margin between the two smallest sizes
 means that the text resembles two languages equally, and the prediction is then not accepted.
 
-The classifier is fitted on a bounded sample: for each language the ``DOCS`` documents with the smallest hash of the id,
-and ``DICT_BYTES`` of their text. Prediction encodes every block of every whole text.
+The classifier is fitted on a bounded sample: for each language the ``DOCS`` different texts with the smallest hashes, and
+a piece of ``PIECE`` characters from a hashed place of each whole text, so copies and openings don't fill a dictionary.
+Prediction encodes every block of every whole text.
 """
 
 from __future__ import annotations
@@ -19,12 +20,13 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborscale.llm._shared import fold, unused
+from arborscale.llm._shared import fold, ship, unused
 
 #: The language of a text that is null or has no letters.
 UNKNOWN = "und"
-#: Bounds of the training sample of a language: documents, bytes taken from each, bytes of its dictionary.
-DOCS, DOC_BYTES, DICT_BYTES = 400, 1000, 64 * 1024
+#: Bounds of the training sample: different texts of a language, characters of each, and languages with a dictionary (those
+#: with most documents).
+DOCS, PIECE, LANGUAGES = 400, 160, 400
 #: Blocks are encoded alone, so that the dictionary and not the text's own past decides, however long the text is.
 BLOCK = 8192
 #: Least margin, as a share of the second smallest size, for a prediction to be accepted.
@@ -71,25 +73,23 @@ class CompressionModel:
 
 def fit(documents: DataFrame) -> CompressionModel:
     """Learn from the rows whose fold is not 0 with a text and a language; no such rows give a model that says
-    ``und``. The languages are taken to be few enough for a dictionary each."""
+    ``und``. Only the ``LANGUAGES`` most frequent values of ``lang`` get a dictionary."""
+    ship(documents.sparkSession)
     rows = documents.select("doc_id", "text", "lang").where("text is not null and lang is not null and length(text) > 0").where(fold() != 0)
-    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).collect()}
+    counts = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count("*").alias("n")).orderBy(F.desc("n"), "lang").limit(LANGUAGES).collect()}
     if not counts:
         return CompressionModel({})
-    # the smallest hashes of each language: a threshold that leaves a few times as many rows, then a rank among them
+    # a piece of every text that is likely to be taken: a threshold that leaves a few times as many texts, then a rank
+    of_text = F.xxhash64("lang", "text")
     share = F.create_map(*[x for k, n in sorted(counts.items()) for x in (F.lit(k), F.lit(min(1.0, 4 * DOCS / n)))])
-    by_hash = Window.partitionBy("lang").orderBy("at", "doc_id", "piece")
-    sample = (
-        rows.select("lang", "doc_id", (F.xxhash64(F.lit("lang"), "doc_id") / 2.0**64 + 0.5).alias("at"), F.substring(F.lower("text"), 1, DOC_BYTES).alias("piece"))
-        .where(F.col("at") <= share[F.col("lang")])
-        .withColumn("rank", F.row_number().over(by_hash))
-        .where(F.col("rank") <= DOCS)
-        .select("lang", "rank", "piece")
-        .collect()
-    )
+    some = rows.withColumn("at", of_text / 2.0**64 + 0.5).where(F.col("at") <= share[F.col("lang")])
+    start = F.pmod(F.xxhash64("text", F.lit("place")), F.greatest(F.length("text") - PIECE, F.lit(0)) + 1).cast("int") + 1
+    pieces = some.select("lang", "at", F.lower(F.substring("text", start, F.lit(PIECE))).alias("piece")).dropDuplicates(["lang", "at"])
+    by_hash = Window.partitionBy("lang").orderBy("at")
+    sample = pieces.withColumn("rank", F.row_number().over(by_hash)).where(F.col("rank") <= DOCS).select("lang", "rank", "piece").collect()  # LANGUAGES times DOCS rows
     samples: dict[str, bytes] = {}
     for r in sorted(sample):
-        samples[r["lang"]] = (samples.get(r["lang"], b"") + b"\n" + r["piece"].encode())[: DICT_BYTES]
+        samples[r["lang"]] = samples.get(r["lang"], b"") + b"\n" + r["piece"].encode()
     return CompressionModel({k: samples[k] for k in sorted(samples, key=lambda k: (-counts[k], k)) if len(samples[k]) >= 8})
 
 
@@ -108,13 +108,16 @@ def predict_column(model: CompressionModel, documents: DataFrame, text: str = "t
 def predict(documents: DataFrame) -> DataFrame:
     """One row per row of ``documents``: ``lang_pred``, ``score``, ``margin`` and ``accepted``.
 
-    A null text, an empty one and one without letters are ``und`` with score 0 and not accepted."""
+    A null text, an empty one and one without letters are ``und`` with score 0 and not accepted. Texts of any length are
+    encoded whole; repeated rows give repeated results; other columns aren't read; no rows give none."""
     found = documents.select("doc_id", (fold() == 0).alias("held_out"), predict_column(fit(documents), documents).alias("p"))
     return found.select("doc_id", "held_out", "p.lang_pred", "p.score", "p.margin", ((F.col("p.lang_pred") != UNKNOWN) & (F.col("p.margin") >= MARGIN)).alias("accepted"))
 
 
 def keep_identified(documents: DataFrame) -> DataFrame:
-    """``documents``, all columns, without the rows whose language is unknown or not accepted."""
+    """``documents``, all columns, without the rows whose language is unknown or not accepted.
+
+    Null and empty texts go, repeated rows stay or go together, no rows give none."""
     name = unused(documents, "language_found")
     found = documents.withColumn(name, predict_column(fit(documents), documents))
     return found.where((F.col(name)["lang_pred"] != UNKNOWN) & (F.col(name)["margin"] >= MARGIN)).drop(name)

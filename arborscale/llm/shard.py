@@ -12,7 +12,7 @@ Spark and joined to the plan.
 from __future__ import annotations
 
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 SHARDS, VIRTUAL, CELL_BITS = 24, 64, 15
@@ -67,23 +67,30 @@ def plan(counts: dict[int, int], shards: int = SHARDS, virtual: int = VIRTUAL) -
     return segments
 
 
-def cell_of(key: Column) -> Column:
-    return F.shiftrightunsigned(F.xxhash64(F.coalesce(key.cast("string"), F.lit(""))), 64 - CELL_BITS).cast("int")
+#: Equal rows that one task deals out at once.
+RUN = 1_000_000
 
 
 def shard(documents: DataFrame, shards: int = SHARDS, virtual: int = VIRTUAL) -> DataFrame:
     """One row per row of ``documents`` with its ``shard`` and its ``slot``, which counts a shard's rows from 0.
 
     ``size`` is the bytes of the text (none for null) and 8; ``text_crc32`` is that of the text, or of no bytes. The
-    law is ``rows``: counts are at most one apart. The key on the ring is the id, so equal texts spread out and a hot
-    text or source weighs on no shard; repeated ids lie side by side. An empty table gives an empty result."""
+    law is ``rows``: counts are at most one apart. The key on the ring is the id with size and checksum of the text, so a
+    hot text or source weighs on no shard, and rows without an id, or with one that repeats, spread like others. Rows
+    equal in all three are dealt as runs: they are counted before the shuffle and told apart behind it. Other columns
+    aren't read. An empty table gives an empty result."""
     spark = documents.sparkSession
     raw = F.coalesce(F.col("text"), F.lit("")).cast("binary")
-    rows = documents.select("doc_id", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"), cell_of(F.col("doc_id")).alias("cell"))
-    counts = {r["cell"]: r["n"] for r in documents.select(cell_of(F.col("doc_id")).alias("cell")).groupBy("cell").agg(F.count("*").alias("n")).collect()}
+    row = ["doc_id", "size", "text_crc32"]
+    rows = documents.select("doc_id", (F.octet_length(raw) + 8).cast("long").alias("size"), F.crc32(raw).alias("text_crc32"))
+    cell = F.shiftrightunsigned(F.xxhash64(*row), 64 - CELL_BITS).cast("int").alias("cell")
+    counts = {r["cell"]: r["n"] for r in rows.groupBy(cell).agg(F.count("*").alias("n")).collect()}  # CELLS rows at most
     # at most CELLS + CELLS * shards segments, and in fact little over CELLS: small whatever the input
     segments = spark.createDataFrame(plan(counts, shards, virtual), "cell int, first long, end long, shard int, base long")
-    in_cell = Window.partitionBy("cell").orderBy(F.xxhash64("doc_id"), "doc_id", "text_crc32", "size")
-    ranked = rows.withColumn("rank", F.row_number().over(in_cell) - 1)
-    placed = ranked.join(F.broadcast(segments), (ranked["cell"] == segments["cell"]) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
-    return placed.select("doc_id", "size", "text_crc32", F.lit("rows").alias("law"), "shard", (F.col("base") + F.col("rank") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
+    in_cell = Window.partitionBy("cell").orderBy(F.xxhash64(*row), *row)
+    ranked = rows.groupBy(*row).agg(F.count("*").alias("n")).withColumn("cell", cell).withColumn("from", F.sum("n").over(in_cell) - F.col("n"))
+    runs = ranked.withColumn("run", F.explode(F.sequence(F.lit(0).cast("long"), F.expr(f"(n - 1) div {RUN}"))))
+    last = F.least(F.col("n"), (F.col("run") + 1) * RUN) - 1
+    each = runs.withColumn("rank", F.explode(F.sequence(F.col("from") + F.col("run") * RUN, F.col("from") + last)))
+    placed = each.join(F.broadcast(segments.withColumnRenamed("cell", "of")), (F.col("cell") == F.col("of")) & (F.col("rank") >= F.col("first")) & (F.col("rank") < F.col("end")))
+    return placed.select(*row, F.lit("rows").alias("law"), "shard", (F.col("base") + F.col("rank") - F.col("first")).alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
