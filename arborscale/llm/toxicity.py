@@ -39,7 +39,7 @@ from arborscale.llm._shared import discard, fold, ship, unused, written
 
 WORD = re.compile(r"\w+")
 #: Words that a worker remembers before it starts anew, and words of text that it works on at once.
-MEMO_WORDS, BUFFER = 400_000, 500_000
+MEMO_WORDS, BUFFER = 60_000, 150_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
