@@ -7,6 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborscale.functions.groups import join_back
 from arborscale.operators import cells
 from arborscale.operators.clean import source_kind
 
@@ -16,14 +17,13 @@ def coordinate_id(prefix: Column, lat: Column, lon: Column) -> Column:
 
 
 def _counted(df: DataFrame, keys: Sequence[str], name: str) -> DataFrame:
-    """Row counts of the keys joined back: unlike a window, the count combines map-side and a hot key is split."""
-    n = df.groupBy(*keys).agg(F.count("*").alias(name))
-    return df.join(n, [*keys])
+    """Row counts of the keys joined back."""
+    return join_back(df, df.groupBy(*keys).agg(F.count("*").alias(name)), keys)
 
 
 def disambiguated(df: DataFrame, key: str, second: str) -> DataFrame:
-    """Ids that repeat get a second key appended on each of their rows."""
-    return _counted(df, [key], "n_").withColumn(key, F.when(F.col("n_") > 1, F.concat_ws("-", key, second)).otherwise(F.col(key))).drop("n_")
+    """Ids that repeat get a second key appended on each of their rows; rows without an id stay as they are."""
+    return _counted(df, [key], "n_").withColumn(key, F.when((F.col("n_") > 1) & F.col(key).isNotNull(), F.concat_ws("-", key, second)).otherwise(F.col(key))).drop("n_")
 
 
 def drop_stacked(df: DataFrame, key: str, agree: Sequence[str], order: str) -> DataFrame:
@@ -123,7 +123,7 @@ def corrected(trees: DataFrame, reports: DataFrame) -> DataFrame:
 def impute_mean(df: DataFrame, value: str, keys: Sequence[str]) -> DataFrame:
     """Missing values as the mean of their group."""
     mean = df.groupBy(*keys).agg(F.avg(value).alias("mean_"))
-    return df.join(mean, [*keys]).withColumn(value, F.coalesce(value, "mean_")).drop("mean_")
+    return join_back(df, mean, keys).withColumn(value, F.coalesce(value, "mean_")).drop("mean_")
 
 
 def border_duplicates(df: DataFrame, lat_deg: float, lon_deg: float, rank: Column) -> DataFrame:

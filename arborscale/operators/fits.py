@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborscale.functions.groups import join_back
 from arborscale.operators.rollups import ols
 
 
@@ -88,7 +89,7 @@ def average_ranks(rows: DataFrame, value: str, name: str, keys: Sequence[str] =
     by_value = rows.groupBy(*keys, value).agg(F.count("*").alias("n_"))
     w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     ranks = by_value.withColumn(name, F.coalesce(F.sum("n_").over(w), F.lit(0)) + (F.col("n_") + 1) / 2).drop("n_")
-    return rows.join(ranks, [*keys, value])
+    return join_back(rows, ranks, [*keys, value])
 
 
 def correlations(rows: DataFrame, x: str, y: str, keys: Sequence[str] = (), least: int = 6) -> DataFrame:

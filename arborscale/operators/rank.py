@@ -7,28 +7,32 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborscale.functions.groups import join_back
+
 
 def with_group_counts(df: DataFrame, keys: Sequence[str], counts: Mapping[str, Column]) -> DataFrame:
     """Rows with counts over their group. The aggregate combines map-side and is joined back, so a group with a third
     of all rows is never sorted in one task, as a window would."""
     n = df.groupBy(*keys).agg(*[F.count_if(c).alias(name) for name, c in counts.items()])
-    return df.join(n, [*keys])
+    return join_back(df, n, keys)
 
 
 def rarity(counts: DataFrame) -> DataFrame:
-    """Share and tier of each species of a city, from a rollup with ``trees``."""
-    total = F.sum("trees").over(Window.partitionBy("city"))
-    n = F.col("trees")
+    """Share of a city's identified trees and tier of each species, from a rollup with ``trees``; trees without a species
+    have neither and don't count."""
+    known = F.col("species").isNotNull()
+    total = F.sum(F.when(known, F.col("trees"))).over(Window.partitionBy("city"))
+    n = F.when(known, F.col("trees"))
     tier = F.when(F.col("species").isNotNull(), F.when(n * 100 <= total, "rare").when(n * 20 <= total, "unusual").otherwise("common"))
     return counts.withColumn("share", n / total).withColumn("tier", tier)
 
 
 def size_rank(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Competition rank of positive values in their group, largest first.
+    """Competition rank of positive finite values in their group, largest first; other rows have none.
 
     A rank is one more than the number of larger values, so it is summed over the distinct values of a group and joined
     back instead of sorting every row of a group in one task."""
-    by_value = df.where(F.col(value) > 0).groupBy(key, value).agg(F.count("*").alias("n_"))
+    by_value = df.where((F.col(value) > 0) & (F.col(value) < float("inf"))).groupBy(key, value).agg(F.count("*").alias("n_"))
     over = Window.partitionBy(key).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
     ranks = by_value.withColumn("size_rank", (F.coalesce(F.sum("n_").over(over), F.lit(0)) + 1).cast("int")).drop("n_")
     return df.join(ranks, [key, value], "left")
@@ -61,7 +65,7 @@ def outliers(df: DataFrame, key: str, value: str, least: float, factor: float, f
     mean = df.groupBy(key).agg(F.avg(value).alias("mean_"), F.count(value).alias("n_"))
     v = F.col(value)
     flag = (v >= least) & (v > factor * F.col("mean_")) & (F.col("n_") >= few) & ~exempt
-    return df.join(mean, key).withColumn("outlier", F.coalesce(flag, F.lit(False))).drop("mean_", "n_")
+    return join_back(df, mean, [key]).withColumn("outlier", F.coalesce(flag, F.lit(False))).drop("mean_", "n_")
 
 
 def queue(df: DataFrame, key: str, strata: Sequence[tuple[Column, Sequence[Column], int]]) -> DataFrame:

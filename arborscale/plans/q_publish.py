@@ -179,14 +179,14 @@ def _(v: Views) -> DataFrame:
     return v.spark.read.parquet(path).select("tree_id", F.col("block").cast("long").alias("block"))
 
 
-@query("s9_published_blocks", f"WITH {BLOCKS} SELECT ((x >> 12) << 24) | (y >> 12) AS block, city, count(*) AS rows, sum(('0x' || substr(md5(concat_ws('|', tree_id, species)), 1, 8))::BIGINT)::BIGINT AS content FROM bl GROUP BY ALL")
+@query("s9_published_blocks", f"WITH {BLOCKS} SELECT ((x >> 12) << 24) | (y >> 12) AS block, city, count(*) AS rows, sum(('0x' || substr(md5(concat_ws('|', coalesce('=' || tree_id, 'null'), coalesce('=' || species, 'null'))), 1, 12))::BIGINT)::BIGINT AS content FROM bl GROUP BY ALL")
 def _(v: Views) -> DataFrame:
     path = scratch(v.spark, "published")
     blocks.write_blocks(blocks.with_block(v.obs, 20, 12).select("tree_id", "city", "species", "block", "morton"), path, 8)
     return blocks.manifest(v.spark.read.parquet(path).withColumn("block", F.col("block").cast("long")), ["tree_id", "species"])
 
 
-@query("w3_block_manifest", f"WITH {BLOCKS} SELECT block, city, count(*) AS rows, sum(('0x' || substr(md5(concat_ws('|', tree_id, species)), 1, 8))::BIGINT)::BIGINT AS content FROM bl GROUP BY ALL")
+@query("w3_block_manifest", f"WITH {BLOCKS} SELECT block, city, count(*) AS rows, sum(('0x' || substr(md5(concat_ws('|', coalesce('=' || tree_id, 'null'), coalesce('=' || species, 'null'))), 1, 12))::BIGINT)::BIGINT AS content FROM bl GROUP BY ALL")
 def _(v: Views) -> DataFrame:
     return blocks.manifest(blocks.with_block(v.obs, 20, 4), ["tree_id", "species"])
 

@@ -172,12 +172,12 @@ def _(v: Views) -> DataFrame:
     return rank.with_group_counts(out, ["city", "species"], {"of_species": F.lit(True)}).select("tree_id", "measured", "of_species")
 
 
-@query("r2_rarity", "WITH {OBS}, n AS (SELECT city, species, count(*) AS n FROM obs GROUP BY ALL) SELECT city, species, round(n / sum(n) OVER (PARTITION BY city), 6) AS share, CASE WHEN n * 100 <= sum(n) OVER (PARTITION BY city) THEN 'rare' WHEN n * 20 <= sum(n) OVER (PARTITION BY city) THEN 'unusual' ELSE 'common' END AS tier FROM n")
+@query("r2_rarity", "WITH {OBS}, n AS (SELECT city, species, count(*) AS n FROM obs GROUP BY ALL) SELECT city, species, CASE WHEN species IS NOT NULL THEN round(n / t, 6) END AS share, CASE WHEN species IS NULL THEN NULL WHEN n * 100 <= t THEN 'rare' WHEN n * 20 <= t THEN 'unusual' ELSE 'common' END AS tier FROM (SELECT *, sum(n) FILTER (species IS NOT NULL) OVER (PARTITION BY city) AS t FROM n)")
 def _(v: Views) -> DataFrame:
     return rank.rarity(rollups.count_by(v.obs, "city", "species")).select("city", "species", F.round("share", 6).alias("share"), "tier")
 
 
-@query("r3_size_rank", "WITH {OBS} SELECT tree_id, CASE WHEN dbh > 0 THEN rank() OVER (PARTITION BY city ORDER BY dbh DESC NULLS LAST) END::INT AS size_rank FROM obs")
+@query("r3_size_rank", "WITH {OBS} SELECT tree_id, CASE WHEN dbh > 0 AND isfinite(dbh) THEN rank() OVER (PARTITION BY city ORDER BY CASE WHEN isfinite(dbh) THEN dbh END DESC NULLS LAST) END::INT AS size_rank FROM obs")
 def _(v: Views) -> DataFrame:
     return rank.size_rank(v.obs, "city", "dbh").select("tree_id", "size_rank")
 
