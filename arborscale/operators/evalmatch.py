@@ -192,8 +192,8 @@ def occupancy(groups: DataFrame, hits: DataFrame) -> DataFrame:
     return a.withColumn("precision", F.col("covered") / (F.col("covered") + F.col("excess"))).withColumn("recall", F.col("covered") / (F.col("covered") + F.col("missed")))
 
 
-def threshold_sweep(scored: DataFrame, truth: int | Column, thresholds: Sequence[float]) -> DataFrame:
-    """tp, fp and fn at each threshold from rows (``score``, ``hit``).
+def threshold_sweep(scored: DataFrame, truth: DataFrame, thresholds: Sequence[float]) -> DataFrame:
+    """tp, fp and fn at each threshold from rows (``score``, ``hit``); ``truth`` has one row with the number of true objects as ``truth``.
 
     Each row counts in the highest threshold that it reaches, and cumulative sums over the few thresholds give the
     rest: one aggregate, no sort of the rows."""
@@ -203,18 +203,19 @@ def threshold_sweep(scored: DataFrame, truth: int | Column, thresholds: Sequence
     every = scored.sparkSession.createDataFrame([(float(t),) for t in thresholds], "threshold double").join(n, "threshold", "left").na.fill(0)
     w = Window.orderBy(F.desc("threshold")).rowsBetween(Window.unboundedPreceding, 0)
     tp = F.sum("t").over(w)
-    return every.select("threshold", tp.alias("tp"), F.sum("f").over(w).alias("fp"), (F.lit(truth) - tp).alias("fn"))
+    return every.crossJoin(truth).select("threshold", tp.alias("tp"), F.sum("f").over(w).alias("fp"), (F.col("truth") - tp).alias("fn"))
 
 
-def average_precision(scored: DataFrame, truth: int) -> DataFrame:
-    """Area under the monotone envelope of precision over recall, from rows (``score``, ``hit``).
+def average_precision(scored: DataFrame, truth: DataFrame) -> DataFrame:
+    """Area under the monotone envelope of precision over recall, from rows (``score``, ``hit``); ``truth`` has one row
+    with the number of true objects as ``truth``.
 
     Rows of one score are counted together first, so the ordered part is as long as there are scores."""
     steps = scored.groupBy("score").agg(F.count_if("hit").alias("t"), F.count("*").alias("n"))
     down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
     curve = steps.withColumn("precision", F.sum("t").over(down) / F.sum("n").over(down))
     best = F.max("precision").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0))
-    return curve.withColumn("envelope", best).agg((F.sum(F.col("envelope") * F.col("t")) / truth).alias("average_precision"))
+    return curve.withColumn("envelope", best).agg(F.sum(F.col("envelope") * F.col("t")).alias("area")).crossJoin(truth).select((F.col("area") / F.col("truth")).alias("average_precision"))
 
 
 def mutual_offsets(pairs: DataFrame, low: float, high: float) -> DataFrame:

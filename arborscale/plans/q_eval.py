@@ -182,21 +182,26 @@ def _(v: Views) -> DataFrame:
     return w.crossJoin(F.broadcast(e.agg(F.countDistinct(F.floor("value")).alias("cells"))))
 
 
-SCORED = "sc AS (SELECT value / 500 AS score, event_type IN ('view', 'click') AS hit FROM events)"
+#: True objects are all events of four kinds; those of two kinds are found.
+SCORED = "sc AS (SELECT value / 500 AS score, event_type IN ('view', 'click') AS hit FROM events), tr AS (SELECT count(*) AS truth FROM events WHERE event_type <> 'purchase')"
 
 
 def scored(v: Views) -> DataFrame:
     return v.table("events").select((F.col("value") / 500).alias("score"), F.col("event_type").isin("view", "click").alias("hit"))
 
 
-@query("r17_threshold_sweep", f"WITH {SCORED} SELECT t / 100.0::DOUBLE AS threshold, count_if(hit AND score >= t / 100.0::DOUBLE) AS tp, count_if(NOT hit AND score >= t / 100.0::DOUBLE) AS fp, 5000 - count_if(hit AND score >= t / 100.0::DOUBLE) AS fn FROM sc, range(1, 96) r(t) GROUP BY t")
+def truth(v: Views) -> DataFrame:
+    return v.table("events").where("event_type <> 'purchase'").agg(F.count("*").alias("truth"))
+
+
+@query("r17_threshold_sweep", f"WITH {SCORED} SELECT t / 100.0::DOUBLE AS threshold, count_if(hit AND score >= t / 100.0::DOUBLE) AS tp, count_if(NOT hit AND score >= t / 100.0::DOUBLE) AS fp, (SELECT truth FROM tr) - count_if(hit AND score >= t / 100.0::DOUBLE) AS fn FROM sc, range(1, 96) r(t) GROUP BY t")
 def _(v: Views) -> DataFrame:
-    return ev.threshold_sweep(scored(v), 5000, [t / 100 for t in range(1, 96)])
+    return ev.threshold_sweep(scored(v), truth(v), [t / 100 for t in range(1, 96)])
 
 
-@query("r18_average_precision", f"WITH {SCORED}, s AS (SELECT score, count_if(hit) AS t, count(*) AS n FROM sc GROUP BY score), c AS (SELECT score, t, sum(t) OVER (ORDER BY score DESC) / sum(n) OVER (ORDER BY score DESC) AS p FROM s), e AS (SELECT t, max(p) OVER (ORDER BY score) AS p FROM c) SELECT round(sum(t * p) / 5000, 6) AS average_precision FROM e")
+@query("r18_average_precision", f"WITH {SCORED}, s AS (SELECT score, count_if(hit) AS t, count(*) AS n FROM sc GROUP BY score), c AS (SELECT score, t, sum(t) OVER (ORDER BY score DESC) / sum(n) OVER (ORDER BY score DESC) AS p FROM s), e AS (SELECT t, max(p) OVER (ORDER BY score) AS p FROM c) SELECT round(sum(t * p) / (SELECT truth FROM tr), 6) AS average_precision FROM e")
 def _(v: Views) -> DataFrame:
-    return ev.average_precision(scored(v), 5000).select(F.round("average_precision", 6).alias("average_precision"))
+    return ev.average_precision(scored(v), truth(v)).select(F.round("average_precision", 6).alias("average_precision"))
 
 
 @query("r19_mutual_offsets", f"""WITH {EV}, c AS (SELECT p.chip, p.id AS p_id, t.id AS t_id, sqrt((p.x - t.x) ** 2 + (p.y - t.y) ** 2) AS d FROM pred p JOIN truth t USING (chip) WHERE t.dbh >= 16 AND sqrt((p.x - t.x) ** 2 + (p.y - t.y) ** 2) <= 12), a AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY p_id ORDER BY d, t_id) = 1), b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY t_id ORDER BY d, p_id) = 1)
