@@ -166,9 +166,19 @@ def absorbed(predictions: DataFrame, published: DataFrame, lat_deg: float, lon_d
     return predictions.select("tree_id").join(hit, "tree_id", "left").select("tree_id", F.coalesce("absorbed", F.lit(False)).alias("absorbed"))
 
 
-def patch_replace(old: DataFrame, new: DataFrame, covered: DataFrame) -> DataFrame:
-    """Old rows of covered tiles give way to the new rows there; all others stay."""
-    return old.join(covered, "tile", "left_anti").unionByName(new.join(covered, "tile", "left_semi"))
+def patch_replace(old: DataFrame, new: DataFrame, covered: DataFrame, radius: float, stop: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Old rows (``id``, ``score``, ``x``, ``y``, ``tile``, ``tx``, ``ty``) of covered tiles (``tx``, ``ty``) give way to the
+    new rows there. The old rows of the ring of tiles around the patch are deduplicated with the new rows, the higher score
+    stays; all others stay as they are."""
+    at = ["tx", "ty"]
+    wide = cells.neighbours(covered.select(*at), *at, 1).select(F.col("nx").alias("tx"), F.col("ny").alias("ty")).distinct()
+    outside = old.join(covered, at, "left_anti")
+    edge, rest = outside.join(wide, at, "left_semi"), outside.join(wide, at, "left_anti")
+    fresh = new.join(covered, at, "left_semi")
+    # rows of the base never contest each other
+    contest = stop(fresh.unionByName(edge.withColumn("tile", F.lit("base"))))
+    kept = greedy_suppress(contest, stop(seam_conflicts(contest, radius)), stop).where("kept").select("id")
+    return rest.unionByName(edge.join(kept, "id", "left_semi")).unionByName(fresh.join(kept, "id", "left_semi"))
 
 
 def content_id(*parts: Column | str) -> Column:

@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborscale.operators import lookups
+
 
 def candidate_pairs(predictions: DataFrame, truth: DataFrame, radius: Column | float) -> DataFrame:
     """Pairs of one chip within a radius, which may be a column of the truth (``radius``)."""
@@ -50,12 +52,24 @@ def match_counts(predictions: DataFrame, truth: DataFrame, matches: DataFrame, m
     return a.crossJoin(F.broadcast(n)).select("tp", "fp", (F.col("truth") - F.col("tp")).alias("fn"), "ignored", *f_scores(F.col("tp"), F.col("fp"), F.col("truth") - F.col("tp")))
 
 
-def model_diff(truth: DataFrame, one: DataFrame, other: DataFrame) -> DataFrame:
-    """Each truth by which of two models matched it."""
+def above(matches: DataFrame, predictions: DataFrame, threshold: float) -> DataFrame:
+    """Matches whose prediction scores the threshold or more. As the higher score matches first, these are the matches
+    of the predictions over the threshold alone."""
+    return matches.join(predictions.where(F.col("score") >= threshold).select(F.col("id").alias("p_id")), "p_id", "left_semi")
+
+
+def model_diff(truth: DataFrame, one: DataFrame, other: DataFrame, looser: Mapping[str, DataFrame] | None = None) -> DataFrame:
+    """Each truth by which of two models matched it (``change``). A regression also gets a ``diagnosis``: the first of the
+    looser settings of the second model whose matches hold it, else ``not recovered``."""
     hit = lambda m, c: m.select(F.col("t_id").alias("id"), F.lit(True).alias(c))
     both = truth.select("id").join(hit(one, "a"), "id", "left").join(hit(other, "b"), "id", "left")
+    found = []
+    for i, (label, matches) in enumerate((looser or {}).items()):
+        both = both.join(hit(matches, f"l{i}"), "id", "left")
+        found.append(F.when(F.col(f"l{i}").isNotNull(), label))
     a, b = F.col("a").isNotNull(), F.col("b").isNotNull()
-    return both.select("id", F.when(a & b, "both hit").when(a, "regression").when(b, "improvement").otherwise("both miss").alias("change"))
+    diagnosis = F.when(a & ~b, F.coalesce(*found, F.lit("not recovered")))
+    return both.select("id", F.when(a & b, "both hit").when(a, "regression").when(b, "improvement").otherwise("both miss").alias("change"), diagnosis.alias("diagnosis"))
 
 
 def coverage_check(requested: DataFrame, processed: DataFrame) -> DataFrame:
@@ -77,6 +91,12 @@ def taxonomy(rows: DataFrame, least: int, cap: int) -> DataFrame:
     return n.orderBy(F.desc("rows"), "species").limit(cap).withColumn("species_id", F.row_number().over(Window.orderBy(F.desc("rows"), "species")) - 1)
 
 
+def genus_taxonomy(table: DataFrame) -> DataFrame:
+    """The genera of a taxonomy's species, numbered by name from 0: ``genus``, ``genus_id``."""
+    genera = table.select(F.split_part("species", F.lit(" "), F.lit(1)).alias("genus")).distinct()
+    return genera.withColumn("genus_id", F.row_number().over(Window.orderBy("genus")) - 1)
+
+
 def encoded(rows: DataFrame, table: DataFrame) -> DataFrame:
     """Rows with their species number, -1 for others."""
     return rows.join(table.select("species", "species_id"), "species", "left").withColumn("species_id", F.coalesce("species_id", F.lit(-1)))
@@ -117,15 +137,27 @@ def snapshot_gain(before: DataFrame, after: DataFrame, key: str, metrics: Sequen
     return after.join(b, key).select(key, *[(F.col(m) - F.col(f"b_{m}")).alias(m) for m in metrics])
 
 
-def rebuild_labels(labels: DataFrame, excluded: DataFrame, corrections: DataFrame, offset: tuple[float, float], chip: float) -> DataFrame:
+def rebuild_labels(labels: DataFrame, excluded: DataFrame, corrections: DataFrame, offset: tuple[float, float], chip: float, targets: Mapping[str, str] | None = None, mixed: str = "raise") -> DataFrame:
     """Labels from feedback: excluded trees go; a correction (``dx``, ``dy``), else the global offset, moves the rest;
-    chip and cell follow; cells that hold two trees go."""
+    chip and cell follow; cells that hold two trees go; a target is null where its eligibility column isn't true.
+
+    A chip whose trees come from more than one ``split`` is refused: the job fails, or with ``mixed="drop"`` the chip
+    goes."""
+    if mixed not in ("raise", "drop"):
+        raise ValueError(f"mixed is raise or drop, not {mixed}")
     c = corrections.select("id", "dx", "dy")
     moved = labels.join(excluded.select("id"), "id", "left_anti").join(c, "id", "left")
     moved = moved.withColumn("x", F.col("x") + F.coalesce("dx", F.lit(offset[0]))).withColumn("y", F.col("y") + F.coalesce("dy", F.lit(offset[1])))
     placed = moved.withColumn("chip", F.concat_ws("_", F.floor(F.col("x") / chip), F.floor(F.col("y") / chip))).withColumn("cell", F.concat_ws("_", F.floor("x"), F.floor("y")))
-    single = placed.groupBy("cell").agg(F.count("*").alias("n_")).where("n_ = 1").select("cell")
-    return placed.join(single, "cell", "left_semi").drop("dx", "dy")
+    torn = placed.groupBy("chip").agg(F.count_distinct("split").alias("n_")).where("n_ > 1").select("chip", F.lit(True).alias("torn_"))
+    if mixed == "drop":
+        whole = placed.join(torn, "chip", "left_anti")
+    else:
+        refuse = F.raise_error(F.concat(F.lit("trees of several splits in chip "), F.col("chip"))).cast("boolean")
+        whole = placed.join(torn, "chip", "left").where(F.when(F.col("torn_").isNull(), True).otherwise(refuse)).drop("torn_")
+    single = whole.groupBy("cell").agg(F.count("*").alias("n_")).where("n_ = 1").select("cell")
+    kept = whole.join(single, "cell", "left_semi").drop("dx", "dy")
+    return kept.withColumns({t: F.when(F.col(flag), F.col(t)) for t, flag in (targets or {}).items()})
 
 
 def change_categories(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
@@ -136,6 +168,11 @@ def change_categories(old: DataFrame, new: DataFrame, key: str, fields: Sequence
     return both.select(F.coalesce("ok", "nk").alias(key), change.alias("change")).where("change is not null")
 
 
+def field_changes(old: DataFrame, new: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
+    """How many rows of both snapshots differ in each field: ``field``, ``rows``."""
+    return lookups.differences(old, new, key, fields).where(F.col("field").isin(*fields)).groupBy("field").agg(F.count("*").alias("rows"))
+
+
 def window_reasons(tiles: DataFrame) -> DataFrame:
     """How many tiles (``split``, ``guarded``, ``inside``, ``valid``) are used or refused, by reason."""
     reason = F.when(F.col("split") == "test", "test").when(F.col("guarded"), "guarded").when(~F.col("inside"), "outside").when(F.col("valid") < 0.5, "invalid").otherwise("used")
@@ -154,6 +191,33 @@ def class_metrics(table: DataFrame) -> DataFrame:
     return sums.select("class", "tp", "fp", "fn", *f_scores(F.col("tp"), F.col("fp"), F.col("fn"))[:3])
 
 
+def overall_metrics(table: DataFrame) -> DataFrame:
+    """One row: accuracy, and macro precision, recall and F1 over the classes that occur as truth, from a confusion
+    table."""
+    right = F.sum(F.when(F.col("truth") == F.col("predicted"), F.col("n")).otherwise(0)) / F.sum("n")
+    macro = class_metrics(table).where(F.col("tp") + F.col("fn") > 0).agg(*[F.avg(c).alias(f"macro_{c}") for c in ("precision", "recall", "f1")])
+    return table.agg(right.alias("accuracy")).crossJoin(F.broadcast(macro))
+
+
+def top_k_accuracy(rows: DataFrame, ks: Sequence[int]) -> DataFrame:
+    """One row: the share of rows whose ``truth`` is among the first k of ``candidates``, for each k."""
+    return rows.agg(*[F.avg(F.coalesce(F.array_contains(F.slice("candidates", 1, k), F.col("truth")), F.lit(False)).cast("int")).alias(f"top_{k}") for k in ks])
+
+
+def top_confusions(table: DataFrame, k: int = 5) -> DataFrame:
+    """The commonest wrong predictions of each true class, from a confusion table: ``truth``, ``predicted``, ``n``,
+    ``place``."""
+    place = F.row_number().over(Window.partitionBy("truth").orderBy(F.desc("n"), "predicted"))
+    return table.where("truth <> predicted").withColumn("place", place).where(F.col("place") <= k)
+
+
+def joint_accuracy(rows: DataFrame, tolerance: float) -> DataFrame:
+    """One row: rows with both truths, and the share whose class is right and whose size is within the tolerance."""
+    known = rows.where("truth is not null and true_size is not null")
+    right = (F.col("truth") == F.col("predicted")) & (F.abs(F.col("size") - F.col("true_size")) <= tolerance)
+    return known.agg(F.count("*").alias("rows"), F.avg(F.coalesce(right, F.lit(False)).cast("int")).alias("joint_accuracy"))
+
+
 def error_metrics(rows: DataFrame, keys: Sequence[str] = ()) -> DataFrame:
     """Mean absolute, root mean square and mean error of ``predicted`` against ``truth``."""
     e = F.col("predicted") - F.col("truth")
@@ -166,10 +230,11 @@ def tagged_report(rows: DataFrame) -> DataFrame:
     return rows.select("city", "hit", F.explode(tags).alias("tag")).groupBy("city", "tag").agg(F.count("*").alias("n"), F.count_if("hit").alias("hits"))
 
 
-def weighted_majority(candidates: DataFrame, floor: float, order: Sequence[str]) -> DataFrame:
-    """For each row (``id``, ``habit``, ``p``) the first habit in order that holds the floor of the total."""
-    s = candidates.groupBy("id").agg(F.sum("p").alias("all"), *[F.sum(F.when(F.col("habit") == h, F.col("p")).otherwise(0.0)).alias(f"s{i}") for i, h in enumerate(order)])
-    return s.select("id", F.coalesce(*[F.when(F.col(f"s{i}") >= floor * F.col("all"), F.lit(h)) for i, h in enumerate(order)]).alias("habit"))
+def weighted_majority(candidates: DataFrame, floor: float, arms: Mapping[str, Sequence[str]]) -> DataFrame:
+    """For each row (``id``, ``habit``, ``p``) the first arm in order whose habits together hold the floor of the
+    total."""
+    s = candidates.groupBy("id").agg(F.sum("p").alias("all"), *[F.sum(F.when(F.col("habit").isin(*habits), F.col("p")).otherwise(0.0)).alias(f"s{i}") for i, habits in enumerate(arms.values())])
+    return s.select("id", F.coalesce(*[F.when(F.col(f"s{i}") >= floor * F.col("all"), F.lit(h)) for i, h in enumerate(arms)]).alias("habit"))
 
 
 def unanimous(rows: DataFrame, key: str, label: str) -> DataFrame:

@@ -116,11 +116,18 @@ def _(v: Views) -> DataFrame:
 def detections(v: Views) -> DataFrame:
     """Scored points in metres on tiles, from the observations of detectors."""
     x, y = cells.metric_xy(F.col("latitude"), F.col("longitude"), 40.0, -71.0)
-    rows = v.obs.where("line in (3, 4)").select(F.col("tree_id").alias("id"), F.col("dbh").alias("score"), x.alias("x"), y.alias("y"))
+    rows = v.obs.where("line in (3, 4)").select(F.col("tree_id").alias("id"), F.col("dbh").alias("score"), x.alias("x"), y.alias("y"), "line")
     return rows.where("score is not null").withColumn("tile", F.concat_ws("_", F.floor(F.col("x") / 100), F.floor(F.col("y") / 100)))
 
 
-@query("d13_seam_dedup")
+DET = "{OBS}, det AS (SELECT *, concat_ws('_', floor(x / 100)::BIGINT, floor(y / 100)::BIGINT) AS tile FROM (SELECT tree_id AS id, dbh AS score, (longitude + 71) * (111320.0 * cos(radians(40.0))) AS x, (latitude - 40) * 111320.0 AS y, line FROM obs WHERE line IN (3, 4) AND dbh IS NOT NULL))"
+#: Twin of the greedy suppression: a walk over the rows that have conflicts, with the list of rows gone so far.
+GREEDY = """o AS MATERIALIZED (SELECT second AS id, list(first) AS ahead, row_number() OVER (ORDER BY any_value(s) DESC, second) AS i FROM conflicts GROUP BY second),
+w(i, gone) AS (SELECT 0::BIGINT, []::VARCHAR[] UNION ALL SELECT o.i, CASE WHEN len(list_filter(o.ahead, lambda a: NOT list_contains(w.gone, a))) > 0 THEN list_append(w.gone, o.id) ELSE w.gone END FROM w JOIN o ON o.i = w.i + 1), gone AS MATERIALIZED (SELECT unnest(arg_max(gone, i)) AS id FROM w)"""
+
+
+@query("d13_seam_dedup", f"""WITH RECURSIVE {DET}, conflicts AS MATERIALIZED (SELECT a.id AS first, b.id AS second, b.score AS s FROM det a JOIN det b ON floor(a.x / 8) BETWEEN floor(b.x / 8) - 1 AND floor(b.x / 8) + 1 AND a.tile <> b.tile AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 64 AND (a.score > b.score OR (a.score = b.score AND a.id < b.id))), {GREEDY}
+SELECT id, id NOT IN (FROM gone) AS kept FROM det""")
 def _(v: Views) -> DataFrame:
     rows = checkpointed(detections(v))
     return dedup.greedy_suppress(rows, checkpointed(dedup.seam_conflicts(rows, 8.0)), checkpointed).select("id", "kept")
@@ -132,11 +139,16 @@ def _(v: Views) -> DataFrame:
     return dedup.absorbed(v.obs.where("line = 4"), v.obs.where("line > 5"), LAT, LON)
 
 
-@query("d15_patch_replace", """WITH {OBS}, t AS (SELECT tree_id, line, floor(latitude * 1000)::BIGINT AS tile FROM obs), c AS (SELECT DISTINCT tile FROM t WHERE tile % 4 = 0)
-SELECT tree_id FROM t WHERE line <= 3 AND tile NOT IN (FROM c) UNION ALL SELECT tree_id FROM t WHERE line > 3 AND tile IN (FROM c)""")
+PATCH = "tx % 7 = 0 AND ty % 5 = 0"
+
+
+@query("d15_patch_replace", f"""WITH RECURSIVE {DET}, t AS (SELECT *, floor(x / 100)::BIGINT AS tx, floor(y / 100)::BIGINT AS ty FROM det), cov AS (SELECT DISTINCT tx, ty FROM t WHERE {PATCH}), ring AS (SELECT DISTINCT tx + i AS tx, ty + j AS ty FROM cov, range(-1, 2) a(i), range(-1, 2) b(j) EXCEPT FROM cov),
+fresh AS (SELECT id, score, x, y, tile FROM t WHERE line = 4 AND (tx, ty) IN (SELECT (tx, ty) FROM cov)), edge AS (SELECT id, score, x, y, 'base' AS tile FROM t WHERE line = 3 AND (tx, ty) IN (SELECT (tx, ty) FROM ring)), bt AS (FROM fresh UNION ALL FROM edge),
+conflicts AS MATERIALIZED (SELECT a.id AS first, b.id AS second, b.score AS s FROM bt a JOIN bt b ON floor(a.x / 8) BETWEEN floor(b.x / 8) - 1 AND floor(b.x / 8) + 1 AND a.tile <> b.tile AND (a.x - b.x) ** 2 + (a.y - b.y) ** 2 <= 64 AND (a.score > b.score OR (a.score = b.score AND a.id < b.id))), {GREEDY}
+SELECT id FROM t WHERE line = 3 AND (tx, ty) NOT IN (SELECT (tx, ty) FROM ring) AND (tx, ty) NOT IN (SELECT (tx, ty) FROM cov) UNION ALL SELECT id FROM bt WHERE id NOT IN (FROM gone)""")
 def _(v: Views) -> DataFrame:
-    t = v.obs.select("tree_id", "line", F.floor(F.col("latitude") * 1000).alias("tile"))
-    return dedup.patch_replace(t.where("line <= 3"), t.where("line > 3"), t.where("tile % 4 = 0").select("tile").distinct()).select("tree_id")
+    t = detections(v).withColumns({"tx": F.floor(F.col("x") / 100), "ty": F.floor(F.col("y") / 100)})
+    return dedup.patch_replace(t.where("line = 3"), t.where("line = 4"), t.where(PATCH).select("tx", "ty").distinct(), 8.0, checkpointed).select("id")
 
 
 @query("d16_content_ids", "WITH {OBS} SELECT tree_id, sha1(concat('run|1|', city, '|', tree_id)) AS content_id FROM obs")
@@ -144,7 +156,8 @@ def _(v: Views) -> DataFrame:
     return v.obs.select("tree_id", dedup.content_id(F.lit("run"), F.lit("1"), "city", "tree_id").alias("content_id"))
 
 
-@query("d17_peak_ties")
+@query("d17_peak_ties", f"""WITH RECURSIVE {DET}, conflicts AS MATERIALIZED (SELECT a.id AS first, b.id AS second, b.score AS s FROM det a JOIN det b ON a.score = b.score AND a.tile = b.tile AND a.id < b.id AND abs(floor(a.x) - floor(b.x)) <= 2 AND abs(floor(a.y) - floor(b.y)) <= 2), {GREEDY}
+SELECT id, id NOT IN (FROM gone) AS kept FROM det""")
 def _(v: Views) -> DataFrame:
     rows = checkpointed(detections(v).select("id", "score", "tile", F.floor("x").alias("x"), F.floor("y").alias("y")))
     near = cells.pairs_within(rows.where("score is not null"), rows, 4.0, keys=("tile", "score"))

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from arborscale.functions.lineage import checkpointed
 from arborscale.operators import evalmatch as ev
+from arborscale.operators import rank
 from arborscale.plans.q_lookups import PTS, points
 from arborscale.plans.registry import Views, query
 
@@ -32,32 +33,58 @@ def matched(v: Views, radius: float = 12.0, nearest_first: bool = False) -> Data
     return ev.greedy_match(ev.candidate_pairs(*tables(v), radius), checkpointed, nearest_first)
 
 
-@query("e1_greedy_match")
+def greedy_sql(radius: str = "12", pred: str = "pred", k: str = "") -> str:
+    """Twin of the greedy match: a walk over the predictions of each chip with the list of truths taken so far. The last
+    table is ``m`` (``p_id``, ``t_id``, ``distance``); ``k`` sets the tables of one match apart from another's."""
+    d = "sqrt((p.x - t.x) ** 2 + (p.y - t.y) ** 2)"
+    return f"""c{k} AS MATERIALIZED (SELECT p.chip, p.id AS p_id, t.id AS t_id, p.score, {d} AS d FROM {pred} p JOIN truth t USING (chip) WHERE {d} <= {radius}),
+o{k} AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY chip ORDER BY score DESC, p_id) AS i FROM (SELECT chip, p_id, score, list(t_id ORDER BY d, t_id) AS ts FROM c{k} GROUP BY ALL)),
+w{k}(chip, i, taken, p_id, t_id) AS (SELECT DISTINCT chip, 0::BIGINT, []::VARCHAR[], NULL::VARCHAR, NULL::VARCHAR FROM o{k} UNION ALL SELECT chip, i, CASE WHEN f IS NULL THEN taken ELSE list_append(taken, f) END, p_id, f FROM (SELECT w.chip, w.taken, o.i, o.p_id, list_filter(o.ts, lambda t: NOT list_contains(w.taken, t))[1] AS f FROM w{k} w JOIN o{k} o ON w.chip = o.chip AND o.i = w.i + 1)),
+m{k} AS MATERIALIZED (SELECT p_id, t_id, d AS distance FROM w{k} JOIN c{k} USING (p_id, t_id))"""
+
+
+@query("e1_greedy_match", f"WITH RECURSIVE {EV}, {greedy_sql()} FROM m")
 def _(v: Views) -> DataFrame:
     return matched(v)
 
 
-@query("e2_variable_radius_match")
+@query("e2_variable_radius_match", f"WITH RECURSIVE {EV}, {greedy_sql('coalesce(greatest(least(t.dbh / 4, 12), 6), 6)')} FROM m")
 def _(v: Views) -> DataFrame:
     p, t = tables(v)
     radius = F.coalesce(F.greatest(F.least(F.col("dbh") / 4, F.lit(12.0)), F.lit(6.0)), F.lit(6.0))
     return ev.greedy_match(ev.candidate_pairs(p, t.withColumn("radius", radius), F.col("radius")), checkpointed)
 
 
-@query("e3_nearest_first_match")
+@query("e3_nearest_first_match", f"""WITH RECURSIVE {EV}, c AS (SELECT p.chip, p.id AS p_id, t.id AS t_id, sqrt((p.x - t.x) ** 2 + (p.y - t.y) ** 2) AS d FROM pred p JOIN truth t USING (chip) WHERE sqrt((p.x - t.x) ** 2 + (p.y - t.y) ** 2) <= 12), o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY chip ORDER BY d, p_id, t_id) AS i FROM c),
+w(chip, i, taken, p_id, t_id, distance) AS (SELECT DISTINCT chip, 0::BIGINT, []::VARCHAR[], NULL::VARCHAR, NULL::VARCHAR, NULL::DOUBLE FROM o UNION ALL SELECT o.chip, o.i, CASE WHEN list_has_any(w.taken, [o.p_id, o.t_id]) THEN w.taken ELSE list_concat(w.taken, [o.p_id, o.t_id]) END, CASE WHEN NOT list_has_any(w.taken, [o.p_id, o.t_id]) THEN o.p_id END, o.t_id, o.d FROM w JOIN o ON w.chip = o.chip AND o.i = w.i + 1)
+SELECT p_id, t_id, distance FROM w WHERE p_id IS NOT NULL""")
 def _(v: Views) -> DataFrame:
     return matched(v, nearest_first=True)
 
 
-@query("e4_mask_aware_counts")
+@query("e4_mask_aware_counts", f"""WITH RECURSIVE {EV}, {greedy_sql()}, n AS (SELECT count(*) FILTER (WHERE p.id IN (SELECT p_id FROM m)) AS tp, count(*) FILTER (WHERE p.id NOT IN (SELECT p_id FROM m) AND p.part_key % 5 <> 0) AS fp, count(*) FILTER (WHERE p.id NOT IN (SELECT p_id FROM m) AND p.part_key % 5 = 0) AS ignored FROM pred p),
+k AS (SELECT *, (SELECT count(*) FROM truth) - tp AS fn FROM n) SELECT tp, fp, fn, ignored, {F_}, round(CASE WHEN 5 * tp + 4 * fn + fp > 0 THEN 5 * tp / (5 * tp + 4 * fn + fp) ELSE 0 END, 6) AS f2 FROM k""")
 def _(v: Views) -> DataFrame:
     p, t = tables(v)
-    return ev.match_counts(p.withColumn("mask", F.col("part_key") % 5), t, matched(v), "mask")
+    n = ev.match_counts(p.withColumn("mask", F.col("part_key") % 5), t, matched(v), "mask")
+    return n.withColumns({c: F.round(c, 6) for c in ("precision", "recall", "f1", "f2")})
+
 
+#: The second model sees two thirds of the predictions, with lower scores.
+NEWER = f"{EV}, newer AS (SELECT * REPLACE (score * 0.75 AS score) FROM pred WHERE part_key % 3 <> 0)"
 
-@query("e5_model_diff")
+
+@query("e5_model_diff", f"""WITH RECURSIVE {NEWER}, {greedy_sql('8', 'pred', '1')}, {greedy_sql('8', 'newer', '2')}, {greedy_sql('16', 'newer', '3')},
+s AS (SELECT id, score FROM newer), r AS (SELECT id, score FROM pred), old AS (SELECT t_id FROM m1 JOIN r ON p_id = r.id WHERE score >= 0.35), n AS (SELECT t_id, score FROM m2 JOIN s ON p_id = s.id), wide AS (SELECT t_id FROM m3 JOIN s ON p_id = s.id WHERE score >= 0.35)
+SELECT id, CASE WHEN x AND y THEN 'both hit' WHEN x THEN 'regression' WHEN y THEN 'improvement' ELSE 'both miss' END AS change, CASE WHEN x AND NOT y THEN CASE WHEN id IN (SELECT t_id FROM n WHERE score >= 0.2) THEN 'score 0.20' WHEN id IN (SELECT t_id FROM n WHERE score >= 0.1) THEN 'score 0.10' WHEN id IN (FROM wide) THEN 'radius' ELSE 'not recovered' END END AS diagnosis
+FROM (SELECT id, id IN (FROM old) AS x, id IN (SELECT t_id FROM n WHERE score >= 0.35) AS y FROM truth)""")
 def _(v: Views) -> DataFrame:
-    return ev.model_diff(tables(v)[1], matched(v), matched(v, 8.0))
+    p, t = tables(v)
+    newer = p.where("part_key % 3 <> 0").withColumn("score", F.col("score") * 0.75)
+    run = lambda pred, radius: ev.greedy_match(ev.candidate_pairs(pred, t, radius), checkpointed)
+    near, wide = run(newer, 8.0), run(newer, 16.0)
+    looser = {"score 0.20": ev.above(near, newer, 0.2), "score 0.10": ev.above(near, newer, 0.1), "radius": ev.above(wide, newer, 0.35)}
+    return ev.model_diff(t, ev.above(run(p, 8.0), p, 0.35), ev.above(near, newer, 0.35), looser)
 
 
 @query("e6_coverage_check", f"WITH {EV}, done AS (SELECT chip, count(*) AS runs, sum(n) AS predictions FROM (SELECT chip, line, CASE WHEN count(*) > 3 THEN 0 ELSE 1 END AS n FROM (SELECT {CHIP} AS chip, line FROM pts WHERE line IN (1, 2)) GROUP BY ALL) GROUP BY chip), asked AS (SELECT DISTINCT chip FROM truth) SELECT coalesce(a.chip, d.chip) AS chip, CASE WHEN d.chip IS NULL THEN 'missing' WHEN a.chip IS NULL THEN 'unrequested' WHEN runs > 1 THEN 'repeated' ELSE 'empty' END AS problem FROM asked a FULL JOIN done d ON a.chip = d.chip WHERE d.chip IS NULL OR a.chip IS NULL OR runs > 1 OR predictions = 0")
@@ -77,6 +104,11 @@ def _(v: Views) -> DataFrame:
     return ev.encoded(v.obs, ev.taxonomy(v.obs, 900, 20)).select("tree_id", "species_id")
 
 
+@query("e8_genus_ids", "WITH {OBS}, t AS (SELECT species FROM obs GROUP BY species HAVING count(*) >= 900 ORDER BY count(*) DESC, species LIMIT 20) SELECT genus, (row_number() OVER (ORDER BY genus) - 1)::INT AS genus_id FROM (SELECT DISTINCT split_part(species, ' ', 1) AS genus FROM t)")
+def _(v: Views) -> DataFrame:
+    return ev.genus_taxonomy(ev.taxonomy(v.obs, 900, 20))
+
+
 HASH = "('0x' || substr(md5(concat('seed|', floor(x / 250)::BIGINT + {i}, '|', floor(y / 250)::BIGINT + {j})), 1, 8))::BIGINT / 4294967296.0"
 SPLIT = lambda i, j: f"CASE WHEN {HASH.format(i=i, j=j)} < 0.7 THEN 'train' WHEN {HASH.format(i=i, j=j)} < 0.85 THEN 'val' ELSE 'test' END"
 SPLITS = f"{{OBS}}, {PTS}, sp AS (SELECT *, {SPLIT(0, 0)} AS split, {SPLIT(-1, 0)} AS w, {SPLIT(1, 0)} AS e, {SPLIT(0, -1)} AS s, {SPLIT(0, 1)} AS n, x - floor(x / 250) * 250 AS fx, y - floor(y / 250) * 250 AS fy FROM pts), sg AS (SELECT *, (fx < 20 AND w <> split) OR (fx > 230 AND e <> split) OR (fy < 20 AND s <> split) OR (fy > 230 AND n <> split) AS guarded FROM sp)"
@@ -104,11 +136,11 @@ def _(v: Views) -> DataFrame:
     return ev.snapshot_gain(metrics(v.obs.where("line < 4")), metrics(v.obs), "city", ["mean", "n"]).withColumn("mean", F.round("mean", 6))
 
 
-@query("e13_rebuild_labels", f"WITH {EV}, m AS (SELECT id, x + CASE WHEN part_key % 4 = 0 THEN 3.5 ELSE 1.25 END AS x, y + CASE WHEN part_key % 4 = 0 THEN -2.0 ELSE 0.5 END AS y FROM truth WHERE part_key % 10 <> 0) SELECT id, x, y, {CHIP} AS chip FROM m QUALIFY count(*) OVER (PARTITION BY floor(x), floor(y)) = 1")
+@query("e13_rebuild_labels", f"WITH {EV}, m AS (SELECT id, part_key, floor(x / 250) % 2 AS split, CASE WHEN dbh >= 10 THEN dbh END AS dbh, x + CASE WHEN part_key % 4 = 0 THEN 3.5 ELSE 1.25 END AS x, y + CASE WHEN part_key % 4 = 0 THEN -2.0 ELSE 0.5 END AS y FROM truth WHERE part_key % 10 <> 0), k AS (SELECT *, {CHIP} AS chip FROM m), b AS (SELECT chip FROM k GROUP BY chip HAVING count(DISTINCT split) > 1) SELECT id, x, y, chip, dbh FROM k WHERE chip NOT IN (FROM b) QUALIFY count(*) OVER (PARTITION BY floor(x), floor(y)) = 1")
 def _(v: Views) -> DataFrame:
-    t = tables(v)[1].select("id", "x", "y", "part_key")
+    t = tables(v)[1].select("id", "x", "y", "part_key", "dbh", (F.col("dbh") >= 10).alias("dbh_eligible"), (F.floor(F.col("x") / 250) % 2).alias("split"))
     moved = t.where("part_key % 4 = 0").select("id", F.lit(3.5).alias("dx"), F.lit(-2.0).alias("dy"))
-    return ev.rebuild_labels(t, t.where("part_key % 10 = 0"), moved, (1.25, 0.5), 100.0).select("id", "x", "y", "chip")
+    return ev.rebuild_labels(t, t.where("part_key % 10 = 0"), moved, (1.25, 0.5), 100.0, {"dbh": "dbh_eligible"}, "drop").select("id", "x", "y", "chip", "dbh")
 
 
 @query("e14_change_categories", "SELECT p_partkey, CASE WHEN p_partkey % 6 = 0 THEN 'new' WHEN p_partkey % 6 = 1 THEN 'removed' ELSE 'revised' END AS change FROM part WHERE p_partkey % 6 < 3")
@@ -118,6 +150,13 @@ def _(v: Views) -> DataFrame:
     return ev.change_categories(part.where(k % 6 != 0), new, "p_partkey", ["p_size", "p_name"])
 
 
+@query("e14_field_counts", "SELECT 'p_size' AS field, count(*) AS rows FROM part WHERE p_partkey % 6 = 2 AND p_size <> 0 UNION ALL SELECT 'p_name', count(*) FROM part WHERE p_partkey % 6 = 3")
+def _(v: Views) -> DataFrame:
+    k, part = F.col("p_partkey"), v.table("part")
+    new = part.withColumn("p_size", F.when(k % 6 == 2, -F.col("p_size")).otherwise(F.col("p_size"))).withColumn("p_name", F.when(k % 6 == 3, "new").otherwise(F.col("p_name")))
+    return ev.field_changes(part, new.where(k % 6 != 1), "p_partkey", ["p_size", "p_name", "p_brand"])
+
+
 @query("e15_window_reasons", f"""WITH {SPLITS}, t AS (SELECT floor(x / 250)::BIGINT AS tx, floor(y / 250)::BIGINT AS ty, min(split) AS split, count(*) AS trees, avg((dbh IS NOT NULL)::INT) AS valid, count_if(guarded) > 0.11 * count(*) AS guarded FROM sg GROUP BY 1, 2)
 SELECT CASE WHEN split = 'test' THEN 'test' WHEN guarded THEN 'guarded' WHEN NOT tx < 8 THEN 'outside' WHEN valid < 0.5 THEN 'invalid' ELSE 'used' END AS reason, count(*) AS tiles, sum(trees)::BIGINT AS trees FROM t GROUP BY 1""")
 def _(v: Views) -> DataFrame:
@@ -132,6 +171,26 @@ def _(v: Views) -> DataFrame:
     return m.select("class", "tp", "fp", "fn", *[F.round(c, 6).alias(c) for c in ("precision", "recall", "f1")])
 
 
+@query("a29_overall_metrics", f"""WITH {LAB}, c AS (SELECT g AS class, count_if(truth = g AND predicted = g) AS tp, count_if(truth <> g AND predicted = g) AS fp, count_if(truth = g AND predicted <> g) AS fn FROM lab, (SELECT DISTINCT genus AS g FROM obs) GROUP BY g), f AS (SELECT {F_} FROM c),
+k AS (SELECT round(avg((truth = predicted)::INT), 6) AS accuracy, round(avg((truth = predicted)::INT), 6) AS top_1, round(avg((truth IN (predicted, 'Hot'))::INT), 6) AS top_2 FROM lab) SELECT accuracy, top_1, top_2, round(avg(precision), 5) AS macro_precision, round(avg(recall), 5) AS macro_recall, round(avg(f1), 5) AS macro_f1 FROM k, f GROUP BY ALL""")
+def _(v: Views) -> DataFrame:
+    rows = labelled(v)
+    top = ev.top_k_accuracy(rows.select("truth", F.array(F.col("predicted"), F.lit("Hot")).alias("candidates")), [1, 2])
+    m = ev.overall_metrics(ev.confusion(rows)).crossJoin(F.broadcast(top))
+    return m.select(*[F.round(c, 6).alias(c) for c in ("accuracy", "top_1", "top_2")], *[F.round(f"macro_{c}", 5).alias(f"macro_{c}") for c in ("precision", "recall", "f1")])
+
+
+@query("a30_joint_accuracy", f"WITH {LAB} SELECT count(*) AS rows, round(avg(coalesce(truth = predicted AND abs(crown_width_m * 5 - dbh) <= 5, false)::INT), 6) AS joint_accuracy FROM lab WHERE dbh IS NOT NULL")
+def _(v: Views) -> DataFrame:
+    rows = labelled(v).select("truth", "predicted", (F.col("crown_width_m") * 5).alias("size"), F.col("dbh").alias("true_size"))
+    return ev.joint_accuracy(rows, 5.0).withColumn("joint_accuracy", F.round("joint_accuracy", 6))
+
+
+@query("a31_top_confusions", f"WITH {LAB} SELECT truth, predicted, count(*) AS n, row_number() OVER (PARTITION BY truth ORDER BY count(*) DESC, predicted)::INT AS place FROM lab WHERE truth <> predicted GROUP BY truth, predicted QUALIFY place <= 5")
+def _(v: Views) -> DataFrame:
+    return ev.top_confusions(ev.confusion(labelled(v)))
+
+
 @query("a30_error_metrics", "WITH {OBS} SELECT genus, round(avg(abs(crown_width_m * 5 - dbh)), 6) AS mae, round(sqrt(avg((crown_width_m * 5 - dbh) ** 2)), 6) AS rmse, round(avg(crown_width_m * 5 - dbh), 6) AS bias FROM obs GROUP BY genus")
 def _(v: Views) -> DataFrame:
     e = ev.error_metrics(v.obs.select("genus", (F.col("crown_width_m") * 5).alias("predicted"), F.col("dbh").alias("truth")), ["genus"])
@@ -145,11 +204,11 @@ def _(v: Views) -> DataFrame:
     return ev.tagged_report(labelled(v).select("city", (F.col("truth") == F.col("predicted")).alias("hit"), tags.alias("tags")))
 
 
-@query("a32_weighted_majority", "WITH c AS (SELECT l_orderkey AS id, l_quantity AS p, CASE l_linenumber % 3 WHEN 0 THEN 'conifer' WHEN 1 THEN 'deciduous' ELSE 'evergreen' END AS habit FROM lineitem), s AS (SELECT id, sum(p) AS t, coalesce(sum(p) FILTER (WHERE habit = 'conifer'), 0) AS a, coalesce(sum(p) FILTER (WHERE habit = 'deciduous'), 0) AS b FROM c GROUP BY id) SELECT id, CASE WHEN a >= 0.7 * t THEN 'conifer' WHEN b >= 0.7 * t THEN 'deciduous' END AS habit FROM s")
+@query("a32_weighted_majority", "WITH c AS (SELECT l_orderkey AS id, l_quantity AS p, CASE l_linenumber % 3 WHEN 0 THEN 'conifer' WHEN 1 THEN 'deciduous' ELSE 'evergreen' END AS habit FROM lineitem), s AS (SELECT id, sum(p) AS t, coalesce(sum(p) FILTER (WHERE habit = 'conifer'), 0) AS a, coalesce(sum(p) FILTER (WHERE habit = 'deciduous'), 0) AS b FROM c GROUP BY id) SELECT id, CASE WHEN a >= 0.7 * t THEN 'conifer' WHEN b >= 0.7 * t THEN 'deciduous' WHEN t - b >= 0.7 * t THEN 'evergreen' END AS habit FROM s")
 def _(v: Views) -> DataFrame:
     k = F.col("l_linenumber") % 3
     c = v.table("lineitem").select(F.col("l_orderkey").alias("id"), F.col("l_quantity").alias("p"), F.when(k == 0, "conifer").when(k == 1, "deciduous").otherwise("evergreen").alias("habit"))
-    return ev.weighted_majority(c, 0.7, ["conifer", "deciduous"])
+    return ev.weighted_majority(c, 0.7, {"conifer": ["conifer"], "deciduous": ["deciduous"], "evergreen": ["evergreen", "conifer"]})
 
 
 @query("a33_unanimous_label", "SELECT l_orderkey, CASE WHEN min(l_returnflag) = max(l_returnflag) THEN min(l_returnflag) END AS l_returnflag FROM lineitem GROUP BY l_orderkey")
@@ -175,10 +234,10 @@ def _(v: Views) -> DataFrame:
     return o.withColumn("precision", F.round("precision", 6)).withColumn("recall", F.round("recall", 6))
 
 
-@query("a37_view_coverage", "WITH w AS (SELECT user_id, count(*) / 80.0 AS c FROM events GROUP BY 1) SELECT round(avg(c), 6) AS mean, min(c)::DOUBLE AS least, count_if(c < 0.9) AS low, (SELECT count(DISTINCT floor(value)) FROM events) AS cells FROM w")
+@query("a37_view_coverage", "WITH w AS (SELECT user_id, count(*) / 80.0 AS c FROM events GROUP BY 1) SELECT round(avg(c), 6) AS mean, min(c)::DOUBLE AS least, count_if(c < 0.9) AS low, sum(c * 80)::BIGINT AS used, count(*) * 80 AS possible, (SELECT count(DISTINCT floor(value)) FROM events) AS cells FROM w")
 def _(v: Views) -> DataFrame:
     e = v.table("events")
-    w = e.groupBy("user_id").agg((F.count("*") / 80.0).alias("c")).agg(F.round(F.avg("c"), 6).alias("mean"), F.min("c").alias("least"), F.count_if(F.col("c") < 0.9).alias("low"))
+    w = e.groupBy("user_id").agg((F.count("*") / 80.0).alias("c")).agg(F.round(F.avg("c"), 6).alias("mean"), F.min("c").alias("least"), F.count_if(F.col("c") < 0.9).alias("low"), F.round(F.sum(F.col("c") * 80)).cast("long").alias("used"), (F.count("*") * 80).alias("possible"))
     return w.crossJoin(F.broadcast(e.agg(F.countDistinct(F.floor("value")).alias("cells"))))
 
 
@@ -205,7 +264,8 @@ def _(v: Views) -> DataFrame:
 
 
 @query("r19_mutual_offsets", f"""WITH {EV}, c AS (SELECT p.chip, p.id AS p_id, t.id AS t_id, sqrt((p.x - t.x) ** 2 + (p.y - t.y) ** 2) AS d FROM pred p JOIN truth t USING (chip) WHERE t.dbh >= 16 AND sqrt((p.x - t.x) ** 2 + (p.y - t.y) ** 2) <= 12), a AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY p_id ORDER BY d, t_id) = 1), b AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY t_id ORDER BY d, p_id) = 1)
-SELECT a.chip, count(*) AS trees, round(median(a.d), 6) AS median FROM a JOIN b ON a.p_id = b.p_id AND a.t_id = b.t_id WHERE a.d BETWEEN 3 AND 12 GROUP BY a.chip""")
+, g AS (SELECT a.chip, count(*) AS trees, round(median(a.d), 6) AS median FROM a JOIN b ON a.p_id = b.p_id AND a.t_id = b.t_id WHERE a.d BETWEEN 3 AND 12 GROUP BY a.chip) SELECT *, row_number() OVER (ORDER BY trees DESC, median DESC, chip)::INT AS place FROM g""")
 def _(v: Views) -> DataFrame:
     p, t = tables(v)
-    return ev.mutual_offsets(ev.candidate_pairs(p, t.where("dbh >= 16"), 12.0), 3.0, 12.0).withColumn("median", F.round("median", 6))
+    chips = ev.mutual_offsets(ev.candidate_pairs(p, t.where("dbh >= 16"), 12.0), 3.0, 12.0).withColumn("median", F.round("median", 6))
+    return rank.ranked(chips, [F.desc("trees"), F.desc("median"), F.asc("chip")], "place", F.row_number())
