@@ -17,14 +17,18 @@ def mapping(df: DataFrame, pairs: Mapping, key: str, value: str) -> DataFrame:
     return df.sparkSession.createDataFrame(list(pairs.items()), f"{key} string, {value} string")
 
 
-def enforce_schema(df: DataFrame, spec: Mapping[str, str], required: Sequence[str]) -> tuple[DataFrame, DataFrame]:
+def enforce_schema(df: DataFrame, spec: Mapping[str, str], required: Sequence[str], strict: bool = False) -> tuple[DataFrame, DataFrame]:
     """The columns of ``spec`` with its types, missing ones as typed nulls, and a report of one row with the number of
-    values that no cast could keep (``lossy_<column>``) and of nulls in required columns (``null_<column>``)."""
+    values that no cast could keep (``lossy_<column>``) and of nulls in required columns (``null_<column>``).
+
+    ``strict`` makes the job that reads the table fail at a value that no cast could keep."""
     missing = [c for c in required if c not in df.columns]
     if missing:
         raise ValueError(f"required columns are missing: {missing}")
     cast = {c: F.col(c).try_cast(t) for c, t in spec.items() if c in df.columns}
-    out = df.select(*[cast[c].alias(c) if c in cast else F.lit(None).cast(t).alias(c) for c, t in spec.items()])
+    lost = lambda c: F.raise_error(F.concat(F.lit(f"{c} can't be {spec[c]}: "), F.col(c).cast("string"))).cast(spec[c])
+    kept = {c: F.when(F.col(c).isNotNull() & x.isNull(), lost(c)).otherwise(x) if strict else x for c, x in cast.items()}
+    out = df.select(*[kept[c].alias(c) if c in cast else F.lit(None).cast(t).alias(c) for c, t in spec.items()])
     report = df.agg(
         *[F.count_if(F.col(c).isNotNull() & cast[c].isNull()).alias(f"lossy_{c}") for c in cast],
         *[F.count_if(F.col(c).isNull()).alias(f"null_{c}") for c in required],
@@ -85,6 +89,23 @@ def within(c: Column, low: float, high: float) -> Column:
     return F.when((c > low) & (c <= high), c)
 
 
+def null_implausible(df: DataFrame, ranges: Mapping[str, tuple[float, float]]) -> tuple[DataFrame, DataFrame]:
+    """Numbers that lie outside their range as nulls (NaN too), and one row with how many of each column became null
+    (``nulled_<column>``)."""
+    kept = {c: within(F.when(~F.isnan(F.col(c).cast("double")), F.col(c)), *r) for c, r in ranges.items()}
+    return df.withColumns(kept), df.agg(*[F.count_if(F.col(c).isNotNull() & x.isNull()).alias(f"nulled_{c}") for c, x in kept.items()])
+
+
+def leading_year(c: Column) -> Column:
+    """The year of a text that begins with four digits, such as ``1998``, ``1998-05`` or ``1998?``."""
+    return F.regexp_extract(F.trim(c), r"^(\d{4})(?!\d)", 1).try_cast("int")
+
+
+def unknown_labels(df: DataFrame, column: str, known: Sequence[str]) -> DataFrame:
+    """Labels that a map lacks, with their rows."""
+    return df.where(F.col(column).isNotNull() & ~F.col(column).isin(*known)).groupBy(column).agg(F.count("*").alias("rows"))
+
+
 def plausible_date(c: Column, today: Column) -> Column:
     return F.when((F.year(c) >= 1500) & (c <= today), c)
 
@@ -139,19 +160,55 @@ def source_kind(label: Column, notable: bool = True) -> Column:
     return found.otherwise("municipal")
 
 
-def common_names(names: Column) -> Column:
-    """Names with one space between words and a capital first, blanks and repeats (whatever the case) dropped, in
-    order."""
-    clean = F.filter(F.transform(names, lambda n: F.trim(F.regexp_replace(n, r"\s+", " "))), lambda n: n != "")
-    cased = F.transform(clean, lambda n: F.concat(F.upper(F.substring(n, 1, 1)), F.lower(n.substr(F.lit(2), F.length(n)))))
-    return F.array_distinct(cased)
+#: A quoted run at word edges: an apostrophe inside a word opens no quote.
+QUOTED = r"""(?<![^ ])(?:'[^']+'|"[^"]+"|‘[^’]+’)(?=[ ,;)]|$)"""
+
+
+def common_name(name: Column, proper_words: Sequence[str] = (), proper_phrases: Sequence[str] = ()) -> Column:
+    """A name in sentence case with one space between words: quoted cultivars stay as written (those all in capitals get
+    one capital a word), proper words and phrases get their own spelling, the first letter outside of a quote that opens
+    the name is a capital. Blank is null."""
+    text = F.trim(F.regexp_replace(name, r"\s+", " "))
+    spelling = F.create_map(*[F.lit(w) for p in proper_words for w in (p.lower(), p)]) if proper_words else None
+
+    def span(s: Column) -> Column:
+        low = F.lower(s)
+        for phrase in sorted(proper_phrases, key=len, reverse=True):
+            words = r"\b" + phrase.lower().replace(".", r"\.") + r"(?!\p{L})"
+            low = F.regexp_replace(low, words, phrase)
+        if spelling is None:
+            return low
+        return F.array_join(F.transform(F.regexp_extract_all(low, F.lit(r"\p{L}+|[^\p{L}]+"), F.lit(0)), lambda w: F.coalesce(F.try_element_at(spelling, F.lower(w)), w)), "")
+
+    shout = lambda s: F.concat(F.left(s, F.lit(1)), F.initcap(s.substr(F.lit(2), F.length(s))))
+    quoted = lambda s: F.when(s == F.upper(s), shout(s)).otherwise(s)
+    spans = F.regexp_extract_all(text, F.lit(f"{QUOTED}|(?:(?!{QUOTED}).)+"), F.lit(0))
+    joined = F.array_join(F.transform(spans, lambda s: F.when(s.rlike(f"^(?:{QUOTED})$"), quoted(s)).otherwise(span(s))), "")
+    first = F.regexp_extract(joined, r"^[^\p{L}]*", 0)
+    at = F.length(first) + 1
+    capital = F.concat(first, F.upper(joined.substr(at, F.lit(1))), joined.substr(at + 1, F.length(joined)))
+    return F.nullif(F.when(text.rlike(f"^{QUOTED}"), joined).otherwise(capital), F.lit(""))
+
+
+def common_names(names: Column, proper_words: Sequence[str] = (), proper_phrases: Sequence[str] = ()) -> Column:
+    """The names of a list by ``common_name``; blanks and repeats (whatever the case) dropped, in order."""
+    clean = F.filter(F.transform(names, lambda n: common_name(n, proper_words, proper_phrases)), lambda n: n.isNotNull())
+    none = F.array().cast("array<string>")
+    return F.aggregate(clean, none, lambda seen, n: F.when(F.exists(seen, lambda s: F.lower(s) == F.lower(n)), seen).otherwise(F.array_append(seen, n)))
 
 
 def slugs(df: DataFrame, name: str, order: Sequence[str]) -> DataFrame:
-    """A ``slug`` of each name: small letters and dashes, with a number from the second of equal ones on."""
+    """A ``slug`` of each name: small letters and dashes; from the second of equal ones on with the least number from 2
+    that neither a name of its own (``elm 2`` beside two ``elm``) nor an earlier one takes, so that no slug repeats."""
     plain = F.regexp_replace(F.regexp_replace(F.lower(name), "[^a-z0-9]+", "-"), "^-|-$", "")
     rank = F.row_number().over(Window.partitionBy("plain").orderBy(*order))
-    return df.withColumn("plain", plain).withColumn("rank", rank).withColumn("slug", F.when(F.col("rank") == 1, F.col("plain")).otherwise(F.concat_ws("-", "plain", "rank"))).drop("plain", "rank")
+    named = df.withColumn("plain", plain)
+    number = F.regexp_extract("plain", r"-([1-9]\d{0,8})$", 1).try_cast("long")
+    taken = named.select("plain").distinct().withColumn("no_", number).where("no_ >= 2")
+    taken = taken.groupBy(F.regexp_replace("plain", r"-\d+$", "").alias("plain")).agg(F.sort_array(F.collect_set("no_")).alias("taken_"))
+    free = F.aggregate(F.coalesce("taken_", F.array().cast("array<bigint>")), F.col("rank").cast("long"), lambda n, t: F.when(t <= n, n + 1).otherwise(n))
+    out = named.withColumn("rank", rank).join(taken, "plain", "left")
+    return out.withColumn("slug", F.when(F.col("rank") == 1, F.col("plain")).otherwise(F.concat_ws("-", F.col("plain"), free))).drop("plain", "rank", "taken_")
 
 
 def any_of_each(df: DataFrame, choices: Mapping[str, Sequence]) -> DataFrame:
@@ -167,11 +224,33 @@ def rule_colours(df: DataFrame, matches: Column, colour: Column, known: DataFram
     return df.where(matches).groupBy("tree_id").agg(F.min(colour).alias("colour")).join(known.select("tree_id"), "tree_id", "left_anti")
 
 
-def foliage_phase(latitude: Column, month: Column, bare_months: Column) -> Column:
-    """Phase of the leaves: ``bare`` where the month's bit is set, else by the season of the hemisphere."""
-    season = F.pmod(month + F.when(latitude < 0, 6).otherwise(0), F.lit(12))
-    bare = bare_months.bitwiseAND(F.call_function("shiftleft", F.lit(1), (month - 1).cast("int"))) != 0
-    return F.when(bare, "bare").when(season.isin(3, 4, 5), "spring").when(season.isin(6, 7, 8), "summer").when(season.isin(9, 10, 11), "autumn").otherwise("winter")
+#: From this distance to the equator in degrees on, the northern months without leaves and in autumn.
+SEASONS = [
+    (0, [], []),
+    (24, [1], [11, 12]),
+    (28, [12, 1, 2], [10, 11]),
+    (34, [12, 1, 2, 3], [9, 10, 11]),
+    (55, [11, 12, 1, 2, 3, 4], [9, 10]),
+]
+
+
+def foliage_phase(latitude: Column, month: Column) -> Column:
+    """Phase of the leaves of deciduous trees, ``bare``, ``autumn`` or ``growing``, by whole degree of latitude and month;
+    the southern year is half a year ahead, no latitude counts as the equator."""
+    known = latitude.isNotNull() & ~F.isnan(latitude)
+    degree = F.when(known, F.greatest(F.least(F.floor(latitude), F.lit(90)), F.lit(-90))).otherwise(0)
+    away = F.when(degree >= 0, degree).otherwise(-degree - 1)
+    northern = F.when(degree < 0, (month + 5) % 12 + 1).otherwise(month)
+    phase = F.lit("growing")
+    for start, bare, autumn in SEASONS:
+        if bare:
+            phase = F.when(away < start, phase).when(northern.isin(*bare), "bare").when(northern.isin(*autumn), "autumn").otherwise("growing")
+    return phase
+
+
+def leaf_off_months(latitude: Column) -> Column:
+    """The months without leaves at a latitude as bits, January the lowest."""
+    return sum((F.when(foliage_phase(latitude, F.lit(m)) == "bare", 1 << (m - 1)).otherwise(0) for m in range(1, 13)), F.lit(0))
 
 
 def decoded(df: DataFrame, column: str, codes: Mapping[str, str]) -> DataFrame:
@@ -180,9 +259,9 @@ def decoded(df: DataFrame, column: str, codes: Mapping[str, str]) -> DataFrame:
     return out.withColumn("undecoded", F.col(column).isNotNull() & F.col(f"{column}_name").isNull())
 
 
-def overridden(labels: DataFrame, overrides: DataFrame, key: str) -> DataFrame:
-    """Labels with validated species in place; the genus follows the species."""
-    new = overrides.select(F.col(key).alias("o_key"), F.col("species").alias("o_species"))
+def overridden(labels: DataFrame, overrides: DataFrame, key: str, accepted: DataFrame) -> DataFrame:
+    """Labels with overriding species in place, if these are among the accepted ones; the genus follows the species."""
+    new = overrides.join(accepted.select("species").distinct(), "species", "left_semi").select(F.col(key).alias("o_key"), F.col("species").alias("o_species"))
     joined = labels.join(new, labels[key] == F.col("o_key"), "left").withColumn("species", F.coalesce("o_species", "species")).drop("o_key", "o_species")
     return joined.withColumn("genus", F.split_part("species", F.lit(" "), F.lit(1)))
 

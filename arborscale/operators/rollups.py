@@ -74,12 +74,23 @@ def unpivoted_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
 
 
 def badge_statistics(events: DataFrame) -> DataFrame:
-    """Counts of each user's contributions."""
+    """Counts of each user's contributions (``tree_id``, ``ts``, ``photo``, ``rare``, ``dbh``, ``age``): distinct trees,
+    rare, large (48 inches and more) and old ones (100 years and more) among them, photos, hours and days."""
+    trees = lambda condition: F.countDistinct(F.when(condition, F.col("tree_id")))
     return events.groupBy("user_id").agg(
-        F.countDistinct("props").alias("trees"), F.count_if(F.col("event_type") == "view").alias("photos"), F.count_if(F.hour("ts") < 6).alias("at_night"), F.max("value").alias("largest"), F.countDistinct(F.to_date("ts")).alias("days")
+        F.countDistinct("tree_id").alias("trees"), F.count_if("photo").alias("photos"), F.count_if(F.hour("ts") < 6).alias("at_night"), trees(F.col("rare")).alias("rare"), F.max("dbh").alias("largest"),
+        trees(F.col("dbh") >= 48).alias("giants"), trees(F.col("age") >= 100).alias("veterans"), F.countDistinct(F.to_date("ts")).alias("days")
     )
 
 
+def mission_progress(events: DataFrame, targets: Mapping[str, int]) -> DataFrame:
+    """Progress of each user in the missions of the cities that they contributed to: distinct trees against the city's
+    target."""
+    target = F.element_at(F.create_map(*[F.lit(x) for k, t in targets.items() for x in (k, t)]), F.col("mission")).cast("long")
+    n = events.where(F.col("city").isin(*targets)).groupBy("user_id", F.col("city").alias("mission")).agg(F.countDistinct("tree_id").alias("n"))
+    return n.select("user_id", "mission", F.least(target, "n").alias("progress"), (F.col("n") >= target).alias("earned"))
+
+
 def badge_progress(metrics: DataFrame, metric: str, targets: Mapping[str, int]) -> DataFrame:
     """Progress of each user on each badge: a row for each, by exploding the fixed list of badges."""
     badges = F.array(*[F.struct(F.lit(k).alias("badge"), F.lit(t).cast("long").alias("target")) for k, t in targets.items()])

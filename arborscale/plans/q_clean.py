@@ -131,6 +131,11 @@ def _(v: Views) -> DataFrame:
     return v.table("lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", clean.within(F.col("l_quantity"), 5, 40).alias("dbh"))
 
 
+@query("c9_nulled_counts", "SELECT count_if(l_quantity <= 5 OR l_quantity > 40) AS nulled_l_quantity, count_if(l_discount <= 0 OR l_discount > 0.05) AS nulled_l_discount FROM lineitem")
+def _(v: Views) -> DataFrame:
+    return clean.null_implausible(v.table("lineitem"), {"l_quantity": (5, 40), "l_discount": (0, 0.05)})[1]
+
+
 @query("c10_implausible_dates", "SELECT o_orderkey, CASE WHEN o_orderdate::DATE <= DATE '1998-06-30' THEN o_orderdate::DATE END AS planted FROM orders")
 def _(v: Views) -> DataFrame:
     return v.table("orders").select("o_orderkey", clean.plausible_date(F.to_date("o_orderdate"), F.lit("1998-06-30").cast("date")).alias("planted"))
@@ -153,6 +158,18 @@ def _(v: Views) -> DataFrame:
     return v.table("part").select("p_partkey", F.round(clean.measurement_m(text, 10), 6).alias("metres"))
 
 
+@query("c13_leading_year", "SELECT o_orderkey, CASE WHEN o_orderkey % 4 < 3 THEN year(o_orderdate)::INT END AS planted FROM orders")
+def _(v: Views) -> DataFrame:
+    k, day = F.col("o_orderkey") % 4, F.date_format("o_orderdate", "yyyy")
+    text = F.when(k == 0, day).when(k == 1, F.concat(F.lit(" "), day, F.lit("-05?"))).when(k == 2, F.concat(day, F.lit(" or so"))).otherwise(F.concat(day, F.lit("12")))
+    return v.table("orders").select("o_orderkey", clean.leading_year(text).alias("planted"))
+
+
+@query("c14_unknown_labels", "SELECT o_orderpriority, count(*) AS rows FROM orders WHERE o_orderpriority NOT IN ('1-URGENT', '2-HIGH', '5-LOW') GROUP BY 1")
+def _(v: Views) -> DataFrame:
+    return clean.unknown_labels(v.table("orders"), "o_orderpriority", ["1-URGENT", "2-HIGH", "5-LOW"])
+
+
 @query("c14_bucket_midpoint", "SELECT o_orderkey, CASE o_orderpriority WHEN '1-URGENT' THEN 3.0 WHEN '2-HIGH' THEN 9.0 WHEN '5-LOW' THEN 18.0 END AS midpoint FROM orders")
 def _(v: Views) -> DataFrame:
     return clean.mapped(v.table("orders"), "o_orderpriority", {"1-URGENT": "3.0", "2-HIGH": "9.0", "5-LOW": "18.0"}, "midpoint", F.lit(None).cast("string")).select("o_orderkey", F.col("midpoint").cast("double").alias("midpoint"))
@@ -174,15 +191,18 @@ def _(v: Views) -> DataFrame:
     return v.obs.select("tree_id", clean.source_kind(F.col("data_source")).alias("kind"))
 
 
-@query("c18_common_names", "SELECT p_partkey, concat(upper(p_name[1]), substr(p_name, 2), '|', upper(p_type[1]), lower(substr(p_type, 2))) AS names FROM part")
+@query("c18_common_names", "SELECT p_partkey, concat(upper(p_name[1]), substr(p_name, 2), '|', upper(p_type[1]), lower(substr(p_type, 2)), ' ''Autumn BLAZE''|Rocky Mountain ', p_name, '|''Red Sunset'' Douglas-fir|St. John''s wort') AS names FROM part")
 def _(v: Views) -> DataFrame:
-    raw = F.array(F.regexp_replace("p_name", " ", "   "), F.lit("  "), F.upper("p_name"), F.col("p_type"))
-    return v.table("part").select("p_partkey", F.array_join(clean.common_names(raw), "|").alias("names"))
+    raw = F.array(F.regexp_replace("p_name", " ", "   "), F.lit("  "), F.upper("p_name"), F.concat("p_type", F.lit(" 'Autumn BLAZE'")), F.concat(F.lit("ROCKY mountain "), F.upper("p_name")), F.lit("'RED SUNSET' douglas-FIR"), F.lit("ST. JOHN'S WORT"))
+    return v.table("part").select("p_partkey", F.array_join(clean.common_names(raw, ["Douglas", "John"], ["Rocky Mountain", "St. John"]), "|").alias("names"))
 
 
-@query("c19_slugs", "SELECT p_partkey, CASE WHEN r = 1 THEN s ELSE concat(s, '-', r) END AS slug FROM (SELECT *, row_number() OVER (PARTITION BY s ORDER BY p_partkey) AS r FROM (SELECT p_partkey, replace(lower(p_name), ' ', '-') AS s FROM part))")
+#: A slug that another name owns: its number is passed over.
+@query("c19_slugs", """WITH n AS (SELECT p_partkey, concat(replace(lower(p_name), ' ', '-'), CASE WHEN p_partkey % 97 = 0 THEN '-3' ELSE '' END) AS s FROM part), r AS (SELECT *, row_number() OVER (PARTITION BY s ORDER BY p_partkey) AS r FROM n),
+f AS (SELECT DISTINCT s AS three FROM n WHERE s LIKE '%-3') SELECT p_partkey, CASE WHEN r = 1 THEN s WHEN concat(s, '-3') IN (FROM f) AND r >= 3 THEN concat(s, '-', r + 1) ELSE concat(s, '-', r) END AS slug FROM r""")
 def _(v: Views) -> DataFrame:
-    return clean.slugs(v.table("part"), "p_name", ["p_partkey"]).select("p_partkey", "slug")
+    name = F.concat("p_name", F.when(F.col("p_partkey") % 97 == 0, " (3)").otherwise(""))
+    return clean.slugs(v.table("part").withColumn("name", name), "name", ["p_partkey"]).select("p_partkey", "slug")
 
 
 @query("c20_filter_alternatives", "WITH {OBS} SELECT tree_id FROM obs WHERE genus IN ('Red', 'Blue') AND city IN ('c1', 'c2', 'c3')")
@@ -195,17 +215,32 @@ def _(v: Views) -> DataFrame:
     return clean.rule_colours(v.obs, F.col("dbh") > 45, F.col("cultivar"), v.obs.where(F.col("city") == "c5"))
 
 
-@query("c22_foliage_phase", """SELECT c_custkey, CASE WHEN ((c_custkey % 4096) & (1 << (m - 1))) <> 0 THEN 'bare' WHEN s IN (3, 4, 5) THEN 'spring' WHEN s IN (6, 7, 8) THEN 'summer' WHEN s IN (9, 10, 11) THEN 'autumn' ELSE 'winter' END AS phase
-FROM (SELECT *, (m + CASE WHEN c_acctbal < 0 THEN 6 ELSE 0 END) % 12 AS s FROM (SELECT *, (c_nationkey % 12 + 1)::BIGINT AS m FROM customer))""")
+BARE = "CASE WHEN away < 24 THEN [] WHEN away < 28 THEN [1] WHEN away < 34 THEN [12, 1, 2] WHEN away < 55 THEN [12, 1, 2, 3] ELSE [11, 12, 1, 2, 3, 4] END"
+AUTUMN = "CASE WHEN away < 24 THEN [] WHEN away < 28 THEN [11, 12] WHEN away < 34 THEN [10, 11] WHEN away < 55 THEN [9, 10, 11] ELSE [9, 10] END"
+
+
+@query("c22_foliage_phase", f"""WITH d AS (SELECT c_custkey, (c_custkey * 7 % 181 - 90)::BIGINT AS degree, (c_nationkey % 12 + 1)::BIGINT AS m FROM customer), n AS (SELECT *, CASE WHEN degree >= 0 THEN degree ELSE -degree - 1 END AS away, CASE WHEN degree < 0 THEN (m + 5) % 12 + 1 ELSE m END AS n FROM d)
+SELECT c_custkey, CASE WHEN list_contains({BARE}, n) THEN 'bare' WHEN list_contains({AUTUMN}, n) THEN 'autumn' ELSE 'growing' END AS phase, (SELECT coalesce(sum(1 << (CASE WHEN degree < 0 THEN (b + 5) % 12 + 1 ELSE b END - 1)), 0)::BIGINT FROM unnest({BARE}) t(b)) AS leaf_off FROM n""")
+def _(v: Views) -> DataFrame:
+    latitude = F.col("c_custkey") * 7 % 181 - 90 + F.lit(0.5)
+    return v.table("customer").select("c_custkey", clean.foliage_phase(latitude, F.col("c_nationkey") % 12 + 1).alias("phase"), clean.leaf_off_months(latitude).cast("long").alias("leaf_off"))
+
+
+@query("c23_badge_statistics", """SELECT user_id, count(DISTINCT props) AS trees, count_if(event_type = 'view') AS photos, count_if(hour(ts) < 6) AS at_night, count(DISTINCT props) FILTER (WHERE event_id % 7 = 0) AS rare, max(value) AS largest, count(DISTINCT props) FILTER (WHERE value >= 48) AS giants, count(DISTINCT props) FILTER (WHERE event_id % 150 >= 100) AS veterans, count(DISTINCT ts::DATE) AS days FROM events GROUP BY user_id""")
 def _(v: Views) -> DataFrame:
-    return v.table("customer").select("c_custkey", clean.foliage_phase(F.col("c_acctbal"), F.col("c_nationkey") % 12 + 1, (F.col("c_custkey") % 4096).cast("int")).alias("phase"))
+    from arborscale.operators import rollups
+
+    e = v.table("events").select("user_id", F.col("props").alias("tree_id"), "ts", (F.col("event_type") == "view").alias("photo"), (F.col("event_id") % 7 == 0).alias("rare"), F.col("value").alias("dbh"), (F.col("event_id") % 150).alias("age"))
+    return rollups.badge_statistics(e)
 
 
-@query("c23_badge_statistics", """SELECT user_id, count(DISTINCT props) AS trees, count_if(event_type = 'view') AS photos, count_if(hour(ts) < 6) AS at_night, max(value) AS largest, count(DISTINCT ts::DATE) AS days FROM events GROUP BY user_id""")
+@query("c24_city_missions", """SELECT user_id, mission, least(target, count(DISTINCT props)) AS progress, count(DISTINCT props) >= target AS earned FROM events JOIN (VALUES (0, 'north', 3::BIGINT), (1, 'south', 8)) m(k, mission, target) ON event_id % 3 = k GROUP BY user_id, mission, target""")
 def _(v: Views) -> DataFrame:
     from arborscale.operators import rollups
 
-    return rollups.badge_statistics(v.table("events"))
+    k = F.col("event_id") % 3
+    e = v.table("events").select("user_id", F.col("props").alias("tree_id"), F.when(k == 0, "north").when(k == 1, "south").otherwise("elsewhere").alias("city"))
+    return rollups.mission_progress(e, {"north": 3, "south": 8})
 
 
 @query("c24_badge_progress", """SELECT user_id, badge, least(target, n) AS progress, n >= target AS earned FROM (SELECT user_id, count(*) AS n FROM events GROUP BY user_id), (VALUES ('ten', 10::BIGINT), ('sixty', 60), ('hundred', 100)) b(badge, target)""")
@@ -220,10 +255,10 @@ def _(v: Views) -> DataFrame:
     return clean.decoded(v.table("orders"), "o_orderstatus", {"O": "Open", "F": "Final"}).select("o_orderkey", "o_orderstatus_name", "undecoded")
 
 
-@query("c26_label_overrides", "WITH {OBS} SELECT tree_id, CASE WHEN p_size > 30 THEN 'New name' ELSE species END AS species, CASE WHEN p_size > 30 THEN 'New' ELSE genus END AS genus FROM obs JOIN part ON part_key = p_partkey")
+@query("c26_label_overrides", "WITH {OBS} SELECT tree_id, CASE WHEN p_size > 35 THEN 'New name' ELSE species END AS species, CASE WHEN p_size > 35 THEN 'New' ELSE genus END AS genus FROM obs JOIN part ON part_key = p_partkey")
 def _(v: Views) -> DataFrame:
-    new = v.table("part").where("p_size > 30").select(F.col("p_partkey").alias("part_key"), F.lit("New name").alias("species"))
-    return clean.overridden(v.obs, new, "part_key").select("tree_id", "species", "genus")
+    new = v.table("part").where("p_size > 30").select(F.col("p_partkey").alias("part_key"), F.when(F.col("p_size") > 35, "New name").otherwise("No such tree").alias("species"))
+    return clean.overridden(v.obs, new, "part_key", new.where("species = 'New name'").select("species")).select("tree_id", "species", "genus")
 
 
 @query("c27_shades", "SELECT p_partkey, CASE WHEN p_size % 4 = 0 THEN 'trunk' WHEN p_size % 4 = 1 AND p_partkey % 2 = 0 THEN 'red|gold' ELSE 'green' END AS shades FROM part")
