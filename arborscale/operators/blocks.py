@@ -16,10 +16,10 @@ def with_block(df: DataFrame, zoom: int = 20, shift: int = 8) -> DataFrame:
     return tiled.withColumn("block", block).withColumn("morton", cells.morton(F.col("tx_"), F.col("ty_"), shift)).drop("tx_", "ty_")
 
 
-def write_blocks(df: DataFrame, path: str, partitions: int) -> None:
+def write_blocks(df: DataFrame, path: str) -> None:
     """A folder for each block, rows by Morton place and id; a block that is too large for a task still gets only as
-    many files as ranges of its places."""
-    df.repartitionByRange(partitions, "block", "morton").sortWithinPartitions("block", "morton", "tree_id").write.mode("overwrite").partitionBy("block").parquet(path)
+    many files as ranges of its places. The number of ranges is the session's number of shuffle partitions."""
+    df.repartitionByRange("block", "morton").sortWithinPartitions("block", "morton", "tree_id").write.mode("overwrite").partitionBy("block").parquet(path)
 
 
 def manifest(df: DataFrame, columns: list[str]) -> DataFrame:

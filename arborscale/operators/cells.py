@@ -47,6 +47,15 @@ def position_centre(cell: Column, lon_deg: float = 3e-5, lat_deg: float = 2e-5)
     return (row + 0.5) * lat_deg, (column + 0.5) * lon_deg
 
 
+def quarter_hectare(lat: Column, lon: Column) -> tuple[Column, Column]:
+    """Column and row of the cell of 50 x 50 m of a point; the width follows the cosine of the row's middle latitude, taken
+    as a series that every engine computes alike."""
+    rows = METRES_A_DEGREE / 50
+    row = F.floor(lat * rows)
+    t = F.radians((row + 0.5) / rows) * F.radians((row + 0.5) / rows)
+    return F.floor(lon * rows * (1 - t / 2 + t * t / 24 - t * t * t / 720)), row
+
+
 def mercator_tile(lat: Column, lon: Column, zoom: int) -> tuple[Column, Column]:
     """Web Mercator tile of a point; latitudes beyond the map count as its edge."""
     n = 1 << zoom
@@ -57,6 +66,17 @@ def mercator_tile(lat: Column, lon: Column, zoom: int) -> tuple[Column, Column]:
     return edge(x), edge(y)
 
 
+def overview(df: DataFrame, zoom: int, size: float, colour: str, value: str) -> DataFrame:
+    """Rows (``latitude``, ``longitude``) snapped to cells of ``size`` Web Mercator metres: count and mean value for each
+    tile, cell centre and colour."""
+    radius = 6_378_137.0
+    tx, ty = mercator_tile(F.col("latitude"), F.col("longitude"), zoom)
+    lat = F.radians(F.col("latitude"))
+    mx, my = radius * F.radians(F.col("longitude")), radius * F.log(F.tan(lat) + 1 / F.cos(lat))
+    centre = lambda m: (F.floor(m / size) + 0.5) * size
+    return df.groupBy(tx.alias("tx"), ty.alias("ty"), centre(mx).alias("cx"), centre(my).alias("cy"), colour).agg(F.count("*").alias("trees"), F.avg(value).alias(f"mean_{value}"))
+
+
 def morton(x: Column, y: Column, bits: int) -> Column:
     """The low bits of two numbers, interleaved; y takes the odd places."""
     out = F.lit(0).cast("long")

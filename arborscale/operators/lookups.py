@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 from arborscale.operators import cells
 
 
-def best_link(register: DataFrame, trees: DataFrame, reach: float, tolerance: float) -> DataFrame:
+def best_link(register: DataFrame, trees: DataFrame, reach: float, tolerance: float, reviewed: DataFrame | None = None) -> DataFrame:
     """One-to-one links of register rows (``id``, ``x``, ``y``, ``genus``, ``dbh``) to trees of the same genus within
     ``reach`` whose diameter differs by ``tolerance`` at most: the nearest tree for each row, then for a contested tree
-    the closest row."""
+    the closest row. Reviewed links (``id``, ``tree_id``) stand before all others, without a distance."""
+    if reviewed is not None:
+        register = register.join(reviewed.select("id"), "id", "left_anti")
+        trees = trees.join(reviewed.select(F.col("tree_id").alias("id")), "id", "left_anti")
     near = cells.pairs_within(register, trees, reach, keys=("genus",)).where(F.abs(F.col("l_dbh") - F.col("r_dbh")) <= tolerance)
     first = near.groupBy("l_id").agg(F.min(F.struct("distance", "r_id")).alias("m")).select(F.col("l_id").alias("id"), F.col("m.r_id").alias("tree_id"), F.col("m.distance").alias("distance"))
-    return first.groupBy("tree_id").agg(F.min(F.struct("distance", "id")).alias("m")).select("m.id", "tree_id", "m.distance")
+    links = first.groupBy("tree_id").agg(F.min(F.struct("distance", "id")).alias("m")).select("m.id", "tree_id", "m.distance")
+    return links if reviewed is None else links.unionByName(reviewed.select("id", "tree_id", F.lit(None).cast("double").alias("distance")))
 
 
 def two_nearest(df: DataFrame, reach: float) -> DataFrame:
@@ -54,12 +58,12 @@ def in_polygon(x: Column, y: Column, ring: Column) -> Column:
     return F.size(hits) % 2 == 1
 
 
-def polygon_cells(polygons: DataFrame, size: float) -> DataFrame:
-    """Polygons (``poly_id``, ``ring``) with a row for each grid cell that their box touches: the key that points join
-    on, so no point is tried against every polygon."""
+def polygon_cells(polygons: DataFrame, size: float, margin: float = 0.0) -> DataFrame:
+    """Polygons (``poly_id``, ``ring``) with a row for each grid cell that their box, wider by the margin, touches: the key
+    that points join on, so no point is tried against every polygon."""
     low = lambda k: F.array_min(F.transform("ring", lambda p: p[k]))
     high = lambda k: F.array_max(F.transform("ring", lambda p: p[k]))
-    span = lambda k: F.sequence(F.floor(low(k) / size), F.floor(high(k) / size))
+    span = lambda k: F.sequence(F.floor((low(k) - margin) / size), F.floor((high(k) + margin) / size))
     return polygons.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
 
 
@@ -70,15 +74,48 @@ def containing(points: DataFrame, polygons: DataFrame, size: float, order: Colum
     return hit.groupBy("id").agg(F.min(F.struct(order.alias("o"), F.col("poly_id"))).alias("m")).select("id", "m.poly_id")
 
 
-def containing_or_near(points: DataFrame, polygons: DataFrame, size: float, centres: DataFrame, reach: float) -> DataFrame:
-    """The containing polygon (lowest id), else the one with the nearest centre within ``reach``, labelled so."""
-    inside = containing(points, polygons, size, F.col("poly_id")).withColumn("how", F.lit("inside"))
-    rest = points.join(inside, "id", "left_anti")
-    near = cells.pairs_within(rest.select("id", "x", "y"), centres.select("poly_id", "x", "y"), reach)
-    nearest = near.groupBy(F.col("l_id").alias("id")).agg(F.min(F.struct("distance", F.col("r_poly_id").alias("poly_id"))).alias("m")).select("id", "m.poly_id", F.lit("nearby").alias("how"))
+def polygon_distance(x: Column, y: Column, ring: Column) -> Column:
+    """Distance of a point to the nearest edge of a closed ring."""
+
+    def away(a: Column, b: Column) -> Column:
+        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
+        length = dx * dx + dy * dy
+        t = F.when(length > 0, F.greatest(F.least(((x - a["x"]) * dx + (y - a["y"]) * dy) / length, F.lit(1.0)), F.lit(0.0))).otherwise(0.0)
+        return F.sqrt((x - a["x"] - t * dx) ** 2 + (y - a["y"] - t * dy) ** 2)
+
+    n = F.size(ring) - 1
+    return F.array_min(F.zip_with(F.slice(ring, F.lit(1), n), F.slice(ring, F.lit(2), n), away))
+
+
+def containing_or_near(points: DataFrame, polygons: DataFrame, size: float, reach: float) -> DataFrame:
+    """The containing polygon (lowest id), else the nearest one by the distance to its edge within ``reach``: ``id``,
+    ``poly_id``, ``how`` (``inside`` or ``nearby``) and ``distance``."""
+    inside = containing(points, polygons, size, F.col("poly_id")).select("id", "poly_id", F.lit("inside").alias("how"), F.lit(0.0).alias("distance"))
+    rest = points.join(inside, "id", "left_anti").withColumn("cx", F.floor(F.col("x") / size)).withColumn("cy", F.floor(F.col("y") / size))
+    near = rest.join(polygon_cells(polygons, size, reach).select("poly_id", "ring", "cx", "cy"), ["cx", "cy"]).withColumn("distance", polygon_distance(F.col("x"), F.col("y"), F.col("ring")))
+    nearest = near.where(F.col("distance") <= reach).groupBy("id").agg(F.min(F.struct("distance", "poly_id")).alias("m")).select("id", "m.poly_id", F.lit("nearby").alias("how"), "m.distance")
     return inside.unionByName(nearest)
 
 
+def polygon_area(ring: Column) -> Column:
+    """Area of a closed ring."""
+    n = F.size(ring) - 1
+    cross = F.zip_with(F.slice(ring, F.lit(1), n), F.slice(ring, F.lit(2), n), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
+    return F.abs(F.aggregate(cross, F.lit(0.0), lambda s, c: s + c)) / 2
+
+
+def settings(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
+    """The setting of each point inside any polygon (``poly_id``, ``ring``, ``layer``, ``taxed``, ``public``): ``park`` with
+    the id of the smallest park around it, else ``street``, else ``private`` if a parcel around it is taxed and none is
+    public, else ``unknown``."""
+    p = points.withColumn("cx", F.floor(F.col("x") / size)).withColumn("cy", F.floor(F.col("y") / size))
+    hit = p.join(polygon_cells(polygons.withColumn("area", polygon_area(F.col("ring"))), size), ["cx", "cy"]).where(in_polygon(F.col("x"), F.col("y"), F.col("ring")))
+    park, parcel = F.col("layer") == "park", F.col("layer") == "parcel"
+    found = hit.groupBy("id").agg(F.min(F.when(park, F.struct("area", "poly_id"))).alias("park"), F.bool_or(F.col("layer") == "street").alias("street"), F.bool_or(parcel & F.col("taxed")).alias("taxed"), F.bool_or(parcel & F.col("public")).alias("public"))
+    setting = F.when(F.col("park").isNotNull(), "park").when(F.col("street"), "street").when(F.col("taxed") & ~F.col("public"), "private").otherwise("unknown")
+    return found.select("id", setting.alias("setting"), F.col("park.poly_id").alias("park_id"))
+
+
 def resolve_names(names: DataFrame, records: DataFrame) -> DataFrame:
     """Names against a checklist (``id``, ``taxon``, ``status``, ``accepted_id``): accepted, synonym, unplaced, ambiguous
     or not_found, with the accepted name. Misapplied records are passed over; more than one distinct reading is
@@ -154,6 +191,16 @@ def upsert(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
     return table.join(changes, key, "left_anti").unionByName(changes)
 
 
+def upsert_report(table: DataFrame, changes: DataFrame, key: str) -> DataFrame:
+    """One row of what an upsert does: rows ``before``, ``replaced`` and ``inserted``, rows ``after``, and ``ok`` if these
+    are as many as before and inserted."""
+    new = changes.select(key, F.lit(1).alias("c_"))
+    both = table.select(key, F.lit(1).alias("t_")).join(new, key, "full")
+    n = both.agg(F.count("t_").alias("before"), F.count(F.col("t_") + F.col("c_")).alias("replaced"), F.count_if(F.col("t_").isNull()).alias("inserted"))
+    after = upsert(table, changes, key).agg(F.count("*").alias("after"))
+    return n.crossJoin(F.broadcast(after)).withColumn("ok", F.col("after") == F.col("before") + F.col("inserted"))
+
+
 def box_overlap(blocks: DataFrame, area: tuple[float, float, float, float]) -> DataFrame:
     """Share of each box (``x0``, ``y0``, ``x1``, ``y1``) inside an area box, with its weighted count and the margin of
     error in quadrature."""

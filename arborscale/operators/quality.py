@@ -31,6 +31,12 @@ def bounds_report(df: DataFrame, lat: Column, lon: Column, box: tuple[float, flo
     return r.withColumn("ok", (F.col("rows") > 0) & (F.col("nulls") <= most_null * F.col("rows")))
 
 
+def within_bounds(df: DataFrame, lat: Column, lon: Column, box: tuple[float, float, float, float]) -> DataFrame:
+    """Rows whose coordinates are there and lie in the box."""
+    s, n, w, e = box
+    return df.where(lat.between(s, n) & lon.between(w, e))
+
+
 def disjoint_union(parts: Mapping[str, DataFrame], label: str) -> tuple[DataFrame, DataFrame]:
     """The parts as one table, and the labels that stand in more than one of them."""
     named = [df.withColumn("part", F.lit(k)) for k, df in parts.items()]
@@ -38,9 +44,11 @@ def disjoint_union(parts: Mapping[str, DataFrame], label: str) -> tuple[DataFram
     return one, one.groupBy(label).agg(F.count_distinct("part").alias("parts")).where("parts > 1")
 
 
-def freshness(sources: DataFrame, published: Column) -> DataFrame:
-    """Rebuild if a source (``stamp``) is newer than what is published, or the week has turned."""
-    return sources.agg(F.max("stamp").alias("newest")).select("newest", ((F.col("newest") > published) | (F.date_trunc("week", "newest") > F.date_trunc("week", published))).alias("rebuild"))
+def freshness(sources: DataFrame, published: Column, today: Column) -> DataFrame:
+    """Rebuild if a source (``stamp``) is newer than what is published, or a week has begun since that was published, even
+    if no source has changed."""
+    newer, turned = F.coalesce(F.col("newest") > published, F.lit(False)), F.date_trunc("week", today) > F.date_trunc("week", published)
+    return sources.agg(F.max("stamp").alias("newest")).select("newest", newer.alias("newer"), turned.alias("week_turned"), (newer | turned).alias("rebuild"))
 
 
 def reconciled(blocks: DataFrame, rows: DataFrame) -> DataFrame:
@@ -70,6 +78,15 @@ def purge(dimension: DataFrame, key: str, cleaned: Column, aliases: DataFrame, p
     return marked.where("direct_").unionByName(marked.where("not direct_").join(keep, key, "left_semi")).drop("clean_", "direct_")
 
 
+def top_coverage(counts: DataFrame, profiles: DataFrame, k: int) -> DataFrame:
+    """One row: how many of the ``k`` commonest species (``species``, ``trees``) have a profile, and their share of the
+    trees of these."""
+    top = counts.where("species is not null").orderBy(F.desc("trees"), "species").limit(k)
+    has = top.join(profiles.select("species", F.lit(True).alias("has_")).distinct(), "species", "left")
+    covered = F.sum(F.when(F.col("has_"), F.col("trees")).otherwise(0))
+    return has.agg(F.count("*").alias("species"), F.count("has_").alias("profiled"), (covered / F.sum("trees")).alias("share"))
+
+
 def weighted_completeness(rows: DataFrame, weight: str, columns: Sequence[str]) -> DataFrame:
     """Share of the weight whose columns are filled, a row each."""
     one = rows.agg(F.sum(weight).alias("all"), *[F.sum(F.when(F.col(c).isNotNull(), F.col(weight)).otherwise(0)).alias(f"w_{c}") for c in columns])

@@ -78,9 +78,44 @@ def queue(df: DataFrame, key: str, strata: Sequence[tuple[Column, Sequence[Colum
     return taken
 
 
-def rounds(df: DataFrame, keys: Sequence[str], order: Column) -> DataFrame:
-    """Round-robin: the ``round`` in which each row of a bucket comes."""
-    return df.withColumn("round", F.row_number().over(Window.partitionBy(*keys).orderBy(order)))
+def diverse_order(rows: DataFrame) -> DataFrame:
+    """An order of rows (``id``, ``split``, ``value``, ``species``, ``block``) that shows much early: within each split and
+    quarter of its values one row of each species comes first, then one of each block, then the rest, each by a hash.
+    Reading place by place over the buckets takes them in turn.
+
+    The places are counts of the rows before, summed over ranges of the hash, so no bucket is sorted in one task."""
+    at = ["split", "quarter"]
+    cuts = rows.groupBy("split").agg(F.percentile("value", F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75))).alias("cuts_"))
+    above = sum(((F.col("value") > F.get("cuts_", F.lit(i))).cast("int") for i in range(3)), F.lit(1))
+    r = join_back(rows, cuts, ["split"]).withColumn("quarter", above).drop("cuts_").withColumn("h_", F.md5(F.col("id").cast("string")))
+    r = join_back(r, r.groupBy(*at, "species").agg(F.min("h_").alias("s_")), [*at, "species"])
+    rest = F.when(F.col("h_") != F.col("s_"), F.col("h_"))
+    r = join_back(r, r.groupBy(*at, "block").agg(F.min(rest).alias("b_")), [*at, "block"])
+    r = r.withColumn("stage", F.when(F.col("h_") == F.col("s_"), 0).when(F.col("h_") == F.col("b_"), 1).otherwise(2)).withColumn("range_", F.left("h_", F.lit(3)))
+    n = r.groupBy(*at, "stage", "range_").agg(F.count("*").alias("n_"))
+    before = n.withColumn("n_", F.coalesce(F.sum("n_").over(Window.partitionBy(*at).orderBy("stage", "range_").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+    within = F.row_number().over(Window.partitionBy(*at, "stage", "range_").orderBy("h_", "id"))
+    return join_back(r, before, [*at, "stage", "range_"]).withColumn("place", F.col("n_") + within).drop("h_", "s_", "b_", "range_", "n_")
+
+
+def audit_sample(chips: DataFrame, size: int) -> DataFrame:
+    """``size`` chips (``chip``, ``city``, ``density``, ``reviewed``, ``priority``) of each city: half of them drawn by a hash,
+    evenly from the density classes and then from all to fill up; the other half by priority, those not reviewed first."""
+    half, h = size // 2, F.md5(F.concat_ws("|", "city", "chip"))
+    n = chips.groupBy("city", "density").agg(F.count("*").alias("n_"))
+    nth = F.row_number().over(Window.partitionBy("city").orderBy("density")) - 1
+    quota = n.withColumn("quota_", F.least(F.lit(half // 3) + (nth < half % 3).cast("int"), F.col("n_"))).drop("n_")
+    place = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(h, "chip"))
+    drawn = chips.withColumn("p_", place("city", "density")).where(F.col("p_") <= half // 3 + 1).join(quota, ["city", "density"]).where("p_ <= quota_").drop("p_", "quota_")
+    short = quota.groupBy("city").agg((F.lit(half) - F.sum("quota_")).alias("short_"))
+    rest = chips.join(drawn.select("city", "chip"), ["city", "chip"], "left_anti")
+    more = rest.withColumn("p_", place("city")).where(F.col("p_") <= half).join(short, "city").where("p_ <= short_").drop("p_", "short_")
+    audit = drawn.unionByName(more)
+    left = chips.join(audit.select("city", "chip"), ["city", "chip"], "left_anti")
+    many = audit.groupBy("city").agg((F.lit(size) - F.count("*")).alias("many_"))
+    worst = F.row_number().over(Window.partitionBy("city").orderBy("reviewed", F.desc("priority"), "chip"))
+    diagnostic = left.withColumn("p_", worst).where(F.col("p_") <= size).join(many, "city").where("p_ <= many_").drop("p_", "many_")
+    return audit.withColumn("queue", F.lit("audit")).unionByName(diagnostic.withColumn("queue", F.lit("diagnostic")))
 
 
 def share_with_fallback(df: DataFrame, least: Mapping[str, int], member: Column) -> DataFrame:

@@ -55,9 +55,9 @@ def quantiles(df: DataFrame, keys: Sequence[str], value: Column, at: Mapping[str
 
 
 def profile(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """Present, null, least, greatest and distinct of each column, a row each, from one pass."""
-    one = df.agg(*[a for c in columns for a in (F.count(c).alias(f"n_{c}"), F.count_if(F.col(c).isNull()).alias(f"z_{c}"), F.min(c).cast("string").alias(f"lo_{c}"), F.max(c).cast("string").alias(f"hi_{c}"), F.countDistinct(c).alias(f"d_{c}"))])
-    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"n_{c}").alias("present"), F.col(f"z_{c}").alias("nulls"), F.col(f"lo_{c}").alias("least"), F.col(f"hi_{c}").alias("greatest"), F.col(f"d_{c}").alias("kinds")) for c in columns])
+    """Present, null, least, greatest, distinct and median (of numbers) of each column, a row each, from one pass."""
+    one = df.agg(*[a for c in columns for a in (F.count(c).alias(f"n_{c}"), F.count_if(F.col(c).isNull()).alias(f"z_{c}"), F.min(c).cast("string").alias(f"lo_{c}"), F.max(c).cast("string").alias(f"hi_{c}"), F.countDistinct(c).alias(f"d_{c}"), F.percentile(F.col(c).try_cast("double"), F.lit(0.5)).alias(f"m_{c}"))])
+    rows = F.array(*[F.struct(F.lit(c).alias("column_name"), F.col(f"n_{c}").alias("present"), F.col(f"z_{c}").alias("nulls"), F.col(f"lo_{c}").alias("least"), F.col(f"hi_{c}").alias("greatest"), F.col(f"d_{c}").alias("kinds"), F.col(f"m_{c}").alias("median")) for c in columns])
     return one.select(F.inline(rows))
 
 
@@ -68,6 +68,18 @@ def vocabulary_coverage(df: DataFrame, key: str, vocabulary: DataFrame) -> DataF
     return by_value.agg(F.sum(F.when(known, F.col("n")).otherwise(0)).alias("covered"), F.sum("n").alias("total"), F.count_if(~known).alias("unsupported"))
 
 
+def unsupported(df: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
+    """Values that a vocabulary lacks, with their rows."""
+    return df.groupBy(key).agg(F.count("*").alias("rows")).where(F.col(key).isNotNull()).join(vocabulary.select(key).distinct(), key, "left_anti")
+
+
+def support_table(rows: DataFrame) -> DataFrame:
+    """Each species with its trees, distinct chips and blocks, and a column of trees for each city."""
+    n = rows.groupBy("species").agg(F.count("*").alias("trees"), F.countDistinct("chip").alias("chips"), F.countDistinct("block").alias("blocks"))
+    cities = rows.groupBy("species").pivot("city").count().na.fill(0)
+    return n.join(cities.withColumnRenamed("species", "of_"), F.col("species").eqNullSafe(F.col("of_"))).drop("of_")
+
+
 def unpivoted_values(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """The distinct values of each column as ``kind``, ``value``."""
     return df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).cast("string").alias("value")) for c in columns])).alias("p")).select("p.*").where("value is not null").distinct()

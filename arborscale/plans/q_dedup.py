@@ -196,9 +196,9 @@ def _(v: Views) -> DataFrame:
     return v.obs.select("tree_id", cells.hilbert(F.floor((F.col("longitude") + 72) * 5e4), F.floor((F.col("latitude") - 39) * 5e4), 17).alias("hilbert")).orderBy("hilbert")
 
 
-@query("g7_overview_tiles", "WITH {OBS} SELECT floor(longitude * 500)::BIGINT AS cx, floor(latitude * 500)::BIGINT AS cy, genus, count(*) AS trees, round(avg(dbh), 6) AS mean_dbh FROM obs GROUP BY ALL")
+@query("g7_overview_tiles", f"WITH {{OBS}}, t AS (SELECT {TILE.format(n=1 << 14).replace(' AS x,', ' AS tx,').replace(' AS y', ' AS ty')}, (floor(6378137.0 * radians(longitude) / 200) + 0.5) * 200 AS cx, (floor(6378137.0 * ln(tan(radians(latitude)) + 1 / cos(radians(latitude))) / 200) + 0.5) * 200 AS cy, genus, dbh FROM obs) SELECT tx, ty, cx, cy, genus, count(*) AS trees, round(avg(dbh), 6) AS mean_dbh FROM t GROUP BY ALL")
 def _(v: Views) -> DataFrame:
-    return v.obs.groupBy(F.floor(F.col("longitude") * 500).alias("cx"), F.floor(F.col("latitude") * 500).alias("cy"), "genus").agg(F.count("*").alias("trees"), F.round(F.avg("dbh"), 6).alias("mean_dbh"))
+    return cells.overview(v.obs, 14, 200.0, "genus", "dbh").withColumn("mean_dbh", F.round("mean_dbh", 6))
 
 
 @query("g8_local_metres", "WITH {OBS} SELECT tree_id, round((longitude + 71) * (111320.0 * cos(radians(40))), 4) AS x, round((latitude - 40) * 111320.0, 4) AS y, round(2 * 6371008.8 * asin(sqrt(sin(radians(latitude - 40) / 2) ** 2 + cos(radians(40)) * cos(radians(latitude)) * sin(radians(longitude + 71) / 2) ** 2)), 4) AS d FROM obs")

@@ -57,11 +57,13 @@ def _(v: Views) -> DataFrame:
     return points(v).select("id", scans.in_boxes(F.col("y"), F.col("x"), [(200, 800, 100, 900), (1000, 1100, 2000, 2300)]).alias("inside"))
 
 
-@query("j7_nearest_links", f"""WITH {{OBS}}, {PTS}, c AS (SELECT r.id, t.id AS tree_id, sqrt((r.x - t.x) ** 2 + (r.y - t.y) ** 2) AS d FROM pts r JOIN pts t ON r.genus = t.genus AND floor(r.x / 20) BETWEEN floor(t.x / 20) - 1 AND floor(t.x / 20) + 1 AND abs(r.y - t.y) <= 20
-WHERE r.line = 5 AND t.line > 5 AND abs(r.dbh - t.dbh) <= 10 AND sqrt((r.x - t.x) ** 2 + (r.y - t.y) ** 2) <= 20), f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, tree_id) = 1) SELECT id, tree_id FROM f QUALIFY row_number() OVER (PARTITION BY tree_id ORDER BY d, id) = 1""")
+@query("j7_nearest_links", f"""WITH {{OBS}}, {PTS}, rv AS (SELECT min(id) AS id, tree_id FROM (SELECT r.id, min(t.id) AS tree_id FROM pts r JOIN pts t ON r.part_key = t.part_key AND r.line = 5 AND t.line > 5 AND r.part_key % 50 = 0 GROUP BY r.id) GROUP BY tree_id), c AS (SELECT r.id, t.id AS tree_id, sqrt((r.x - t.x) ** 2 + (r.y - t.y) ** 2) AS d FROM pts r JOIN pts t ON r.genus = t.genus AND floor(r.x / 20) BETWEEN floor(t.x / 20) - 1 AND floor(t.x / 20) + 1 AND abs(r.y - t.y) <= 20
+WHERE r.line = 5 AND t.line > 5 AND abs(r.dbh - t.dbh) <= 10 AND sqrt((r.x - t.x) ** 2 + (r.y - t.y) ** 2) <= 20 AND r.id NOT IN (SELECT id FROM rv) AND t.id NOT IN (SELECT tree_id FROM rv)), f AS (SELECT * FROM c QUALIFY row_number() OVER (PARTITION BY id ORDER BY d, tree_id) = 1) (SELECT id, tree_id FROM f QUALIFY row_number() OVER (PARTITION BY tree_id ORDER BY d, id) = 1) UNION ALL SELECT id, tree_id FROM rv""")
 def _(v: Views) -> DataFrame:
-    p = points(v).select("id", "x", "y", "genus", "dbh", "line")
-    return lookups.best_link(p.where("line = 5"), p.where("line > 5"), 20.0, 10.0).select("id", "tree_id")
+    p = points(v).select("id", "x", "y", "genus", "dbh", "line", "part_key")
+    one, other = p.where("line = 5"), p.where("line > 5")
+    same = one.where("part_key % 50 = 0").select("id", "part_key").join(other.groupBy("part_key").agg(F.min("id").alias("tree_id")), "part_key")
+    return lookups.best_link(one, other, 20.0, 10.0, same.groupBy("tree_id").agg(F.min("id").alias("id"))).select("id", "tree_id")
 
 
 @query("j8_two_nearest", f"""WITH {{OBS}}, {PTS}, q AS (SELECT * FROM pts WHERE line = 1), c AS (SELECT a.id, b.id AS o, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM q a JOIN q b ON a.id <> b.id AND floor(a.x / 25) BETWEEN floor(b.x / 25) - 1 AND floor(b.x / 25) + 1 AND abs(a.y - b.y) <= 25 WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 25),
@@ -70,10 +72,10 @@ def _(v: Views) -> DataFrame:
     return lookups.two_nearest(points(v).where("line = 1").select("id", "x", "y"), 25.0).select("id", "nearest", "mutual")
 
 
-@query("j9_similar_names", "WITH n AS (SELECT DISTINCT concat(p_type, '-', p_name) AS name FROM part WHERE p_partkey < 100 UNION SELECT DISTINCT p_name FROM part) SELECT a.name AS a, b.name AS b, levenshtein(a.name, b.name)::INT AS edits FROM n a JOIN n b ON a.name < b.name AND length(a.name) >= 8 AND length(b.name) >= 8 AND levenshtein(a.name, b.name) <= 2")
+@query("j9_similar_names", "WITH n AS (SELECT DISTINCT concat(p_type, '-', p_name) AS name FROM part UNION SELECT DISTINCT p_name FROM part) SELECT a.name AS a, b.name AS b, levenshtein(a.name, b.name)::INT AS edits FROM n a JOIN n b ON a.name < b.name AND length(a.name) >= 8 AND length(b.name) >= 8 AND levenshtein(a.name, b.name) <= 2")
 def _(v: Views) -> DataFrame:
     part = v.table("part")
-    names = part.where("p_partkey < 100").select(F.concat_ws("-", "p_type", "p_name").alias("name")).union(part.select("p_name"))
+    names = part.select(F.concat_ws("-", "p_type", "p_name").alias("name")).union(part.select("p_name"))
     return lookups.similar_names(names)
 
 
@@ -89,24 +91,29 @@ POLY = "poly AS (SELECT s_suppkey AS poly_id, (s_suppkey * 37 % 100) * 25.0 AS p
 INSIDE = "x >= px AND x < px + 60 AND y >= py AND y < py + 60 AND (x - px) + (y - py) < 90"
 
 
-@query("j10_point_in_polygon", f"""WITH {{OBS}}, {PTS}, {POLY}, i AS (SELECT id, min(poly_id) AS poly_id FROM pts, poly WHERE {INSIDE} GROUP BY id), n AS (SELECT id, arg_min(poly_id, (sqrt((x - px - 30) ** 2 + (y - py - 30) ** 2), poly_id)) AS poly_id FROM pts, poly WHERE id NOT IN (SELECT id FROM i) AND sqrt((x - px - 30) ** 2 + (y - py - 30) ** 2) <= 50 GROUP BY id)
-SELECT id, poly_id, 'inside' AS how FROM i UNION ALL SELECT id, poly_id, 'nearby' FROM n""")
+@query("j10_point_in_polygon", f"""WITH {{OBS}}, {PTS}, {POLY}, e(x0, y0, x1, y1) AS (VALUES (0, 0, 60, 0), (60, 0, 60, 30), (60, 30, 30, 60), (30, 60, 0, 60), (0, 60, 0, 0)), i AS (SELECT id, min(poly_id) AS poly_id FROM pts, poly WHERE {INSIDE} GROUP BY id),
+k AS (SELECT id, poly_id, x - px AS x, y - py AS y FROM pts, poly WHERE x BETWEEN px - 50 AND px + 110 AND y BETWEEN py - 50 AND py + 110 AND id NOT IN (SELECT id FROM i)), q AS (SELECT *, greatest(least(((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / ((x1 - x0) ** 2 + (y1 - y0) ** 2), 1), 0) AS t FROM k, e),
+d AS (SELECT id, poly_id, min(sqrt((x - x0 - t * (x1 - x0)) ** 2 + (y - y0 - t * (y1 - y0)) ** 2)) AS d FROM q GROUP BY ALL)
+SELECT id, poly_id, 'inside' AS how, 0.0::DOUBLE AS distance FROM i UNION ALL SELECT id, arg_min(poly_id, (d, poly_id)), 'nearby', round(min(d), 6) FROM d WHERE d <= 50 GROUP BY id""")
 def _(v: Views) -> DataFrame:
-    p = polygons(v)
-    return lookups.containing_or_near(points(v).select("id", "x", "y"), p.select("poly_id", "ring"), 30.0, p, 50.0)
+    return lookups.containing_or_near(points(v).select("id", "x", "y"), polygons(v).select("poly_id", "ring"), 30.0, 50.0).withColumn("distance", F.round("distance", 6))
 
 
-@query("j11_layered_precedence", f"WITH {{OBS}}, {PTS}, {POLY} SELECT id, CASE WHEN bool_or(poly_id % 3 = 0) THEN 'park' WHEN bool_or(poly_id % 3 = 1) THEN 'street' ELSE 'parcel' END AS setting FROM pts, poly WHERE {INSIDE} GROUP BY id")
+@query("j11_layered_precedence", f"""WITH {{OBS}}, {PTS}, sq AS (SELECT s_suppkey AS poly_id, (s_suppkey * 37 % 100) * 25.0 AS px, (s_suppkey * 61 % 100) * 25.0 AS py, 60 + s_suppkey % 5 * 20 AS w, s_suppkey % 4 AS layer FROM supplier), h AS (SELECT id, poly_id, w, layer FROM pts, sq WHERE x >= px AND x < px + w AND y >= py AND y < py + w)
+SELECT id, CASE WHEN bool_or(layer = 0) THEN 'park' WHEN bool_or(layer = 1) THEN 'street' WHEN bool_or(layer > 1 AND poly_id % 3 > 0) AND NOT bool_or(layer > 1 AND poly_id % 7 = 0) THEN 'private' ELSE 'unknown' END AS setting, arg_min(poly_id, (w, poly_id)) FILTER (WHERE layer = 0) AS park_id FROM h GROUP BY id""")
 def _(v: Views) -> DataFrame:
-    p = polygons(v).select("poly_id", "ring")
-    layer = F.col("poly_id") % 3
-    first = lookups.containing(points(v).select("id", "x", "y"), p, 30.0, layer)
-    return first.select("id", F.when(layer == 0, "park").when(layer == 1, "street").otherwise("parcel").alias("setting"))
+    k = F.col("s_suppkey")
+    x, y, w = (k * 37 % 100) * 25.0, (k * 61 % 100) * 25.0, 60.0 + k % 5 * 20
+    corner = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"))
+    zero = F.lit(0.0)
+    ring = F.array(corner(zero, zero), corner(w, zero), corner(w, w), corner(zero, w), corner(zero, zero))
+    layer = F.when(k % 4 == 0, "park").when(k % 4 == 1, "street").otherwise("parcel")
+    return lookups.settings(points(v).select("id", "x", "y"), v.table("supplier").select(k.alias("poly_id"), ring.alias("ring"), layer.alias("layer"), (k % 3 > 0).alias("taxed"), (k % 7 == 0).alias("public")), 30.0)
 
 
-CHECK = "rec AS (SELECT p_partkey AS id, concat(p_name, ' ', p_size) AS taxon, CASE WHEN p_partkey % 11 = 0 THEN 'misapplied' ELSE 'ok' END AS status, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN p_partkey ELSE p_partkey // 3 * 3 END AS accepted_id FROM part WHERE p_partkey < 600)"
+CHECK = "rec AS (SELECT p_partkey AS id, concat(p_name, ' ', p_size) AS taxon, CASE WHEN p_partkey % 11 = 0 THEN 'misapplied' ELSE 'ok' END AS status, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN p_partkey ELSE p_partkey // 6 * 6 END AS accepted_id FROM part WHERE p_partkey % 2 = 0)"
 RESOLVED = f"""{CHECK}, u AS (SELECT * FROM rec WHERE status <> 'misapplied'), rd AS (SELECT u.taxon AS name, CASE WHEN u.accepted_id IS NULL THEN 'unplaced' WHEN u.accepted_id = u.id THEN 'accepted' ELSE 'synonym' END AS verdict, o.taxon AS accepted_name FROM u LEFT JOIN u o ON u.accepted_id = o.id),
-bn AS (SELECT name, count(DISTINCT concat(verdict, '|', coalesce(accepted_name, '~'))) AS n, min(verdict) AS verdict, min(accepted_name) AS accepted_name FROM rd GROUP BY name), nm AS (SELECT DISTINCT concat(p_name, ' ', p_size) AS name FROM part WHERE p_partkey < 1200),
+bn AS (SELECT name, count(DISTINCT concat(verdict, '|', coalesce(accepted_name, '~'))) AS n, min(verdict) AS verdict, min(accepted_name) AS accepted_name FROM rd GROUP BY name), nm AS (SELECT DISTINCT concat(p_name, ' ', p_size) AS name FROM part),
 res AS (SELECT nm.name, CASE WHEN n IS NULL THEN 'not_found' WHEN n > 1 THEN 'ambiguous' ELSE verdict END AS verdict, CASE WHEN n = 1 THEN accepted_name END AS accepted_name FROM nm LEFT JOIN bn USING (name))"""
 
 
@@ -114,8 +121,8 @@ def resolved(v: Views) -> DataFrame:
     k = F.col("p_partkey")
     part = v.table("part").withColumn("taxon", F.concat_ws(" ", "p_name", "p_size"))
     status = F.when(k % 11 == 0, "misapplied").otherwise("ok")
-    accepted = F.when(k % 7 == 0, None).when(k % 3 == 0, k).otherwise(F.floor(k / 3) * 3)
-    return lookups.resolve_names(part.where(k < 1200).select(F.col("taxon").alias("name")), part.where(k < 600).select(k.alias("id"), "taxon", status.alias("status"), accepted.alias("accepted_id")))
+    accepted = F.when(k % 7 == 0, None).when(k % 3 == 0, k).otherwise(F.floor(k / 6) * 6)
+    return lookups.resolve_names(part.select(F.col("taxon").alias("name")), part.where(k % 2 == 0).select(k.alias("id"), "taxon", status.alias("status"), accepted.alias("accepted_id")))
 
 
 @query("j12_checklist_resolution", f"WITH {RESOLVED} FROM res")
@@ -133,10 +140,10 @@ def _(v: Views) -> DataFrame:
     return lookups.pair_verdicts(lookups.similar_names(r.select("name"), edits=1).select("a", "b"), r)
 
 
-@query("j14_token_scores", "WITH t AS (SELECT DISTINCT doc_id AS id, unnest(string_split(left(text, 400), ' ')) AS token FROM documents WHERE doc_id % 10 = 0), r AS (SELECT DISTINCT item_id AS ref_id, unnest(string_split(text, ' ')) AS token FROM benchmark), s AS (SELECT id, ref_id, count(*) AS score FROM t JOIN r USING (token) GROUP BY ALL HAVING count(*) >= 4) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, ref_id) <= 5")
+@query("j14_token_scores", "WITH t AS (SELECT DISTINCT doc_id AS id, unnest(string_split(text, ' ')) AS token FROM documents), r AS (SELECT DISTINCT item_id AS ref_id, unnest(string_split(text, ' ')) AS token FROM benchmark), s AS (SELECT id, ref_id, count(*) AS score FROM t JOIN r USING (token) GROUP BY ALL HAVING count(*) >= 4) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, ref_id) <= 40")
 def _(v: Views) -> DataFrame:
-    texts = v.table("documents").where("doc_id % 10 = 0").select(F.col("doc_id").alias("id"), F.split(F.left("text", F.lit(400)), " ").alias("tokens"))
-    return lookups.token_scores(texts, v.table("benchmark").select(F.col("item_id").alias("ref_id"), F.split("text", " ").alias("ref_tokens")), 4, 5)
+    texts = v.table("documents").select(F.col("doc_id").alias("id"), F.split("text", " ").alias("tokens"))
+    return lookups.token_scores(texts, v.table("benchmark").select(F.col("item_id").alias("ref_id"), F.split("text", " ").alias("ref_tokens")), 4, 40)
 
 
 @query("j15_unnest_join", "SELECT p_partkey, n_name FROM (SELECT p_partkey, unnest([p_partkey % 7, p_partkey % 11]) AS k FROM part) JOIN nation ON k = n_nationkey")
@@ -171,6 +178,12 @@ def _(v: Views) -> DataFrame:
     return lookups.upsert(part, part.where("p_partkey % 5 = 0").withColumn("brand", F.lit("new")), "p_partkey")
 
 
+@query("j19_upsert_report", "SELECT count(*) FILTER (WHERE p_partkey % 3 > 0) AS before, count(*) FILTER (WHERE p_partkey % 5 = 0 AND p_partkey % 3 > 0) AS replaced, count(*) FILTER (WHERE p_partkey % 5 = 0 AND p_partkey % 3 = 0) AS inserted, count(*) FILTER (WHERE p_partkey % 3 > 0 OR p_partkey % 5 = 0) AS after, true AS ok FROM part")
+def _(v: Views) -> DataFrame:
+    part = v.table("part").select("p_partkey", "p_brand")
+    return lookups.upsert_report(part.where("p_partkey % 3 > 0"), part.where("p_partkey % 5 = 0"), "p_partkey")
+
+
 @query("j20_area_weights", "WITH b AS (SELECT (p_partkey % 50) * 10.0 AS x0, (p_partkey // 50) * 10.0 AS y0, p_size AS n, p_size / 10.0 AS moe FROM part), s AS (SELECT *, greatest(least(x0 + 10, 255.0) - greatest(x0, 100.0), 0) * greatest(least(y0 + 10, 303.0) - greatest(y0, 55.0), 0) / 100 AS share FROM b) SELECT round(sum(share * n), 6) AS count, round(sqrt(sum((share * moe) ** 2)), 6) AS moe FROM s")
 def _(v: Views) -> DataFrame:
     k = F.col("p_partkey")
@@ -179,9 +192,9 @@ def _(v: Views) -> DataFrame:
     return lookups.box_overlap(blocks, (100.0, 55.0, 255.0, 303.0)).select(F.round("count", 6).alias("count"), F.round("moe", 6).alias("moe"))
 
 
-@query("j21_ring_dilation", f"WITH {{OBS}}, {PTS}, t AS (SELECT DISTINCT floor(x / 200)::BIGINT AS x, floor(y / 200)::BIGINT AS y FROM pts WHERE city = 'c1' AND line = 1) SELECT DISTINCT x + i AS x, y + j AS y FROM t, range(-2, 3) a(i), range(-2, 3) b(j)")
+@query("j21_ring_dilation", f"WITH {{OBS}}, {PTS}, t AS (SELECT DISTINCT floor(x / 200)::BIGINT AS x, floor(y / 200)::BIGINT AS y FROM pts) SELECT DISTINCT x + i AS x, y + j AS y FROM t, range(-2, 3) a(i), range(-2, 3) b(j)")
 def _(v: Views) -> DataFrame:
-    tiles = points(v).where("city = 'c1' and line = 1").select(F.floor(F.col("x") / 200).alias("x"), F.floor(F.col("y") / 200).alias("y")).distinct()
+    tiles = points(v).select(F.floor(F.col("x") / 200).alias("x"), F.floor(F.col("y") / 200).alias("y")).distinct()
     return lookups.dilated(tiles, 2)
 
 

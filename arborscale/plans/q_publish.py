@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborscale.functions.lineage import scratch
@@ -33,12 +33,17 @@ def _(v: Views) -> DataFrame:
     return quality.kept(one.where("dbh > 10"), one)
 
 
-@query("q5_bounds_validation", "WITH {OBS} SELECT count(*) AS rows, count_if(dbh IS NULL) AS nulls, count_if(latitude > 40.015) AS latitude_out, count_if(longitude < -71.015) AS longitude_out, count_if(dbh IS NULL) <= 0.1 * count(*) AS ok FROM obs")
+BOX = (40.0, 40.015, -71.015, -71.0)
+
+
+@query("q5_bounds_validation", "WITH {OBS} SELECT count(*) AS rows, count_if(dbh IS NULL) AS nulls, count_if(dbh IS NOT NULL AND latitude > 40.015) AS latitude_out, count_if(longitude < -71.015) AS longitude_out, count_if(dbh IS NULL) <= 0.1 * count(*) AS ok FROM obs")
+def _(v: Views) -> DataFrame:
+    return quality.bounds_report(v.obs, F.when(F.col("dbh").isNotNull(), F.col("latitude")), F.col("longitude"), BOX)
+
+
+@query("q5_rows_in_bounds", "WITH {OBS} SELECT tree_id FROM obs WHERE dbh IS NOT NULL AND latitude <= 40.015 AND longitude >= -71.015")
 def _(v: Views) -> DataFrame:
-    lat = F.when(F.col("dbh").isNotNull(), F.col("latitude"))
-    r = quality.bounds_report(v.obs, lat, F.col("longitude"), (40.0, 40.015, -71.015, -71.0))
-    out = v.obs.agg(F.count_if(F.col("latitude") > 40.015).alias("latitude_out"))
-    return r.drop("latitude_out").crossJoin(F.broadcast(out)).select("rows", "nulls", "latitude_out", "longitude_out", "ok")
+    return quality.within_bounds(v.obs, F.when(F.col("dbh").isNotNull(), F.col("latitude")), F.col("longitude"), BOX).select("tree_id")
 
 
 @query("q6_disjoint_union", "WITH {OBS} SELECT data_source, 2::BIGINT AS parts FROM obs WHERE data_source = 'MUNI_0' GROUP BY 1")
@@ -47,9 +52,10 @@ def _(v: Views) -> DataFrame:
     return quality.disjoint_union(parts, "data_source")[1]
 
 
-@query("q7_freshness", "SELECT max(o_orderdate) AS newest, max(o_orderdate) > TIMESTAMP '1998-06-01' AS rebuild FROM orders")
+@query("q7_freshness", "SELECT max(o_orderdate) AS newest, max(o_orderdate) > TIMESTAMP '2030-06-03' AS newer, true AS week_turned, true AS rebuild FROM orders")
 def _(v: Views) -> DataFrame:
-    return quality.freshness(v.table("orders").select(F.col("o_orderdate").alias("stamp")), F.lit("1998-06-01").cast("timestamp"))
+    stamp = lambda text: F.lit(text).cast("timestamp")
+    return quality.freshness(v.table("orders").select(F.col("o_orderdate").alias("stamp")), stamp("2030-06-03"), stamp("2030-06-10"))
 
 
 @query("q8_reconciliation", "WITH {OBS} SELECT city, count_if(dbh IS NOT NULL) AS in_blocks, count(*) AS rows, count_if(dbh IS NULL) = 0 AS ok FROM obs GROUP BY city")
@@ -83,12 +89,23 @@ def _(v: Views) -> DataFrame:
     return quality.weighted_completeness(v.obs, "size_class", ["dbh", "crown_width_m"]).withColumn("share", F.round("share", 6))
 
 
-@query("b1_headline", "WITH {OBS}, g AS (SELECT genus FROM obs GROUP BY genus ORDER BY count(*) DESC, genus LIMIT 1) SELECT count(*) AS trees, count(species) AS identified, count(DISTINCT species) AS species, round(avg((part_key % 7 = 1)::INT), 6) AS biome_fit, round(sum(pi() * (crown_width_m / 2) ** 2), 2) AS canopy_m2, (FROM g) AS top_genus FROM obs")
+@query("q12_top_coverage", "WITH {OBS}, n AS (SELECT species, count(*) AS trees FROM obs GROUP BY species ORDER BY trees DESC, species LIMIT 20), p AS (SELECT DISTINCT concat(upper(p_name[1]), substr(p_name, 2)) AS species FROM part WHERE p_retailprice > 1900) SELECT count(*) AS species, count(*) FILTER (WHERE species IN (FROM p)) AS profiled, round(coalesce(sum(trees) FILTER (WHERE species IN (FROM p)), 0) / sum(trees), 6) AS share FROM n")
+def _(v: Views) -> DataFrame:
+    profiles = v.table("part").where("p_retailprice > 1900").select(F.expr("concat(upper(left(p_name, 1)), substr(p_name, 2))").alias("species"))
+    return quality.top_coverage(rollups.count_by(v.obs, "species"), profiles, 20).withColumn("share", F.round("share", 6))
+
+
+FAMILY = "concat('Family ', length(genus))"
+
+
+@query("b1_headline", f"WITH {{OBS}}, g AS (SELECT genus FROM obs GROUP BY genus ORDER BY count(*) DESC, genus LIMIT 1), f AS (SELECT {FAMILY} FROM obs GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT count(*) AS trees, count(species) AS identified, count(DISTINCT species) AS species, round(avg((part_key % 7 = 1)::INT), 6) AS biome_fit, round(sum(pi() * (crown_width_m / 2) ** 2), 2) AS canopy_m2, (FROM g) AS top_genus, (FROM f) AS top_family FROM obs")
 def _(v: Views) -> DataFrame:
     # one rollup that all figures re-sum
     r = v.obs.groupBy("genus", "species").agg(F.count("*").alias("n"), F.count_if(F.col("part_key") % 7 == 1).alias("fit"), F.sum(F.pi() * (F.col("crown_width_m") / 2) ** 2).alias("canopy"))
-    by_genus = r.groupBy("genus").agg(F.sum("n").alias("n"), F.count("species").alias("kinds"), F.sum("fit").alias("fit"), F.sum("canopy").alias("canopy"), F.sum(F.when(F.col("species").isNotNull(), F.col("n"))).alias("named"))
-    return by_genus.agg(F.sum("n").alias("trees"), F.sum("named").alias("identified"), F.sum("kinds").alias("species"), F.round(F.sum("fit") / F.sum("n"), 6).alias("biome_fit"), F.round(F.sum("canopy"), 2).alias("canopy_m2"), F.min_by("genus", F.struct(-F.col("n"), "genus")).alias("top_genus"))
+    by_genus = r.groupBy(F.expr(FAMILY).alias("family"), "genus").agg(F.sum("n").alias("n"), F.count("species").alias("kinds"), F.sum("fit").alias("fit"), F.sum("canopy").alias("canopy"), F.sum(F.when(F.col("species").isNotNull(), F.col("n"))).alias("named"))
+    figures = ("n", "kinds", "fit", "canopy", "named")
+    by_family = by_genus.groupBy("family").agg(*[F.sum(c).alias(c) for c in figures], F.min(F.struct((-F.col("n")).alias("n"), "genus")).alias("top"))
+    return by_family.agg(F.sum("n").alias("trees"), F.sum("named").alias("identified"), F.sum("kinds").alias("species"), F.round(F.sum("fit") / F.sum("n"), 6).alias("biome_fit"), F.round(F.sum("canopy"), 2).alias("canopy_m2"), F.min("top")["genus"].alias("top_genus"), F.min_by("family", F.struct(-F.col("n"), "family")).alias("top_family"))
 
 
 @query("b2_sources_breakdown", f"WITH {{OBS}} SELECT {KIND} AS kind, count(*) AS trees, count_if(dbh IS NULL) AS no_dbh FROM obs GROUP BY 1")
@@ -114,10 +131,12 @@ def _(v: Views) -> DataFrame:
     return rollups.count_by(v.obs.where("plant_date >= date '2001-01-01'"), "species").orderBy(F.desc("trees"), "species").limit(8)
 
 
-@query("b6_bucket_counts", f"WITH {{OBS}}, w AS (SELECT *, crown_width_m AS width FROM obs) SELECT 'dbh' AS kind, {DBH} AS bucket, count(*) AS trees FROM w GROUP BY 2 UNION ALL SELECT 'crown', {CROWN}, count(*) FROM w GROUP BY 2 UNION ALL SELECT 'cultivar', cultivar, count(*) FROM w GROUP BY 2")
+@query("b6_bucket_counts", f"WITH {{OBS}}, w AS (SELECT *, crown_width_m AS width FROM obs) SELECT 'dbh' AS kind, {DBH} AS bucket, count(*) AS trees FROM w GROUP BY 2 UNION ALL SELECT 'crown', {CROWN}, count(*) FROM w GROUP BY 2 UNION ALL SELECT 'form', CASE size_class % 3 WHEN 0 THEN 'palm' WHEN 1 THEN 'conifer' ELSE 'broad' END, count(*) FROM w GROUP BY 2 UNION ALL SELECT 'growth', CASE part_key % 3 WHEN 0 THEN 'slow' WHEN 1 THEN 'medium' END, count(*) FROM w GROUP BY 2 UNION ALL SELECT 'wildlife', CASE WHEN part_key % 5 = 0 THEN 'high' ELSE 'low' END, count(*) FROM w GROUP BY 2 UNION ALL SELECT 'fire', CASE WHEN part_key % 11 < 4 THEN 'resistant' ELSE 'flammable' END, count(*) FROM w GROUP BY 2")
 def _(v: Views) -> DataFrame:
+    k, p = F.col("size_class"), F.col("part_key")
     s = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("bucket"))
-    kinds = F.array(s("dbh", rollups.dbh_class(F.col("dbh"))), s("crown", rollups.crown_class(F.col("crown_width_m"))), s("cultivar", F.col("cultivar")))
+    kinds = F.array(s("dbh", rollups.dbh_class(F.col("dbh"))), s("crown", rollups.crown_class(F.col("crown_width_m"))), 
+        s("form", F.when(k % 3 == 0, "palm").when(k % 3 == 1, "conifer").otherwise("broad")), s("growth", F.when(p % 3 == 0, "slow").when(p % 3 == 1, "medium")), s("wildlife", F.when(p % 5 == 0, "high").otherwise("low")), s("fire", F.when(p % 11 < 4, "resistant").otherwise("flammable")))
     return rollups.count_by(v.obs.select(F.inline(kinds)), "kind", "bucket")
 
 
@@ -128,10 +147,20 @@ def _(v: Views) -> DataFrame:
     return v.table("part").groupBy(b.alias("nativeness")).agg(F.count("*").alias("species"))
 
 
-@query("b8_trait_buckets", "SELECT CASE WHEN p_size < 10 THEN 'short' WHEN p_size < 30 THEN 'medium' ELSE 'long' END AS lifespan, list_contains([p_partkey % 3, p_partkey % 5], 2) AS full_sun, count(*) AS species FROM part GROUP BY ALL")
+@query("b8_trait_buckets", "SELECT CASE WHEN p_size < 10 THEN 'short' WHEN p_size < 30 THEN 'medium' ELSE 'long' END AS lifespan, list_contains([p_partkey % 3, p_partkey % 5], 2) AS full_sun, CASE WHEN p_size // 5 BETWEEN 3 AND 6 THEN 'fits' WHEN p_size // 5 < 3 THEN 'hardier' ELSE 'tender' END AS hardiness, CASE p_partkey % 4 WHEN 0 THEN 'low' WHEN 1 THEN 'medium' WHEN 2 THEN 'high' END AS water, count(*) AS species FROM part GROUP BY ALL")
+def _(v: Views) -> DataFrame:
+    k, zone = F.col("p_partkey"), F.floor(F.col("p_size") / 5)
+    sun = F.exists(F.array(k % 3, k % 5), lambda x: x == 2)
+    hardiness = F.when(zone.between(3, 6), "fits").when(zone < 3, "hardier").otherwise("tender")
+    water = F.when(k % 4 == 0, "low").when(k % 4 == 1, "medium").when(k % 4 == 2, "high")
+    lifespan = F.when(F.col("p_size") < 10, "short").when(F.col("p_size") < 30, "medium").otherwise("long")
+    return rollups.count_by(v.table("part"), lifespan.alias("lifespan"), sun.alias("full_sun"), hardiness.alias("hardiness"), water.alias("water")).withColumnRenamed("trees", "species")
+
+
+@query("b9_species_options", "WITH {OBS}, n AS (SELECT 'species' AS kind, species AS name, count(*) AS trees FROM obs GROUP BY 2 UNION ALL SELECT 'genus', genus, count(*) FROM obs GROUP BY 2) SELECT *, rank() OVER (PARTITION BY kind ORDER BY trees DESC)::INT AS rank FROM n")
 def _(v: Views) -> DataFrame:
-    sun = F.exists(F.array(F.col("p_partkey") % 3, F.col("p_partkey") % 5), lambda x: x == 2)
-    return v.table("part").groupBy(F.when(F.col("p_size") < 10, "short").when(F.col("p_size") < 30, "medium").otherwise("long").alias("lifespan"), sun.alias("full_sun")).agg(F.count("*").alias("species"))
+    kinds = F.inline(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("name")) for c in ("species", "genus")]))
+    return rollups.count_by(v.obs.select(kinds), "kind", "name").withColumn("rank", F.rank().over(Window.partitionBy("kind").orderBy(F.desc("trees"))))
 
 
 @query("b9_presence", "WITH {OBS} SELECT city, part_key % 7 = 3 AS native, count(*) AS trees, count(DISTINCT species) AS species FROM obs GROUP BY ALL")
@@ -144,10 +173,11 @@ def _(v: Views) -> DataFrame:
     return rollups.count_by(v.obs, F.floor(F.col("latitude") * 1000).alias("cy"), F.floor(F.col("longitude") * 1000).alias("cx"))
 
 
-@query("b11_city_diversity", "WITH {OBS}, n AS (SELECT city, species, count(*) AS trees FROM obs GROUP BY ALL) SELECT city, sum(trees)::BIGINT AS trees, count(*) AS species, arg_min(species, (-trees, species)) AS top_species FROM n GROUP BY city")
+@query("b11_city_diversity", "WITH {OBS}, n AS (SELECT coalesce(city, '(all)') AS city, species, count(*) AS trees FROM obs GROUP BY GROUPING SETS ((city, species), (species))) SELECT city, sum(trees)::BIGINT AS trees, count(*) AS species, arg_min(species, (-trees, species)) AS top_species FROM n GROUP BY city")
 def _(v: Views) -> DataFrame:
     n = rollups.count_by(v.obs, "city", "species")
-    return n.groupBy("city").agg(F.sum("trees").alias("trees"), F.count("*").alias("species"), F.min_by("species", F.struct(-F.col("trees"), "species")).alias("top_species"))
+    both = n.unionByName(rollups.re_aggregated(n, "species").withColumn("city", F.lit("(all)")))
+    return both.groupBy("city").agg(F.sum("trees").alias("trees"), F.count("*").alias("species"), F.min_by("species", F.struct(-F.col("trees"), "species")).alias("top_species"))
 
 
 @query("b12_species_catalogue", "WITH {OBS}, n AS (SELECT species, count(*) AS trees, median(dbh) AS dbh, CASE WHEN count(plant_date) >= 900 THEN median(year(plant_date)) END AS year FROM obs GROUP BY species) SELECT species, trees, rank() OVER (ORDER BY trees DESC)::INT AS rank, round(trees / sum(trees) OVER (), 6) AS share, dbh, year FROM n")
@@ -175,14 +205,14 @@ def _(v: Views) -> DataFrame:
 @query("w2_block_files", f"WITH {BLOCKS} SELECT tree_id, ((x >> 12) << 24) | (y >> 12) AS block FROM bl")
 def _(v: Views) -> DataFrame:
     path = scratch(v.spark, "blocks")
-    blocks.write_blocks(blocks.with_block(v.obs, 20, 12).select("tree_id", "block", "morton"), path, 8)
+    blocks.write_blocks(blocks.with_block(v.obs, 20, 12).select("tree_id", "block", "morton"), path)
     return v.spark.read.parquet(path).select("tree_id", F.col("block").cast("long").alias("block"))
 
 
 @query("s9_published_blocks", f"WITH {BLOCKS} SELECT ((x >> 12) << 24) | (y >> 12) AS block, city, count(*) AS rows, sum(('0x' || substr(md5(concat_ws('|', coalesce('=' || tree_id, 'null'), coalesce('=' || species, 'null'))), 1, 12))::BIGINT)::BIGINT AS content FROM bl GROUP BY ALL")
 def _(v: Views) -> DataFrame:
     path = scratch(v.spark, "published")
-    blocks.write_blocks(blocks.with_block(v.obs, 20, 12).select("tree_id", "city", "species", "block", "morton"), path, 8)
+    blocks.write_blocks(blocks.with_block(v.obs, 20, 12).select("tree_id", "city", "species", "block", "morton"), path)
     return blocks.manifest(v.spark.read.parquet(path).withColumn("block", F.col("block").cast("long")), ["tree_id", "species"])
 
 
@@ -196,3 +226,10 @@ def _(v: Views) -> DataFrame:
     b = blocks.with_block(v.obs, 20, 4)
     m = lambda df: blocks.manifest(df, ["tree_id", "species"])
     return blocks.compare_manifests(m(b.where("city <> 'c1'")), m(b.where("city <> 'c2' and order_key % 100 <> 0")))
+
+
+@query("w4_stale_objects", "SELECT concat('o', o_orderkey) AS name FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 30)")
+def _(v: Views) -> DataFrame:
+    name = lambda c: F.concat(F.lit("o"), F.col(c)).alias("name")
+    named = v.table("lineitem").where("l_quantity > 30").select(name("l_orderkey"))
+    return blocks.stale_objects(v.table("orders").select(name("o_orderkey"), F.col("o_orderdate").alias("stamp")), named, F.lit("1996-01-01").cast("timestamp")).select("name")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborscale.operators import clean, rank, rollups
+from arborscale.operators import cells, clean, rank, rollups
 from arborscale.plans.registry import Views, query
 
 DBH = "CASE WHEN dbh < 6 THEN '<6' WHEN dbh < 12 THEN '6-12' WHEN dbh < 24 THEN '12-24' WHEN dbh < 36 THEN '24-36' WHEN dbh IS NOT NULL THEN '36+' END"
@@ -93,10 +93,11 @@ def _(v: Views) -> DataFrame:
     return v.obs.where("dbh is not null").groupBy("city").agg(F.max_by("tree_id", key).alias("largest"), F.min_by("tree_id", key).alias("smallest"))
 
 
-@query("a16_local_density", "WITH {OBS}, c AS (SELECT *, floor(longitude * 2000)::BIGINT AS cx, floor(latitude * 2000)::BIGINT AS cy FROM obs) SELECT tree_id, count(*) FILTER (WHERE line NOT IN (3, 4)) OVER (PARTITION BY cx, cy) AS density FROM c")
+@query("a16_local_density", """WITH {OBS}, r AS (SELECT *, floor(latitude * 2226.4)::BIGINT AS cy FROM obs), t AS (SELECT *, radians((cy + 0.5) / 2226.4) * radians((cy + 0.5) / 2226.4) AS t FROM r), c AS (SELECT *, floor(longitude * 2226.4 * (1 - t / 2 + t * t / 24 - t * t * t / 720))::BIGINT AS cx FROM t)
+SELECT tree_id, count(*) FILTER (WHERE line NOT IN (3, 4)) OVER (PARTITION BY cx, cy) AS density FROM c""")
 def _(v: Views) -> DataFrame:
-    rows = v.obs.withColumn("cx", F.floor(F.col("longitude") * 2000)).withColumn("cy", F.floor(F.col("latitude") * 2000))
-    return rank.with_group_counts(rows, ["cx", "cy"], {"density": ~F.col("line").isin(3, 4)}).select("tree_id", "density")
+    cx, cy = cells.quarter_hectare(F.col("latitude"), F.col("longitude"))
+    return rank.with_group_counts(v.obs.withColumns({"cx": cx, "cy": cy}), ["cx", "cy"], {"density": ~F.col("line").isin(3, 4)}).select("tree_id", "density")
 
 
 @query("a17_hierarchical_share", """WITH {OBS}, m AS (SELECT city, genus, species, dbh > 25 AS m FROM obs WHERE dbh IS NOT NULL AND line = 1), k AS (SELECT DISTINCT species, city, genus FROM m),
@@ -114,19 +115,26 @@ def _(v: Views) -> DataFrame:
     return v.table("events").groupBy(who.alias("who"), "props").agg(F.count("*").alias("n")).groupBy("who").agg(F.count("*").alias("trees"), F.sum("n").alias("n"))
 
 
-@query("a19_table_profile", "SELECT 'l_quantity' AS column_name, count(l_quantity) AS present, count_if(l_quantity IS NULL) AS nulls, min(l_quantity)::VARCHAR AS least, max(l_quantity)::VARCHAR AS greatest, count(DISTINCT l_quantity) AS kinds FROM lineitem UNION ALL SELECT 'l_partkey', count(l_partkey), count_if(l_partkey IS NULL), min(l_partkey)::VARCHAR, max(l_partkey)::VARCHAR, count(DISTINCT l_partkey) FROM lineitem")
+@query("a19_table_profile", "SELECT 'l_quantity' AS column_name, count(l_quantity) AS present, count_if(l_quantity IS NULL) AS nulls, min(l_quantity)::VARCHAR AS least, max(l_quantity)::VARCHAR AS greatest, count(DISTINCT l_quantity) AS kinds, median(l_quantity)::DOUBLE AS median FROM lineitem UNION ALL SELECT 'l_partkey', count(l_partkey), count_if(l_partkey IS NULL), min(l_partkey)::VARCHAR, max(l_partkey)::VARCHAR, count(DISTINCT l_partkey), median(l_partkey)::DOUBLE FROM lineitem")
 def _(v: Views) -> DataFrame:
     return rollups.profile(v.table("lineitem"), ["l_quantity", "l_partkey"])
 
 
-@query("a20_vocabulary_coverage", "WITH {OBS} SELECT count(*) FILTER (WHERE genus IN ('Red', 'Blue', 'Hot')) AS covered, count(*) AS total, count(DISTINCT genus) FILTER (WHERE genus NOT IN ('Red', 'Blue', 'Hot')) AS unsupported FROM obs")
+@query("a20_vocabulary_coverage", "WITH {OBS}, k AS (SELECT unnest(['genus', 'species']) AS key, unnest([genus, species]) AS value, unnest([genus IN ('Red', 'Blue', 'Hot'), genus = 'Red']) AS known FROM obs) SELECT key, count_if(known) AS covered, count(*) AS total, count(DISTINCT value) FILTER (WHERE NOT known) AS unsupported, round(avg(known::INT), 6) AS ratio FROM k GROUP BY key")
 def _(v: Views) -> DataFrame:
-    return rollups.vocabulary_coverage(v.obs, "genus", v.obs.where(F.col("genus").isin("Red", "Blue", "Hot")))
+    o = v.obs
+    one = lambda key, vocabulary: rollups.vocabulary_coverage(o, key, vocabulary).select(F.lit(key).alias("key"), "*", F.round(F.col("covered") / F.col("total"), 6).alias("ratio"))
+    return one("genus", o.where(F.col("genus").isin("Red", "Blue", "Hot"))).unionByName(one("species", o.where("genus = 'Red'")))
 
 
-@query("a21_support_table", "WITH {OBS} SELECT species, count(*) AS trees, count(DISTINCT order_key) AS chips, count_if(city = 'c1') AS c1, count_if(city = 'c2') AS c2 FROM obs GROUP BY species")
+@query("a20_unsupported_values", "WITH {OBS} SELECT species, count(*) AS rows FROM obs WHERE genus <> 'Red' GROUP BY species")
 def _(v: Views) -> DataFrame:
-    return v.obs.groupBy("species").agg(F.count("*").alias("trees"), F.countDistinct("order_key").alias("chips"), *[F.count_if(F.col("city") == c).alias(c) for c in ("c1", "c2")])
+    return rollups.unsupported(v.obs, "species", v.obs.where("genus = 'Red'"))
+
+
+@query("a21_support_table", "WITH {OBS} SELECT species, count(*) AS trees, count(DISTINCT order_key) AS chips, count(DISTINCT supp_key) AS blocks, count_if(city = 'c0') AS c0, count_if(city = 'c1') AS c1, count_if(city = 'c2') AS c2, count_if(city = 'c3') AS c3, count_if(city = 'c4') AS c4, count_if(city = 'c5') AS c5, count_if(city = 'c6') AS c6, count_if(city = 'c7') AS c7, count_if(city = 'c8') AS c8, count_if(city = 'c9') AS c9, count_if(city = 'c10') AS c10, count_if(city = 'c11') AS c11, count_if(city = 'c12') AS c12, count_if(city = 'c13') AS c13, count_if(city = 'c14') AS c14, count_if(city = 'c15') AS c15, count_if(city = 'c16') AS c16, count_if(city = 'c17') AS c17, count_if(city = 'c18') AS c18, count_if(city = 'c19') AS c19, count_if(city = 'c20') AS c20, count_if(city = 'c21') AS c21, count_if(city = 'c22') AS c22, count_if(city = 'c23') AS c23, count_if(city = 'c24') AS c24 FROM obs GROUP BY species")
+def _(v: Views) -> DataFrame:
+    return rollups.support_table(v.obs.select("species", "city", F.col("order_key").alias("chip"), F.col("supp_key").alias("block")))
 
 
 @query("a22_stack_sizes", "WITH {OBS}, s AS (SELECT latitude, longitude, count(*) AS n FROM obs GROUP BY ALL HAVING count(*) > 1) SELECT count(*) AS stacks, coalesce(sum(n), 0)::BIGINT AS trees, max(n) AS largest FROM s")
@@ -144,6 +152,11 @@ def _(v: Views) -> DataFrame:
     return rollups.unpivoted_values(v.obs, ["city", "genus", "cultivar"])
 
 
+@query("a24_vocabulary_counts", "WITH {OBS} SELECT city, data_source, species, cultivar, lower(cultivar) AS name, count(*) AS trees FROM obs GROUP BY ALL")
+def _(v: Views) -> DataFrame:
+    return rollups.count_by(v.obs, "city", "data_source", "species", "cultivar", F.lower("cultivar").alias("name"))
+
+
 @query("a25_observed_interval", "WITH d AS (SELECT DISTINCT o_custkey AS k, o_orderdate::DATE AS d FROM orders), g AS (SELECT k, d - lag(d) OVER (PARTITION BY k ORDER BY d) AS gap FROM d) SELECT k, median(gap) AS gap, CASE WHEN median(gap) > 2 * 90 THEN 'slower' WHEN median(gap) < 90 / 2 THEN 'faster' ELSE 'as planned' END AS verdict FROM g WHERE gap IS NOT NULL GROUP BY k")
 def _(v: Views) -> DataFrame:
     stamps = v.table("orders").select(F.col("o_custkey").alias("k"), F.to_date("o_orderdate").alias("d")).distinct()
@@ -235,16 +248,26 @@ def _(v: Views) -> DataFrame:
     return rank.queue(v.obs.select("tree_id", "dbh", "plant_date"), "tree_id", [(F.col("dbh").isNotNull(), [F.desc("dbh"), F.asc("tree_id")], 50), (F.lit(True), [F.asc("plant_date"), F.asc("tree_id")], 40), (F.lit(True), [F.asc(F.md5("tree_id"))], 30)])
 
 
-@query("r14_diverse_order", "WITH {OBS}, q AS (SELECT tree_id, species, ntile(4) OVER (ORDER BY dbh, tree_id)::INT AS quarter FROM obs WHERE dbh IS NOT NULL AND city = 'c1') SELECT tree_id, quarter, row_number() OVER (PARTITION BY quarter, species ORDER BY md5(tree_id))::INT AS round FROM q")
+@query("r14_diverse_order", """WITH {OBS}, q AS (SELECT tree_id AS id, supp_key % 3 AS split, dbh AS value, species, city AS block, md5(tree_id) AS h FROM obs WHERE dbh IS NOT NULL), c AS (SELECT split, quantile_cont(value, 0.25) AS a, quantile_cont(value, 0.5) AS b, quantile_cont(value, 0.75) AS c FROM q GROUP BY split),
+k AS (SELECT q.*, 1 + (value > a)::INT + (value > b)::INT + (value > c)::INT AS quarter FROM q JOIN c USING (split)), s AS (SELECT *, h = min(h) OVER (PARTITION BY split, quarter, species) AS one FROM k), t AS (SELECT *, CASE WHEN one THEN 0 WHEN h = min(CASE WHEN NOT one THEN h END) OVER (PARTITION BY split, quarter, block) THEN 1 ELSE 2 END AS stage FROM s)
+SELECT id, split, quarter, stage, row_number() OVER (PARTITION BY split, quarter ORDER BY stage, h, id) AS place FROM t""")
 def _(v: Views) -> DataFrame:
-    rows = v.obs.where("dbh is not null and city = 'c1'").withColumn("quarter", F.ntile(4).over(Window.orderBy("dbh", "tree_id")))
-    return rank.rounds(rows, ["quarter", "species"], F.md5("tree_id")).select("tree_id", "quarter", "round")
+    rows = v.obs.where("dbh is not null").select(F.col("tree_id").alias("id"), (F.col("supp_key") % 3).alias("split"), F.col("dbh").alias("value"), "species", F.col("city").alias("block"))
+    return rank.diverse_order(rows).select("id", "split", "quarter", "stage", "place")
+
+
+CHIPS = "chips AS (SELECT concat('k', order_key % 400) AS chip, city, CASE WHEN count(*) <= 5 THEN 'sparse' WHEN count(*) <= 10 THEN 'medium' ELSE 'dense' END AS density, any_value((order_key % 400) % 3 = 0) AS reviewed, count_if(crown_width_m IS NULL) AS priority FROM obs GROUP BY city, order_key % 400)"
 
 
-@query("r15_stratified_sample", f"WITH {{OBS}}, s AS (SELECT tree_id, {DBH} AS bin, dbh FROM obs WHERE dbh IS NOT NULL) SELECT tree_id, bin FROM s QUALIFY row_number() OVER (PARTITION BY bin ORDER BY md5(tree_id)) <= 20")
+@query("r15_stratified_sample", f"""WITH {{OBS}}, {CHIPS}, h AS (SELECT *, md5(concat(city, '|', chip)) AS h FROM chips), n AS (SELECT city, density, least(6 + (row_number() OVER (PARTITION BY city ORDER BY density) <= 2)::INT, c) AS quota FROM (SELECT city, density, count(*) AS c FROM h GROUP BY ALL)),
+d AS (SELECT h.* FROM h JOIN n USING (city, density) QUALIFY row_number() OVER (PARTITION BY city, density ORDER BY h, chip) <= quota), sh AS (SELECT city, 20 - sum(quota) AS short FROM n GROUP BY city),
+m AS (SELECT h.* FROM h JOIN sh USING (city) WHERE (city, chip) NOT IN (SELECT (city, chip) FROM d) QUALIFY row_number() OVER (PARTITION BY city ORDER BY h, chip) <= short), au AS (FROM d UNION ALL FROM m), c AS (SELECT city, 40 - count(*) AS many FROM au GROUP BY city),
+g AS (SELECT h.* FROM h JOIN c USING (city) WHERE (city, chip) NOT IN (SELECT (city, chip) FROM au) QUALIFY row_number() OVER (PARTITION BY city ORDER BY reviewed, priority DESC, chip) <= many) SELECT city, chip, 'audit' AS queue FROM au UNION ALL SELECT city, chip, 'diagnostic' FROM g""")
 def _(v: Views) -> DataFrame:
-    rows = v.obs.where("dbh is not null").select("tree_id", rollups.dbh_class(F.col("dbh")).alias("bin"))
-    return rank.top_each(rows, ["bin"], [F.asc(F.md5("tree_id"))], 20).select("tree_id", "bin")
+    k = F.col("order_key") % 400
+    n = F.count("*")
+    chips = v.obs.groupBy("city", k.alias("k")).agg(F.when(n <= 5, "sparse").when(n <= 10, "medium").otherwise("dense").alias("density"), F.count_if(F.col("crown_width_m").isNull()).alias("priority"))
+    return rank.audit_sample(chips.select("city", F.concat(F.lit("k"), "k").alias("chip"), "density", (F.col("k") % 3 == 0).alias("reviewed"), "priority"), 40).select("city", "chip", "queue")
 
 
 @query("r16_worst_first", "WITH {OBS}, c AS (SELECT order_key % 500 AS chip, count_if(crown_width_m IS NULL) AS missed, count(*) AS trees FROM obs GROUP BY 1) SELECT chip, missed, trees, row_number() OVER (ORDER BY missed DESC, trees DESC, chip)::INT AS place FROM c")

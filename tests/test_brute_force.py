@@ -119,7 +119,7 @@ def test_similar_names_match_brute_force(spark):
 
 def test_block_files_keep_rows(spark, tmp_path):
     df = spark.createDataFrame([(f"t{i}", 40 + i / 1e4, -71 - i / 1e4) for i in range(50)], "tree_id string, latitude double, longitude double")
-    blocks.write_blocks(blocks.with_block(df), str(tmp_path / "b"), 4)
+    blocks.write_blocks(blocks.with_block(df), str(tmp_path / "b"))
     assert spark.read.parquet(str(tmp_path / "b")).count() == 50
 
 

@@ -1,8 +1,9 @@
 """Null keys, NaN and infinity keep their rows and get defined results."""
 
+import pytest
 from pyspark.sql import functions as F
 
-from arborscale.operators import blocks, dedup, fits, rank
+from arborscale.operators import blocks, clean, dedup, evalmatch, fits, rank
 
 
 def test_rows_with_null_keys_stay(spark):
@@ -31,3 +32,32 @@ def test_manifest_tells_where_nulls_stand(spark):
     rows = [(1, "x", "a", None, "b"), (2, "x", "a", "b", None), (3, "x", "a", "", "b")]
     got = blocks.manifest(spark.createDataFrame(rows, "block long, city string, p string, q string, r string"), ["p", "q", "r"])
     assert len({r["content"] for r in got.collect()}) == 3
+
+
+def test_strict_schema_fails_at_lossy_values(spark):
+    rows = spark.createDataFrame([("1", "a"), (None, "b")], "n string, t string")
+    assert clean.enforce_schema(rows, {"n": "int", "t": "string", "x": "date"}, ["n"], strict=True)[0].collect() == [(1, "a", None), (None, "b", None)]
+    with pytest.raises(Exception, match="n can't be int: 1x"):
+        clean.enforce_schema(rows.union(rows.selectExpr("'1x'", "t")), {"n": "int"}, ["n"], strict=True)[0].collect()
+
+
+def test_common_names_keep_quotes_and_proper_words(spark):
+    names = ["  APPLE  'James GRIEVE' ", "'ohi'a lehua", None, "", "apple 'james grieve'", "dodge's oak"]
+    got = spark.createDataFrame([(names,)], "n array<string>").select(clean.common_names(F.col("n"), ["Dodge"])).first()[0]
+    assert got == ["Apple 'James GRIEVE'", "'Ohi'a lehua", "Dodge's oak"]
+
+
+def test_slugs_never_repeat(spark):
+    names = ["elm", "elm", "elm 2", "elm", "elm 4", "elm 2", None]
+    rows = spark.createDataFrame(list(enumerate(names)), "i int, name string")
+    got = [r["slug"] for r in clean.slugs(rows, "name", ["i"]).orderBy("i").collect()]
+    assert got[:6] == ["elm", "elm-3", "elm-2", "elm-5", "elm-4", "elm-2-2"]
+
+
+def test_mixed_chips_are_refused(spark):
+    t = spark.createDataFrame([("a", 1.0, 1.0, "train", 5.0, True), ("b", 3.0, 3.0, "val", 6.0, False), ("c", 15.0, 1.0, "val", 7.0, False)], "id string, x double, y double, split string, dbh double, ok boolean")
+    none = t.where("false").select("id", F.lit(0.0).alias("dx"), F.lit(0.0).alias("dy"))
+    with pytest.raises(Exception, match="several splits in chip 0_0"):
+        evalmatch.rebuild_labels(t, none, none, (0.0, 0.0), 10.0).collect()
+    got = evalmatch.rebuild_labels(t, none, none, (0.0, 0.0), 10.0, {"dbh": "ok"}, "drop").select("id", "dbh").collect()
+    assert got == [("c", None)]
