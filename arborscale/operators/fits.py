@@ -71,6 +71,22 @@ def two_segment(scale_: Column, b: Column, dbh: Column, most: Column, tail: Colu
     return scale_ * F.pow(F.least(dbh, most), b) * F.pow(F.greatest(dbh / most, F.lit(1.0)), tail)
 
 
+def predicted_height(dbh: Column, a: Column, b: Column, sigma: Column, x_max: Column) -> Column:
+    """Height by the chosen fit of height on diameter; the diameter is held between 1 and the largest fitted one. Trees
+    without a fit, such as palms, have none."""
+    held = F.when(dbh.isNotNull(), F.greatest(F.least(dbh, F.pow(F.lit(10.0), x_max)), F.lit(1.0)))
+    return scale(a, sigma) * F.pow(held, b)
+
+
+def height_check(observed: Column, predicted: Column, sigma: Column, shaded: Column, measured: Column, sigmas: float = 3.0) -> Column:
+    """Whether an observed height is ``unchecked`` (no measured stem or no prediction), ``shaded``, ``out_of_band`` or
+    ``accepted``. The band is some deviations of the fit's own residual about the prediction without its bias
+    correction."""
+    edge = lambda k: F.pow(F.lit(10.0), k * sigma - sigma * sigma * F.log(F.lit(10.0)) / 2)
+    out = (observed > predicted * edge(sigmas)) | (observed < predicted * edge(-sigmas))
+    return F.when(observed.isNull(), None).when(~measured | predicted.isNull(), "unchecked").when(shaded, "shaded").when(out, "out_of_band").otherwise("accepted")
+
+
 def height_verdict(observed: Column, predicted: Column, crown_radius: Column, low: float, high: float, shade: float) -> Column:
     """Whether an observed height is accepted, shaded, out of band or unchecked."""
     return F.when(observed.isNull(), None).when(predicted.isNull(), "unchecked").when((observed < predicted * low) & (crown_radius > shade * observed), "shaded").when((observed < predicted * low) | (observed > predicted * high), "out_of_band").otherwise("accepted")
@@ -105,7 +121,7 @@ def block_bootstrap(rows: DataFrame, tile: str, replicates: int, pairs: Sequence
     rows; the difference of two Spearman correlations in each, and its 95 % limits."""
     tiles = rows.select(tile).distinct().withColumn("at", F.row_number().over(Window.orderBy(tile)) - 1)
     n = tiles.count()
-    draw = lambda r, i: F.pmod(F.xxhash64(F.lit("draw"), r, i), F.lit(max(n, 1))).cast("int")
+    draw = lambda r, i: F.floor(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("draw"), r, i)), 1, 8), 16, 10).cast("double") / 4294967296.0 * n).cast("int")
     drawn = rows.sparkSession.range(replicates * n).select(F.floor(F.col("id") / max(n, 1)).alias("replicate"), F.col("id").alias("i")).withColumn("at", draw(F.col("replicate"), F.col("i")))
     sample = drawn.join(tiles, "at").join(rows, tile)
     (x1, y1), (x2, y2) = pairs

@@ -57,6 +57,19 @@ def reconciled(blocks: DataFrame, rows: DataFrame) -> DataFrame:
     return b.join(rows.groupBy("city").agg(F.count("*").alias("rows")), "city", "full").select("city", F.coalesce("in_blocks", F.lit(0)).alias("in_blocks"), F.coalesce("rows", F.lit(0)).alias("rows"), F.col("in_blocks").eqNullSafe(F.col("rows")).alias("ok"))
 
 
+def manifest_report(blocks: DataFrame, rows: DataFrame, previous: DataFrame, key: str, share: float = 0.75) -> DataFrame:
+    """One row about block counts (``block``, ``city``, ``n``) of a table (``city`` and a key) and the city counts (``city``,
+    ``rows``) published before: rows in blocks and in the table, keys that repeat, the share kept, cities lost, and
+    ``ok``."""
+    b, r = blocks.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("in_blocks")), rows.agg(F.count("*").alias("rows"))
+    repeated = rows.groupBy(key).agg(F.count("*").alias("n_")).where("n_ > 1").agg(F.count("*").alias("repeated_keys"))
+    lost = previous.join(rows.select("city").distinct(), "city", "left_anti").agg(F.count("*").alias("lost_cities"))
+    p = previous.agg(F.sum("rows").alias("before"))
+    one = b.crossJoin(F.broadcast(r)).crossJoin(F.broadcast(repeated)).crossJoin(F.broadcast(lost)).crossJoin(F.broadcast(p))
+    ok = (F.col("in_blocks") == F.col("rows")) & (F.col("repeated_keys") == 0) & (F.col("lost_cities") == 0) & (F.col("rows") >= share * F.col("before"))
+    return one.select("in_blocks", "rows", "repeated_keys", "lost_cities", (F.col("rows") / F.col("before")).alias("kept"), ok.alias("ok"))
+
+
 def asset_report(df: DataFrame, key: str, ranges: Mapping[str, tuple[float, float]]) -> DataFrame:
     """One row: rows, distinct keys, and the values out of each range."""
     return df.agg(F.count("*").alias("rows"), F.countDistinct(key).alias("keys"), *[F.count_if(~F.col(c).between(*r)).alias(f"out_{c}") for c, r in ranges.items()])

@@ -191,7 +191,16 @@ def _(v: Views) -> DataFrame:
     return v.table("lineitem").select("l_orderkey", "l_partkey").distinct().select("*", cells.morton(F.col("l_orderkey"), F.col("l_partkey"), 16).alias("morton"))
 
 
-@query("g6_hilbert_order")
+def hilbert_sql(bits: int) -> str:
+    """Twin of the Hilbert key: one nested table a level, with the quadrant's place and the turn of the next level."""
+    sql = "SELECT tree_id, floor((longitude + 72) * 5e4)::BIGINT AS x, floor((latitude - 39) * 5e4)::BIGINT AS y, 0::BIGINT AS d, 0 AS s FROM obs"
+    for b in range(bits - 1, -1, -1):
+        at = f"s * 4 + ((x >> {b}) & 1) * 2 + ((y >> {b}) & 1) + 1"
+        sql = f"SELECT tree_id, x, y, d * 4 + [0, 1, 3, 2, 0, 3, 1, 2, 2, 1, 3, 0, 2, 3, 1, 0][{at}] AS d, [1, 0, 2, 0, 0, 3, 1, 1, 2, 2, 0, 3, 3, 1, 3, 2][{at}] AS s FROM ({sql})"
+    return f"WITH {{OBS}} SELECT tree_id, d AS hilbert FROM ({sql})"
+
+
+@query("g6_hilbert_order", hilbert_sql(17))
 def _(v: Views) -> DataFrame:
     return v.obs.select("tree_id", cells.hilbert(F.floor((F.col("longitude") + 72) * 5e4), F.floor((F.col("latitude") - 39) * 5e4), 17).alias("hilbert")).orderBy("hilbert")
 

@@ -39,10 +39,21 @@ def _(v: Views) -> DataFrame:
     return fitted(v).select("level", "taxon", "n", *[F.round(c, 6).alias(c) for c in ("b", "a", "sigma", "x_max")], "ok")
 
 
-@query("m3_trimmed_fits")
+def trimmed_sql(rounds: int, sigmas: float) -> str:
+    """Twin of the trimmed fits: for each round the kept points, their fits, and the points near their chosen fit."""
+    sql = f"WITH {GROWN}, k0 AS (SELECT genus, form, log10(age) AS x, log10(dbh) AS y FROM grown WHERE age > 0 AND dbh > 0)"
+    for i in range(rounds + 1):
+        sql += f", f{i} AS (SELECT 'genus' AS level, genus AS taxon, {COLS} FROM k{i} GROUP BY genus UNION ALL SELECT 'form', form, {COLS} FROM k{i} GROUP BY form UNION ALL SELECT 'all', '*', {COLS} FROM k{i}), g{i} AS (SELECT * FROM f{i} WHERE n >= 100)"
+        if i < rounds:
+            sql += f""", p{i} AS (SELECT k.*, coalesce(x1.a, x2.a, x3.a) AS a, coalesce(x1.b, x2.b, x3.b) AS b, coalesce(x1.sigma, x2.sigma, x3.sigma) AS sigma FROM k{i} k LEFT JOIN g{i} x1 ON x1.level = 'genus' AND x1.taxon = k.genus LEFT JOIN g{i} x2 ON x2.level = 'form' AND x2.taxon = k.form LEFT JOIN g{i} x3 ON x3.level = 'all'),
+k{i + 1} AS (SELECT genus, form, x, y FROM p{i} WHERE a IS NULL OR abs(y - a - b * x) <= {sigmas} * sigma)"""
+    return f"{sql} SELECT level, taxon, n, round(b, 6) AS b, round(a, 6) AS a, round(sigma, 6) AS sigma FROM f{rounds}"
+
+
+@query("m3_trimmed_fits", trimmed_sql(2, 2.0))
 def _(v: Views) -> DataFrame:
     t = fits.trimmed_fits(grown(v), LEVELS, F.col("age"), F.col("dbh"), F.col("n") >= 100, checkpointed, sigmas=2.0)
-    return t.select("level", "taxon", "n", "b", "a", "sigma")
+    return t.select("level", "taxon", "n", *[F.round(c, 6).alias(c) for c in ("b", "a", "sigma")])
 
 
 PICKED = f"{FITS}, ok AS (SELECT * FROM ft WHERE {GATE}), pk AS (SELECT g.*, CASE WHEN form <> 'palm' THEN coalesce(x.level, y.level, z.level) END AS fit_level, CASE WHEN form <> 'palm' THEN coalesce(x.a, y.a, z.a) END AS a, CASE WHEN form <> 'palm' THEN coalesce(x.b, y.b, z.b) END AS b, CASE WHEN form <> 'palm' THEN coalesce(x.sigma, y.sigma, z.sigma) END AS sigma, CASE WHEN form <> 'palm' THEN coalesce(x.x_max, y.x_max, z.x_max) END AS x_max FROM grown g LEFT JOIN ok x ON x.level = 'genus' AND x.taxon = g.genus LEFT JOIN ok y ON y.level = 'form' AND y.taxon = g.form LEFT JOIN ok z ON z.level = 'all')"
@@ -77,6 +88,20 @@ def _(v: Views) -> DataFrame:
     return v.obs.select("tree_id", fits.height_verdict(F.col("crown_width_m"), F.col("dbh") / 4, F.col("size_class") / 10.0, 0.5, 2.0, 0.8).alias("verdict"))
 
 
+HEIGHTS = PICKED.replace("log10(age) AS x, log10(dbh) AS y FROM grown WHERE age > 0 AND dbh > 0", "log10(dbh) AS x, log10(crown_width_m) AS y FROM grown WHERE dbh > 0 AND crown_width_m > 0")
+
+
+@query("m8_height_prediction", f"""WITH {HEIGHTS}, h AS (SELECT *, pow(10, a + sigma * sigma * ln(10) / 2) * pow(greatest(least(dbh, pow(10, x_max)), 1.0), b) AS p FROM pk), c AS (SELECT *, CASE WHEN dbh IS NOT NULL THEN p END AS predicted FROM h)
+SELECT tree_id, round(predicted, 4) AS predicted_height, CASE WHEN crown_width_m IS NULL THEN NULL WHEN dbh IS NULL OR predicted IS NULL THEN 'unchecked' WHEN size_class > 8 * crown_width_m THEN 'shaded' WHEN crown_width_m > predicted * pow(10, 1.5 * sigma - sigma * sigma * ln(10) / 2) OR crown_width_m < predicted * pow(10, -1.5 * sigma - sigma * sigma * ln(10) / 2) THEN 'out_of_band' ELSE 'accepted' END AS verdict FROM c""")
+def _(v: Views) -> DataFrame:
+    height = F.col("crown_width_m")
+    f = fits.log_log_fits(grown(v), LEVELS, F.col("dbh"), height, (F.col("n") >= 7200) & F.col("b").between(-0.05, 1))
+    p = fits.pick_fit(grown(v), f, LEVELS, F.col("form") == "palm")
+    p = p.withColumn("predicted", fits.predicted_height(F.col("dbh"), F.col("a"), F.col("b"), F.col("sigma"), F.col("x_max")))
+    check = fits.height_check(height, F.col("predicted"), F.col("sigma"), F.col("size_class") > 8 * height, F.col("dbh").isNotNull(), 1.5)
+    return p.select("tree_id", F.round("predicted", 4).alias("predicted_height"), check.alias("verdict"))
+
+
 @query("m9_coefficients", f"WITH {FITS}, ok AS (SELECT * FROM ft WHERE {GATE}), t AS (SELECT DISTINCT genus, form FROM grown) SELECT t.genus, t.form, coalesce(x.level, y.level, z.level) AS fit_level, round(coalesce(x.b, y.b, z.b), 6) AS b, round(d.b, 6) AS tail_b FROM t LEFT JOIN ok x ON x.level = 'genus' AND x.taxon = t.genus LEFT JOIN ok y ON y.level = 'form' AND y.taxon = t.form LEFT JOIN ok z ON z.level = 'all' LEFT JOIN ft d ON d.level = 'form' AND d.taxon = t.form")
 def _(v: Views) -> DataFrame:
     c = fits.coefficients(grown(v).select("genus", "form").distinct(), fitted(v), LEVELS, "form")
@@ -91,10 +116,18 @@ def _(v: Views) -> DataFrame:
     return fits.correlations(v.obs, "dbh", "crown_width_m", ["city"]).select("city", "n", F.round("pearson", 6).alias("pearson"), F.round("spearman", 6).alias("spearman"))
 
 
-@query("m11_block_bootstrap")
+def spearman_sql(name: str, x: str, y: str) -> str:
+    rank = lambda c: f"rank() OVER (PARTITION BY replicate ORDER BY {c}) + (count(*) OVER (PARTITION BY replicate, {c}) - 1) / 2.0"
+    return f"{name} AS (SELECT replicate, corr(rx, ry) AS r FROM (SELECT replicate, {rank(x)} AS rx, {rank(y)} AS ry FROM sample) GROUP BY replicate)"
+
+
+@query("m11_block_bootstrap", f"""WITH {{OBS}}, tiles AS (SELECT city, row_number() OVER (ORDER BY city) - 1 AS nth, count(*) OVER () AS n FROM (SELECT DISTINCT city FROM obs WHERE dbh IS NOT NULL AND crown_width_m IS NOT NULL)), d AS (SELECT i // n AS replicate, i, n FROM (SELECT max(n) AS n FROM tiles), unnest(range(40 * n)) t(i)),
+draws AS (SELECT replicate, floor(('0x' || substr(md5(concat('draw|', replicate, '|', i)), 1, 8))::BIGINT / 4294967296.0 * n)::BIGINT AS nth FROM d), sample AS (SELECT replicate, dbh, crown_width_m, size_class FROM draws JOIN tiles USING (nth) JOIN obs USING (city) WHERE dbh IS NOT NULL AND crown_width_m IS NOT NULL),
+{spearman_sql('one', 'dbh', 'crown_width_m')}, {spearman_sql('two', 'dbh', 'size_class')} SELECT count(*) AS replicates, round(quantile_cont(one.r - two.r, 0.025), 6) AS low, round(quantile_cont(one.r - two.r, 0.975), 6) AS high FROM one JOIN two USING (replicate)""")
 def _(v: Views) -> DataFrame:
-    rows = v.obs.where("line = 1 and dbh is not null and crown_width_m is not null").select("city", "dbh", "crown_width_m", F.col("size_class").cast("double").alias("size"))
-    return fits.block_bootstrap(rows, "city", 40, [("dbh", "crown_width_m"), ("dbh", "size")])
+    rows = v.obs.where("dbh is not null and crown_width_m is not null").select("city", "dbh", "crown_width_m", F.col("size_class").cast("double").alias("size"))
+    out = fits.block_bootstrap(rows, "city", 40, [("dbh", "crown_width_m"), ("dbh", "size")])
+    return out.withColumns({c: F.round(c, 6) for c in ("low", "high")})
 
 
 @query("m12_matched_comparison", f"WITH {{OBS}}, {RANKS}, c AS (SELECT city, corr(dbh, crown_width_m) AS p, corr(rx, ry) AS s FROM rk GROUP BY city) SELECT city, round(least(abs(p), abs(s)), 6) AS weaker FROM c ORDER BY weaker DESC, city LIMIT 4")
@@ -116,7 +149,8 @@ def _(v: Views) -> DataFrame:
     return grids.disk_cells(k, 2.0, 2.0, 6.0).select("cx", "cy", "id")
 
 
-@query("g3_nearest_open_cell")
+@query("g3_nearest_open_cell", f"""WITH {{OBS}}, {PTS}, b AS (SELECT DISTINCT floor(x / 20)::BIGINT AS cx, floor(y / 20)::BIGINT AS cy FROM pts), f AS (SELECT DISTINCT cx + i AS ox, cy + j AS oy FROM b, range(-1, 2) p(i), range(-1, 2) q(j) WHERE (cx + i, cy + j) NOT IN (SELECT (cx, cy) FROM b)), d AS (SELECT cx, cy, ox, oy, sqrt((cx - ox) ** 2 + (cy - oy) ** 2) AS d FROM b, f WHERE abs(cx - ox) <= 16 AND abs(cy - oy) <= 16)
+SELECT cx, cy, arg_min(ox, (d, ox, oy)) AS ox, arg_min(oy, (d, ox, oy)) AS oy, min(d) AS distance FROM d WHERE d <= 16 GROUP BY cx, cy""")
 def _(v: Views) -> DataFrame:
     blocked = points(v).select(F.floor(F.col("x") / 20).alias("cx"), F.floor(F.col("y") / 20).alias("cy")).distinct()
     return grids.nearest_open(checkpointed(blocked), 16, checkpointed)
@@ -150,9 +184,10 @@ def _(v: Views) -> DataFrame:
     return deltas(v).withColumn("delta", F.round("delta", 6))
 
 
-@query("g12_crown_cover")
+@query("g12_crown_cover", f"""WITH {{OBS}}, {PTS}, k AS (SELECT x, y, least(dbh / 10, 1e9) AS r FROM pts WHERE dbh IS NOT NULL), a AS (SELECT *, unnest(range(floor((x - r) / 2)::BIGINT, floor((x + r) / 2)::BIGINT + 1)) AS cx FROM k), c AS (SELECT *, unnest(range(floor((y - r) / 2)::BIGINT, floor((y + r) / 2)::BIGINT + 1)) AS cy FROM a),
+d AS (SELECT DISTINCT cx, cy FROM c WHERE sqrt(((cx + 0.5) * 2 - x) ** 2 + ((cy + 0.5) * 2 - y) ** 2) / r <= 1) SELECT floor(cx / 50)::BIGINT AS bx, floor(cy / 50)::BIGINT AS by, count(*) / 2500 AS share FROM d GROUP BY 1, 2""")
 def _(v: Views) -> DataFrame:
-    k = points(v).where("line = 1 and dbh is not null").select("id", "x", "y", (F.col("dbh") / 10).alias("r"), F.col("dbh").alias("height"))
+    k = points(v).where("dbh is not null").select("id", "x", "y", (F.col("dbh") / 10).alias("r"), F.col("dbh").alias("height"))
     return grids.covered_share(k, 2.0, 50)
 
 

@@ -64,6 +64,13 @@ def _(v: Views) -> DataFrame:
     return quality.reconciled(b, v.obs)
 
 
+@query("q8_manifest_report", "WITH {OBS}, r AS (SELECT * FROM obs WHERE city <> 'c3') SELECT (SELECT count(*) FROM r) AS in_blocks, (SELECT count(*) FROM r) AS rows, (SELECT count(*) FROM (SELECT tree_id FROM r GROUP BY 1 HAVING count(*) > 1)) AS repeated_keys, (SELECT count(DISTINCT city) FROM obs WHERE city = 'c3') AS lost_cities, round((SELECT count(*) FROM r) / count(*), 6) AS kept, false AS ok FROM obs")
+def _(v: Views) -> DataFrame:
+    r = v.obs.where("city <> 'c3'")
+    b = rollups.count_by(r, F.floor(F.col("latitude") * 500).alias("block"), "city").withColumnRenamed("trees", "n")
+    return quality.manifest_report(b, r, rollups.count_by(v.obs, "city").withColumnRenamed("trees", "rows"), "tree_id").withColumn("kept", F.round("kept", 6))
+
+
 @query("q9_asset_validation", "SELECT count(*) AS rows, count(DISTINCT user_id) AS keys, count_if(value NOT BETWEEN 0 AND 100) AS out_value FROM events")
 def _(v: Views) -> DataFrame:
     return quality.asset_report(v.table("events"), "user_id", {"value": (0, 100)})
