@@ -7,7 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborscale.operators import lookups
+from arborscale.operators import cells, lookups, rank
 
 
 def candidate_pairs(predictions: DataFrame, truth: DataFrame, radius: Column | float) -> DataFrame:
@@ -111,6 +111,30 @@ def split_of(u: Column, train: float = 0.7, val: float = 0.15) -> Column:
     return F.when(u < train, "train").when(u < train + val, "val").otherwise("test")
 
 
+def edge_neighbours(tiles: DataFrame, records: DataFrame, side: float, reach: float, planted_by: Column) -> DataFrame:
+    """``id``, ``tx``, ``ty``: records (with the columns of ``spatial_split`` and ``plant_date``) within ``reach`` of the
+    centre of a tile that doesn't hold them. Records of the test split, guarded ones and later plantings stay out; an
+    unknown planting date is no later one."""
+    centre = lambda c: (F.col(c) + 0.5) * side
+    open_ = records.where((F.col("split") != "test") & ~F.col("guarded") & F.coalesce(F.col("plant_date") <= planted_by, F.lit(True)))
+    near = cells.pairs_within(tiles.withColumns({"x": centre("tx"), "y": centre("ty")}), open_.select("id", "x", "y"), reach)
+    owned = (F.floor(F.col("r_x") / side) == F.col("l_tx")) & (F.floor(F.col("r_y") / side) == F.col("l_ty"))
+    return near.where(~owned).select(F.col("r_id").alias("id"), F.col("l_tx").alias("tx"), F.col("l_ty").alias("ty"))
+
+
+def review_rank(predictions: DataFrame, truths: DataFrame, matches: DataFrame, label: str, mask: str) -> DataFrame:
+    """Counts by ``chip`` and its ``place`` for review, most errors first: ``error_score`` is truths missed, plus false
+    predictions, plus matches whose labels differ. A prediction without a match where ``mask`` is 0 or less is ignored; a
+    missing label is no error."""
+    p = predictions.select("chip", F.col("id").alias("p_id"), F.col(label).alias("says"), F.col(mask).alias("mask_")).join(matches.select("p_id", "t_id"), "p_id", "left")
+    p = p.join(truths.select(F.col("id").alias("t_id"), F.col(label).alias("is_")), "t_id", "left")
+    said = p.groupBy("chip").agg(F.count("*").alias("predictions"), F.count("t_id").alias("matched"), F.count_if(F.col("t_id").isNull() & (F.col("mask_") <= 0)).alias("ignored"), F.count_if(F.col("says") != F.col("is_")).alias("label_errors"))
+    both = said.join(truths.groupBy("chip").agg(F.count("*").alias("truths")), "chip", "full").na.fill(0, ["predictions", "matched", "ignored", "label_errors", "truths"])
+    counts = both.withColumn("missed", F.expr("truths - matched")).withColumn("false_positive", F.expr("predictions - matched - ignored")).withColumn("error_score", F.expr("missed + false_positive + label_errors"))
+    scored = counts.withColumn("f1", F.expr("case when 2 * matched + false_positive + missed > 0 then 2 * matched / (2 * matched + false_positive + missed) else 1.0D end"))
+    return rank.ranked(scored, [F.desc("error_score"), F.asc("chip")], "place", F.row_number())
+
+
 def spatial_split(rows: DataFrame, block: float, guard: float, seed: str) -> DataFrame:
     """Rows (``x``, ``y``) with the split of their block, and whether they are ``guarded``: within the guard distance of
     a block of another split."""

@@ -27,12 +27,23 @@ def two_nearest(df: DataFrame, reach: float) -> DataFrame:
     """For rows (``id``, ``x``, ``y``) with a neighbour within ``reach``: the nearest, its distance, the distance of the
     second, and whether the nearest is mutual."""
     near = cells.pairs_within(df, df, reach).where("l_id <> r_id")
-    two = near.groupBy("l_id").agg(F.slice(F.array_sort(F.collect_list(F.struct("distance", "r_id"))), 1, 2).alias("two"))
-    one = two.select(F.col("l_id").alias("id"), F.get("two", F.lit(0))["r_id"].alias("nearest"), F.get("two", F.lit(0))["distance"].alias("d1"), F.get("two", F.lit(1))["distance"].alias("d2"))
+    # two rows of each are kept before the shuffle, however crowded its surroundings are
+    two = near.withColumn("place", F.row_number().over(Window.partitionBy("l_id").orderBy("distance", "r_id"))).where("place <= 2")
+    at = lambda k, c: F.max(F.when(F.col("place") == k, F.col(c)))
+    one = two.groupBy(F.col("l_id").alias("id")).agg(at(1, "r_id").alias("nearest"), at(1, "distance").alias("d1"), at(2, "distance").alias("d2"))
     back = one.select(F.col("id").alias("nearest"), F.col("nearest").alias("back_"))
     return one.join(back, "nearest", "left").select("id", "nearest", "d1", "d2", F.coalesce(F.col("back_") == F.col("id"), F.lit(False)).alias("mutual"))
 
 
+def distance_bands(two: DataFrame, edges: Sequence[float]) -> DataFrame:
+    """``two_nearest`` by bands of ``d1`` (above ``low``, up to ``high``): rows, rows whose nearest is mutual, and the median
+    of ``d1 / d2`` where there is a second. Distances outside the edges are in no band."""
+    bands = list(zip(edges, edges[1:], strict=False))
+    band = F.coalesce(*[F.when((F.col("d1") > low) & (F.col("d1") <= high), F.struct(F.lit(float(low)).alias("low"), F.lit(float(high)).alias("high"))) for low, high in bands])
+    banded = two.withColumn("band", band).where("band is not null").groupBy("band")
+    return banded.agg(F.count("*").alias("rows"), F.count_if("mutual").alias("mutual"), F.median(F.when(F.col("d2").isNotNull(), F.col("d1") / F.greatest("d2", F.lit(1e-9)))).alias("median_ratio")).select("band.*", "rows", "mutual", "median_ratio")
+
+
 def deletions(name: Column, most: int = 2) -> Column:
     """The name with up to two letters deleted: two names within two edits share one of these."""
     once = lambda c: F.transform(F.sequence(F.lit(1), F.greatest(F.length(c), F.lit(1))), lambda i: F.concat(F.substring(c, F.lit(1), i - 1), F.substring(c, i + 1, F.length(c))))

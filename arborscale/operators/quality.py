@@ -75,6 +75,19 @@ def asset_report(df: DataFrame, key: str, ranges: Mapping[str, tuple[float, floa
     return df.agg(F.count("*").alias("rows"), F.countDistinct(key).alias("keys"), *[F.count_if(~F.col(c).between(*r)).alias(f"out_{c}") for c, r in ranges.items()])
 
 
+def out_of_season(date: Column, year: int, months: tuple[int, int]) -> Column:
+    """Whether a date is missing, of another year, or outside the months."""
+    return ~F.coalesce((F.year(date) == year) & F.month(date).between(*months), F.lit(False))
+
+
+def seasonal_report(df: DataFrame, key: str, ranges: Mapping[str, tuple[float, float]], date: str, year: int, months: tuple[int, int]) -> DataFrame:
+    """One row: rows, distinct keys, rows with a value that is missing, not finite or out of its range, those out of
+    season, and whether the asset is ``valid``: it has rows, no key repeats or is null, and no row is out."""
+    bad = reduce(lambda a, b: a | b, [~F.coalesce(F.col(c).between(*r) & ~F.isnan(c), F.lit(False)) for c, r in ranges.items()])
+    counts = df.agg(F.count("*").alias("rows"), F.countDistinct(key).alias("keys"), F.count_if(bad).alias("out_of_range"), F.count_if(out_of_season(F.col(date), year, months)).alias("out_of_season"))
+    return counts.withColumn("valid", F.expr("rows > 0 and rows = keys and out_of_range = 0 and out_of_season = 0"))
+
+
 def latest_values(reports: DataFrame, key: str, order: Sequence[str], fields: Sequence[str], flag: Column) -> DataFrame:
     """Reports folded in order: the latest value of each field that is not null, and the latest ``missing`` flag.
 

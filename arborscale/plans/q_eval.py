@@ -74,6 +74,15 @@ def _(v: Views) -> DataFrame:
 NEWER = f"{EV}, newer AS (SELECT * REPLACE (score * 0.75 AS score) FROM pred WHERE part_key % 3 <> 0)"
 
 
+@query("r16_review_rank", f"""WITH RECURSIVE {EV}, {greedy_sql()}, s AS (SELECT p.chip, count(*) AS predictions, count(m.t_id) AS matched, count(*) FILTER (WHERE m.t_id IS NULL AND p.part_key % 5 = 0) AS ignored, count(*) FILTER (WHERE p.genus <> t.genus) AS label_errors FROM pred p LEFT JOIN m ON m.p_id = p.id LEFT JOIN truth t ON t.id = m.t_id GROUP BY 1),
+t AS (SELECT chip, count(*) AS truths FROM truth GROUP BY 1), b AS (SELECT coalesce(s.chip, t.chip) AS chip, coalesce(predictions, 0) AS predictions, coalesce(matched, 0) AS matched, coalesce(ignored, 0) AS ignored, coalesce(label_errors, 0) AS label_errors, coalesce(truths, 0) AS truths FROM s FULL JOIN t ON s.chip = t.chip),
+k AS (SELECT *, truths - matched AS missed, predictions - matched - ignored AS false_positive, truths - matched + predictions - matched - ignored + label_errors AS error_score FROM b)
+SELECT *, round(CASE WHEN 2 * matched + false_positive + missed > 0 THEN 2 * matched / (2 * matched + false_positive + missed) ELSE 1 END, 6) AS f1, row_number() OVER (ORDER BY error_score DESC, chip)::INT AS place FROM k""")
+def _(v: Views) -> DataFrame:
+    p, t = tables(v)
+    return ev.review_rank(p.withColumn("mask", F.col("part_key") % 5), t, matched(v), "genus", "mask").withColumn("f1", F.round("f1", 6))
+
+
 @query("e5_model_diff", f"""WITH RECURSIVE {NEWER}, {greedy_sql('8', 'pred', '1')}, {greedy_sql('8', 'newer', '2')}, {greedy_sql('16', 'newer', '3')},
 s AS (SELECT id, score FROM newer), r AS (SELECT id, score FROM pred), old AS (SELECT t_id FROM m1 JOIN r ON p_id = r.id WHERE score >= 0.35), n AS (SELECT t_id, score FROM m2 JOIN s ON p_id = s.id), wide AS (SELECT t_id FROM m3 JOIN s ON p_id = s.id WHERE score >= 0.35)
 SELECT id, CASE WHEN x AND y THEN 'both hit' WHEN x THEN 'regression' WHEN y THEN 'improvement' ELSE 'both miss' END AS change, CASE WHEN x AND NOT y THEN CASE WHEN id IN (SELECT t_id FROM n WHERE score >= 0.2) THEN 'score 0.20' WHEN id IN (SELECT t_id FROM n WHERE score >= 0.1) THEN 'score 0.10' WHEN id IN (FROM wide) THEN 'radius' ELSE 'not recovered' END END AS diagnosis
@@ -124,6 +133,15 @@ def _(v: Views) -> DataFrame:
     return ev.spatial_split(points(v), 250.0, 20.0, "seed").groupBy("split").agg(F.count("*").alias("trees"), F.count_if(F.col("dbh").isNotNull()).alias("with_dbh"), F.count_if("guarded").alias("guarded"))
 
 
+@query("j25_open_edge_neighbours", f"WITH {SPLITS}, d AS (SELECT sg.*, plant_date FROM sg JOIN obs ON tree_id = id), t AS (SELECT DISTINCT floor(x / 50)::BIGINT AS tx, floor(y / 50)::BIGINT AS ty FROM pts WHERE line = 3) SELECT d.id, tx, ty FROM t JOIN d ON d.line > 5 AND d.split <> 'test' AND NOT d.guarded AND coalesce(d.plant_date <= DATE '1996-06-30', true) AND floor(d.x / 50) BETWEEN tx - 1 AND tx + 1 AND floor(d.y / 50) BETWEEN ty - 1 AND ty + 1 AND sqrt((d.x - (tx * 50 + 25)) ** 2 + (d.y - (ty * 50 + 25)) ** 2) <= 30 WHERE NOT (floor(d.x / 50) = tx AND floor(d.y / 50) = ty)")
+def _(v: Views) -> DataFrame:
+    p = points(v).join(v.obs.select(F.col("tree_id").alias("id"), "plant_date"), "id")
+    records = ev.spatial_split(p.where("line > 5"), 250.0, 20.0, "seed")
+    tile = lambda c: F.floor(F.col(c) / 50)
+    tiles = points(v).where("line = 3").select(tile("x").alias("tx"), tile("y").alias("ty")).distinct()
+    return ev.edge_neighbours(tiles, records, 50.0, 30.0, F.lit("1996-06-30").cast("date"))
+
+
 @query("e11_crown_labels", "WITH {OBS} SELECT tree_id, coalesce(crown_width_m / 2, CASE WHEN genus <> 'Hot' THEN dbh / 8 END) AS radius, CASE WHEN crown_width_m IS NOT NULL THEN 1.0 WHEN genus <> 'Hot' AND dbh IS NOT NULL THEN 0.2 END::DOUBLE AS weight FROM obs")
 def _(v: Views) -> DataFrame:
     rows = v.obs.select("tree_id", (F.col("crown_width_m") / 2).alias("human"), (F.col("dbh") / 8).alias("allometric"), (F.col("genus") == "Hot").alias("palm"))

@@ -72,6 +72,15 @@ def _(v: Views) -> DataFrame:
     return lookups.two_nearest(points(v).where("line = 1").select("id", "x", "y"), 25.0).select("id", "nearest", "mutual")
 
 
+@query("j8_distance_bands", f"""WITH {{OBS}}, {PTS}, q AS (SELECT * FROM pts WHERE line = 1), c AS (SELECT a.id, b.id AS o, sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) AS d FROM q a JOIN q b ON a.id <> b.id AND floor(a.x / 25) BETWEEN floor(b.x / 25) - 1 AND floor(b.x / 25) + 1 AND abs(a.y - b.y) <= 25 WHERE sqrt((a.x - b.x) ** 2 + (a.y - b.y) ** 2) <= 25),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY d, o) AS k FROM c), n AS (SELECT a.id, a.o AS nearest, a.d AS d1, b.d AS d2 FROM r a LEFT JOIN r b ON a.id = b.id AND b.k = 2 WHERE a.k = 1), f AS (SELECT n.*, coalesce(m.nearest = n.id, false) AS mutual FROM n LEFT JOIN n m ON n.nearest = m.id),
+e(low, high) AS (VALUES (0::DOUBLE, 2::DOUBLE), (2, 5), (5, 10), (10, 20), (20, 25))
+SELECT low, high, count(*) AS rows, count_if(mutual) AS mutual, round(median(d1 / greatest(d2, 1e-9)) FILTER (WHERE d2 IS NOT NULL), 6) AS median_ratio FROM f JOIN e ON d1 > low AND d1 <= high GROUP BY low, high""")
+def _(v: Views) -> DataFrame:
+    two = lookups.two_nearest(points(v).where("line = 1").select("id", "x", "y"), 25.0)
+    return lookups.distance_bands(two, (0, 2, 5, 10, 20, 25)).withColumn("median_ratio", F.round("median_ratio", 6))
+
+
 @query("j9_similar_names", "WITH n AS (SELECT DISTINCT concat(p_type, '-', p_name) AS name FROM part UNION SELECT DISTINCT p_name FROM part) SELECT a.name AS a, b.name AS b, levenshtein(a.name, b.name)::INT AS edits FROM n a JOIN n b ON a.name < b.name AND length(a.name) >= 8 AND length(b.name) >= 8 AND levenshtein(a.name, b.name) <= 2")
 def _(v: Views) -> DataFrame:
     part = v.table("part")

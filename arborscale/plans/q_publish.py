@@ -76,6 +76,11 @@ def _(v: Views) -> DataFrame:
     return quality.asset_report(v.table("events"), "user_id", {"value": (0, 100)})
 
 
+@query("q9_seasonal_asset", "WITH c AS (SELECT count(*) AS rows, count(DISTINCT o_orderkey) AS keys, count_if(NOT coalesce(o_totalprice BETWEEN 1000 AND 300000, false)) AS out_of_range, count_if(NOT coalesce(year(o_orderdate) = 1995 AND month(o_orderdate) BETWEEN 6 AND 8, false)) AS out_of_season FROM orders) SELECT *, rows > 0 AND rows = keys AND out_of_range = 0 AND out_of_season = 0 AS valid FROM c")
+def _(v: Views) -> DataFrame:
+    return quality.seasonal_report(v.table("orders"), "o_orderkey", {"o_totalprice": (1000, 300000)}, "o_orderdate", 1995, (6, 8))
+
+
 @query("q10_latest_values", "SELECT user_id, arg_max(value, event_id) FILTER (WHERE event_type <> 'error') AS value, arg_max(event_type, event_id) AS event_type, coalesce(arg_max(event_type = 'view', event_id) FILTER (WHERE event_type IN ('view', 'click')), false) AS missing FROM events GROUP BY user_id")
 def _(v: Views) -> DataFrame:
     e = v.table("events").withColumn("value", F.when(F.col("event_type") != "error", F.col("value")))

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from arborscale.operators import blocks, clean, dedup, evalmatch, fits, rank
+from arborscale.operators import blocks, clean, dedup, evalmatch, fits, lookups, quality, rank
 
 
 def test_rows_with_null_keys_stay(spark):
@@ -61,3 +61,36 @@ def test_mixed_chips_are_refused(spark):
         evalmatch.rebuild_labels(t, none, none, (0.0, 0.0), 10.0).collect()
     got = evalmatch.rebuild_labels(t, none, none, (0.0, 0.0), 10.0, {"dbh": "ok"}, "drop").select("id", "dbh").collect()
     assert got == [("c", None)]
+
+
+def test_distance_bands_without_a_second(spark):
+    df = spark.createDataFrame([(1, 0.0, 0.0), (2, 3.0, 0.0), (3, 100.0, 0.0), (4, 100.0, 4.0), (5, 100.0, 6.0), (6, 500.0, 0.0)], "id int, x double, y double")
+    found = {(r["low"], r["high"]): (r["rows"], r["mutual"], r["median_ratio"]) for r in lookups.distance_bands(lookups.two_nearest(df, 10.0), (0, 2, 5)).collect()}
+    # 1 and 2 have no second neighbour, 6 has none at all
+    assert found == {(0.0, 2.0): (2, 2, (2 / 4 + 2 / 6) / 2), (2.0, 5.0): (3, 2, 4 / 6)}
+    assert lookups.distance_bands(lookups.two_nearest(df.limit(0), 10.0), (0, 2, 5)).count() == 0
+
+
+def test_seasonal_report_counts_missing_values(spark):
+    rows = [(1, 5.0, "1995-06-01"), (2, None, "1995-07-01"), (2, float("nan"), "1995-09-01"), (None, 5.0, None)]
+    df = spark.createDataFrame(rows, "k int, v double, d string").withColumn("d", F.to_date("d"))
+    report = lambda t: quality.seasonal_report(t, "k", {"v": (0, 10)}, "d", 1995, (6, 8)).first()
+    assert tuple(report(df)) == (4, 2, 2, 2, False)
+    assert tuple(report(df.where("k = 1"))) == (1, 1, 0, 0, True)
+    assert not report(df.limit(0))["valid"]
+
+
+def test_review_rank_of_chips_with_one_side(spark):
+    p = spark.createDataFrame([("a", 1, "x", 1.0), ("a", 2, None, 0.0), ("b", 3, "x", None)], "chip string, id int, genus string, mask double")
+    t = spark.createDataFrame([("a", 10, "y"), ("c", 11, None)], "chip string, id int, genus string")
+    m = spark.createDataFrame([(1, 10)], "p_id int, t_id int")
+    found = {r["chip"]: (r["missed"], r["false_positive"], r["ignored"], r["label_errors"], r["error_score"], r["f1"], r["place"]) for r in evalmatch.review_rank(p, t, m, "genus", "mask").collect()}
+    assert found == {"a": (0, 0, 1, 1, 1, 1.0, 1), "b": (0, 1, 0, 0, 1, 0.0, 2), "c": (1, 0, 0, 0, 1, 0.0, 3)}
+
+
+def test_edge_neighbours_leave_out_test_guarded_and_later(spark):
+    records = [(1, 105.0, 50.0, "train", False, None), (2, 105.0, 50.0, "test", False, None), (3, 105.0, 50.0, "train", True, None), (4, 105.0, 50.0, "train", False, "2001-01-01"), (5, 95.0, 50.0, "train", False, None), (6, 105.0, 60.0, "train", False, "1999-01-01")]
+    df = spark.createDataFrame(records, "id int, x double, y double, split string, guarded boolean, d string").withColumn("plant_date", F.to_date("d"))
+    tiles = spark.createDataFrame([(0, 0)], "tx int, ty int")
+    found = evalmatch.edge_neighbours(tiles, df, 100.0, 60.0, F.lit("2000-01-01").cast("date"))
+    assert sorted(r["id"] for r in found.collect()) == [1, 6]
