@@ -45,6 +45,22 @@ def pixel_ok(bits: Column, bad: int, value: Column, low: float, high: float) ->
     return (bits.bitwiseAND(bad) == 0) & value.between(low, high)
 
 
+def raster_cells(pixels: DataFrame, least_land: float, least_cover: float, least_pixels: int) -> DataFrame:
+    """Pixels (``cx``, ``cy``, ``day``, ``value``, ``valid``, ``wet``) by cell: all pixels, those on land, the valid ones and
+    their mean, the mean of each day in order, and whether the cell is ``eligible``: enough of it is land, enough of the
+    land is valid, and enough pixels are.
+
+    Days are summed first, so that what is gathered for a cell is a row a day."""
+    ok = F.coalesce(F.col("valid"), F.lit(False))
+    value = F.when(ok, F.col("value"))
+    land = F.count_if(~F.coalesce(F.col("wet"), F.lit(False)))
+    daily = pixels.groupBy("cx", "cy", "day").agg(F.sum(value).alias("s"), F.count_if(ok).alias("n"), F.count("*").alias("p"), land.alias("l"))
+    mean = F.when(F.col("n") > 0, F.struct("day", (F.col("s") / F.col("n")).alias("mean")))
+    cells_ = daily.groupBy("cx", "cy").agg(F.sum("p").alias("pixels"), F.sum("l").alias("land"), F.sum("n").alias("valid"), F.sum("s").alias("s"), F.array_sort(F.collect_list(mean)).alias("days"))
+    eligible = (F.col("land") > 0) & (F.col("land") >= least_land * F.col("pixels")) & (F.col("valid") >= least_cover * F.col("land")) & (F.col("valid") >= least_pixels)
+    return cells_.withColumn("mean", F.col("s") / F.nullif("valid", F.lit(0))).withColumn("eligible", eligible).drop("s")
+
+
 def view_deltas(cells_: DataFrame, views: DataFrame) -> DataFrame:
     """Eligible cells (``cx``, ``cy``, ``value``) in each view (``view``, ``x0``, ``y0``, ``n`` cells on a side): the
     delta to the mean of the view. Cells join on the cells of the views, which are exploded."""

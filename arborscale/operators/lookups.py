@@ -181,6 +181,17 @@ def with_aliases(rows: DataFrame, key: str, aliases: str) -> DataFrame:
     return rows.unionByName(fresh.withColumn(key, F.col("alias_")).drop("alias_"))
 
 
+def consolidated(rows: DataFrame, key: str, folds: DataFrame) -> DataFrame:
+    """``rows`` with those keyed by a synonym brought to the accepted name of ``folds`` (``synonym``, ``accepted``, ``place``):
+    dropped where the accepted name has a row, or else re-keyed, the one of the least place for each accepted name.
+    A null key is no synonym."""
+    renamed = rows.join(folds.withColumnRenamed("synonym", key), key)
+    best = renamed.groupBy("accepted").agg(F.min(F.struct("place", key)).alias("m")).select("accepted", F.col(f"m.{key}").alias(key))
+    new = best.join(rows.select(F.col(key).alias("accepted")), "accepted", "left_anti")
+    others = rows.join(folds.select(F.col("synonym").alias(key)), key, "left_anti")
+    return others.unionByName(rows.join(new, key).withColumn(key, F.col("accepted")).drop("accepted"))
+
+
 def rebased(base: DataFrame, checkpoint: DataFrame, key: str, fields: Sequence[str]) -> DataFrame:
     """The newer base with its empty fields filled from a checkpoint, and the number of fields gained."""
     old = checkpoint.select(key, *[F.col(c).alias(f"old_{c}") for c in fields])

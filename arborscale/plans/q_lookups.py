@@ -167,6 +167,15 @@ def _(v: Views) -> DataFrame:
     return lookups.with_aliases(rows, "name", "aliases").select("name", "k")
 
 
+@query("j16_consolidated", """WITH r AS (SELECT concat('n', s_suppkey) AS name, s_suppkey AS k FROM supplier), f AS (SELECT name AS synonym, concat('n', k - k % 20 + CASE WHEN k % 40 < 20 THEN 1 ELSE 1000000 END) AS accepted, k AS place FROM r WHERE k % 5 = 0),
+n AS (SELECT accepted, arg_min(synonym, place) AS name FROM f WHERE accepted NOT IN (SELECT name FROM r) GROUP BY 1) SELECT name, k FROM r WHERE name NOT IN (SELECT synonym FROM f) UNION ALL SELECT n.accepted, k FROM n JOIN r USING (name)""")
+def _(v: Views) -> DataFrame:
+    k = F.col("s_suppkey")
+    rows = v.table("supplier").select(F.concat(F.lit("n"), k).alias("name"), k.alias("k"))
+    accepted = F.concat(F.lit("n"), F.col("k") - F.col("k") % 20 + F.when(F.col("k") % 40 < 20, 1).otherwise(1_000_000))
+    return lookups.consolidated(rows, "name", rows.where("k % 5 = 0").select(F.col("name").alias("synonym"), accepted.alias("accepted"), F.col("k").alias("place")))
+
+
 @query("j17_rebase", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 OR p_partkey % 3 = 0 THEN p_brand END AS brand, CASE WHEN p_partkey % 2 > 0 AND p_partkey % 3 = 0 THEN 1 ELSE 0 END AS gained FROM part")
 def _(v: Views) -> DataFrame:
     k = F.col("p_partkey")

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborscale.operators import cells, clean, rank, rollups
+from arborscale.operators import cells, clean, grids, rank, rollups
 from arborscale.plans.registry import Views, query
 
 DBH = "CASE WHEN dbh < 6 THEN '<6' WHEN dbh < 12 THEN '6-12' WHEN dbh < 24 THEN '12-24' WHEN dbh < 36 THEN '24-36' WHEN dbh IS NOT NULL THEN '36+' END"
@@ -169,6 +169,16 @@ def _(v: Views) -> DataFrame:
     return v.table("events").groupBy(F.floor(F.col("value") / 10).alias("cx"), F.hour("ts").cast("long").alias("cy")).agg(F.round(F.avg(F.when(valid, F.col("value"))), 6).alias("mean"), F.count_if(valid).alias("valid"), F.count("*").alias("pixels"))
 
 
+@query("a26_daily_cells", """WITH p AS (SELECT floor(value / 10)::BIGINT AS cx, hour(ts)::BIGINT AS cy, ts::DATE AS day, value, event_type <> 'error' AS valid, event_type = 'signup' AS wet FROM events),
+d AS (SELECT cx, cy, day, avg(value) AS mean FROM p WHERE valid GROUP BY ALL), c AS (SELECT cx, cy, count(*) AS pixels, count_if(NOT wet) AS land, count_if(valid) AS valid, avg(value) FILTER (WHERE valid) AS mean FROM p GROUP BY ALL)
+SELECT c.cx, c.cy, pixels, land, valid, round(c.mean, 6) AS mean, land >= 0.5 * pixels AND valid >= 0.75 * land AND valid >= 30 AS eligible, day, round(d.mean, 6) AS day_mean FROM c JOIN d ON c.cx = d.cx AND c.cy = d.cy""")
+def _(v: Views) -> DataFrame:
+    kind = F.col("event_type")
+    pixels = v.table("events").select(F.floor(F.col("value") / 10).alias("cx"), F.hour("ts").cast("long").alias("cy"), F.to_date("ts").alias("day"), "value", (kind != "error").alias("valid"), (kind == "signup").alias("wet"))
+    found = grids.raster_cells(pixels, 0.5, 0.75, 30).withColumn("d", F.explode("days"))
+    return found.select("cx", "cy", "pixels", "land", "valid", F.round("mean", 6).alias("mean"), "eligible", "d.day", F.round("d.mean", 6).alias("day_mean"))
+
+
 @query("a27_daily_mosaic", "SELECT user_id AS pixel, ts::DATE AS day, round(avg(value), 6) AS mean, count(value) AS scenes FROM events GROUP BY ALL")
 def _(v: Views) -> DataFrame:
     return v.table("events").groupBy(F.col("user_id").alias("pixel"), F.to_date("ts").alias("day")).agg(F.round(F.avg("value"), 6).alias("mean"), F.count("value").alias("scenes"))

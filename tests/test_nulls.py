@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from arborscale.operators import blocks, clean, dedup, evalmatch, fits, lookups, quality, rank
+from arborscale.operators import blocks, clean, dedup, evalmatch, fits, grids, lookups, quality, rank
 
 
 def test_rows_with_null_keys_stay(spark):
@@ -94,3 +94,20 @@ def test_edge_neighbours_leave_out_test_guarded_and_later(spark):
     tiles = spark.createDataFrame([(0, 0)], "tx int, ty int")
     found = evalmatch.edge_neighbours(tiles, df, 100.0, 60.0, F.lit("2000-01-01").cast("date"))
     assert sorted(r["id"] for r in found.collect()) == [1, 6]
+
+
+def test_consolidated_names(spark):
+    rows = spark.createDataFrame([("a", 1), ("b", 2), ("c", 3), ("d", 4), (None, 5)], "name string, v int")
+    folds = spark.createDataFrame([("b", "a", 0), ("d", "z", 2), ("c", "z", 1), ("q", "r", 3)], "synonym string, accepted string, place int")
+    # b has its accepted row, c comes before d, q has no row
+    assert sorted(map(tuple, lookups.consolidated(rows, "name", folds).collect()), key=str) == sorted([("a", 1), ("z", 3), (None, 5)], key=str)
+    assert lookups.consolidated(rows, "name", folds.limit(0)).count() == 5
+
+
+def test_raster_cells_of_missing_values(spark):
+    rows = [(0, 0, 1, 2.0, True, False), (0, 0, 2, 4.0, True, None), (0, 0, 2, None, False, True), (1, 0, 1, None, None, True), (None, 0, 1, 1.0, True, False)]
+    found = {r["cx"]: r for r in grids.raster_cells(spark.createDataFrame(rows, "cx int, cy int, day int, value double, valid boolean, wet boolean"), 0.5, 1.0, 2).collect()}
+    assert (found[0]["pixels"], found[0]["land"], found[0]["valid"], found[0]["mean"], found[0]["eligible"]) == (3, 2, 2, 3.0, True)
+    assert [tuple(d) for d in found[0]["days"]] == [(1, 2.0), (2, 4.0)]
+    assert (found[1]["mean"], found[1]["days"], found[1]["eligible"]) == (None, [], False)
+    assert not found[None]["eligible"]
