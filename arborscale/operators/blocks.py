@@ -22,6 +22,17 @@ def write_blocks(df: DataFrame, path: str) -> None:
     df.repartitionByRange("block", "morton").sortWithinPartitions("block", "morton", "tree_id").write.mode("overwrite").partitionBy("block").parquet(path)
 
 
+def vocabulary(df: DataFrame, columns: list[str]) -> DataFrame:
+    """The different values (``kind``, ``value``) of some string columns, named by ``kind``; nulls are no values."""
+    each = df.select(F.explode(F.array(*[F.struct(F.lit(c).alias("kind"), F.col(c).alias("value")) for c in columns])).alias("v"))
+    return each.select("v.*").where("value is not null").distinct()
+
+
+def write_vocabulary(df: DataFrame, columns: list[str], path: str) -> None:
+    """The vocabulary as a file, or files of ascending ranges, in order of kind and value."""
+    vocabulary(df, columns).repartitionByRange("kind", "value").sortWithinPartitions("kind", "value").write.mode("overwrite").parquet(path)
+
+
 def manifest(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows and content hash of each block and city. The hash is a sum of row hashes of 48 bits, so it needs no order and
     combines map-side; a null is told from an empty text and from a null elsewhere."""

@@ -228,6 +228,13 @@ def _(v: Views) -> DataFrame:
     return blocks.manifest(v.spark.read.parquet(path).withColumn("block", F.col("block").cast("long")), ["tree_id", "species"])
 
 
+@query("s9_vocabulary", "WITH {OBS} SELECT DISTINCT kind, value FROM (UNPIVOT (SELECT city, species, cultivar, data_source FROM obs) ON city, species, cultivar, data_source INTO NAME kind VALUE value)")
+def _(v: Views) -> DataFrame:
+    path = scratch(v.spark, "vocabulary")
+    blocks.write_vocabulary(v.obs, ["city", "species", "cultivar", "data_source"], path)
+    return v.spark.read.parquet(path)
+
+
 @query("w3_block_manifest", f"WITH {BLOCKS} SELECT block, city, count(*) AS rows, sum(('0x' || substr(md5(concat_ws('|', coalesce('=' || tree_id, 'null'), coalesce('=' || species, 'null'))), 1, 12))::BIGINT)::BIGINT AS content FROM bl GROUP BY ALL")
 def _(v: Views) -> DataFrame:
     return blocks.manifest(blocks.with_block(v.obs, 20, 4), ["tree_id", "species"])

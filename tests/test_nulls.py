@@ -111,3 +111,9 @@ def test_raster_cells_of_missing_values(spark):
     assert [tuple(d) for d in found[0]["days"]] == [(1, 2.0), (2, 4.0)]
     assert (found[1]["mean"], found[1]["days"], found[1]["eligible"]) == (None, [], False)
     assert not found[None]["eligible"]
+
+
+def test_vocabulary_leaves_out_nulls(spark):
+    df = spark.createDataFrame([("x", None), ("x", ""), (None, "x")], "a string, b string")
+    assert sorted(map(tuple, blocks.vocabulary(df, ["a", "b"]).collect())) == [("a", "x"), ("b", ""), ("b", "x")]
+    assert blocks.vocabulary(df.limit(0), ["a", "b"]).count() == 0
