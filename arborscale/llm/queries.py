@@ -5,10 +5,11 @@ Each reads its whole table, applies its operator with production parameters and
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import permutations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from arborscale.llm import chunkstore, decontaminate, hmm, langid, linkgraph, neardup, order, pack, shard, toxicity
+from arborscale.llm import align, audit, bestfit, chunkstore, decontaminate, hmm, langid, linkgraph, neardup, order, pack, shard, toxicity
 from arborscale.llm._shared import ship
 
 
@@ -66,6 +67,21 @@ def op10_chunked_media(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunkstore.media(table(spark, sf_dir, "documents"))
 
 
+def op11_pointer_jumping_alignment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups and links of two tokenizers in every document."""
+    return align.links(table(spark, sf_dir, "documents"))
+
+
+def op12_dominance_reduced_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents packed into sequences of at most 2048 tokens."""
+    return bestfit.pack(table(spark, sf_dir, "documents"), digests_only=True)
+
+
+def op13_trie_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Five filters in all orders over all documents."""
+    return audit.audit(audit.flags(table(spark, sf_dir, "documents")), table(spark, sf_dir, "labels"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_bag_minhash_near_duplicates": op1_bag_minhash_near_duplicates,
     "op2_hidden_markov_scores": op2_hidden_markov_scores,
@@ -77,6 +93,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_hilbert_packing": op6_hilbert_packing,
     "op8_aho_corasick_decontamination": op8_aho_corasick_decontamination,
     "op7_kneser_ney_toxicity": op7_kneser_ney_toxicity,
+    "op11_pointer_jumping_alignment": op11_pointer_jumping_alignment,
+    "op12_dominance_reduced_packing": op12_dominance_reduced_packing,
+    "op13_trie_filter_audit": op13_trie_filter_audit,
 }
 
 #: Words of both tables in order; each position is looked up among the item windows of the same text.
@@ -119,4 +138,22 @@ b AS (SELECT d.host FROM d{linkgraph.ROUNDS} d LEFT JOIN t{linkgraph.ROUNDS} t U
 SELECT page_id, host, path, rule, coalesce(v, CASE WHEN host IN (SELECT host FROM b) THEN 'block' END, 'allow') AS verdict FROM j
 """
 
-ORACLES: dict[str, str] = {"op9_link_graph_verdicts": OP9_SQL, "op8_aho_corasick_decontamination": OP8_SQL}
+_STEPS = ", ".join(f"('{o}', {k + 1}, {audit.BITS[f]}, {sum(audit.BITS[g] for g in o[:k])})" for o in map("".join, permutations(audit.BITS)) for k, f in enumerate(o))
+OP13_SQL = rf"""
+WITH t AS (SELECT doc_id, coalesce(text, '') AS text, coalesce(lang, '') AS part FROM documents),
+w AS (SELECT *, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS words, min(doc_id) OVER (PARTITION BY text) AS first_id FROM t),
+m AS (SELECT doc_id, part, (CASE WHEN len(words) < 200 THEN 1 ELSE 0 END) + (CASE WHEN 100 * len(list_distinct(words)) < 50 * len(words) THEN 2 ELSE 0 END)
+  + (CASE WHEN 100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 3 * length(text) THEN 4 ELSE 0 END) + (CASE WHEN regexp_matches(text, '[#$%&*|]') THEN 8 ELSE 0 END)
+  + (CASE WHEN doc_id > first_id THEN 16 ELSE 0 END) AS mask FROM w),
+l AS (SELECT doc_id, max(CASE WHEN quality = 1 THEN 1 ELSE 0 END) AS good, max(CASE WHEN toxic = 1 THEN 1 ELSE 0 END) AS toxic FROM labels GROUP BY doc_id),
+h AS (SELECT part, mask, count(*) AS n, coalesce(sum(good), 0) AS good, coalesce(sum(toxic), 0) AS toxic FROM m LEFT JOIN l USING (doc_id) GROUP BY part, mask),
+o(filter_order, step, bit, before) AS (VALUES {_STEPS}),
+a AS (SELECT part, filter_order, step, bit,
+    CAST(sum(CASE WHEN mask & (before | bit) = 0 THEN n ELSE 0 END) AS BIGINT) AS kept, CAST(sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN n ELSE 0 END) AS BIGINT) AS removed,
+    CAST(sum(CASE WHEN mask & bit <> 0 AND mask & before <> 0 THEN n ELSE 0 END) AS BIGINT) AS redundant, CAST(sum(CASE WHEN mask = bit THEN n ELSE 0 END) AS BIGINT) AS unique_fails,
+    CAST(sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN good ELSE 0 END) AS BIGINT) AS good_lost, CAST(sum(CASE WHEN mask & bit <> 0 AND mask & before = 0 THEN toxic ELSE 0 END) AS BIGINT) AS toxic_lost
+  FROM h, o GROUP BY ALL)
+SELECT part, filter_order, CAST(step AS INT) AS step, kept, removed, redundant, unique_fails, good_lost, toxic_lost, CAST(sum(removed) OVER (PARTITION BY part, bit) AS BIGINT) AS shapley FROM a
+"""
+
+ORACLES: dict[str, str] = {"op9_link_graph_verdicts": OP9_SQL, "op8_aho_corasick_decontamination": OP8_SQL, "op13_trie_filter_audit": OP13_SQL}
