@@ -1,4 +1,4 @@
-"""Joins and lookups: dimensions, cells, radius, boxes, polygons, names."""
+"""Joins and lookups: dimensions, cells, radius, boxes, names."""
 
 from __future__ import annotations
 
@@ -62,71 +62,6 @@ def similar_names(names: DataFrame, column: str = "name", least: int = 8, edits:
     return pairs.withColumn("edits", F.levenshtein("a", "b")).where(F.col("edits") <= edits)
 
 
-def in_polygon(x: Column, y: Column, ring: Column) -> Column:
-    """Ray casting over a closed ring, an array of ``x``, ``y``."""
-    edges = F.zip_with(F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring) - 1), lambda a, b: F.struct(a["x"].alias("x0"), a["y"].alias("y0"), b["x"].alias("x1"), b["y"].alias("y1")))
-    hits = F.filter(edges, lambda e: ((e["y0"] > y) != (e["y1"] > y)) & (x < (e["x1"] - e["x0"]) * (y - e["y0"]) / (e["y1"] - e["y0"]) + e["x0"]))
-    return F.size(hits) % 2 == 1
-
-
-def polygon_cells(polygons: DataFrame, size: float, margin: float = 0.0) -> DataFrame:
-    """Polygons (``poly_id``, ``ring``) with a row for each grid cell that their box, wider by the margin, touches: the key
-    that points join on, so no point is tried against every polygon."""
-    low = lambda k: F.array_min(F.transform("ring", lambda p: p[k]))
-    high = lambda k: F.array_max(F.transform("ring", lambda p: p[k]))
-    span = lambda k: F.sequence(F.floor((low(k) - margin) / size), F.floor((high(k) + margin) / size))
-    return polygons.withColumn("cx", F.explode(span("x"))).withColumn("cy", F.explode(span("y")))
-
-
-def containing(points: DataFrame, polygons: DataFrame, size: float, order: Column) -> DataFrame:
-    """``id`` and ``poly_id`` of the first containing polygon by the order, for points inside any."""
-    p = points.withColumn("cx", F.floor(F.col("x") / size)).withColumn("cy", F.floor(F.col("y") / size))
-    hit = p.join(polygon_cells(polygons, size), ["cx", "cy"]).where(in_polygon(F.col("x"), F.col("y"), F.col("ring")))
-    return hit.groupBy("id").agg(F.min(F.struct(order.alias("o"), F.col("poly_id"))).alias("m")).select("id", "m.poly_id")
-
-
-def polygon_distance(x: Column, y: Column, ring: Column) -> Column:
-    """Distance of a point to the nearest edge of a closed ring."""
-
-    def away(a: Column, b: Column) -> Column:
-        dx, dy = b["x"] - a["x"], b["y"] - a["y"]
-        length = dx * dx + dy * dy
-        t = F.when(length > 0, F.greatest(F.least(((x - a["x"]) * dx + (y - a["y"]) * dy) / length, F.lit(1.0)), F.lit(0.0))).otherwise(0.0)
-        return F.sqrt((x - a["x"] - t * dx) ** 2 + (y - a["y"] - t * dy) ** 2)
-
-    n = F.size(ring) - 1
-    return F.array_min(F.zip_with(F.slice(ring, F.lit(1), n), F.slice(ring, F.lit(2), n), away))
-
-
-def containing_or_near(points: DataFrame, polygons: DataFrame, size: float, reach: float) -> DataFrame:
-    """The containing polygon (lowest id), else the nearest one by the distance to its edge within ``reach``: ``id``,
-    ``poly_id``, ``how`` (``inside`` or ``nearby``) and ``distance``."""
-    inside = containing(points, polygons, size, F.col("poly_id")).select("id", "poly_id", F.lit("inside").alias("how"), F.lit(0.0).alias("distance"))
-    rest = points.join(inside, "id", "left_anti").withColumn("cx", F.floor(F.col("x") / size)).withColumn("cy", F.floor(F.col("y") / size))
-    near = rest.join(polygon_cells(polygons, size, reach).select("poly_id", "ring", "cx", "cy"), ["cx", "cy"]).withColumn("distance", polygon_distance(F.col("x"), F.col("y"), F.col("ring")))
-    nearest = near.where(F.col("distance") <= reach).groupBy("id").agg(F.min(F.struct("distance", "poly_id")).alias("m")).select("id", "m.poly_id", F.lit("nearby").alias("how"), "m.distance")
-    return inside.unionByName(nearest)
-
-
-def polygon_area(ring: Column) -> Column:
-    """Area of a closed ring."""
-    n = F.size(ring) - 1
-    cross = F.zip_with(F.slice(ring, F.lit(1), n), F.slice(ring, F.lit(2), n), lambda a, b: a["x"] * b["y"] - b["x"] * a["y"])
-    return F.abs(F.aggregate(cross, F.lit(0.0), lambda s, c: s + c)) / 2
-
-
-def settings(points: DataFrame, polygons: DataFrame, size: float) -> DataFrame:
-    """The setting of each point inside any polygon (``poly_id``, ``ring``, ``layer``, ``taxed``, ``public``): ``park`` with
-    the id of the smallest park around it, else ``street``, else ``private`` if a parcel around it is taxed and none is
-    public, else ``unknown``."""
-    p = points.withColumn("cx", F.floor(F.col("x") / size)).withColumn("cy", F.floor(F.col("y") / size))
-    hit = p.join(polygon_cells(polygons.withColumn("area", polygon_area(F.col("ring"))), size), ["cx", "cy"]).where(in_polygon(F.col("x"), F.col("y"), F.col("ring")))
-    park, parcel = F.col("layer") == "park", F.col("layer") == "parcel"
-    found = hit.groupBy("id").agg(F.min(F.when(park, F.struct("area", "poly_id"))).alias("park"), F.bool_or(F.col("layer") == "street").alias("street"), F.bool_or(parcel & F.col("taxed")).alias("taxed"), F.bool_or(parcel & F.col("public")).alias("public"))
-    setting = F.when(F.col("park").isNotNull(), "park").when(F.col("street"), "street").when(F.col("taxed") & ~F.col("public"), "private").otherwise("unknown")
-    return found.select("id", setting.alias("setting"), F.col("park.poly_id").alias("park_id"))
-
-
 def resolve_names(names: DataFrame, records: DataFrame) -> DataFrame:
     """Names against a checklist (``id``, ``taxon``, ``status``, ``accepted_id``): accepted, synonym, unplaced, ambiguous
     or not_found, with the accepted name. Misapplied records are passed over; more than one distinct reading is

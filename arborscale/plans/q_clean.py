@@ -68,12 +68,19 @@ def _(v: Views) -> DataFrame:
     return v.obs.where(scans.in_boxes(F.col("latitude"), F.col("longitude"), [(40.002, 40.006, -71.01, -71.002), (40.015, 40.02, -71.02, -71.015)])).select("tree_id")
 
 
-@query("s11_wkt_centroid", "SELECT p_partkey, p_partkey % 50 + (p_size + 0.0) / 2 AS x, p_size % 7 + 1.0 AS y FROM part")
+@query("s11_wkt_centroid", """WITH g AS (SELECT p_partkey, p_partkey % 50 AS x, p_size % 7 AS y, p_size * 2.0 AS a, CASE WHEN p_partkey % 3 < 2 THEN 0.25 ELSE 0 END AS h, CASE WHEN p_partkey % 3 = 0 THEN 4.0 ELSE 0 END AS b, p_size, p_partkey % 15 = 2 AS other FROM part)
+SELECT p_partkey, CASE WHEN NOT other THEN round((a * (x + p_size / 2.0) - h * (x + 0.5) + b * (x + 101)) / (a - h + b), 6) END AS x, CASE WHEN NOT other THEN round((a * (y + 1) - h * (y + 0.75) + b * (y + 1)) / (a - h + b), 6) END AS y FROM g""")
 def _(v: Views) -> DataFrame:
-    x0, y0 = F.col("p_partkey") % 50, F.col("p_size") % 7
-    x1, y1 = x0 + F.col("p_size"), y0 + 2
-    corner = lambda x, y: F.concat_ws(" ", x, y)
-    wkt = F.concat(F.lit("POLYGON (("), F.concat_ws(", ", corner(x0, y0), corner(x1, y0), corner(x1, y1), corner(x0, y1), corner(x0, y0)), F.lit("))"))
+    x0, y0, kind = F.col("p_partkey") % 50, F.col("p_size") % 7, F.col("p_partkey") % 3
+
+    def box(x, y, width, height):
+        corner = lambda a, b: F.concat_ws(" ", a, b)
+        return F.concat(F.lit("("), F.concat_ws(", ", corner(x, y), corner(x + width, y), corner(x + width, y + height), corner(x, y + height), corner(x, y)), F.lit(")"))
+
+    outer, hole, far = box(x0, y0, F.col("p_size"), 2), box(x0 + 0.25, y0 + 0.5, 0.5, 0.5), box(x0 + 100, y0, 2, 2)
+    holed = F.concat(F.lit("("), outer, F.lit(", "), hole, F.lit(")"))
+    wkt = F.when(kind == 0, F.concat(F.lit("MULTIPOLYGON ("), holed, F.lit(", ("), far, F.lit("))"))).when(kind == 1, F.concat(F.lit("POLYGON "), holed))
+    wkt = F.when(F.col("p_partkey") % 15 == 2, "POINT (1 2)").otherwise(F.coalesce(wkt, F.concat(F.lit("POLYGON ("), outer, F.lit(")"))))
     c = scans.wkt_centroid(wkt)
     return v.table("part").select("p_partkey", F.round(c["x"], 6).alias("x"), F.round(c["y"], 6).alias("y"))
 

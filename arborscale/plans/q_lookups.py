@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arborscale.functions import geometry
 from arborscale.operators import cells, lookups
+from arborscale.operators import polygons as areas
 from arborscale.plans.registry import Views, query
 from arborscale.sources import scans
 
@@ -89,35 +91,45 @@ def _(v: Views) -> DataFrame:
 
 
 def polygons(v: Views) -> DataFrame:
-    """Squares with a corner cut off, one for each supplier."""
+    """A multipolygon for each supplier, from its text: a square with a corner cut off and a square hole, and a small square beside."""
     x, y = (F.col("s_suppkey") * 37 % 100) * 25.0, (F.col("s_suppkey") * 61 % 100) * 25.0
-    corner = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"))
-    ring = F.array(corner(0, 0), corner(60, 0), corner(60, 30), corner(30, 60), corner(0, 60), corner(0, 0))
-    return v.table("supplier").select(F.col("s_suppkey").alias("poly_id"), ring.alias("ring"), (x + 30).alias("x"), (y + 30).alias("y"))
+
+    def ring(*corners):
+        return F.concat(F.lit("("), F.concat_ws(", ", *[F.concat_ws(" ", x + dx, y + dy) for dx, dy in (*corners, corners[0])]), F.lit(")"))
+
+    main, hole, beside = ring((0, 0), (60, 0), (60, 30), (30, 60), (0, 60)), ring((10, 10), (20, 10), (20, 20), (10, 20)), ring((70, 0), (85, 0), (85, 15), (70, 15))
+    wkt = F.concat(F.lit("MULTIPOLYGON (("), main, F.lit(", "), hole, F.lit("), ("), beside, F.lit("))"))
+    return v.table("supplier").select(F.col("s_suppkey").alias("poly_id"), geometry.rings_of_wkt(wkt).alias("rings"))
 
 
 POLY = "poly AS (SELECT s_suppkey AS poly_id, (s_suppkey * 37 % 100) * 25.0 AS px, (s_suppkey * 61 % 100) * 25.0 AS py FROM supplier)"
-INSIDE = "x >= px AND x < px + 60 AND y >= py AND y < py + 60 AND (x - px) + (y - py) < 90"
+HOLE = "(x >= px + 10 AND x < px + 20 AND y >= py + 10 AND y < py + 20)"
+INSIDE = f"((x >= px AND x < px + 60 AND y >= py AND y < py + 60 AND (x - px) + (y - py) < 90 AND NOT {HOLE}) OR (x >= px + 70 AND x < px + 85 AND y >= py AND y < py + 15))"
 
 
-@query("j10_point_in_polygon", f"""WITH {{OBS}}, {PTS}, {POLY}, e(x0, y0, x1, y1) AS (VALUES (0, 0, 60, 0), (60, 0, 60, 30), (60, 30, 30, 60), (30, 60, 0, 60), (0, 60, 0, 0)), i AS (SELECT id, min(poly_id) AS poly_id FROM pts, poly WHERE {INSIDE} GROUP BY id),
-k AS (SELECT id, poly_id, x - px AS x, y - py AS y FROM pts, poly WHERE x BETWEEN px - 50 AND px + 110 AND y BETWEEN py - 50 AND py + 110 AND id NOT IN (SELECT id FROM i)), q AS (SELECT *, greatest(least(((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / ((x1 - x0) ** 2 + (y1 - y0) ** 2), 1), 0) AS t FROM k, e),
+@query("j10_point_in_polygon", f"""WITH {{OBS}}, {PTS}, {POLY}, e(x0, y0, x1, y1) AS (VALUES (0, 0, 60, 0), (60, 0, 60, 30), (60, 30, 30, 60), (30, 60, 0, 60), (0, 60, 0, 0), (10, 10, 20, 10), (20, 10, 20, 20), (20, 20, 10, 20), (10, 20, 10, 10), (70, 0, 85, 0), (85, 0, 85, 15), (85, 15, 70, 15), (70, 15, 70, 0)),
+i AS (SELECT id, min(poly_id) AS poly_id FROM pts, poly WHERE {INSIDE} GROUP BY id),
+k AS (SELECT id, poly_id, x - px AS x, y - py AS y FROM pts, poly WHERE x BETWEEN px - 50 AND px + 135 AND y BETWEEN py - 50 AND py + 110 AND id NOT IN (SELECT id FROM i)), q AS (SELECT *, greatest(least(((x - x0) * (x1 - x0) + (y - y0) * (y1 - y0)) / ((x1 - x0) ** 2 + (y1 - y0) ** 2), 1), 0) AS t FROM k, e),
 d AS (SELECT id, poly_id, min(sqrt((x - x0 - t * (x1 - x0)) ** 2 + (y - y0 - t * (y1 - y0)) ** 2)) AS d FROM q GROUP BY ALL)
 SELECT id, poly_id, 'inside' AS how, 0.0::DOUBLE AS distance FROM i UNION ALL SELECT id, arg_min(poly_id, (d, poly_id)), 'nearby', round(min(d), 6) FROM d WHERE d <= 50 GROUP BY id""")
 def _(v: Views) -> DataFrame:
-    return lookups.containing_or_near(points(v).select("id", "x", "y"), polygons(v).select("poly_id", "ring"), 30.0, 50.0).withColumn("distance", F.round("distance", 6))
+    return areas.containing_or_near(points(v).select("id", "x", "y"), polygons(v), 50.0).withColumn("distance", F.round("distance", 6))
 
 
-@query("j11_layered_precedence", f"""WITH {{OBS}}, {PTS}, sq AS (SELECT s_suppkey AS poly_id, (s_suppkey * 37 % 100) * 25.0 AS px, (s_suppkey * 61 % 100) * 25.0 AS py, 60 + s_suppkey % 5 * 20 AS w, s_suppkey % 4 AS layer FROM supplier), h AS (SELECT id, poly_id, w, layer FROM pts, sq WHERE x >= px AND x < px + w AND y >= py AND y < py + w)
-SELECT id, CASE WHEN bool_or(layer = 0) THEN 'park' WHEN bool_or(layer = 1) THEN 'street' WHEN bool_or(layer > 1 AND poly_id % 3 > 0) AND NOT bool_or(layer > 1 AND poly_id % 7 = 0) THEN 'private' ELSE 'unknown' END AS setting, arg_min(poly_id, (w, poly_id)) FILTER (WHERE layer = 0) AS park_id FROM h GROUP BY id""")
+@query("j11_layered_precedence", f"""WITH {{OBS}}, {PTS}, sq AS (SELECT s_suppkey AS poly_id, (s_suppkey * 37 % 100) * 25.0 AS px, (s_suppkey * 61 % 100) * 25.0 AS py, 60 + s_suppkey % 5 * 20 AS w, s_suppkey % 4 AS layer FROM supplier), h AS (SELECT id, poly_id, w, layer FROM pts, sq WHERE x >= px AND x < px + w AND y >= py AND y < py + w AND NOT (poly_id % 3 = 0 AND {HOLE}))
+SELECT id, CASE WHEN bool_or(layer = 0) THEN 'park' WHEN bool_or(layer = 1) THEN 'street' WHEN bool_or(layer > 1 AND poly_id % 3 > 0) AND NOT bool_or(layer > 1 AND poly_id % 7 = 0) THEN 'private' ELSE 'unknown' END AS setting, arg_min(poly_id, (w * w - CASE WHEN poly_id % 3 = 0 THEN 100 ELSE 0 END, poly_id)) FILTER (WHERE layer = 0) AS park_id FROM h GROUP BY id""")
 def _(v: Views) -> DataFrame:
     k = F.col("s_suppkey")
     x, y, w = (k * 37 % 100) * 25.0, (k * 61 % 100) * 25.0, 60.0 + k % 5 * 20
-    corner = lambda dx, dy: F.struct((x + dx).alias("x"), (y + dy).alias("y"))
-    zero = F.lit(0.0)
-    ring = F.array(corner(zero, zero), corner(w, zero), corner(w, w), corner(zero, w), corner(zero, zero))
+
+    def square(offset, width, hole):
+        corner = lambda dx, dy: F.struct((x + offset + dx).alias("x"), (y + offset + dy).alias("y"))
+        zero = F.lit(0.0)
+        return F.struct(F.lit(hole).alias("hole"), F.array(corner(zero, zero), corner(width, zero), corner(width, width), corner(zero, width), corner(zero, zero)).alias("ring"))
+
+    rings = F.when(k % 3 == 0, F.array(square(0.0, w, False), square(10.0, F.lit(10.0), True))).otherwise(F.array(square(0.0, w, False)))
     layer = F.when(k % 4 == 0, "park").when(k % 4 == 1, "street").otherwise("parcel")
-    return lookups.settings(points(v).select("id", "x", "y"), v.table("supplier").select(k.alias("poly_id"), ring.alias("ring"), layer.alias("layer"), (k % 3 > 0).alias("taxed"), (k % 7 == 0).alias("public")), 30.0)
+    return areas.settings(points(v), v.table("supplier").select(k.alias("poly_id"), rings.alias("rings"), layer.alias("layer"), (k % 3 > 0).alias("taxed"), (k % 7 == 0).alias("public")))
 
 
 CHECK = "rec AS (SELECT p_partkey AS id, concat(p_name, ' ', p_size) AS taxon, CASE WHEN p_partkey % 11 = 0 THEN 'misapplied' ELSE 'ok' END AS status, CASE WHEN p_partkey % 7 = 0 THEN NULL WHEN p_partkey % 3 = 0 THEN p_partkey ELSE p_partkey // 6 * 6 END AS accepted_id FROM part WHERE p_partkey % 2 = 0)"
@@ -210,6 +222,26 @@ def _(v: Views) -> DataFrame:
     return lookups.box_overlap(blocks, (100.0, 55.0, 255.0, 303.0)).select(F.round("count", 6).alias("count"), F.round("moe", 6).alias("moe"))
 
 
+#: A triangle with a triangular hole, and the area of a box below a falling diagonal, for its twin.
+TRIANGLE = "POLYGON ((100 55, 400 55, 100 355), (150 105, 250 105, 150 205))"
+
+
+def _triangle(a: float, b: float, c: float) -> str:
+    x, y = f"greatest(x0, {a})", f"greatest(y0, {b})"
+    below = " ".join(f"{sign} greatest({c} - {p} - {q}, 0) ** 2" for sign, p, q in (("", x, y), ("-", f"greatest(x1, {a})", y), ("-", x, f"greatest(y1, {b})"), ("+", f"greatest(x1, {a})", f"greatest(y1, {b})")))
+    return f"({below}) / 2"
+
+
+@query("j20_polygon_weights", f"""WITH b AS (SELECT p_partkey % 3 AS area_id, (p_partkey % 50) * 10.0 AS x0, (p_partkey % 2000 // 50) * 10.0 AS y0, (p_partkey % 50) * 10.0 + 10 AS x1, (p_partkey % 2000 // 50) * 10.0 + 10 AS y1, p_size AS n, p_size / 10.0 AS moe FROM part), s AS (SELECT *, ({_triangle(100, 55, 455)} - {_triangle(150, 105, 355)}) / 100 AS share FROM b)
+SELECT area_id, round(sum(share * n), 6) AS count, round(sqrt(sum((share * moe) ** 2)), 6) AS moe FROM s GROUP BY area_id""")
+def _(v: Views) -> DataFrame:
+    k = F.col("p_partkey")
+    x0, y0 = (k % 50) * 10.0, F.floor(k % 2000 / 50) * 10.0
+    blocks = v.table("part").select((k % 3).alias("area"), x0.alias("x0"), y0.alias("y0"), (x0 + 10).alias("x1"), (y0 + 10).alias("y1"), F.col("p_size").alias("count"), (F.col("p_size") / 10.0).alias("moe"))
+    found = areas.weighted_shares(blocks, geometry.rings_of_wkt(F.lit(TRIANGLE)), F.col("area"))
+    return found.select("area_id", F.round("count", 6).alias("count"), F.round("moe", 6).alias("moe"))
+
+
 @query("j21_ring_dilation", f"WITH {{OBS}}, {PTS}, t AS (SELECT DISTINCT floor(x / 200)::BIGINT AS x, floor(y / 200)::BIGINT AS y FROM pts) SELECT DISTINCT x + i AS x, y + j AS y FROM t, range(-2, 3) a(i), range(-2, 3) b(j)")
 def _(v: Views) -> DataFrame:
     tiles = points(v).select(F.floor(F.col("x") / 200).alias("x"), F.floor(F.col("y") / 200).alias("y")).distinct()

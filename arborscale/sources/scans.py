@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arborscale.functions import geometry
+
 
 def read_files(spark: SparkSession, paths: Sequence[str]) -> DataFrame:
     """Parquet files of differing columns as one relation, by name, with the file of each row."""
@@ -65,17 +67,6 @@ def write_sorted(df: DataFrame, path: str, keys: Sequence[str], partitions: int,
     df.repartitionByRange(partitions, *keys).sortWithinPartitions(*keys).write.mode("overwrite").option("parquet.block.size", row_group_bytes).parquet(path)
 
 
-def wkt_ring(wkt: Column) -> Column:
-    """The outer ring of polygon text as an array of ``x``, ``y``."""
-    text = F.regexp_extract(wkt, r"\(\(([^()]*)\)", 1)
-    return F.transform(F.split(text, r"\s*,\s*"), lambda p: F.struct(F.split(F.trim(p), r"\s+")[0].cast("double").alias("x"), F.split(F.trim(p), r"\s+")[1].cast("double").alias("y")))
-
-
 def wkt_centroid(wkt: Column) -> Column:
-    """The centroid ``x``, ``y`` of polygon text, by the shoelace formula; a ring without area gives its mean point."""
-    ring = wkt_ring(wkt)
-    ends = F.zip_with(F.slice(ring, F.lit(1), F.size(ring) - 1), F.slice(ring, F.lit(2), F.size(ring) - 1), lambda a, b: F.struct(a["x"].alias("x0"), a["y"].alias("y0"), b["x"].alias("x1"), b["y"].alias("y1"), (a["x"] * b["y"] - b["x"] * a["y"]).alias("c")))
-    zero = F.struct(F.lit(0.0).alias("a"), F.lit(0.0).alias("x"), F.lit(0.0).alias("y"))
-    s = F.aggregate(ends, zero, lambda t, e: F.struct((t["a"] + e["c"]).alias("a"), (t["x"] + (e["x0"] + e["x1"]) * e["c"]).alias("x"), (t["y"] + (e["y0"] + e["y1"]) * e["c"]).alias("y")))
-    mean = lambda k: F.aggregate(ring, F.lit(0.0), lambda t, p: t + p[k]) / F.size(ring)
-    return F.struct(F.when(s["a"] != 0, s["x"] / (3 * s["a"])).otherwise(mean("x")).alias("x"), F.when(s["a"] != 0, s["y"] / (3 * s["a"])).otherwise(mean("y")).alias("y"))
+    """The centroid ``x``, ``y`` of POLYGON and MULTIPOLYGON text, all parts without their holes; null for other text."""
+    return geometry.centroid(geometry.rings_of_wkt(wkt))
