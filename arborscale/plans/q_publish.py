@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborscale.functions.lineage import scratch
-from arborscale.operators import blocks, clean, quality, rank, rollups
+from arborscale.operators import blocks, clean, quality, rank, reports, rollups
 from arborscale.plans.q_dedup import TILE
 from arborscale.plans.q_rollups import CROWN, DBH, KIND
 from arborscale.plans.registry import Views, query
@@ -88,6 +88,43 @@ def _(v: Views) -> DataFrame:
     return quality.latest_values(e, "user_id", ["ts", "event_id"], ["value", "event_type"], flag)
 
 
+def tree_reports(v: Views) -> DataFrame:
+    """Reports as an export has them, from the events: updates of single fields, clearings, missing trees, values out of bounds, blank
+    ids, and many reports of equal stamps."""
+    n, kind = F.col("event_id"), F.col("event_type")
+    only = lambda name, value: F.when(kind == name, value).cast("string")
+    fields = F.when(n % 9 == 0, F.array(F.lit("dbhInches"))).when(n % 11 == 0, F.array(F.lit("treeName"), F.lit("significance")))
+    return v.table("events").select(
+        F.when(n % 50 == 0, "  ").otherwise(F.concat(F.lit(" t"), "user_id", F.lit(" "))).alias("treeId"), F.when(kind == "error", "missing").otherwise("update").alias("kind"), F.date_format("ts", "yyyy-MM-dd").alias("publishedAt"),
+        only("view", F.get(F.array(F.lit("acer RUBRUM"), F.lit("Quercus  alba (L.)"), F.lit("123 stump"), F.lit(" ")), (n % 4).cast("int"))).alias("species"), only("signup", F.col("value")).alias("dbhInches"),
+        only("purchase", F.col("value") - 30).alias("latitude"), only("purchase", F.when(n % 5 > 0, F.col("value"))).alias("longitude"), fields.alias("clearFields"),
+        F.when(n % 6 == 0, F.concat(F.lit("  Tree  no "), n % 13, F.lit(" "))).alias("treeName"), F.when(n % 10 == 0, F.concat(F.lit("Planted in "), 1850 + n % 100)).alias("significance"),
+        F.when(n % 17 == 0, F.repeat(F.lit("x"), 310)).alias("significanceSource"), n.alias("place"),
+    )
+
+
+REPORTS = """e AS (SELECT concat('t', user_id) AS tree_id, row_number() OVER (PARTITION BY user_id ORDER BY ts::DATE, event_id) AS n, event_type = 'error' AS gone, CASE WHEN event_type = 'view' THEN CASE event_id % 4 WHEN 0 THEN 'Acer rubrum' WHEN 1 THEN 'Quercus alba' END END AS species,
+CASE WHEN event_type = 'signup' AND value > 0 AND value <= 200 THEN value END AS dbh, event_id % 9 = 0 AS no_dbh, CASE WHEN event_type = 'purchase' AND event_id % 5 > 0 AND abs(value - 30) <= 90 AND value <= 180 THEN value END AS place,
+event_id % 9 > 0 AND event_id % 11 = 0 AS no_name, CASE WHEN event_id % 6 = 0 THEN concat('Tree no ', event_id % 13) END AS name, CASE WHEN event_id % 10 = 0 THEN concat('Planted in ', 1850 + event_id % 100) END AS why, CASE WHEN event_id % 17 = 0 THEN repeat('x', 300) END AS source FROM events WHERE event_id % 50 > 0),
+f AS (SELECT DISTINCT tree_id, 0::BIGINT AS n, NULL::VARCHAR AS species, NULL::DOUBLE AS dbh, false AS unknown, NULL::DOUBLE AS place, false AS gone, NULL::VARCHAR AS name, NULL::VARCHAR AS why, NULL::VARCHAR AS source FROM e
+UNION ALL SELECT f.tree_id, e.n, CASE WHEN e.gone THEN f.species ELSE coalesce(e.species, f.species) END, CASE WHEN e.gone THEN f.dbh WHEN e.no_dbh THEN NULL ELSE coalesce(e.dbh, f.dbh) END, CASE WHEN e.gone THEN f.unknown WHEN e.no_dbh THEN true WHEN e.dbh IS NOT NULL THEN false ELSE f.unknown END,
+CASE WHEN e.gone THEN f.place ELSE coalesce(e.place, f.place) END, e.gone, CASE WHEN e.gone THEN f.name WHEN e.no_name THEN '' ELSE coalesce(e.name, f.name) END, CASE WHEN e.gone THEN f.why WHEN e.no_name THEN '' ELSE coalesce(e.why, f.why) END, CASE WHEN e.gone THEN f.source ELSE coalesce(e.source, f.source) END FROM f JOIN e ON e.tree_id = f.tree_id AND e.n = f.n + 1)
+SELECT tree_id, species, dbh AS diameter_at_breast_height, unknown AS dbh_unknown, place - 30 AS latitude, place AS longitude, gone AS missing, name AS tree_name, why AS significance, source AS significance_source FROM f QUALIFY n = max(n) OVER (PARTITION BY tree_id)"""
+
+
+@query("q10_corrections", f"WITH RECURSIVE {REPORTS}")
+def _(v: Views) -> DataFrame:
+    return reports.corrections(reports.folded(tree_reports(v)))
+
+
+@query("q10_merged_corrections", f"WITH RECURSIVE {REPORTS}")
+def _(v: Views) -> DataFrame:
+    """The same from two folded halves, the newer merged into the older."""
+    every = tree_reports(v)
+    late = F.col("publishedAt") >= "2024-01-15"
+    return reports.corrections(reports.merged(reports.folded(every.where(late)), reports.folded(every.where(~late)), "tree_id"))
+
+
 @query("q11_purge_unreachable", "SELECT p_partkey FROM part WHERE p_partkey % 4 = 0 OR p_partkey % 4 = 1 OR concat('k', p_partkey) IN (SELECT concat('k', l_partkey) FROM lineitem WHERE l_quantity > 45) OR p_partkey < 100")
 def _(v: Views) -> DataFrame:
     part = v.table("part").withColumn("name", F.concat(F.lit("k"), "p_partkey"))

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from arborscale.operators import reports
+
 
 def city_species_counts(stream: DataFrame) -> DataFrame:
     """Trees by city and species, for ``update`` mode."""
@@ -16,6 +18,12 @@ def latest_reports(stream: DataFrame, key: str, order: str, field: str) -> DataF
     return stream.where(F.col(field).isNotNull()).groupBy(key).agg(F.max_by(field, order).alias(field))
 
 
+def corrections(stream: DataFrame) -> DataFrame:
+    """Corrections by tree from a stream of reports (``reports.EXPORT`` with a ``place``), for ``update`` and ``complete`` mode: a late report
+    takes its place by its stamp, whatever came before it."""
+    return reports.corrections(reports.folded(stream))
+
+
 def windowed_counts(stream: DataFrame, stamp: str, late: str, width: str, *keys: str) -> DataFrame:
     """Counts by event-time window and keys; rows later than the watermark are not counted."""
     return stream.withColumn(stamp, F.col(stamp).cast("timestamp")).withWatermark(stamp, late).groupBy(F.window(stamp, width), *keys).agg(F.count("*").alias("n"))
