@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -149,8 +151,7 @@ FAMILY = "concat('Family ', length(genus))"
 
 @query("b1_headline", f"WITH {{OBS}}, g AS (SELECT genus FROM obs GROUP BY genus ORDER BY count(*) DESC, genus LIMIT 1), f AS (SELECT {FAMILY} FROM obs GROUP BY 1 ORDER BY count(*) DESC, 1 LIMIT 1) SELECT count(*) AS trees, count(species) AS identified, count(DISTINCT species) AS species, round(avg((part_key % 7 = 1)::INT), 6) AS biome_fit, round(sum(pi() * (crown_width_m / 2) ** 2), 2) AS canopy_m2, (FROM g) AS top_genus, (FROM f) AS top_family FROM obs")
 def _(v: Views) -> DataFrame:
-    # one rollup that all figures re-sum
-    r = v.obs.groupBy("genus", "species").agg(F.count("*").alias("n"), F.count_if(F.col("part_key") % 7 == 1).alias("fit"), F.sum(F.pi() * (F.col("crown_width_m") / 2) ** 2).alias("canopy"))
+    r = v.rollups.answer({"genus": F.split_part("species", F.lit(" "), F.lit(1)), "species": F.col("species")}, ["species"], ["trees", "fit", "canopy"]).withColumnRenamed("trees", "n")
     by_genus = r.groupBy(F.expr(FAMILY).alias("family"), "genus").agg(F.sum("n").alias("n"), F.count("species").alias("kinds"), F.sum("fit").alias("fit"), F.sum("canopy").alias("canopy"), F.sum(F.when(F.col("species").isNotNull(), F.col("n"))).alias("named"))
     figures = ("n", "kinds", "fit", "canopy", "named")
     by_family = by_genus.groupBy("family").agg(*[F.sum(c).alias(c) for c in figures], F.min(F.struct((-F.col("n")).alias("n"), "genus")).alias("top"))
@@ -159,7 +160,7 @@ def _(v: Views) -> DataFrame:
 
 @query("b2_sources_breakdown", f"WITH {{OBS}} SELECT {KIND} AS kind, count(*) AS trees, count_if(dbh IS NULL) AS no_dbh FROM obs GROUP BY 1")
 def _(v: Views) -> DataFrame:
-    return v.obs.groupBy(clean.source_kind(F.col("data_source"), notable=False).alias("kind")).agg(F.count("*").alias("trees"), F.count_if(F.col("dbh").isNull()).alias("no_dbh"))
+    return v.rollups.answer({"kind": F.col("kind")}, ["kind"], ["trees", "no_dbh"])
 
 
 @query("b3_species_profiles", "WITH {OBS}, n AS (SELECT species, count(*) AS trees, round(sum(pi() * (crown_width_m / 2) ** 2), 4) AS canopy_m2 FROM obs GROUP BY species), d AS (SELECT lower(p_name) AS k, max(p_retailprice) AS price FROM part GROUP BY 1) SELECT species, trees, canopy_m2, price FROM n LEFT JOIN d ON lower(species) = k ORDER BY trees DESC, species LIMIT 20")
@@ -171,8 +172,8 @@ def _(v: Views) -> DataFrame:
 
 @query("b4_planting_years", "WITH {OBS} SELECT year(plant_date)::INT AS year, CASE WHEN year(plant_date) >= 2000 THEN 'young' WHEN year(plant_date) >= 1997 THEN 'growing' ELSE 'old' END AS age_window, count(*) AS trees FROM obs GROUP BY ALL")
 def _(v: Views) -> DataFrame:
-    y = F.year("plant_date")
-    return rollups.count_by(v.obs, y.alias("year"), F.when(y >= 2000, "young").when(y >= 1997, "growing").otherwise("old").alias("age_window"))
+    y = F.col("plant_year")
+    return v.rollups.answer({"year": y, "age_window": F.when(y >= 2000, "young").when(y >= 1997, "growing").otherwise("old")}, ["plant_year"], ["trees"])
 
 
 @query("b5_recent_plantings", "WITH {OBS} SELECT species, count(*) AS trees FROM obs WHERE plant_date >= DATE '2001-01-01' GROUP BY species ORDER BY trees DESC, species LIMIT 8")
@@ -182,11 +183,9 @@ def _(v: Views) -> DataFrame:
 
 @query("b6_bucket_counts", f"WITH {{OBS}}, w AS (SELECT *, crown_width_m AS width FROM obs) SELECT 'dbh' AS kind, {DBH} AS bucket, count(*) AS trees FROM w GROUP BY 2 UNION ALL SELECT 'crown', {CROWN}, count(*) FROM w GROUP BY 2 UNION ALL SELECT 'form', CASE size_class % 3 WHEN 0 THEN 'palm' WHEN 1 THEN 'conifer' ELSE 'broad' END, count(*) FROM w GROUP BY 2 UNION ALL SELECT 'growth', CASE part_key % 3 WHEN 0 THEN 'slow' WHEN 1 THEN 'medium' END, count(*) FROM w GROUP BY 2 UNION ALL SELECT 'wildlife', CASE WHEN part_key % 5 = 0 THEN 'high' ELSE 'low' END, count(*) FROM w GROUP BY 2 UNION ALL SELECT 'fire', CASE WHEN part_key % 11 < 4 THEN 'resistant' ELSE 'flammable' END, count(*) FROM w GROUP BY 2")
 def _(v: Views) -> DataFrame:
-    k, p = F.col("size_class"), F.col("part_key")
-    s = lambda kind, c: F.struct(F.lit(kind).alias("kind"), c.alias("bucket"))
-    kinds = F.array(s("dbh", rollups.dbh_class(F.col("dbh"))), s("crown", rollups.crown_class(F.col("crown_width_m"))), 
-        s("form", F.when(k % 3 == 0, "palm").when(k % 3 == 1, "conifer").otherwise("broad")), s("growth", F.when(p % 3 == 0, "slow").when(p % 3 == 1, "medium")), s("wildlife", F.when(p % 5 == 0, "high").otherwise("low")), s("fire", F.when(p % 11 < 4, "resistant").otherwise("flammable")))
-    return rollups.count_by(v.obs.select(F.inline(kinds)), "kind", "bucket")
+    asked = {"dbh": "dbh_class", "crown": "crown_class", "form": "form", "growth": "growth", "wildlife": "wildlife", "fire": "fire"}
+    each = [v.rollups.answer({"kind": F.lit(kind), "bucket": F.col(c)}, [c], ["trees"]) for kind, c in asked.items()]
+    return reduce(DataFrame.unionByName, each)
 
 
 @query("b7_nativeness", "SELECT CASE WHEN 3 IN (p_partkey % 7, p_partkey % 11) THEN 'ecoregion' WHEN 5 IN (p_partkey % 7, p_partkey % 11) THEN 'biome' WHEN 6 IN (p_partkey % 7, p_partkey % 11) THEN 'realm' ELSE 'introduced' END AS nativeness, count(*) AS species FROM part GROUP BY 1")
@@ -224,7 +223,7 @@ def _(v: Views) -> DataFrame:
 
 @query("b11_city_diversity", "WITH {OBS}, n AS (SELECT coalesce(city, '(all)') AS city, species, count(*) AS trees FROM obs GROUP BY GROUPING SETS ((city, species), (species))) SELECT city, sum(trees)::BIGINT AS trees, count(*) AS species, arg_min(species, (-trees, species)) AS top_species FROM n GROUP BY city")
 def _(v: Views) -> DataFrame:
-    n = rollups.count_by(v.obs, "city", "species")
+    n = v.rollups.answer({"city": F.col("city"), "species": F.col("species")}, ["city", "species"], ["trees"])
     both = n.unionByName(rollups.re_aggregated(n, "species").withColumn("city", F.lit("(all)")))
     return both.groupBy("city").agg(F.sum("trees").alias("trees"), F.count("*").alias("species"), F.min_by("species", F.struct(-F.col("trees"), "species")).alias("top_species"))
 

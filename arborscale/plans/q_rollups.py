@@ -5,8 +5,9 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborscale.operators import cells, clean, grids, rank, rollups
-from arborscale.plans.registry import Views, query
+from arborscale.functions.lineage import scratch
+from arborscale.operators import cells, clean, grids, rank, rollups, stored
+from arborscale.plans.registry import Views, query, tree_rollups
 
 DBH = "CASE WHEN dbh < 6 THEN '<6' WHEN dbh < 12 THEN '6-12' WHEN dbh < 24 THEN '12-24' WHEN dbh < 36 THEN '24-36' WHEN dbh IS NOT NULL THEN '36+' END"
 CROWN = "CASE WHEN width < 3 THEN '<3' WHEN width < 5 THEN '3-5' WHEN width < 8 THEN '5-8' WHEN width < 12 THEN '8-12' WHEN width IS NOT NULL THEN '12+' END"
@@ -57,7 +58,37 @@ def _(v: Views) -> DataFrame:
 
 @query("a9_re_aggregation", "WITH {OBS} SELECT species, count(*) AS trees FROM obs GROUP BY species")
 def _(v: Views) -> DataFrame:
-    return rollups.re_aggregated(rollups.count_by(v.obs, "city", "species"), "species")
+    return v.rollups.answer({"species": F.col("species")}, ["species"], ["trees"])
+
+
+@query("a9_stored_rollups", f"""WITH {{OBS}}, w AS (SELECT *, crown_width_m AS width FROM obs), r AS (SELECT 'species' AS name, 'city,species' AS grain, count(*) AS rows FROM (SELECT DISTINCT city, species FROM w) UNION ALL SELECT 'year', 'city,species,plant_year', count(*) FROM (SELECT DISTINCT city, species, year(plant_date) FROM w)
+UNION ALL SELECT 'dbh', 'city,species,dbh_class', count(*) FROM (SELECT DISTINCT city, species, {DBH} FROM w) UNION ALL SELECT 'crown', 'city,species,crown_class', count(*) FROM (SELECT DISTINCT city, species, {CROWN} FROM w) UNION ALL SELECT 'origin', 'city,species,kind', count(*) FROM (SELECT DISTINCT city, species, {KIND} FROM w)
+UNION ALL SELECT 'traits', 'city,species,form,growth,wildlife,fire', count(*) FROM (SELECT DISTINCT city, species, size_class % 3, CASE part_key % 3 WHEN 0 THEN 0 WHEN 1 THEN 1 END, part_key % 5 = 0, part_key % 11 < 4 FROM w) UNION ALL SELECT 'cell', 'city,species,cell_y,cell_x', count(*) FROM (SELECT DISTINCT city, species, floor(latitude * 1000), floor(longitude * 1000) FROM w)) FROM r""")
+def _(v: Views) -> DataFrame:
+    return v.rollups.catalogue().select("name", F.array_join("grain", ",").alias("grain"), "rows")
+
+
+@query("a9_stored_coarse_cells", "WITH {OBS} SELECT floor(floor(latitude * 1000) / 10)::BIGINT AS cy, floor(floor(longitude * 1000) / 10)::BIGINT AS cx, count(*) AS trees FROM obs WHERE city <> 'c3' GROUP BY ALL")
+def _(v: Views) -> DataFrame:
+    return v.rollups.answer({"cy": F.floor(F.col("cell_y") / 10), "cx": F.floor(F.col("cell_x") / 10)}, ["city", "cell_y", "cell_x"], ["trees"], F.col("city") != "c3")
+
+
+@query("a9_stored_least_squares", """WITH {OBS}, p AS (SELECT genus, ln(dbh) AS x, ln(crown_width_m) AS y FROM obs WHERE dbh > 0 AND crown_width_m > 0)
+SELECT genus, count(*) AS n, round(regr_slope(y, x), 6) AS b, round(regr_intercept(y, x), 6) AS a, round(sqrt(greatest(regr_syy(y, x) - regr_slope(y, x) * regr_sxy(y, x), 0) / (count(*) - 2)), 6) AS sigma, round(regr_r2(y, x), 6) AS r2, round(max(x), 6) AS x_max FROM p GROUP BY genus""")
+def _(v: Views) -> DataFrame:
+    m = v.rollups.answer({"genus": F.split_part("species", F.lit(" "), F.lit(1))}, ["species"], ["log_crown"])
+    fit = stored.line(m, ["genus"], "log_crown")
+    return fit.select("genus", "n", *[F.round(c, 6).alias(c) for c in ("b", "a", "sigma", "r2", "x_max")])
+
+
+@query("a9_merged_rollup", "WITH {OBS} SELECT city, species, count(*) AS trees, max(dbh) AS largest FROM obs GROUP BY ALL")
+def _(v: Views) -> DataFrame:
+    """A store of most rows, into which the rest is merged."""
+    species = tree_rollups()[:1]
+    store = stored.Store(v.spark, scratch(v.spark, "merged-rollups"))
+    store.build(v.obs.where("line < 5"), species)
+    store.add(v.obs.where("line >= 5"), species)
+    return store.answer({"city": F.col("city"), "species": F.col("species")}, ["city", "species"], ["trees", "largest"])
 
 
 @query("a10_least_squares", """WITH {OBS}, p AS (SELECT genus, ln(dbh) AS x, ln(crown_width_m) AS y FROM obs WHERE dbh > 0 AND crown_width_m > 0)

@@ -5,9 +5,13 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import cached_property
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from arborscale.functions import folders
+from arborscale.functions.lineage import shared_dir
+from arborscale.operators import clean, rollups, stored
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
 
@@ -34,6 +38,16 @@ class Views:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.parquet(f"{self.sf_dir}/{name}.parquet")
 
+    @cached_property
+    def rollups(self) -> stored.Store:
+        """The stored rollups of ``obs``, built where the shared folder has none for these very files."""
+        files = folders.fingerprint(self.spark, *[f"{self.sf_dir}/{t}.parquet" for t in ("lineitem", "supplier", "part")])
+        path = f"{shared_dir(self.spark)}/arborscale-rollups-{files[:32]}"
+        store = stored.Store(self.spark, path)
+        if not store.generation():
+            store.build(self.obs, tree_rollups())
+        return store
+
     @cached_property
     def obs(self) -> DataFrame:
         """Tree observations: one row per source record."""
@@ -53,6 +67,23 @@ class Views:
         )
 
 
+
+def tree_rollups() -> list[stored.Rollup]:
+    """The rollups that dashboards read: trees by city and species alone, and with one more column each."""
+    by_species = {"city": F.col("city"), "species": F.col("species")}
+    trees, size, part = {"trees": stored.Measure("count")}, F.col("size_class"), F.col("part_key")
+    width = F.col("crown_width_m")
+    more = {"fit": stored.Measure("count", part % 7 == 1), "canopy": stored.Measure("sum", F.pi() * (width / 2) ** 2), "largest": stored.Measure("greatest", F.col("dbh")), "log_crown": stored.Measure("moments", F.when((F.col("dbh") > 0) & (width > 0), F.log("dbh")), F.when((F.col("dbh") > 0) & (width > 0), F.log(width)))}
+    traits = {
+        "form": F.when(size % 3 == 0, "palm").when(size % 3 == 1, "conifer").otherwise("broad"), "growth": F.when(part % 3 == 0, "slow").when(part % 3 == 1, "medium"),
+        "wildlife": F.when(part % 5 == 0, "high").otherwise("low"), "fire": F.when(part % 11 < 4, "resistant").otherwise("flammable"),
+    }
+    cell = lambda k: {"cell_y": F.floor(F.col("latitude") * k), "cell_x": F.floor(F.col("longitude") * k)}
+    extra = {"year": {"plant_year": F.year("plant_date")}, "dbh": {"dbh_class": rollups.dbh_class(F.col("dbh"))}, "crown": {"crown_class": rollups.crown_class(width)}, "origin": {"kind": clean.source_kind(F.col("data_source"), notable=False)}, "traits": traits, "cell": cell(1000)}
+    gaps = {"origin": {"no_dbh": stored.Measure("count", F.col("dbh").isNull())}}
+    return [stored.Rollup("species", by_species, trees | more), *[stored.Rollup(name, by_species | c, trees | gaps.get(name, {})) for name, c in extra.items()]]
+
+
 def counted(sql: str) -> str:
     """``count_if(x)`` as a filtered count, whose type is the same in both engines."""
     while (at := sql.find("count_if(")) >= 0:
