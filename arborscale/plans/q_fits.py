@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborscale.functions.lineage import checkpointed
-from arborscale.operators import cells, fits, grids
+from arborscale.operators import calibration, cells, fits, grids
 from arborscale.plans.q_lookups import PTS, points
 from arborscale.plans.registry import Views, query
 
@@ -156,13 +156,32 @@ def _(v: Views) -> DataFrame:
     return grids.nearest_open(checkpointed(blocked), 16, checkpointed)
 
 
-@query("g9_grid_calibration", f"WITH {{OBS}}, {PTS}, q AS (SELECT id, x, y, unnest([4.0, 8.0, 16.0]) AS size FROM pts WHERE line = 2), m AS (SELECT x, y, unnest([4.0, 8.0, 16.0]) AS size FROM pts WHERE line > 5), f AS (SELECT DISTINCT size, floor(x / size) AS cx, floor(y / size) AS cy FROM m) SELECT q.size::DOUBLE AS size, count(*) AS points, count(f.cx) AS flagged FROM q LEFT JOIN f ON q.size = f.size AND floor(q.x / q.size) = f.cx AND floor(q.y / q.size) = f.cy GROUP BY q.size")
+#: The nearest two anchors of each row and the nearest row of each anchor, without a limit, by trying all.
+ACROSS = """q AS (SELECT id, x, y FROM pts WHERE line = 2), a AS (SELECT id, x, y FROM pts WHERE line > 6), w AS (SELECT q.id AS q, a.id AS a, sqrt((q.x - a.x) ** 2 + (q.y - a.y) ** 2) AS d FROM q, a),
+t AS (SELECT q AS id, min(struct_pack(d := d, a := a)).a AS nearest, list_sort(min(d, 2)) AS ds FROM w GROUP BY q), bk AS (SELECT a, min(struct_pack(d := d, q := q)).q AS back FROM w GROUP BY a), nn AS (SELECT id, nearest, ds[1] AS d1, ds[2] AS d2, back = id AS mutual FROM t JOIN bk ON nearest = bk.a)"""
+
+
+@query("j8_across_tables", f"WITH {{OBS}}, {PTS}, {ACROSS} SELECT id, nearest, round(d1, 6) AS d1, round(d2, 6) AS d2, mutual FROM nn")
+def _(v: Views) -> DataFrame:
+    p = points(v)
+    near = calibration.nearest_across(p.where("line = 2"), p.where("line > 6"))
+    return near.select("id", "nearest", F.round("d1", 6).alias("d1"), F.round("d2", 6).alias("d2"), "mutual")
+
+
+@query("j8_spacing", f"WITH {{OBS}}, {PTS}, a AS (SELECT id, x, y FROM pts WHERE line > 6), d AS (SELECT one.id, min(sqrt((one.x - o.x) ** 2 + (one.y - o.y) ** 2)) AS d FROM a one, a o WHERE one.id <> o.id GROUP BY 1) SELECT round(quantile_cont(d, 0.1), 6) AS p10, round(quantile_cont(d, 0.5), 6) AS p50, round(quantile_cont(d, 0.9), 6) AS p90 FROM d")
+def _(v: Views) -> DataFrame:
+    return calibration.spacing(points(v).where("line > 6"), (0.1, 0.5, 0.9)).select(*[F.round(c, 6).alias(c) for c in ("p10", "p50", "p90")])
+
+
+@query("g9_grid_calibration", f"""WITH {{OBS}}, {PTS}, {ACROSS}, s AS (SELECT unnest([4.0, 8.0, 16.0, 32.0])::DOUBLE AS size), g(dx, dy) AS (VALUES (0, 0), (0.5, 0), (0, 0.5), (0.5, 0.5)), c AS (SELECT DISTINCT size, dx, dy, floor(x / size + dx) AS cx, floor(y / size + dy) AS cy FROM a, s, g),
+f AS (SELECT DISTINCT q.id, s.size FROM q, s, g JOIN c ON c.size = s.size AND c.dx = g.dx AND c.dy = g.dy AND c.cx = floor(q.x / s.size + g.dx) AND c.cy = floor(q.y / s.size + g.dy)), e AS (SELECT nn.*, s.size, f.id IS NOT NULL AS flag FROM nn CROSS JOIN s LEFT JOIN f ON f.id = nn.id AND f.size = s.size),
+n AS (SELECT size, count(*) AS points, count_if(flag) AS flagged, count_if(flag AND mutual) AS true_duplicates, count_if(flag AND NOT mutual) AS false_duplicates, count_if(mutual) AS m, count_if(d1 <= size / 2 AND NOT flag) AS missed, count_if(d1 > size * sqrt(2) AND flag) AS beyond FROM e GROUP BY size),
+o AS (SELECT *, true_duplicates - lag(true_duplicates) OVER (ORDER BY size) AS more_true, false_duplicates - lag(false_duplicates) OVER (ORDER BY size) AS more_false FROM n)
+SELECT size, points, flagged, true_duplicates, false_duplicates, round(true_duplicates / greatest(m, 1), 6) AS recall, missed, beyond, more_true, more_false, CASE WHEN more_false <> 0 THEN round(more_true / more_false, 6) END AS marginal FROM o""")
 def _(v: Views) -> DataFrame:
-    sizes = F.explode(F.array(*[F.lit(s) for s in (4.0, 8.0, 16.0)])).alias("size")
-    cell = lambda df: df.withColumn("cx", F.floor(F.col("x") / F.col("size"))).withColumn("cy", F.floor(F.col("y") / F.col("size")))
-    q, m = (cell(points(v).where(c).select("id", "x", "y", sizes)) for c in ("line = 2", "line > 5"))
-    hit = m.select("size", "cx", "cy").distinct().withColumn("hit", F.lit(1))
-    return q.join(hit, ["size", "cx", "cy"], "left").groupBy("size").agg(F.count("*").alias("points"), F.count("hit").alias("flagged"))
+    p = points(v)
+    found = calibration.grid_calibration(p.where("line = 2"), p.where("line > 6"), (4.0, 8.0, 16.0, 32.0))
+    return found.withColumns({c: F.round(c, 6) for c in ("recall", "marginal")})
 
 
 @query("g10_pixel_mask", "SELECT event_id, (event_id & 12) = 0 AND value BETWEEN 1 AND 90 AS ok FROM events")
