@@ -27,9 +27,11 @@ def disambiguated(df: DataFrame, key: str, second: str) -> DataFrame:
 
 
 def drop_stacked(df: DataFrame, key: str, agree: Sequence[str], order: str) -> DataFrame:
-    """Rows whose id repeats go, unless all rows of the id agree on the columns; then the first stays."""
+    """Rows whose id repeats go, unless all rows of the id agree on the columns; then the first stays. Rows without an id are no
+    stack and stay."""
     kinds = df.groupBy(key).agg(F.min(F.struct(*agree)).alias("lo"), F.max(F.struct(*agree)).alias("hi"), F.min(order).alias("first_")).where(F.col("lo") == F.col("hi"))
-    return df.join(kinds.select(key, "first_"), key).where(F.col(order) == F.col("first_")).drop("first_")
+    single = df.where(F.col(key).isNotNull()).join(kinds.select(key, "first_"), key).where(F.col(order) == F.col("first_")).drop("first_")
+    return single.unionByName(df.where(F.col(key).isNull()))
 
 
 def most_complete(df: DataFrame, key: str, fields: Sequence[str], order: str) -> DataFrame:

@@ -7,6 +7,7 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborscale.functions import ordered
 from arborscale.operators import cells, lookups, rank
 
 
@@ -132,7 +133,7 @@ def review_rank(predictions: DataFrame, truths: DataFrame, matches: DataFrame, l
     both = said.join(truths.groupBy("chip").agg(F.count("*").alias("truths")), "chip", "full").na.fill(0, ["predictions", "matched", "ignored", "label_errors", "truths"])
     counts = both.withColumn("missed", F.expr("truths - matched")).withColumn("false_positive", F.expr("predictions - matched - ignored")).withColumn("error_score", F.expr("missed + false_positive + label_errors"))
     scored = counts.withColumn("f1", F.expr("case when 2 * matched + false_positive + missed > 0 then 2 * matched / (2 * matched + false_positive + missed) else 1.0D end"))
-    return rank.ranked(scored, [F.desc("error_score"), F.asc("chip")], "place", F.row_number())
+    return rank.numbered(scored, [F.desc("error_score"), F.asc("chip")], "place")
 
 
 def spatial_split(rows: DataFrame, block: float, guard: float, seed: str) -> DataFrame:
@@ -267,10 +268,12 @@ def unanimous(rows: DataFrame, key: str, label: str) -> DataFrame:
 
 
 def robust_offset(rows: DataFrame) -> DataFrame:
-    """Component medians of displacements (``dx``, ``dy``) and the median distance from them."""
-    mid = rows.agg(F.percentile("dx", F.lit(0.5)).alias("mx"), F.percentile("dy", F.lit(0.5)).alias("my"))
-    off = F.sqrt((F.col("dx") - F.col("mx")) ** 2 + (F.col("dy") - F.col("my")) ** 2)
-    return rows.crossJoin(F.broadcast(mid)).groupBy("mx", "my").agg(F.percentile(off, F.lit(0.5)).alias("spread"))
+    """One row: component medians of displacements (``dx``, ``dy``) and the median distance from them; nulls of no displacement."""
+    (mx,), (my,) = (ordered.quantiles(rows, F.col(c), [0.5]) for c in ("dx", "dy"))
+    spread = None
+    if mx is not None and my is not None:
+        (spread,) = ordered.quantiles(rows, F.sqrt((F.col("dx") - mx) ** 2 + (F.col("dy") - my) ** 2), [0.5])
+    return rows.sparkSession.createDataFrame([(mx, my, spread)], "mx double, my double, spread double")
 
 
 def occupancy(groups: DataFrame, hits: DataFrame) -> DataFrame:
@@ -299,12 +302,11 @@ def average_precision(scored: DataFrame, truth: DataFrame) -> DataFrame:
     """Area under the monotone envelope of precision over recall, from rows (``score``, ``hit``); ``truth`` has one row
     with the number of true objects as ``truth``.
 
-    Rows of one score are counted together first, so the ordered part is as long as there are scores."""
+    Rows of one score are counted together first; precision and envelope are scans over ranges of scores, down and up."""
     steps = scored.groupBy("score").agg(F.count_if("hit").alias("t"), F.count("*").alias("n"))
-    down = Window.orderBy(F.desc("score")).rowsBetween(Window.unboundedPreceding, 0)
-    curve = steps.withColumn("precision", F.sum("t").over(down) / F.sum("n").over(down))
-    best = F.max("precision").over(Window.orderBy("score").rowsBetween(Window.unboundedPreceding, 0))
-    return curve.withColumn("envelope", best).agg(F.sum(F.col("envelope") * F.col("t")).alias("area")).crossJoin(truth).select((F.col("area") / F.col("truth")).alias("average_precision"))
+    curve = ordered.scanned(steps, [F.desc("score")], sums={"hits": "t", "rows": "n"}).withColumn("precision", F.col("hits") / F.col("rows"))
+    envelope = ordered.scanned(curve.select("score", "t", "precision"), ["score"], maxima={"envelope": "precision"})
+    return envelope.agg(F.sum(F.col("envelope") * F.col("t")).alias("area")).crossJoin(truth).select((F.col("area") / F.col("truth")).alias("average_precision"))
 
 
 def mutual_offsets(pairs: DataFrame, low: float, high: float) -> DataFrame:

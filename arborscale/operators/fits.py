@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborscale.functions import ordered
 from arborscale.functions.groups import join_back
 from arborscale.operators.rollups import ols
 
@@ -103,6 +104,9 @@ def coefficients(taxa: DataFrame, fits: DataFrame, levels: Sequence[Sequence[str
 def average_ranks(rows: DataFrame, value: str, name: str, keys: Sequence[str] = ()) -> DataFrame:
     """The mean rank of ties, from counts of the distinct values."""
     by_value = rows.groupBy(*keys, value).agg(F.count("*").alias("n_"))
+    if not keys:
+        upto = ordered.scanned(by_value, [value], sums={"upto_": "n_"})
+        return join_back(rows, upto.withColumn(name, F.col("upto_") - F.col("n_") + (F.col("n_") + 1) / 2).drop("n_", "upto_"), [value])
     w = Window.partitionBy(*keys).orderBy(value).rowsBetween(Window.unboundedPreceding, -1)
     ranks = by_value.withColumn(name, F.coalesce(F.sum("n_").over(w), F.lit(0)) + (F.col("n_") + 1) / 2).drop("n_")
     return join_back(rows, ranks, [*keys, value])
@@ -119,9 +123,9 @@ def correlations(rows: DataFrame, x: str, y: str, keys: Sequence[str] = (), leas
 def block_bootstrap(rows: DataFrame, tile: str, replicates: int, pairs: Sequence[tuple[str, str]]) -> DataFrame:
     """Resample whole tiles with replacement: for each replicate as many hash-drawn tiles as there are, joined to their
     rows; the difference of two Spearman correlations in each, and its 95 % limits."""
-    tiles = rows.select(tile).distinct().withColumn("at", F.row_number().over(Window.orderBy(tile)) - 1)
+    tiles = ordered.positions(rows.select(tile).distinct(), "at", tile)
     n = tiles.count()
-    draw = lambda r, i: F.floor(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("draw"), r, i)), 1, 8), 16, 10).cast("double") / 4294967296.0 * n).cast("int")
+    draw = lambda r, i: F.floor(F.conv(F.substring(F.md5(F.concat_ws("|", F.lit("draw"), r, i)), 1, 8), 16, 10).cast("double") / 4294967296.0 * n).cast("long")
     drawn = rows.sparkSession.range(replicates * n).select(F.floor(F.col("id") / max(n, 1)).alias("replicate"), F.col("id").alias("i")).withColumn("at", draw(F.col("replicate"), F.col("i")))
     sample = drawn.join(tiles, "at").join(rows, tile)
     (x1, y1), (x2, y2) = pairs

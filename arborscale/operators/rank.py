@@ -7,6 +7,7 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborscale.functions import ordered
 from arborscale.functions.groups import join_back
 
 
@@ -28,14 +29,21 @@ def rarity(counts: DataFrame) -> DataFrame:
 
 
 def size_rank(df: DataFrame, key: str, value: str) -> DataFrame:
-    """Competition rank of positive finite values in their group, largest first; other rows have none.
+    """Competition rank of positive finite values in their group, largest first; other rows have none. A null
+    group is a group like others.
 
     A rank is one more than the number of larger values, so it is summed over the distinct values of a group and joined
     back instead of sorting every row of a group in one task."""
     by_value = df.where((F.col(value) > 0) & (F.col(value) < float("inf"))).groupBy(key, value).agg(F.count("*").alias("n_"))
     over = Window.partitionBy(key).orderBy(F.desc(value)).rowsBetween(Window.unboundedPreceding, -1)
     ranks = by_value.withColumn("size_rank", (F.coalesce(F.sum("n_").over(over), F.lit(0)) + 1).cast("int")).drop("n_")
-    return df.join(ranks, [key, value], "left")
+    named = ranks.select(F.col(key).alias("of_key_"), F.col(value).alias("of_value_"), "size_rank")
+    return df.join(named, F.col(key).eqNullSafe(F.col("of_key_")) & (F.col(value) == F.col("of_value_")), "left").drop("of_key_", "of_value_")
+
+
+def numbered(table: DataFrame, order: Sequence[Column], name: str) -> DataFrame:
+    """Rows of a table of any size numbered from 1 in an order that tells them apart."""
+    return ordered.positions(table, name, *order).withColumn(name, (F.col(name) + 1).cast("int"))
 
 
 def ranked(table: DataFrame, order: Sequence[Column], name: str, how: Column | None = None) -> DataFrame:
@@ -101,21 +109,24 @@ def diverse_order(rows: DataFrame) -> DataFrame:
 def audit_sample(chips: DataFrame, size: int) -> DataFrame:
     """``size`` chips (``chip``, ``city``, ``density``, ``reviewed``, ``priority``) of each city: half of them drawn by a hash,
     evenly from the density classes and then from all to fill up; the other half by priority, those not reviewed first."""
-    half, h = size // 2, F.md5(F.concat_ws("|", "city", "chip"))
-    n = chips.groupBy("city", "density").agg(F.count("*").alias("n_"))
-    nth = F.row_number().over(Window.partitionBy("city").orderBy("density")) - 1
-    quota = n.withColumn("quota_", F.least(F.lit(half // 3) + (nth < half % 3).cast("int"), F.col("n_"))).drop("n_")
+    half, h, columns = size // 2, F.md5(F.concat_ws("|", "city", "chip")), chips.columns
+    # a null city or class is a group like others, so rows are joined on keys without nulls
+    group = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    chips = chips.withColumn("city_", group("city")).withColumn("density_", group("density"))
+    n = chips.groupBy("city_", "density_", "density").agg(F.count("*").alias("n_"))
+    nth = F.row_number().over(Window.partitionBy("city_").orderBy("density")) - 1
+    quota = n.withColumn("quota_", F.least(F.lit(half // 3) + (nth < half % 3).cast("int"), F.col("n_"))).drop("n_", "density")
     place = lambda *keys: F.row_number().over(Window.partitionBy(*keys).orderBy(h, "chip"))
-    drawn = chips.withColumn("p_", place("city", "density")).where(F.col("p_") <= half // 3 + 1).join(quota, ["city", "density"]).where("p_ <= quota_").drop("p_", "quota_")
-    short = quota.groupBy("city").agg((F.lit(half) - F.sum("quota_")).alias("short_"))
-    rest = chips.join(drawn.select("city", "chip"), ["city", "chip"], "left_anti")
-    more = rest.withColumn("p_", place("city")).where(F.col("p_") <= half).join(short, "city").where("p_ <= short_").drop("p_", "short_")
+    drawn = chips.withColumn("p_", place("city_", "density_")).where(F.col("p_") <= half // 3 + 1).join(quota, ["city_", "density_"]).where("p_ <= quota_").drop("p_", "quota_")
+    short = quota.groupBy("city_").agg((F.lit(half) - F.sum("quota_")).alias("short_"))
+    rest = chips.join(drawn.select("city_", "chip"), ["city_", "chip"], "left_anti")
+    more = rest.withColumn("p_", place("city_")).where(F.col("p_") <= half).join(short, "city_").where("p_ <= short_").drop("p_", "short_")
     audit = drawn.unionByName(more)
-    left = chips.join(audit.select("city", "chip"), ["city", "chip"], "left_anti")
-    many = audit.groupBy("city").agg((F.lit(size) - F.count("*")).alias("many_"))
-    worst = F.row_number().over(Window.partitionBy("city").orderBy("reviewed", F.desc("priority"), "chip"))
-    diagnostic = left.withColumn("p_", worst).where(F.col("p_") <= size).join(many, "city").where("p_ <= many_").drop("p_", "many_")
-    return audit.withColumn("queue", F.lit("audit")).unionByName(diagnostic.withColumn("queue", F.lit("diagnostic")))
+    left = chips.join(audit.select("city_", "chip"), ["city_", "chip"], "left_anti")
+    many = audit.groupBy("city_").agg((F.lit(size) - F.count("*")).alias("many_"))
+    worst = F.row_number().over(Window.partitionBy("city_").orderBy("reviewed", F.desc("priority"), "chip"))
+    diagnostic = left.withColumn("p_", worst).where(F.col("p_") <= size).join(many, "city_").where("p_ <= many_").drop("p_", "many_")
+    return audit.withColumn("queue", F.lit("audit")).unionByName(diagnostic.withColumn("queue", F.lit("diagnostic"))).select(*columns, "queue")
 
 
 def share_with_fallback(df: DataFrame, least: Mapping[str, int], member: Column) -> DataFrame:

@@ -286,4 +286,4 @@ def _(v: Views) -> DataFrame:
 def _(v: Views) -> DataFrame:
     p, t = tables(v)
     chips = ev.mutual_offsets(ev.candidate_pairs(p, t.where("dbh >= 16"), 12.0), 3.0, 12.0).withColumn("median", F.round("median", 6))
-    return rank.ranked(chips, [F.desc("trees"), F.desc("median"), F.asc("chip")], "place", F.row_number())
+    return rank.numbered(chips, [F.desc("trees"), F.desc("median"), F.asc("chip")], "place")

@@ -314,4 +314,4 @@ def _(v: Views) -> DataFrame:
 @query("r16_worst_first", "WITH {OBS}, c AS (SELECT order_key % 500 AS chip, count_if(crown_width_m IS NULL) AS missed, count(*) AS trees FROM obs GROUP BY 1) SELECT chip, missed, trees, row_number() OVER (ORDER BY missed DESC, trees DESC, chip)::INT AS place FROM c")
 def _(v: Views) -> DataFrame:
     chips = v.obs.groupBy((F.col("order_key") % 500).alias("chip")).agg(F.count_if(F.col("crown_width_m").isNull()).alias("missed"), F.count("*").alias("trees"))
-    return rank.ranked(chips, [F.desc("missed"), F.desc("trees"), F.asc("chip")], "place", F.row_number())
+    return rank.numbered(chips, [F.desc("missed"), F.desc("trees"), F.asc("chip")], "place")
