@@ -35,8 +35,9 @@ def write_vocabulary(df: DataFrame, columns: list[str], path: str) -> None:
 
 def manifest(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows and content hash of each block and city. The hash is a sum of row hashes of 48 bits, so it needs no order and
-    combines map-side; a null is told from an empty text and from a null elsewhere."""
-    marked = [F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in columns]
+    combines map-side. Each value stands behind its length, so no two rows read alike, whatever signs they hold; a null
+    is told from any text."""
+    marked = [F.coalesce(F.concat(F.length(F.col(c).cast("string")), F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in columns]
     row = F.conv(F.substring(F.md5(F.concat_ws("|", *marked)), 1, 12), 16, 10).cast("long")
     return df.groupBy("block", "city").agg(F.count("*").alias("rows"), F.sum(row).alias("content"))
 
@@ -44,7 +45,7 @@ def manifest(df: DataFrame, columns: list[str]) -> DataFrame:
 def compare_manifests(old: DataFrame, new: DataFrame) -> DataFrame:
     """Blocks that are added, removed or changed."""
     o = old.select(F.col("block").alias("ob"), F.col("city").alias("oc"), F.struct("rows", "content").alias("ov"))
-    both = o.join(new.select("block", "city", F.struct("rows", "content").alias("nv")), (F.col("ob") == F.col("block")) & (F.col("oc") == F.col("city")), "full")
+    both = o.join(new.select("block", "city", F.struct("rows", "content").alias("nv")), (F.col("ob") == F.col("block")) & F.col("oc").eqNullSafe(F.col("city")), "full")
     change = F.when(F.col("ov").isNull(), "added").when(F.col("nv").isNull(), "removed").when(F.col("ov") != F.col("nv"), "changed")
     return both.select(F.coalesce("block", "ob").alias("block"), F.coalesce("city", "oc").alias("city"), change.alias("change")).where("change is not null")
 

@@ -184,4 +184,7 @@ def patch_replace(old: DataFrame, new: DataFrame, covered: DataFrame, radius: fl
 
 
 def content_id(*parts: Column | str) -> Column:
-    return F.sha1(F.concat_ws("|", *parts))
+    """A digest of values, each behind its length, so that other values with the same signs have another; a null is told from
+    any text."""
+    text = [(F.col(p) if isinstance(p, str) else p).cast("string") for p in parts]
+    return F.sha1(F.concat_ws("|", *[F.coalesce(F.concat(F.length(t), F.lit("="), t), F.lit("null")) for t in text]))

@@ -8,6 +8,8 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from arborscale.operators import clean
+
 
 def grain_violations(df: DataFrame, keys: Sequence[str]) -> DataFrame:
     """Keys that repeat or hold a null, with their rows."""
@@ -96,6 +98,15 @@ def latest_values(reports: DataFrame, key: str, order: Sequence[str], fields: Se
     return reports.groupBy(key).agg(*[F.max_by(c, F.when(F.col(c).isNotNull(), at)).alias(c) for c in fields], F.coalesce(F.max_by(flag, F.when(flag.isNotNull(), at)), F.lit(False)).alias("missing"))
 
 
+def visible(trees: DataFrame, kinds: Sequence[str] | None = None) -> DataFrame:
+    """Trees that a map shows: with coordinates on the globe, survivors of their cluster or in none, neither reported missing nor
+    marked a duplicate (null counts as not), and of one of the source kinds if some are given."""
+    finite = reduce(lambda a, b: a & b, [F.col(c).between(-most, most) & ~F.isnan(c) for c, most in (("latitude", 90), ("longitude", 180))])
+    there = ~F.coalesce("missing", F.lit(False)) & ~F.coalesce("duplicate", F.lit(False)) & F.coalesce(F.col("tree_id") == F.col("cluster_id"), F.lit(True))
+    of_kind = F.lit(True) if kinds is None else clean.source_kind(F.col("data_source")).isin(*kinds)
+    return trees.where(finite & there & of_kind)
+
+
 def purge(dimension: DataFrame, key: str, cleaned: Column, aliases: DataFrame, published: DataFrame) -> DataFrame:
     """Dimension rows that can be reached: the cleaned key is the key itself, or it is an alias or still published, or
     cleaning gives null."""

@@ -140,6 +140,23 @@ def share_with_fallback(df: DataFrame, least: Mapping[str, int], member: Column)
     return out.select(*least, F.coalesce(*[F.col(f"s_{c}") for c in least]).alias("share"), level.alias("level"))
 
 
+def foliage_shares(trees: DataFrame, least: int = 20) -> DataFrame:
+    """For each cell of a degree (``cell``) and ``genus`` the share of deciduous trees among its identified ones, from the first ``level`` with
+    enough of them: the ``cell``, the ``region`` of five degrees, the ``genus`` everywhere; null of none. ``open_trees`` counts the rest.
+
+    Trees (``latitude``, ``longitude``, ``genus``, ``identified``, ``deciduous``) are summed by cell once; regions and genera are
+    sums of cells. Trees without a position or genus are in none."""
+    cell = (F.floor("latitude") + 90) * 360 + F.floor("longitude") + 180
+    region = (F.floor(F.col("latitude") / 5) + 18) * 72 + F.floor(F.col("longitude") / 5) + 36
+    known = F.coalesce("identified", F.lit(False))
+    n = trees.where(cell.isNotNull() & F.col("genus").isNotNull()).groupBy("genus", cell.alias("cell"), region.alias("region")).agg(F.count_if(known).alias("n_cell"), F.count_if(known & F.col("deciduous")).alias("d_cell"), F.count_if(~known).alias("open_trees"))
+    for level, keys in (("region", ["genus", "region"]), ("genus", ["genus"])):
+        n = n.join(n.groupBy(*keys).agg(F.sum("n_cell").alias(f"n_{level}"), F.sum("d_cell").alias(f"d_{level}")), keys)
+    levels = ("cell", "region", "genus")
+    share = F.coalesce(*[F.when(F.col(f"n_{k}") >= least, F.col(f"d_{k}") / F.col(f"n_{k}")) for k in levels])
+    return n.select("cell", "genus", share.alias("deciduous_share"), F.coalesce(*[F.when(F.col(f"n_{k}") >= least, F.lit(k)) for k in levels]).alias("level"), "open_trees")
+
+
 def observed_interval(stamps: DataFrame, keys: Sequence[str], stamp: str, planned: float) -> DataFrame:
     """Median gap in days between consecutive stamps of each key, and a verdict against the plan at a factor of 2."""
     gap = F.datediff(stamp, F.lag(stamp).over(Window.partitionBy(*keys).orderBy(stamp)))

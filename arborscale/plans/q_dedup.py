@@ -151,7 +151,7 @@ def _(v: Views) -> DataFrame:
     return dedup.patch_replace(t.where("line = 3"), t.where("line = 4"), t.where(PATCH).select("tx", "ty").distinct(), 8.0, checkpointed).select("id")
 
 
-@query("d16_content_ids", "WITH {OBS} SELECT tree_id, sha1(concat('run|1|', city, '|', tree_id)) AS content_id FROM obs")
+@query("d16_content_ids", "WITH {OBS} SELECT tree_id, sha1(concat('3=run|1=1|', length(city), '=', city, '|', length(tree_id), '=', tree_id)) AS content_id FROM obs")
 def _(v: Views) -> DataFrame:
     return v.obs.select("tree_id", dedup.content_id(F.lit("run"), F.lit("1"), "city", "tree_id").alias("content_id"))
 

@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from arborscale.functions.lineage import scratch
-from arborscale.operators import blocks, clean, quality, rank, reports, rollups
+from arborscale.operators import blocks, clean, publish, quality, rank, reports, rollups
 from arborscale.plans.q_dedup import TILE
 from arborscale.plans.q_rollups import CROWN, DBH, KIND
 from arborscale.plans.registry import Views, query
@@ -236,10 +236,27 @@ def _(v: Views) -> DataFrame:
     return ranked.select("species", "trees", "rank", F.round(F.col("trees") / F.col("total"), 6).alias("share"), "dbh", "year")
 
 
-@query("b13_visible_trees", "WITH {OBS} SELECT tree_id FROM obs WHERE order_key % 50 <> 0 AND supp_key % 3 <> 2 AND line NOT IN (3, 4)")
+def shown(v: Views) -> DataFrame:
+    """Published trees with their cluster, missing flag and positions, some of which are not finite."""
+    k, part = F.col("order_key"), F.col("part_key")
+    odd = F.when(k % 101 == 0, float("inf")).when(k % 103 == 0, float("nan")).when(k % 107 == 0, None).otherwise(F.col("latitude"))
+    return v.obs.select("tree_id", "data_source", odd.alias("latitude"), "longitude", F.when(part % 13 == 0, F.concat("tree_id", F.lit("x"))).when(part % 17 > 0, F.col("tree_id")).alias("cluster_id"), F.when(part % 3 > 0, k % 50 == 0).alias("missing"), (F.col("supp_key") % 9 == 2).alias("duplicate"))
+
+
+@query("b13_visible_trees", f"WITH {{OBS}}, t AS (SELECT tree_id, {KIND} AS kind, unnest(['municipal', 'reviewed', 'all']) AS mode FROM obs WHERE order_key % 101 > 0 AND order_key % 103 > 0 AND order_key % 107 > 0 AND part_key % 13 > 0 AND NOT (part_key % 3 > 0 AND order_key % 50 = 0) AND supp_key % 9 <> 2), l AS (SELECT t.*, tree_id IN (SELECT tree_id FROM obs WHERE line = 5) AS notable FROM t) SELECT mode, tree_id FROM l WHERE mode = 'all' OR (mode = 'municipal' AND kind = 'municipal' AND NOT notable) OR (mode = 'reviewed' AND kind NOT IN ('satellite', 'predicted'))")
 def _(v: Views) -> DataFrame:
-    finite = F.col("latitude").isNotNull() & ~F.isnan("latitude") & F.col("longitude").isNotNull() & ~F.isnan("longitude")
-    return v.obs.where(finite & (F.col("order_key") % 50 != 0) & (F.col("supp_key") % 3 != 2) & ~clean.source_kind(F.col("data_source")).isin("satellite", "predicted")).select("tree_id")
+    kinds = {"municipal": ["municipal"], "reviewed": ["municipal", "community", "osm", "notable"], "all": None}
+    each = [quality.visible(shown(v), allowed).select(F.lit(mode).alias("mode"), "tree_id") for mode, allowed in kinds.items()]
+    return reduce(DataFrame.unionByName, each)
+
+
+@query("b12_city_catalogue", "WITH {OBS}, n AS (SELECT city, species, count(*) AS trees, max(dbh) AS largest FROM obs GROUP BY ALL) SELECT city, species, trees, largest, round(trees / sum(trees) OVER (PARTITION BY city), 6) AS share_of_city, round(trees / sum(trees) OVER (PARTITION BY species), 6) AS share_of_species, rank() OVER (PARTITION BY city ORDER BY trees DESC)::INT AS rank FROM n")
+def _(v: Views) -> DataFrame:
+    """Each species in each city, from the stored rollup: its share of the city's trees and the city's share of the species."""
+    n = v.rollups.answer({"city": F.col("city"), "species": F.col("species")}, ["city", "species"], ["trees", "largest"])
+    of = lambda key, name: (F.col("trees") / F.sum("trees").over(Window.partitionBy(key))).alias(name)
+    place = F.rank().over(Window.partitionBy("city").orderBy(F.desc("trees"))).alias("rank")
+    return n.select("city", "species", "trees", "largest", F.round(of("city", "s"), 6).alias("share_of_city"), F.round(of("species", "s"), 6).alias("share_of_species"), place)
 
 
 BLOCKS = f"{{OBS}}, tl AS (SELECT *, {TILE.format(n=1 << 20)} FROM obs), bl AS (SELECT *, ((x >> 4) << 24) | (y >> 4) AS block FROM tl)"
@@ -257,7 +274,7 @@ def _(v: Views) -> DataFrame:
     return v.spark.read.parquet(path).select("tree_id", F.col("block").cast("long").alias("block"))
 
 
-@query("s9_published_blocks", f"WITH {BLOCKS} SELECT ((x >> 12) << 24) | (y >> 12) AS block, city, count(*) AS rows, sum(('0x' || substr(md5(concat_ws('|', coalesce('=' || tree_id, 'null'), coalesce('=' || species, 'null'))), 1, 12))::BIGINT)::BIGINT AS content FROM bl GROUP BY ALL")
+@query("s9_published_blocks", f"WITH {BLOCKS} SELECT ((x >> 12) << 24) | (y >> 12) AS block, city, count(*) AS rows, sum(('0x' || substr(md5(concat_ws('|', coalesce(length(tree_id) || '=' || tree_id, 'null'), coalesce(length(species) || '=' || species, 'null'))), 1, 12))::BIGINT)::BIGINT AS content FROM bl GROUP BY ALL")
 def _(v: Views) -> DataFrame:
     path = scratch(v.spark, "published")
     blocks.write_blocks(blocks.with_block(v.obs, 20, 12).select("tree_id", "city", "species", "block", "morton"), path)
@@ -271,7 +288,7 @@ def _(v: Views) -> DataFrame:
     return v.spark.read.parquet(path)
 
 
-@query("w3_block_manifest", f"WITH {BLOCKS} SELECT block, city, count(*) AS rows, sum(('0x' || substr(md5(concat_ws('|', coalesce('=' || tree_id, 'null'), coalesce('=' || species, 'null'))), 1, 12))::BIGINT)::BIGINT AS content FROM bl GROUP BY ALL")
+@query("w3_block_manifest", f"WITH {BLOCKS} SELECT block, city, count(*) AS rows, sum(('0x' || substr(md5(concat_ws('|', coalesce(length(tree_id) || '=' || tree_id, 'null'), coalesce(length(species) || '=' || species, 'null'))), 1, 12))::BIGINT)::BIGINT AS content FROM bl GROUP BY ALL")
 def _(v: Views) -> DataFrame:
     return blocks.manifest(blocks.with_block(v.obs, 20, 4), ["tree_id", "species"])
 
@@ -283,6 +300,18 @@ def _(v: Views) -> DataFrame:
     return blocks.compare_manifests(m(b.where("city <> 'c1'")), m(b.where("city <> 'c2' and order_key % 100 <> 0")))
 
 
+@query("w4_incremental_publish", f"""WITH {BLOCKS}, o AS (SELECT block, count(*) AS n FROM bl WHERE order_key % 97 <> 0 OR block % 3 > 0 GROUP BY block), n AS (SELECT block, count(*) AS n, count(DISTINCT city) AS cities FROM bl GROUP BY block)
+SELECT n.block, n.n AS rows, n.cities, CASE WHEN o.n IS NULL OR o.n <> n.n THEN 2 ELSE 1 END AS generation FROM n LEFT JOIN o USING (block)""")
+def _(v: Views) -> DataFrame:
+    """Two generations, the second with some rows more: what readers see, and which generation holds each block."""
+    rows = blocks.with_block(v.obs, 20, 4).select("tree_id", "city", "species", "block", "morton", "order_key")
+    out = publish.Publication(v.spark, scratch(v.spark, "publication"), ["tree_id", "species"])
+    out.publish(rows.where("order_key % 97 <> 0 or block % 3 > 0"))
+    out.publish(rows)
+    seen = out.read().groupBy("block").agg(F.count("*").alias("rows"), F.countDistinct("city").alias("cities"))
+    return seen.join(out.manifest().select("block", "generation").distinct(), "block").select("block", "rows", "cities", "generation")
+
+
 @query("w4_stale_objects", "SELECT concat('o', o_orderkey) AS name FROM orders WHERE o_orderdate < TIMESTAMP '1996-01-01' AND o_orderkey NOT IN (SELECT l_orderkey FROM lineitem WHERE l_quantity > 30)")
 def _(v: Views) -> DataFrame:
     name = lambda c: F.concat(F.lit("o"), F.col(c)).alias("name")

@@ -51,9 +51,9 @@ def _(v: Views) -> DataFrame:
     return v.obs.groupBy("city").agg(F.round(F.avg("latitude"), 6).alias("lat"), F.round(F.avg("longitude"), 6).alias("lon"))
 
 
-@query("a8_sorted_lists", "WITH {OBS} SELECT species, string_agg(DISTINCT city, ',' ORDER BY city) AS cities FROM obs WHERE line < 3 GROUP BY species")
+@query("a8_sorted_lists", "WITH {OBS} SELECT species, string_agg(DISTINCT city, ',' ORDER BY city) AS cities FROM obs GROUP BY species")
 def _(v: Views) -> DataFrame:
-    return v.obs.where("line < 3").groupBy("species").agg(F.array_join(F.array_sort(F.collect_set("city")), ",").alias("cities"))
+    return v.obs.groupBy("species").agg(F.array_join(F.array_sort(F.collect_set("city")), ",").alias("cities"))
 
 
 @query("a9_re_aggregation", "WITH {OBS} SELECT species, count(*) AS trees FROM obs GROUP BY species")
@@ -131,12 +131,22 @@ def _(v: Views) -> DataFrame:
     return rank.with_group_counts(v.obs.withColumns({"cx": cx, "cy": cy}), ["cx", "cy"], {"density": ~F.col("line").isin(3, 4)}).select("tree_id", "density")
 
 
-@query("a17_hierarchical_share", """WITH {OBS}, m AS (SELECT city, genus, species, dbh > 25 AS m FROM obs WHERE dbh IS NOT NULL AND line = 1), k AS (SELECT DISTINCT species, city, genus FROM m),
-s AS (SELECT species, avg(m::INT) AS s FROM m GROUP BY 1 HAVING count(*) >= 140), c AS (SELECT city, avg(m::INT) AS s FROM m GROUP BY 1 HAVING count(*) >= 340), g AS (SELECT genus, avg(m::INT) AS s FROM m GROUP BY 1 HAVING count(*) >= 100)
+@query("a17_hierarchical_share", """WITH {OBS}, m AS (SELECT city, genus, species, dbh > 25 AS m FROM obs WHERE dbh IS NOT NULL), k AS (SELECT DISTINCT species, city, genus FROM m),
+s AS (SELECT species, avg(m::INT) AS s FROM m GROUP BY 1 HAVING count(*) >= 980), c AS (SELECT city, avg(m::INT) AS s FROM m GROUP BY 1 HAVING count(*) >= 2380), g AS (SELECT genus, avg(m::INT) AS s FROM m GROUP BY 1 HAVING count(*) >= 700)
 SELECT species, city, genus, round(coalesce(s.s, c.s, g.s), 6) AS share, CASE WHEN s.s IS NOT NULL THEN 'species' WHEN c.s IS NOT NULL THEN 'city' WHEN g.s IS NOT NULL THEN 'genus' END AS level FROM k LEFT JOIN s USING (species) LEFT JOIN c USING (city) LEFT JOIN g USING (genus)""")
 def _(v: Views) -> DataFrame:
-    rows = v.obs.where("dbh is not null and line = 1").withColumn("m", F.col("dbh") > 25)
-    return rank.share_with_fallback(rows, {"species": 140, "city": 340, "genus": 100}, F.col("m")).withColumn("share", F.round("share", 6))
+    rows = v.obs.where("dbh is not null").withColumn("m", F.col("dbh") > 25)
+    return rank.share_with_fallback(rows, {"species": 980, "city": 2380, "genus": 700}, F.col("m")).withColumn("share", F.round("share", 6))
+
+
+@query("a17_foliage_shares", """WITH {OBS}, t AS (SELECT genus, floor((latitude - 40) * 500) AS fy, floor((longitude + 71) * 500) AS fx, floor((latitude - 40) * 100) AS gy, floor((longitude + 71) * 100) AS gx, part_key % 4 = 0 AND ((latitude - 40) * 500 < 5 OR order_key % 2000 = 0) AS known, size_class > 20 AS d FROM obs),
+c AS (SELECT genus, (fy::BIGINT + 90) * 360 + fx::BIGINT + 180 AS cell, (gy::BIGINT + 18) * 72 + gx::BIGINT + 36 AS region, count_if(known) AS n, count_if(known AND d) AS k, count_if(NOT known) AS open_trees FROM t GROUP BY ALL), s AS (SELECT *, sum(n) OVER (PARTITION BY genus, region) AS nr, sum(k) OVER (PARTITION BY genus, region) AS kr, sum(n) OVER (PARTITION BY genus) AS ng, sum(k) OVER (PARTITION BY genus) AS kg FROM c)
+SELECT cell, genus, round(CASE WHEN n >= 20 THEN k / n WHEN nr >= 20 THEN kr / nr WHEN ng >= 20 THEN kg / ng END, 6) AS deciduous_share, CASE WHEN n >= 20 THEN 'cell' WHEN nr >= 20 THEN 'region' WHEN ng >= 20 THEN 'genus' END AS level, open_trees FROM s""")
+def _(v: Views) -> DataFrame:
+    lat, lon = (F.col("latitude") - 40) * 500, (F.col("longitude") + 71) * 500
+    known = (F.col("part_key") % 4 == 0) & ((lat < 5) | (F.col("order_key") % 2000 == 0))
+    trees = v.obs.select("genus", lat.alias("latitude"), lon.alias("longitude"), known.alias("identified"), (F.col("size_class") > 20).alias("deciduous"))
+    return rank.foliage_shares(trees).withColumn("deciduous_share", F.round("deciduous_share", 6))
 
 
 @query("a18_contributor_feed", """SELECT CASE WHEN user_id % 3 = 0 THEN concat('u', user_id) ELSE '(others)' END AS who, count(DISTINCT props) AS trees, count(*) AS n FROM events GROUP BY 1""")
