@@ -27,16 +27,18 @@ from __future__ import annotations
 
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
+from itertools import islice
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from arborscale.llm._shared import discard, unused, written
+from arborscale.llm._shared import discard, ship, unused, written
 from arborscale.llm.graph import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -159,9 +161,10 @@ def bag_minhash(n: int, doc: np.ndarray, seed: np.ndarray, weight: np.ndarray, m
     return (point >> np.uint64(32)).astype(np.uint32).reshape(-1, m)
 
 
-def _runs(batch: pa.RecordBatch, column: str = "text", limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
-    """Slices with a bounded number of characters of text together (or one row)."""
-    sizes, at = np.cumsum([len(t or "") for t in batch.column(column).to_pylist()]), 0
+def _runs(batch: pa.RecordBatch, columns: Sequence[str] = ("text",), limit: int = 2_000_000) -> Iterator[pa.RecordBatch]:
+    """Slices with a bounded number of bytes of text together (or one row); no text is read to find them."""
+    sizes = np.cumsum(sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in columns))
+    at = 0
     while at < batch.num_rows:
         upto = max(at + 1, int(np.searchsorted(sizes, (sizes[at - 1] if at else 0) + limit, side="right")))
         yield batch.slice(at, upto - at)
@@ -222,16 +225,20 @@ def _unit_pairs(rows: list[dict], how: str) -> Iterator[tuple[bytes, bytes]]:
 def _across(batches: Iterator[pa.RecordBatch], how: str) -> Iterator[pa.RecordBatch]:
     """Pairs of the units of comparison, which come one after the other."""
     unit: list[dict] = []
-    for batch in batches:
-        found: list[tuple[bytes, bytes]] = []
-        for row in batch.to_pylist():
+
+    def pairs() -> Iterator[tuple[bytes, bytes]]:
+        nonlocal unit
+        for row in (row for batch in batches for i in range(0, batch.num_rows, 1000) for row in batch.slice(i, 1000).to_pylist()):
             if unit and any(row[c] != unit[0][c] for c in UNIT):
-                found += _unit_pairs(unit, how)
+                yield from _unit_pairs(unit, how)
                 unit = []
             unit.append(row)
-        yield _pair_batch(found)
-    if unit:
-        yield _pair_batch(list(_unit_pairs(unit, how)))
+        if unit:
+            yield from _unit_pairs(unit, how)
+
+    found = pairs()
+    while some := list(islice(found, PAIRS)):  # a unit may have millions
+        yield _pair_batch(some)
 
 
 def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -245,6 +252,10 @@ def _pair_batch(pairs: list[tuple[bytes, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([p[0] for p in pairs], pa.binary()), pa.array([p[1] for p in pairs], pa.binary())], ["a", "b"])
 
 
+#: Pairs that leave a task together.
+PAIRS = 20_000
+
+
 @F.arrow_udf(BooleanType())
 def _resemble(one: pa.Array, other: pa.Array) -> pa.Array:
     """Whether two sketches agree in enough components to be worth verifying."""
@@ -258,7 +269,7 @@ def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs (a, b, text of a, text of b) whose bags overlap enough. Pairs of one text come together, so its bag is
     kept while they last."""
     last, bag = None, Counter()
-    for batch in batches:
+    for batch in (part for whole in batches for part in _runs(whole, ("ta", "tb"))):
         a, b = [], []
         for one, other, text, text_ in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if one != last:
@@ -331,6 +342,7 @@ def _key() -> Column:
 def _classed(documents: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Rows with a text as ``doc_id``, ``text_key`` and ``label`` of the class; and for each label the least ``head``
     (``doc_id``, ``text_key``) and the ``class_size``."""
+    ship(documents.sparkSession)
     texts = documents.select("doc_id", _key().alias("text_key"), "text").where("text is not null")
     # wide rows are signed where they lie; only keys, sketches and bands go on
     rows = written(texts.mapInArrow(_sign, "doc_id long, text_key binary, sketch binary, bands array<long>"), "sketches")
