@@ -26,7 +26,7 @@ from arborscale.llm.pack import text_runs
 #: Bit of each filter in a mask.
 BITS = {"A": 1, "B": 2, "C": 4, "D": 8, "E": 16}
 #: Bytes of text in a stretch; bytes between two bounds at least, and how many bounds there are at most, whatever the input.
-STRETCH_BYTES, RANGE_BYTES, MAX_RANGES = 8_000_000, 1 << 20, 400_000
+STRETCH_BYTES, RANGE_BYTES, MAX_RANGES = 8_000_000, 1 << 18, 400_000
 _UPPER, _SIGNS, _INNER = b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"#$%&*|", bytes(range(0x80, 0xC0))
 
 
@@ -181,7 +181,7 @@ def flags(documents: DataFrame) -> DataFrame:
 
     texts = entries.select("stretch", "entry", "text", "least")
     dealt = texts.mapInArrow(ranged, "stretch long, entry int, text binary, least long, range int")
-    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (64 * RANGE_BYTES) + 1)
+    parts = max(int(spark.conf.get("spark.sql.shuffle.partitions")), total // (256 * RANGE_BYTES) + 1)
     changed = dealt.repartition(parts, "range").mapInArrow(tries, "of_stretch long, of_entry int, first long")
     told = entries.select("stretch", "entry", "mask", "least", "docs").join(changed, (F.col("stretch") == F.col("of_stretch")) & (F.col("entry") == F.col("of_entry")), "left")
     rows = told.select("mask", F.coalesce("first", "least").alias("first_id"), F.explode("docs").alias("d"))
