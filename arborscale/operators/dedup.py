@@ -7,7 +7,9 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborscale.functions import ordered
 from arborscale.functions.groups import join_back
+from arborscale.functions.lineage import checkpointed
 from arborscale.operators import cells
 from arborscale.operators.clean import source_kind
 
@@ -51,38 +53,71 @@ def first_of(df: DataFrame, keys: Sequence[str], order: Sequence[str], keep_null
     return ranked.where(kept).drop("rank_")
 
 
-def anchors(obs: DataFrame, lat_deg: float, lon_deg: float) -> DataFrame:
-    """For each row and grid the least id of municipal, person, OSM and all rows of its cell.
+def sized(obs: DataFrame, sizes: DataFrame) -> DataFrame:
+    """Rows with the cell size of their city (``city``, ``lat_deg``, ``lon_deg``) as ``lat_deg_`` and ``lon_deg_``, null where it has none."""
+    named = sizes.select(F.col("city").alias("of_city_"), F.col("lat_deg").alias("lat_deg_"), F.col("lon_deg").alias("lon_deg_"))
+    return obs.join(named, F.col("city") == F.col("of_city_"), "left").drop("of_city_")
 
-    One pass: the four cells of a row are exploded, aggregated once by (city, grid, cell), joined back once and pivoted
-    by grid."""
+
+def _measured(obs: DataFrame, size: tuple[float, float] | DataFrame) -> DataFrame:
+    return sized(obs, size) if isinstance(size, DataFrame) else obs.withColumn("lat_deg_", F.lit(size[0])).withColumn("lon_deg_", F.lit(size[1]))
+
+
+def _stacked(rows: DataFrame, *columns: str) -> DataFrame:
+    """A row for each of the four cells of a row; rows without a position or a cell size have none."""
+    return cells.staggered(rows, F.col("lat_deg_"), F.col("lon_deg_")).where("cell IS NOT NULL").select(*columns, "city", "grid", "cell")
+
+
+def _least_of_cells(stacked: DataFrame, key: str) -> DataFrame:
+    """The least key of each kind in each cell. Detections and notable entries anchor nothing but join what is there."""
+    least = lambda cond: F.min(F.when(cond, F.col(key)))
+    kind = F.col("kind")
+    return stacked.groupBy("city", "grid", "cell").agg(least(kind == "municipal").alias("municipal"), least(kind == "community").alias("person"), least(~kind.isin("osm", "predicted", "notable")).alias("any"), least(kind == "osm").alias("osm"))
+
+
+def anchors(obs: DataFrame, size: tuple[float, float] | DataFrame) -> DataFrame:
+    """For each row and grid the least id of municipal, person, OSM and all rows of its cell; ``size`` is one cell size in degrees or a
+    table of them by city. One pass: cells are exploded, aggregated once, joined back once and pivoted by grid."""
     kind = source_kind(F.col("data_source"))
-    stacked = cells.staggered(obs.select("tree_id", "city", "latitude", "longitude", kind.alias("kind")), lat_deg, lon_deg)
-    least = lambda cond: F.min(F.when(cond, F.col("tree_id")))
-    # detections and notable entries anchor nothing but join what is there
-    by_cell = stacked.groupBy("city", "grid", "cell").agg(
-        least(F.col("kind") == "municipal").alias("municipal"), least(F.col("kind") == "community").alias("person"), least(~F.col("kind").isin("osm", "predicted", "notable")).alias("any"), least(F.col("kind") == "osm").alias("osm")
-    )
-    joined = stacked.select("tree_id", "city", "kind", "grid", "cell").join(by_cell, ["city", "grid", "cell"])
+    stacked = _stacked(_measured(obs, size).withColumn("kind", kind), "tree_id", "kind")
+    joined = stacked.join(_least_of_cells(stacked, "tree_id"), ["city", "grid", "cell"])
     pick = lambda c, g: F.max(F.when(F.col("grid") == g, F.col(c))).alias(f"{c}_{g}")
     return joined.groupBy("tree_id", "kind").agg(*[pick(c, g) for c in ("municipal", "person", "any", "osm") for g in range(4)])
 
 
-def assign_clusters(obs: DataFrame, lat_deg: float, lon_deg: float, link: Column | None = None) -> DataFrame:
-    """``tree_id`` and ``cluster_id``: a notable row's link, else itself if municipal, else a municipal tree of one of
-    its cells, else itself if a person put it in, else such a row near by, else itself unless OSM, predicted or notable,
-    else any such row near by, else for predictions an OSM row, else itself."""
-    a = anchors(obs, lat_deg, lon_deg)
-    if link is not None:
-        a = a.join(obs.select("tree_id", link.alias("link_")), "tree_id", "left")
-    kind, me = F.col("kind"), F.col("tree_id")
-    four = lambda c: [F.col(f"{c}_{g}") for g in range(4)]
-    choice = [
-        *([F.when(kind == "notable", F.col("link_"))] if link is not None else []),
-        F.when(kind == "municipal", me), *four("municipal"), F.when(kind == "community", me), *four("person"),
-        F.when(~kind.isin("osm", "predicted", "notable"), me), *four("any"), *[F.when(kind == "predicted", c) for c in four("osm")], me,
-    ]
-    return a.select("tree_id", F.coalesce(*choice).alias("cluster_id"))
+#: Bits of a key; the choice of a cell stands above them.
+_KEY_BITS = 48
+
+
+def with_clusters(obs: DataFrame, size: tuple[float, float] | DataFrame, link: Column | None = None) -> DataFrame:
+    """Rows with ``cluster_id``: a notable row's link, else itself if municipal, else a municipal tree of one of its cells, else itself if
+    a person put it in, else such a row near by, else itself unless OSM, predicted or notable, else any such row near by, else for
+    predictions an OSM row, else itself.
+
+    Ids become longs in their order, once; so anchors are least longs, which combine in hash tables, and what a row finds in its
+    cells is the least of (tier, grid, anchor) in one long. Only rows that aren't decided by themselves look into cells."""
+    rows = ordered.positions(_measured(obs, size).withColumn("kind_", source_kind(F.col("data_source"))), "key_", "tree_id", "data_source")
+    rows = checkpointed(rows.withColumn("link_", F.when(F.col("kind_") == "notable", link) if link is not None else F.lit(None).cast("string")))
+    slim = rows.select("key_", F.col("kind_").alias("kind"), "city", "latitude", "longitude", "lat_deg_", "lon_deg_")
+    held = _least_of_cells(_stacked(slim.where("kind NOT IN ('predicted', 'notable')"), "key_", "kind"), "key_")
+    asking = _stacked(slim.where("kind NOT IN ('municipal')"), "key_", "kind")
+    kind, grid = F.col("kind"), F.col("grid").cast("long")
+    choice = lambda tier, c: F.when(F.col(c).isNotNull(), F.shiftleft(grid + 10 * tier, _KEY_BITS) + F.col(c))
+    own = lambda tier: F.shiftleft(F.lit(10 * tier - 1).cast("long"), _KEY_BITS) + F.col("key_")
+    # itself stands before the tier of other rows that could only come after it
+    itself = F.when(kind == "community", own(2)).when(~kind.isin("osm", "predicted", "notable"), own(3))
+    best = F.least(choice(1, "municipal"), itself, choice(2, "person"), choice(3, "any"), F.when(kind == "predicted", choice(4, "osm")))
+    told = asking.join(held, ["city", "grid", "cell"]).groupBy("key_").agg(F.min(best).alias("best_"))
+    found = rows.join(told, "key_", "left").withColumn("cluster_key_", F.coalesce(F.col("best_").bitwiseAND(F.lit((1 << _KEY_BITS) - 1)), F.col("key_")))
+    names = rows.select(F.col("key_").alias("cluster_key_"), F.col("tree_id").alias("cluster_id_"))
+    cluster = F.coalesce("link_", F.when(F.col("kind_") == "municipal", F.col("tree_id")), "cluster_id_")
+    return found.join(names, "cluster_key_").select(*obs.columns, cluster.alias("cluster_id"))
+
+
+def assign_clusters(obs: DataFrame, size: tuple[float, float] | DataFrame, link: Column | None = None) -> DataFrame:
+    """``tree_id`` and ``cluster_id`` of ``with_clusters``."""
+    slim = obs.select("tree_id", "city", "latitude", "longitude", "data_source", *([link.alias("link_to_")] if link is not None else []))
+    return with_clusters(slim, size, None if link is None else F.col("link_to_")).select("tree_id", "cluster_id")
 
 
 RANKED = ("community", "municipal", "satellite", "osm")

@@ -21,7 +21,7 @@ CASE WHEN kind NOT IN ('osm', 'predicted', 'notable') THEN tree_id END, {FOUR['a
 
 
 def clustered(v: Views) -> DataFrame:
-    return v.obs.join(dedup.assign_clusters(v.obs, LAT, LON), "tree_id")
+    return dedup.with_clusters(v.obs, (LAT, LON))
 
 
 @query("d0_coordinate_id", "WITH {OBS} SELECT tree_id, printf('%s-%.7f_%.7f', city, longitude, latitude) AS coordinate_id FROM obs")
@@ -62,12 +62,38 @@ def _(v: Views) -> DataFrame:
 
 @query("d4_conditional_anchors", f"WITH {ANCHORED} SELECT tree_id, {', '.join(f'{c}_{g}' for c in ('municipal', 'person', 'osm') for g in range(4))} FROM anchored")
 def _(v: Views) -> DataFrame:
-    return dedup.anchors(v.obs, LAT, LON).select("tree_id", *[f"{c}_{g}" for c in ("municipal", "person", "osm") for g in range(4)])
+    return dedup.anchors(v.obs, (LAT, LON)).select("tree_id", *[f"{c}_{g}" for c in ("municipal", "person", "osm") for g in range(4)])
 
 
 @query("d5_cluster_assignment", f"WITH {CLUSTERED} SELECT tree_id, cluster_id FROM clustered")
 def _(v: Views) -> DataFrame:
-    return dedup.assign_clusters(v.obs, LAT, LON)
+    return dedup.assign_clusters(v.obs, (LAT, LON))
+
+
+def city_sizes(v: Views) -> DataFrame:
+    """Cell sizes by city: two of them, and none for one city."""
+    k = F.col("n_nationkey")
+    even = k % 2 == 0
+    return v.table("nation").where(k != 7).select(F.concat(F.lit("c"), k).alias("city"), F.when(even, LAT).otherwise(2 * LAT).alias("lat_deg"), F.when(even, LON).otherwise(2 * LON).alias("lon_deg"))
+
+
+CITY_CELLS = [f"CASE WHEN city <> 'c7' THEN (floor(longitude / (CASE WHEN substr(city, 2)::INT % 2 = 0 THEN 1.3e-4 ELSE 2.6e-4 END) + {dx}) * 10000000 + floor(latitude / (CASE WHEN substr(city, 2)::INT % 2 = 0 THEN 1e-4 ELSE 2e-4 END) + {dy}))::BIGINT END" for dx, dy in cells.STAGGERED]
+LINKED = CLUSTERED
+for _one, _by_city in zip(CELLS, CITY_CELLS, strict=True):
+    LINKED = LINKED.replace(_one, _by_city)
+LINKED = LINKED.replace("PARTITION BY city, cell", "PARTITION BY city, CASE WHEN city = 'c7' THEN tree_id END, cell").replace("AS (SELECT *, coalesce(CASE WHEN kind = 'municipal'", "AS (SELECT *, coalesce(CASE WHEN kind = 'notable' AND order_key % 3 = 0 THEN concat('linked-', part_key) END, CASE WHEN kind = 'municipal'")
+
+
+@query("d3_city_cells", f"WITH {{OBS}} SELECT tree_id, g::INT AS grid, CASE g WHEN 0 THEN {CITY_CELLS[0]} WHEN 1 THEN {CITY_CELLS[1]} WHEN 2 THEN {CITY_CELLS[2]} ELSE {CITY_CELLS[3]} END AS cell FROM obs, range(4) t(g)")
+def _(v: Views) -> DataFrame:
+    return cells.staggered(dedup.sized(v.obs, city_sizes(v)), F.col("lat_deg_"), F.col("lon_deg_")).select("tree_id", "grid", "cell")
+
+
+@query("d5_linked_clusters", f"WITH {LINKED} SELECT tree_id, cluster_id FROM clustered")
+def _(v: Views) -> DataFrame:
+    """Cells sized by city, and notable rows with a reviewed link."""
+    link = F.when(F.col("order_key") % 3 == 0, F.concat(F.lit("linked-"), F.col("part_key")))
+    return dedup.assign_clusters(v.obs, city_sizes(v), link)
 
 
 @query("d6_survivors", f"WITH {CLUSTERED} SELECT tree_id FROM clustered WHERE tree_id = cluster_id AND order_key % 50 <> 0")
