@@ -162,6 +162,39 @@ def snapshot_gain(before: DataFrame, after: DataFrame, key: str, metrics: Sequen
     return after.join(b, key).select(key, *[(F.col(m) - F.col(f"b_{m}")).alias(m) for m in metrics])
 
 
+def content_digest(df: DataFrame, columns: Sequence[str]) -> tuple[int, int, int]:
+    """Rows of a table and two sums of their hashes: equal for the same rows in any order, repeated ones included."""
+    one = df.agg(F.count("*").alias("n"), F.sum(F.xxhash64(*columns).cast("decimal(38,0)")).alias("a"), F.sum(F.xxhash64(F.lit("second"), *columns).cast("decimal(38,0)")).alias("b")).head()
+    return one["n"], int(one["a"] or 0), int(one["b"] or 0)
+
+
+def curation_gain(before: DataFrame, after: DataFrame, reviewed: DataFrame, threshold: float, predictions: tuple[DataFrame, DataFrame] | None = None) -> DataFrame:
+    """What edits of labels did to the scores: for each ``city``, and pooled over all as ``(total)``, each ``policy`` and ``metric`` (precision, recall,
+    f1, f2) at a threshold the values ``before`` and ``after``, ``delta_pp`` in percentage points and ``pp_per_100``, that for a hundred reviewed trees.
+
+    Counts come as (``city``, ``policy``, ``threshold``, ``tp``, ``fp``, ``fn``), reviewed trees as (``city``, ``n``); a city must be in both snapshots. Totals
+    are metrics of summed counts. Only labels may differ: two snapshots of ``predictions`` with other rows are refused."""
+    if predictions is not None:
+        columns = sorted(predictions[0].columns)
+        if columns != sorted(predictions[1].columns) or content_digest(predictions[0], columns) != content_digest(predictions[1], columns):
+            raise ValueError("the predictions of the snapshots differ")
+
+    def side(df: DataFrame, name: str) -> DataFrame:
+        at = df.where(F.col("threshold") == threshold).select("city", "policy", "tp", "fp", "fn")
+        return at.select("city", "policy", *[F.col(c).alias(f"{name}_{c}") for c in ("tp", "fp", "fn")])
+
+    both = side(before, "b").join(side(after, "a"), ["city", "policy"]).join(reviewed.select("city", F.col("n").alias("trees")), "city", "left")
+    counts = [f"{s}_{c}" for s in "ba" for c in ("tp", "fp", "fn")]
+    pooled = both.groupBy("policy").agg(*[F.sum(c).alias(c) for c in counts], F.sum("trees").alias("trees")).withColumn("city", F.lit("(total)"))
+    every = both.unionByName(pooled)
+    scores = lambda name: f_scores(*[F.col(f"{name}_{c}") for c in ("tp", "fp", "fn")])
+    metrics = ("precision", "recall", "f1", "f2")
+    rows = every.withColumn("was", F.struct(*scores("b"))).withColumn("now", F.struct(*scores("a")))
+    each = rows.select("city", "policy", "trees", F.explode(F.array(*[F.struct(F.lit(m).alias("metric"), F.col(f"was.{m}").alias("before"), F.col(f"now.{m}").alias("after")) for m in metrics])).alias("m")).select("city", "policy", "trees", "m.*")
+    delta = (F.col("after") - F.col("before")) * 100
+    return each.select("city", "policy", "metric", "before", "after", delta.alias("delta_pp"), F.when(F.col("trees") > 0, delta * 100 / F.col("trees")).alias("pp_per_100"))
+
+
 def rebuild_labels(labels: DataFrame, excluded: DataFrame, corrections: DataFrame, offset: tuple[float, float], chip: float, targets: Mapping[str, str] | None = None, mixed: str = "raise") -> DataFrame:
     """Labels from feedback: excluded trees go; a correction (``dx``, ``dy``), else the global offset, moves the rest;
     chip and cell follow; cells that hold two trees go; a target is null where its eligibility column isn't true.

@@ -154,6 +154,22 @@ def _(v: Views) -> DataFrame:
     return ev.snapshot_gain(metrics(v.obs.where("line < 4")), metrics(v.obs), "city", ["mean", "n"]).withColumn("mean", F.round("mean", 6))
 
 
+@query("e12_curation_gain", """WITH {OBS}, c AS (SELECT city, concat('p', part_key % 2) AS policy, line, count_if(size_class > 20) AS tp, count_if(size_class <= 20 AND size_class > 10) AS fp, count_if(size_class <= 10) AS fn, count_if(size_class > 18) AS tp2, count_if(size_class <= 18 AND size_class > 10) AS fp2 FROM obs WHERE line = 3 GROUP BY ALL), n AS (SELECT city, count_if(line = 4) AS trees FROM obs GROUP BY city),
+j AS (SELECT city, policy, tp, fp, fn, tp2, fp2, trees FROM c JOIN n USING (city)), e AS (SELECT * FROM j UNION ALL SELECT '(total)', policy, sum(tp), sum(fp), sum(fn), sum(tp2), sum(fp2), sum(trees) FROM j GROUP BY policy),
+m AS (SELECT city, policy, trees, unnest(['precision', 'recall', 'f1', 'f2']) AS metric, unnest([tp / (tp + fp), tp / (tp + fn), 2 * tp / (2 * tp + fp + fn), 5 * tp / (5 * tp + 4 * fn + fp)]) AS b, unnest([tp2 / (tp2 + fp2), tp2 / (tp2 + fn), 2 * tp2 / (2 * tp2 + fp2 + fn), 5 * tp2 / (5 * tp2 + 4 * fn + fp2)]) AS a FROM e)
+SELECT city, policy, metric, round(coalesce(b, 0), 6) AS before, round(coalesce(a, 0), 6) AS after, round((a - b) * 100, 6) AS delta_pp, CASE WHEN trees > 0 THEN round((a - b) * 10000 / trees, 6) END AS pp_per_100 FROM m""")
+def _(v: Views) -> DataFrame:
+    """Scores at a fixed threshold before and after labels changed, from counts at several thresholds."""
+    size = F.col("size_class")
+
+    def counts(hit: int) -> DataFrame:
+        n = v.obs.groupBy("city", F.concat(F.lit("p"), F.col("part_key") % 2).alias("policy"), (F.col("line") / 10).alias("threshold"))
+        return n.agg(F.count_if(size > hit).alias("tp"), F.count_if((size <= hit) & (size > 10)).alias("fp"), F.count_if(size <= 10).alias("fn"))
+
+    found = ev.curation_gain(counts(20), counts(18), v.obs.groupBy("city").agg(F.count_if(F.col("line") == 4).alias("n")), 0.3, (v.obs.select("tree_id", "dbh"), v.obs.repartition("dbh").select("dbh", "tree_id")))
+    return found.withColumns({c: F.round(c, 6) for c in ("before", "after", "delta_pp", "pp_per_100")})
+
+
 @query("e13_rebuild_labels", f"WITH {EV}, m AS (SELECT id, part_key, floor(x / 250) % 2 AS split, CASE WHEN dbh >= 10 THEN dbh END AS dbh, x + CASE WHEN part_key % 4 = 0 THEN 3.5 ELSE 1.25 END AS x, y + CASE WHEN part_key % 4 = 0 THEN -2.0 ELSE 0.5 END AS y FROM truth WHERE part_key % 10 <> 0), k AS (SELECT *, {CHIP} AS chip FROM m), b AS (SELECT chip FROM k GROUP BY chip HAVING count(DISTINCT split) > 1) SELECT id, x, y, chip, dbh FROM k WHERE chip NOT IN (FROM b) QUALIFY count(*) OVER (PARTITION BY floor(x), floor(y)) = 1")
 def _(v: Views) -> DataFrame:
     t = tables(v)[1].select("id", "x", "y", "part_key", "dbh", (F.col("dbh") >= 10).alias("dbh_eligible"), (F.floor(F.col("x") / 250) % 2).alias("split"))

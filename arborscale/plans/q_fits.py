@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from arborscale.functions.lineage import checkpointed
-from arborscale.operators import calibration, cells, fits, grids
+from arborscale.operators import calibration, cells, fits, grids, registration
 from arborscale.plans.q_lookups import PTS, points
 from arborscale.plans.registry import Views, query
 
@@ -142,6 +142,15 @@ def _(v: Views) -> DataFrame:
     return fits.offset_modes(d, 12).select("group", "bx", "by", "n", F.round("mx", 6).alias("mx"), F.round("my", 6).alias("my"))
 
 
+@query("m13_registration")
+def _(v: Views) -> DataFrame:
+    """Trees of tiles, and detections of four in five of them that lie off by an offset of their tile."""
+    p = points(v).where("line > 5").withColumn("group", F.concat_ws("_", F.floor(F.col("x") / 500), F.floor(F.col("y") / 500)))
+    moved = p.where("part_key % 5 > 0").select("group", "id", (F.col("x") + 3 + F.floor(F.col("x") / 500) % 3).alias("x"), (F.col("y") - 2 + (F.col("order_key") % 7 - 3) / 10).alias("y"))
+    found = registration.offsets(p.select("group", "id", "x", "y"), moved)
+    return found.withColumns({c: F.round(c, 3) for c in ("dx", "dy", "residual", "alternative_fraction")})
+
+
 @query("g2_disk_raster", f"""WITH {{OBS}}, {PTS}, k AS (SELECT id, x, y, greatest(2.0, least(coalesce(dbh, 0) / 5, 6.0)) AS r, coalesce(dbh, 0) AS height FROM pts WHERE line = 1), c AS (SELECT id, height, cx, cy, sqrt(((cx + 0.5) * 2 - x) ** 2 + ((cy + 0.5) * 2 - y) ** 2) / r AS ratio FROM (SELECT *, unnest(range(floor((x - r) / 2)::BIGINT, floor((x + r) / 2)::BIGINT + 1)) AS cx FROM k), unnest(range(floor((y - r) / 2)::BIGINT, floor((y + r) / 2)::BIGINT + 1)) t(cy))
 SELECT cx, cy, id FROM c WHERE ratio <= 1 QUALIFY row_number() OVER (PARTITION BY cx, cy ORDER BY ratio, height DESC, id) = 1""")
 def _(v: Views) -> DataFrame:

@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +21,14 @@ def latest_reports(stream: DataFrame, key: str, order: str, field: str) -> DataF
     return stream.where(F.col(field).isNotNull()).groupBy(key).agg(F.max_by(field, order).alias(field))
 
 
+def repeated_keys(stream: DataFrame, keys: Sequence[str], page: str) -> DataFrame:
+    """Keys that repeat or hold a null, over all pages so far, with their ``rows``, ``first_page`` and ``last_page``, for ``update`` and ``complete``
+    mode. Keys already seen are the state of the stream, spread over its partitions, so a page is checked against all before it
+    and no page is read twice."""
+    null = reduce(lambda a, b: a | b, [F.col(k).isNull() for k in keys])
+    return stream.groupBy(*keys).agg(F.count("*").alias("rows"), F.min(page).alias("first_page"), F.max(page).alias("last_page")).where((F.col("rows") > 1) | null)
+
+
 def corrections(stream: DataFrame) -> DataFrame:
     """Corrections by tree from a stream of reports (``reports.EXPORT`` with a ``place``), for ``update`` and ``complete`` mode: a late report
     takes its place by its stamp, whatever came before it."""

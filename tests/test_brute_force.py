@@ -126,3 +126,17 @@ def test_block_files_keep_rows(spark, tmp_path):
 def test_missing_required_column_fails(spark):
     with pytest.raises(ValueError, match="missing"):
         scans.with_columns(spark.range(1), ["nothing"], {})
+
+
+def test_curation_gain_refuses_other_predictions(spark):
+    counts = spark.createDataFrame([("x", "p", 0.5, 8, 2, 2), ("y", "p", 0.5, 0, 0, 0)], "city string, policy string, threshold double, tp long, fp long, fn long")
+    better = counts.withColumn("tp", F.col("tp") + 2)
+    reviewed = spark.createDataFrame([("x", 50), ("y", 0)], "city string, n long")
+    one = spark.createDataFrame([(1, 0.5), (2, None), (2, None)], "id int, score double")
+    got = {(r.city, r.metric): (r.before, r.after, r.delta_pp, r.pp_per_100) for r in evalmatch.curation_gain(counts, better, reviewed, 0.5, (one, one.orderBy("id", ascending=False))).collect()}
+    assert got["x", "precision"] == pytest.approx((0.8, 10 / 12, (10 / 12 - 0.8) * 100, (10 / 12 - 0.8) * 200))
+    assert got["y", "recall"] == (0.0, 1.0, 100.0, None)
+    assert got["(total)", "f2"] == pytest.approx((40 / 50, 60 / 70, (6 / 7 - 0.8) * 100, (6 / 7 - 0.8) * 200))
+    for other in (one.limit(2), one.withColumn("score", F.lit(1.0)), one.withColumnRenamed("score", "s")):
+        with pytest.raises(ValueError, match="differ"):
+            evalmatch.curation_gain(counts, better, reviewed, 0.5, (one, other))
