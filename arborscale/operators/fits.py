@@ -9,6 +9,8 @@ from pyspark.sql import functions as F
 
 from arborscale.functions import ordered
 from arborscale.functions.groups import join_back
+from arborscale.functions.lineage import checkpointed
+from arborscale.operators import stored
 from arborscale.operators.rollups import ols
 
 
@@ -101,6 +103,58 @@ def coefficients(taxa: DataFrame, fits: DataFrame, levels: Sequence[Sequence[str
     return chosen.join(tail, column, "left")
 
 
+TAXA = ("genus", "family", "division")
+
+
+def reference_coefficients(points: DataFrame, dbh: Column, radius: Column, passes: Column) -> DataFrame:
+    """Crown coefficients from measured trees (``genus``, ``family``, ``division``): a row for each genus, each family and division whose fit
+    passes, and ``global``. A genus has the first passing fit of genus, family, division and all.
+
+    A row grows stems past its fit's ``dbh_max`` by the exponent ``tail_b`` of its division, or of all where that doesn't pass, up to
+    ``tail_dbh_max``; a division's or the global row is its own tail. ``passes`` is a column of ``n``, ``b``, ``r2`` and ``x_max``; the global fit needn't
+    pass. ``scale`` is exp(a + sigma^2 / 2). The trees are summed to moments of genera once; all levels are sums of those."""
+    known = (dbh > 0) & (radius > 0)
+    rollup = stored.Rollup("taxa", {c: F.col(c) for c in TAXA}, {"line": stored.Measure("moments", F.when(known, F.log(dbh)), F.when(known, F.log(radius)))})
+    kinds = {c: kind for c, (kind, _) in rollup.columns().items()}
+    moments = checkpointed(stored.partial(points, rollup))
+    fit = F.struct("n", "b", F.exp(F.col("a") + F.col("sigma") ** 2 / 2).alias("scale"), "sigma", "r2", F.exp("x_max").alias("dbh_max"))
+
+    def fits_by(*keys: str) -> DataFrame:
+        named = moments if not keys else moments.where(F.col(keys[0]).isNotNull())
+        return stored.line(stored.re_summed(named, list(keys), kinds), list(keys), "line").select(*[F.col(k).alias(f"{k}_of") for k in keys], fit.alias("fit"), F.coalesce(passes, F.lit(False)).alias("ok"))
+
+    by = {k: fits_by(k).select(f"{k}_of", F.when(F.col("ok"), F.col("fit")).alias(f"{k}_fit")) for k in TAXA}
+    every = F.broadcast(fits_by().select(F.col("fit").alias("global_fit")))  # one row
+    taxa = moments.select(*TAXA).where("genus IS NOT NULL").groupBy("genus").agg(F.min(F.struct("family", "division")).alias("t")).select("genus", "t.*")
+    homes = moments.where("family IS NOT NULL").groupBy("family").agg(F.min("division").alias("division"))
+    rows = taxa.select(F.lit("genus").alias("level"), F.col("genus").alias("taxon"), *TAXA).unionByName(homes.select(F.lit("family").alias("level"), F.col("family").alias("taxon"), F.lit(None).cast("string").alias("genus"), "family", "division"))
+    rows = rows.unionByName(moments.where("division IS NOT NULL").select("division").distinct().select(F.lit("division").alias("level"), F.col("division").alias("taxon"), *[F.lit(None).cast("string").alias(c) for c in TAXA[:2]], "division"))
+    rows = rows.unionByName(moments.limit(1).select(F.lit("global").alias("level"), F.lit("all").alias("taxon"), *[F.lit(None).cast("string").alias(c) for c in TAXA]))
+    for k, fits_ in by.items():
+        rows = rows.join(fits_, F.col(k) == F.col(f"{k}_of"), "left").drop(f"{k}_of")
+    rows = rows.crossJoin(every)
+    own = F.coalesce(*[F.when(F.col(f"{k}_fit").isNotNull(), F.struct(F.lit(k).alias("fit_level"), F.col(k).alias("fit_taxon"), F.col(f"{k}_fit").alias("fit"))) for k in TAXA], F.struct(F.lit("global").alias("fit_level"), F.lit("all").alias("fit_taxon"), F.col("global_fit").alias("fit")))
+    chosen = rows.withColumn("own", own).where((F.col("level") == "genus") | (F.col("level") == F.col("own.fit_level")))
+    tail = F.coalesce(F.when(F.col("division_fit").isNotNull(), F.struct(F.col("division").alias("taxon"), F.col("division_fit").alias("fit"))), F.struct(F.lit("all").alias("taxon"), F.col("global_fit").alias("fit")))
+    bent = F.col("own.fit_level").isin("genus", "family")
+    end = F.when(bent, F.struct(tail["taxon"].alias("tail_taxon"), tail["fit"]["b"].alias("tail_b"), F.greatest(tail["fit"]["dbh_max"], F.col("own.fit.dbh_max")).alias("tail_dbh_max")))
+    end = end.otherwise(F.struct(F.col("own.fit_taxon").alias("tail_taxon"), F.col("own.fit.b").alias("tail_b"), F.col("own.fit.dbh_max").alias("tail_dbh_max")))
+    return chosen.select("level", "taxon", "family", "division", "own.fit_level", "own.fit_taxon", "own.fit.*", end.alias("end")).select("*", "end.*").drop("end")
+
+
+def crown_widths(trees: DataFrame, coefficients_: DataFrame, dbh: Column) -> DataFrame:
+    """Trees (``genus``, ``division``) with ``crown_width`` and the ``crown_level`` and ``crown_taxon`` of the fit that gave it: the row of the genus, else
+    of the division, else the global one. The width follows the fit up to its largest stem, the tail's exponent up to the tail's,
+    and stays there; stems under 1 count as 1; no diameter gives no width."""
+    values = F.struct("fit_level", "fit_taxon", "scale", "b", "dbh_max", "tail_b", "tail_dbh_max")
+    of = lambda level: coefficients_.where(F.col("level") == level).select(F.col("taxon").alias(f"{level}_row"), values.alias(f"{level}_fit"))
+    out = trees.join(of("genus"), F.col("genus") == F.col("genus_row"), "left").join(of("division"), F.col("division") == F.col("division_row"), "left").crossJoin(F.broadcast(of("global")))
+    c = F.coalesce("genus_fit", "division_fit", "global_fit")
+    held = F.least(F.greatest(dbh, F.lit(1.0)), c["tail_dbh_max"])
+    width = F.when(dbh.isNotNull(), 2 * two_segment(c["scale"], c["b"], held, c["dbh_max"], c["tail_b"]))
+    return out.select(*trees.columns, width.alias("crown_width"), F.when(width.isNotNull(), c["fit_level"]).alias("crown_level"), F.when(width.isNotNull(), c["fit_taxon"]).alias("crown_taxon"))
+
+
 def average_ranks(rows: DataFrame, value: str, name: str, keys: Sequence[str] = ()) -> DataFrame:
     """The mean rank of ties, from counts of the distinct values."""
     by_value = rows.groupBy(*keys, value).agg(F.count("*").alias("n_"))

@@ -108,6 +108,41 @@ def _(v: Views) -> DataFrame:
     return c.select("genus", "form", "fit_level", F.round("b", 6).alias("b"), F.round("tail_b", 6).alias("tail_b"))
 
 
+def taxa(v: Views) -> DataFrame:
+    """Observations with a family and a division of their genus; one family of three has few trees."""
+    size = F.length("genus")
+    family = F.when(F.col("genus") == "Red", "Solo").otherwise(F.concat(F.lit("F"), size % 2))
+    return v.obs.withColumn("family", family).withColumn("division", F.when(F.col("genus").isin("Red", "Old"), "Minor").otherwise("Major"))
+
+
+TAXA = """tx AS (SELECT *, CASE WHEN genus = 'Red' THEN 'Solo' ELSE concat('F', length(genus) % 2) END AS family, CASE WHEN genus IN ('Red', 'Old') THEN 'Minor' ELSE 'Major' END AS division FROM obs), pt AS (SELECT *, ln(dbh) AS lx, ln(crown_width_m) AS ly FROM tx WHERE dbh > 0 AND crown_width_m > 0),
+f4 AS (SELECT CASE WHEN g = 0 THEN 'genus' WHEN fa = 0 THEN 'family' WHEN di = 0 THEN 'division' ELSE 'global' END AS lv, CASE WHEN g = 0 THEN genus WHEN fa = 0 THEN family WHEN di = 0 THEN division ELSE 'all' END AS tn, * FROM (SELECT genus, family, division, grouping(genus) AS g, grouping(family) AS fa, grouping(division) AS di, count(*) AS n, regr_slope(ly, lx) AS b, regr_intercept(ly, lx) AS a, sqrt(greatest(regr_syy(ly, lx) - regr_slope(ly, lx) * regr_sxy(ly, lx), 0) / (count(*) - 2)) AS sigma, exp(max(lx)) AS dbh_max FROM pt GROUP BY GROUPING SETS ((genus), (family), (division), ()))),
+fx AS (SELECT lv, tn, n, b, exp(a + sigma * sigma / 2) AS scale, dbh_max, lv = 'global' OR (n > (SELECT avg(n) FROM f4 WHERE lv = 'genus')) AS ok FROM f4),
+rw AS (SELECT DISTINCT 'genus' AS level, genus AS taxon, genus, family, division FROM tx UNION ALL SELECT DISTINCT 'family', family, NULL, family, min(division) OVER (PARTITION BY family) FROM tx UNION ALL SELECT DISTINCT 'division', division, NULL, NULL, division FROM tx UNION ALL SELECT 'global', 'all', NULL, NULL, NULL),
+ow AS (SELECT rw.*, o.lv AS fit_level, o.tn AS fit_taxon, o.n, o.b, o.scale, o.dbh_max FROM rw JOIN fx o ON o.ok AND ((o.lv = 'genus' AND o.tn = rw.genus) OR (o.lv = 'family' AND o.tn = rw.family) OR (o.lv = 'division' AND o.tn = rw.division) OR o.lv = 'global') QUALIFY row_number() OVER (PARTITION BY level, taxon ORDER BY CASE o.lv WHEN 'genus' THEN 0 WHEN 'family' THEN 1 WHEN 'division' THEN 2 ELSE 3 END) = 1),
+co AS (SELECT level, taxon, fit_level, fit_taxon, ow.n, ow.b, ow.scale, ow.dbh_max, CASE WHEN fit_level IN ('genus', 'family') THEN coalesce(d.tn, 'all') ELSE fit_taxon END AS tail_taxon, CASE WHEN fit_level IN ('genus', 'family') THEN coalesce(d.b, g.b) ELSE ow.b END AS tail_b, CASE WHEN fit_level IN ('genus', 'family') THEN greatest(coalesce(d.dbh_max, g.dbh_max), ow.dbh_max) ELSE ow.dbh_max END AS tail_dbh_max FROM ow LEFT JOIN fx d ON d.lv = 'division' AND d.ok AND d.tn = ow.division CROSS JOIN (FROM fx WHERE lv = 'global') g WHERE level = 'genus' OR level = fit_level)"""
+
+
+def reference(v: Views) -> DataFrame:
+    known = taxa(v).where("dbh > 0 AND crown_width_m > 0")
+    mean = known.groupBy("genus").count().agg(F.avg("count")).head()[0] or 0.0  # a row a genus
+    return fits.reference_coefficients(taxa(v), F.col("dbh"), F.col("crown_width_m"), F.col("n") > mean)
+
+
+@query("m9_reference_coefficients", f"WITH {{OBS}}, {TAXA} SELECT level, taxon, fit_level, fit_taxon, n, round(b, 6) AS b, round(scale, 6) AS scale, round(dbh_max, 6) AS dbh_max, tail_taxon, round(tail_b, 6) AS tail_b, round(tail_dbh_max, 6) AS tail_dbh_max FROM co")
+def _(v: Views) -> DataFrame:
+    return reference(v).select("level", "taxon", "fit_level", "fit_taxon", "n", "tail_taxon", *[F.round(c, 6).alias(c) for c in ("b", "scale", "dbh_max", "tail_b", "tail_dbh_max")])
+
+
+@query("m7_crown_from_table", f"""WITH {{OBS}}, {TAXA}, z AS (SELECT tree_id, greatest(dbh * 1.5, 1.0) AS d, dbh, coalesce(g.scale, v.scale, w.scale) AS scale, coalesce(g.b, v.b, w.b) AS b, coalesce(g.dbh_max, v.dbh_max, w.dbh_max) AS m, coalesce(g.tail_b, v.tail_b, w.tail_b) AS tb, coalesce(g.tail_dbh_max, v.tail_dbh_max, w.tail_dbh_max) AS tm, coalesce(g.fit_level, v.fit_level, w.fit_level) AS crown_level
+FROM tx LEFT JOIN co g ON g.level = 'genus' AND g.taxon = tx.genus AND order_key % 3 > 0 LEFT JOIN co v ON v.level = 'division' AND v.taxon = tx.division CROSS JOIN (FROM co WHERE level = 'global') w)
+SELECT tree_id, CASE WHEN dbh IS NOT NULL THEN round(2 * scale * pow(least(least(d, tm), m), b) * pow(greatest(least(d, tm) / m, 1.0), tb), 6) END AS crown_width, CASE WHEN dbh IS NOT NULL THEN crown_level END AS crown_level FROM z""")
+def _(v: Views) -> DataFrame:
+    """Widths from the fitted table; a third of the trees have a genus that it lacks, and some stems lie past every fit."""
+    trees = taxa(v).select("tree_id", "dbh", F.when(F.col("order_key") % 3 > 0, F.col("genus")).otherwise("Lacking").alias("genus"), "division")
+    return fits.crown_widths(trees, reference(v), F.col("dbh") * 1.5).select("tree_id", F.round("crown_width", 6).alias("crown_width"), "crown_level")
+
+
 RANKS = "rk AS (SELECT *, rank() OVER (PARTITION BY city ORDER BY dbh) + (count(*) OVER (PARTITION BY city, dbh) - 1) / 2 AS rx, rank() OVER (PARTITION BY city ORDER BY crown_width_m) + (count(*) OVER (PARTITION BY city, crown_width_m) - 1) / 2 AS ry FROM obs WHERE dbh IS NOT NULL AND crown_width_m IS NOT NULL)"
 
 
