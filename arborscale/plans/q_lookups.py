@@ -161,6 +161,30 @@ def _(v: Views) -> DataFrame:
     return lookups.pair_verdicts(lookups.similar_names(r.select("name"), edits=1).select("a", "b"), r)
 
 
+#: Names with hybrid marks and misspellings of one and two letters, and a checklist of some of them.
+HYBRIDS = """w AS (SELECT DISTINCT split_part(p_name, ' ', 1) AS g, split_part(p_name, ' ', 2) AS e FROM part), nm AS (SELECT DISTINCT unnest([concat(g, 'ella ', e), concat(g, 'ella x ', e), concat(g, 'ella ', left(e, length(e) - 2), 'zz'), concat(g, 'elta ', e), concat(g, 'ella ', e, 'us')]) AS name FROM w),
+rec AS (SELECT concat(g, 'ella ', e) AS name, CASE WHEN g = 'hot' THEN NULL WHEN g = 'old' THEN concat('newella ', e) WHEN e = 'ring' THEN concat(g, 'ella ringus') ELSE concat(g, 'ella ', e) END AS target FROM w UNION ALL SELECT concat(g, 'ella ', e, 'us'), concat(g, 'ella ', e, 'us') FROM w WHERE e = 'ring'),
+res AS (SELECT nm.name, CASE WHEN r.name IS NULL THEN 'not_found' WHEN r.target IS NULL THEN 'unplaced' WHEN r.target = r.name THEN 'accepted' ELSE 'synonym' END AS verdict, o.name AS accepted_name FROM nm LEFT JOIN rec r USING (name) LEFT JOIN rec o ON r.target = o.name)"""
+
+
+@query("j13_hybrid_marks", f"""WITH {HYBRIDS}, p AS (SELECT a.name AS a, b.name AS b FROM nm a JOIN nm b ON a.name < b.name AND length(a.name) >= 8 AND length(b.name) >= 8 AND levenshtein(a.name, b.name) <= 2),
+q AS (SELECT a, b, ra.verdict AS va, rb.verdict AS vb, ra.accepted_name AS ta, rb.accepted_name AS tb, CASE WHEN ra.verdict = 'not_found' THEN a ELSE b END AS wrong, CASE WHEN ra.verdict = 'not_found' THEN rb.accepted_name ELSE ra.accepted_name END AS target,
+list_bool_or(list_transform(list_zip(string_split(a, ' '), string_split(b, ' ')), lambda t: coalesce(levenshtein(t[1], t[2]) >= 2 AND least(length(t[1]), length(t[2])) <= 5, false))) AS two FROM p JOIN res ra ON a = ra.name JOIN res rb ON b = rb.name),
+t AS (SELECT wrong, count(DISTINCT target) AS targets FROM q WHERE (va = 'not_found') <> (vb = 'not_found') GROUP BY wrong)
+SELECT a, b, CASE WHEN coalesce(ta = b, false) OR coalesce(tb = a, false) THEN 'SYNONYM' WHEN (va IN ('accepted', 'synonym') AND vb IN ('accepted', 'synonym')) OR coalesce(targets > 1, false) OR two THEN 'REFUSED' WHEN NOT ((va = 'not_found' AND vb IN ('accepted', 'synonym')) OR (vb = 'not_found' AND va IN ('accepted', 'synonym'))) OR target IS NULL THEN 'UNRESOLVED'
+WHEN replace(a, ' x ', ' ') = replace(b, ' x ', ' ') THEN 'HYBRID_MARK' ELSE 'MISSPELLING' END AS verdict FROM q LEFT JOIN t USING (wrong)""")
+def _(v: Views) -> DataFrame:
+    word = lambda k: F.split_part("p_name", F.lit(" "), F.lit(k))
+    w = v.table("part").select(word(1).alias("g"), word(2).alias("e")).distinct()
+    g, e = F.col("g"), F.col("e")
+    name = lambda *parts: F.concat(*[F.lit(p) if isinstance(p, str) else p for p in parts])
+    names = w.select(F.explode(F.array(name(g, "ella ", e), name(g, "ella x ", e), name(g, "ella ", F.left(e, F.length(e) - 2), "zz"), name(g, "elta ", e), name(g, "ella ", e, "us"))).alias("name"))
+    target = F.when(g == "hot", None).when(g == "old", name("newella ", e)).when(e == "ring", name(g, "ella ringus")).otherwise(name(g, "ella ", e))
+    record = lambda taxon, accepted: [taxon.alias("id"), taxon.alias("taxon"), F.lit("ok").alias("status"), accepted.alias("accepted_id")]
+    records = w.select(*record(name(g, "ella ", e), target)).unionByName(w.where(e == "ring").select(*record(name(g, "ella ", e, "us"), name(g, "ella ", e, "us"))))
+    return lookups.pair_verdicts(lookups.similar_names(names).select("a", "b"), lookups.resolve_names(names, records))
+
+
 @query("j14_token_scores", "WITH t AS (SELECT DISTINCT doc_id AS id, unnest(string_split(text, ' ')) AS token FROM documents), r AS (SELECT DISTINCT item_id AS ref_id, unnest(string_split(text, ' ')) AS token FROM benchmark), s AS (SELECT id, ref_id, count(*) AS score FROM t JOIN r USING (token) GROUP BY ALL HAVING count(*) >= 4) SELECT * FROM s QUALIFY row_number() OVER (PARTITION BY id ORDER BY score DESC, ref_id) <= 40")
 def _(v: Views) -> DataFrame:
     texts = v.table("documents").select(F.col("doc_id").alias("id"), F.split("text", " ").alias("tokens"))
