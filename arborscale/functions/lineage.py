@@ -9,9 +9,12 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder for intermediate tables that the session names; one is set only where none is."""
+    """The folder for intermediate tables that the session names; where it names none one is set in the warehouse, which executors
+    see too. Only a local session, whose executors are this machine, gets a temporary one."""
     if not spark.sparkContext.getCheckpointDir():
-        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="arborscale-"))
+        local = spark.sparkContext.master.split("[")[0] == "local"
+        own = tempfile.mkdtemp(prefix="arborscale-") if local else f"{spark.conf.get('spark.sql.warehouse.dir')}/arborscale-scratch"
+        spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or own)
     return spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
 
 

@@ -73,10 +73,11 @@ def unsupported(df: DataFrame, key: str, vocabulary: DataFrame) -> DataFrame:
     return df.groupBy(key).agg(F.count("*").alias("rows")).where(F.col(key).isNotNull()).join(vocabulary.select(key).distinct(), key, "left_anti")
 
 
-def support_table(rows: DataFrame) -> DataFrame:
-    """Each species with its trees, distinct chips and blocks, and a column of trees for each city."""
+def support_table(rows: DataFrame, cities_: Sequence[str] | None = None) -> DataFrame:
+    """Each species with its trees, distinct chips and blocks, and a column of trees for each city: those given, or else all, which
+    may not be more than Spark pivots."""
     n = rows.groupBy("species").agg(F.count("*").alias("trees"), F.countDistinct("chip").alias("chips"), F.countDistinct("block").alias("blocks"))
-    cities = rows.groupBy("species").pivot("city").count().na.fill(0)
+    cities = rows.groupBy("species").pivot("city", None if cities_ is None else list(cities_)).count().na.fill(0)
     return n.join(cities.withColumnRenamed("species", "of_"), F.col("species").eqNullSafe(F.col("of_"))).drop("of_")
 
 

@@ -175,7 +175,7 @@ def _(v: Views) -> DataFrame:
 
 @query("a21_support_table", "WITH {OBS} SELECT species, count(*) AS trees, count(DISTINCT order_key) AS chips, count(DISTINCT supp_key) AS blocks, count_if(city = 'c0') AS c0, count_if(city = 'c1') AS c1, count_if(city = 'c2') AS c2, count_if(city = 'c3') AS c3, count_if(city = 'c4') AS c4, count_if(city = 'c5') AS c5, count_if(city = 'c6') AS c6, count_if(city = 'c7') AS c7, count_if(city = 'c8') AS c8, count_if(city = 'c9') AS c9, count_if(city = 'c10') AS c10, count_if(city = 'c11') AS c11, count_if(city = 'c12') AS c12, count_if(city = 'c13') AS c13, count_if(city = 'c14') AS c14, count_if(city = 'c15') AS c15, count_if(city = 'c16') AS c16, count_if(city = 'c17') AS c17, count_if(city = 'c18') AS c18, count_if(city = 'c19') AS c19, count_if(city = 'c20') AS c20, count_if(city = 'c21') AS c21, count_if(city = 'c22') AS c22, count_if(city = 'c23') AS c23, count_if(city = 'c24') AS c24 FROM obs GROUP BY species")
 def _(v: Views) -> DataFrame:
-    return rollups.support_table(v.obs.select("species", "city", F.col("order_key").alias("chip"), F.col("supp_key").alias("block")))
+    return rollups.support_table(v.obs.select("species", "city", F.col("order_key").alias("chip"), F.col("supp_key").alias("block")), [f"c{k}" for k in range(25)])
 
 
 @query("a22_stack_sizes", "WITH {OBS}, s AS (SELECT latitude, longitude, count(*) AS n FROM obs GROUP BY ALL HAVING count(*) > 1) SELECT count(*) AS stacks, coalesce(sum(n), 0)::BIGINT AS trees, max(n) AS largest FROM s")
