@@ -29,7 +29,7 @@ LENGTH, END = 4096, 2
 #: Dimensions of the projection and bits of each on the curve; the rest of the key spreads equal vectors.
 DIMS, BITS, SPREAD_BITS = 3, 10, 30
 #: Words that a worker remembers with their ids before it starts anew.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 150_000
 #: Tokens that a range of the curve has on average.
 RANGE_TOKENS = 16_000_000
 #: The white space that the tokenizer drops; Python's own split also takes the four separators below it.
