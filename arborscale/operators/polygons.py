@@ -132,7 +132,7 @@ def nearest(points: DataFrame, outline: DataFrame, reach: float, widening: Seque
 def containing_or_near(points: DataFrame, polygons: DataFrame, reach: float) -> DataFrame:
     """The polygon that holds a point (lowest id), else the nearest one within ``reach``: ``id``, ``poly_id``, ``how`` (``inside``
     or ``nearby``) and ``distance``. A point in a hole is outside."""
-    outline = outlines(polygons)
+    outline, points = outlines(polygons), checkpointed(points.select("id", "x", "y"))  # both are read for each round
     inside = checkpointed(containing(points, outline))
     near = nearest(points.join(inside, "id", "left_anti"), outline, reach)
     return inside.select("id", "poly_id", F.lit("inside").alias("how"), F.lit(0.0).alias("distance")).unionByName(near.select("id", "poly_id", F.lit("nearby").alias("how"), "distance"))
