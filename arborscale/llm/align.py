@@ -17,7 +17,6 @@ import json
 import re
 from collections.abc import Iterator
 from itertools import chain
-from typing import NamedTuple
 
 import numpy as np
 import pyarrow as pa
@@ -35,7 +34,9 @@ A_FILE, B_FILE = "byte_bpe_50k.json", "piece_bpe_32k.model"
 #: Bytes of text in a block, and units that a worker remembers before it starts anew.
 BLOCK_BYTES, MEMO_UNITS = 4_000_000, 250_000
 #: Bytes of new units that are encoded together.
-ENCODE_BYTES = 1_000_000
+ENCODE_BYTES = 300_000
+#: Pairs of documents that are put in order together.
+RUN_PAIRS = 250_000
 #: Groups with more links than this are first reduced to their distinct ids.
 PLAIN_LINKS = 64
 _WS = "\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
@@ -66,20 +67,59 @@ def expand(counts: np.ndarray) -> np.ndarray:
     return np.arange(counts.sum()) - np.repeat(np.cumsum(counts) - counts, counts)
 
 
-class Unit(NamedTuple):
-    """What is remembered of a unit: its numbers, its groups as text, and its links with how often each occurs."""
+class Growing:
+    """An array that grows at its end."""
 
-    n_a: int
-    n_b: int
-    n_groups: int
-    n_links: int
-    text: bytes
-    pairs: np.ndarray
-    times: np.ndarray
+    def __init__(self, kind: type):
+        self.data, self.size = np.empty(1 << 12, kind), 0
 
+    def add(self, values: np.ndarray) -> None:
+        upto = self.size + len(values)
+        if upto > len(self.data):
+            grown = np.empty(upto + upto // 4, self.data.dtype)
+            grown[: self.size] = self.data[: self.size]
+            self.data = grown
+        self.data[self.size : upto] = values
+        self.size = upto
 
-#: Stands where a text has no tokens.
-NO_UNIT = Unit(0, 0, 0, 0, b"", np.zeros(0, np.int64), np.zeros(0, np.int64))
+
+#: Of a unit: tokens of both sides, groups, links.
+FIGURES = ("n_a", "n_b", "n_groups", "n_links")
+
+
+class Units:
+    """What is remembered of units: their numbers, and by number on shared arrays the figures, the groups as text, and the
+    distinct linked pairs with how often each occurs. A unit takes some 250 bytes. Number 0 stands where a text has no tokens."""
+
+    def __init__(self):
+        self.numbers: dict[str, int] = {}
+        self.figures = {c: Growing(np.int64) for c in FIGURES}
+        self.text, self.pairs, self.times = bytearray(), Growing(np.int64), Growing(np.uint32)
+        self.text_ends, self.pair_ends = Growing(np.int64), Growing(np.int64)
+        self.add([], {c: np.zeros(1, np.int64) for c in FIGURES}, b"", np.zeros(1, np.int64), self.pairs.data[:0], self.times.data[:0], np.zeros(1, np.int64))
+
+    def add(self, units: list[str], figures: dict[str, np.ndarray], text: bytes, text_sizes: np.ndarray, pairs: np.ndarray, times: np.ndarray, pair_sizes: np.ndarray) -> None:
+        self.numbers.update(zip(units, range(self.text_ends.size, self.text_ends.size + len(units)), strict=True))
+        self.text_ends.add(len(self.text) + np.cumsum(text_sizes))
+        self.pair_ends.add(self.pairs.size + np.cumsum(pair_sizes))
+        self.text += text
+        self.pairs.add(pairs)
+        self.times.add(times)
+        for c in FIGURES:
+            self.figures[c].add(figures[c])
+
+    def texts_of(self, numbers: np.ndarray) -> list[bytes]:
+        """The groups of each unit as text."""
+        ends = self.text_ends.data
+        with memoryview(self.text) as text:
+            return [bytes(text[lo:hi]) for lo, hi in zip(ends[np.maximum(numbers - 1, 0)].tolist(), ends[numbers].tolist(), strict=True)]
+
+    def pairs_of(self, numbers: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The pairs of all these units one after the other, their occurrences, and how many each unit has."""
+        starts = self.pair_ends.data[np.maximum(numbers - 1, 0)]
+        many = self.pair_ends.data[numbers] - starts
+        at = np.repeat(starts, many) + expand(many)
+        return self.pairs.data[at], self.times.data[at].astype(np.int64), many
 
 
 class Aligner:
@@ -105,7 +145,7 @@ class Aligner:
         first = how.get("pre_tokenizer") or {}
         plain = first.get("type") == "ByteLevel" and not first.get("add_prefix_space") and first.get("use_regex", True) and not how.get("normalizer")
         self.by_units = plain and all("▁" not in p[1:] or set(p) == {"▁"} for p in pieces)
-        self.units: dict[str, Unit | None] = {}
+        self.units = Units()
         self.fast = self._ranked(how) if plain else None
 
     def _ranked(self, how: dict) -> tiktoken.Encoding | None:
@@ -136,7 +176,7 @@ class Aligner:
         return parts.flatten(), pc.list_value_length(parts).to_numpy()
 
     def learn(self, new: list[str]) -> None:
-        """Encode and align units not met before; those whose bytes a side doesn't give back are remembered as ``None``."""
+        """Encode and align units not met before; those whose bytes a side doesn't give back get number 0."""
         run, size = [], 0
         for unit in new:
             run.append(unit)
@@ -156,7 +196,7 @@ class Aligner:
             if b"".join(map(self.bytes_a.__getitem__, a)) == whole == b"".join(map(self.bytes_b.__getitem__, b)):
                 good.append((unit, a, b))
             else:
-                self.units[unit] = None
+                self.units.numbers[unit] = 0
         if not good:
             return
         n_a, n_b = (np.array([len(g[k]) for g in good], np.int64) for k in (1, 2))
@@ -172,13 +212,14 @@ class Aligner:
         end_a[upto_a - 1], end_b[upto_b - 1] = 1, 2
         code[np.arange(len(a)) + (upto_b - count_b)[group_a]] = a * 3 + end_a
         code[np.arange(len(b)) + upto_a[group_b]] = b * 3 + end_b
-        signed, signs = code.tolist(), self.signs
-        cuts = np.cumsum(n_a + n_b).tolist()
-        begin = 0
-        for k, (unit, cut, lo, hi) in enumerate(zip((g[0] for g in good), cuts, of_unit[:-1].tolist(), of_unit[1:].tolist(), strict=True)):
-            text = b"".join(map(signs.__getitem__, signed[begin:cut]))[:-1]
-            self.units[unit] = Unit(len(good[k][1]), len(good[k][2]), int(edges[k + 1] - edges[k]), int(links[k]), text, pairs[lo:hi], times[lo:hi])
-            begin = cut
+        signs = list(map(self.signs.__getitem__, code.tolist()))
+        # the sign that ends a unit is left out
+        cuts = np.cumsum(n_a + n_b)
+        for last in (cuts - 1).tolist():
+            signs[last] = signs[last][:-1]
+        sizes = np.add.reduceat(np.fromiter(map(len, signs), np.int64, len(signs)), np.concatenate([[0], cuts[:-1]]))
+        figures = dict(zip(FIGURES, (n_a, n_b, np.diff(edges), links), strict=True))
+        self.units.add([g[0] for g in good], figures, b"".join(signs), sizes, pairs, times, np.diff(of_unit))
 
     def links(self, a: np.ndarray, b: np.ndarray, of_a: np.ndarray, of_b: np.ndarray, edges: np.ndarray) -> tuple[np.ndarray, ...]:
         """Distinct linked id pairs of each unit, as ``a * size_b + b``, how many occurrences each has, all links of each unit, and
@@ -198,36 +239,37 @@ class Aligner:
         times = np.add.reduceat(weight, first)
         return pair[first], times, np.bincount(unit, weights=weight).astype(np.int64), np.searchsorted(unit[first], np.arange(len(edges)))
 
-    def coded(self, texts: pa.Array) -> tuple[list[Unit], np.ndarray, np.ndarray]:
-        """The distinct units of the texts, the unit numbers of all texts one after the other, and how many each text has;
-        a text with no tokens has none."""
+    def coded(self, texts: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The numbers of the distinct units of the texts, the places among these of all texts' units one after the other, and how
+        many each text has; a text with no tokens has none. Numbers hold until the next call."""
         texts = texts.fill_null("")
         flat, sizes = self.split(texts)
         known = flat.dictionary_encode()
         distinct = known.dictionary.to_pylist()
-        if len(self.units) > MEMO_UNITS:
-            self.units = {}
-        self.learn([u for u in distinct if u not in self.units])
-        units = [self.units[u] for u in distinct]
+        if len(self.units.numbers) > MEMO_UNITS:
+            self.units = Units()
+        numbers = self.units.numbers
+        self.learn([u for u in distinct if u not in numbers])
+        units = np.fromiter(map(numbers.__getitem__, distinct), np.int64, len(distinct))
         codes = known.indices.to_numpy().astype(np.int64)
         empty = pc.equal(texts, "").to_numpy(zero_copy_only=False)
-        bad = np.array([u is None for u in units], bool)[codes]
+        bad = (units == 0)[codes]
         starts = np.cumsum(sizes) - sizes
         odd = np.add.reduceat(bad, starts) > 0 if len(sizes) else np.zeros(0, bool)
         if (odd | empty).any():
-            pieces = []
+            pieces, more = [], []
             for i, (start, size) in enumerate(zip(starts.tolist(), sizes.tolist(), strict=True)):
                 piece = codes[start : start + size]
                 if empty[i]:
                     piece = piece[:0]
                 elif odd[i]:  # the whole text as it is decides
                     whole = texts[i].as_py()
-                    if whole not in self.units:
+                    if whole not in numbers:
                         self.learn([whole])
-                    found = self.units[whole]
-                    piece = np.full(int(found is not None), len(units), np.int64)
-                    units += [found] * len(piece)
+                    piece = np.full(int(numbers[whole] > 0), len(units) + len(more), np.int64)
+                    more += [numbers[whole]] * len(piece)
                 pieces.append(piece)
+            units = np.append(units, np.array(more, np.int64))
             sizes = np.array(list(map(len, pieces)), np.int64)
             codes = np.concatenate(pieces) if pieces else codes
         return units, codes, sizes
@@ -259,10 +301,10 @@ def groups(documents: DataFrame, a_path: str | None = None, b_path: str | None =
             for part in text_runs(batch, limit=BLOCK_BYTES // 8):
                 side = aligner(*paths)
                 units, codes, sizes = side.coded(part.column("text"))
-                out, at = [], 0
+                texts, out, at = side.units.texts_of(units), [], 0
                 for size in sizes.tolist():
                     rows, end = [], 0
-                    for group in (g for c in codes[at : at + size].tolist() for g in units[c].text.split(b";")):
+                    for group in (g for c in codes[at : at + size].tolist() for g in texts[c].split(b";")):
                         a, b = (list(map(int, ids.split(b","))) for ids in group.split(b"|"))
                         start, end = end, end + int(side.length_a[a].sum())
                         rows.append({"start": start, "end": end, "a": a, "b": b})
@@ -276,39 +318,56 @@ def groups(documents: DataFrame, a_path: str | None = None, b_path: str | None =
 _BLOCK = "block long, doc_id array<long>, n_a array<long>, n_b array<long>, n_groups array<long>, n_links array<long>, sha array<string>, pairs array<long>, held array<long>, sizes array<long>, entry binary, times binary"
 
 
+def _runs_of(doc: np.ndarray, weights: np.ndarray, n: int) -> Iterator[tuple[int, int]]:
+    """Slices of entries, in the order of their ``n`` documents, that hold whole documents and ``RUN_PAIRS`` of weight at most, or
+    one document."""
+    first = np.searchsorted(doc, np.arange(n + 1))
+    upto, at = np.concatenate([[0], np.cumsum(weights)])[first], 0
+    while at < n:
+        end = max(at + 1, int(np.searchsorted(upto, upto[at] + RUN_PAIRS, side="right")) - 1)
+        yield int(first[at]), int(first[end])
+        at = end
+
+
+def _block(side: Aligner, part: pa.RecordBatch, number: int) -> pa.RecordBatch:
+    """The row of a block."""
+
+    def summed(values: np.ndarray) -> np.ndarray:
+        upto = np.concatenate([[0], np.cumsum(values[codes])])
+        return upto[starts + sizes] - upto[starts]
+
+    units, codes, sizes = side.coded(part.column("text"))
+    starts, n = np.cumsum(sizes) - sizes, len(sizes)
+    figures, texts = [summed(side.units.figures[c].data[units]) for c in FIGURES], side.units.texts_of(units)
+    sha = [hashlib.sha256(b";".join(map(texts.__getitem__, codes[s : s + k].tolist()))).hexdigest() if k else "" for s, k in zip(starts.tolist(), sizes.tolist(), strict=True)]
+    del texts
+    # distinct units of a document, then its distinct pairs
+    used, times = np.unique(np.repeat(np.arange(n), sizes) * max(1, len(units)) + codes, return_counts=True)
+    doc, unit = np.divmod(used, max(1, len(units)))
+    all_pairs, all_times, many = side.units.pairs_of(units)
+    pairs, place = np.unique(all_pairs, return_inverse=True)
+    begin, found = np.cumsum(many) - many, []
+    for lo, hi in _runs_of(doc, many[unit], n):
+        reps = many[unit[lo:hi]]
+        at = np.repeat(begin[unit[lo:hi]], reps) + expand(reps)
+        key, back = np.unique(np.repeat(doc[lo:hi], reps) * max(1, len(pairs)) + place[at], return_inverse=True)
+        total = np.bincount(back, weights=np.repeat(times[lo:hi], reps) * all_times[at], minlength=len(key))
+        of, entry = np.divmod(key, max(1, len(pairs)))
+        found.append((of.astype(np.int32), entry.astype(np.uint32), total.astype(np.uint32)))
+    of, entry, total = (np.concatenate([f[k] for f in found]) if found else np.zeros(0, np.uint32) for k in range(3))
+    row = [number, part.column("doc_id"), *figures, sha, pairs, np.bincount(entry, minlength=len(pairs)), np.bincount(of, minlength=n), entry.tobytes(), total.tobytes()]
+    arrays = [pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) if isinstance(v, (int, bytes)) else _listed(v) for v in row]
+    return pa.RecordBatch.from_arrays(arrays, [c.split()[0] for c in _BLOCK.split(", ")])
+
+
 def _blocks(documents: DataFrame, paths: tuple[str, str]) -> DataFrame:
     """A row for each few megabytes of text: what its documents have by themselves, its distinct pairs with the number of its
     documents that hold them, and for each document the places of its pairs in that list with their occurrences."""
 
-    def summed(values: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
-        upto = np.concatenate([[0], np.cumsum(values)])
-        return upto[starts + sizes] - upto[starts]
-
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        number, names = TaskContext.get().partitionId() << 32, [c.split()[0] for c in _BLOCK.split(", ")]
-        side = aligner(*paths)
+        number, side = TaskContext.get().partitionId() << 32, aligner(*paths)
         for part in (p for batch in batches for p in text_runs(batch, limit=BLOCK_BYTES)):
-            units, codes, sizes = side.coded(part.column("text"))
-            starts, n = np.cumsum(sizes) - sizes, len(sizes)
-            kept = [u or NO_UNIT for u in units]
-            each = np.array([u[:4] for u in kept], np.int64).reshape(-1, 4)
-            texts = [u.text for u in kept]
-            named = codes.tolist()
-            sha = [hashlib.sha256(b";".join(map(texts.__getitem__, named[s : s + k]))).hexdigest() if k else "" for s, k in zip(starts.tolist(), sizes.tolist(), strict=True)]
-            # distinct units of a document, then its distinct pairs
-            used, times = np.unique(np.repeat(np.arange(n), sizes) * max(1, len(units)) + codes, return_counts=True)
-            doc, unit = np.divmod(used, max(1, len(units)))
-            all_pairs, all_times = (np.concatenate([getattr(u, c) for u in kept]) if kept else np.zeros(0, np.int64) for c in ("pairs", "times"))
-            pairs, place = np.unique(all_pairs, return_inverse=True)
-            many = np.array([len(u.pairs) for u in kept], np.int64)
-            reps = many[unit]
-            at = np.repeat((np.cumsum(many) - many)[unit], reps) + expand(reps)
-            key, back = np.unique(np.repeat(doc, reps) * max(1, len(pairs)) + place[at], return_inverse=True)
-            total = np.bincount(back, weights=np.repeat(times, reps) * all_times[at], minlength=len(key)).astype(np.int64)
-            doc, entry = np.divmod(key, max(1, len(pairs)))
-            row = [number, part.column("doc_id"), *(summed(each[codes, k], starts, sizes) for k in range(4)), sha, pairs, np.bincount(entry, minlength=len(pairs)), np.bincount(doc, minlength=n), entry.astype(np.uint32).tobytes(), total.astype(np.uint32).tobytes()]
-            arrays = [pa.array([v], pa.int64() if isinstance(v, int) else pa.binary()) if isinstance(v, (int, bytes)) else _listed(v) for v in row]
-            yield pa.RecordBatch.from_arrays(arrays, names)
+            yield _block(side, part, number)
             number += 1
 
     return documents.select("doc_id", "text").mapInArrow(run, _BLOCK)

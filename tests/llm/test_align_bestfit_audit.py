@@ -3,12 +3,14 @@
 import bisect
 import hashlib
 import random
+import tracemalloc
 import zlib
 from collections import Counter, defaultdict
 from itertools import permutations
 
 import numpy as np
 import public_tokenizers as P
+import pyarrow as pa
 import pytest
 import sentencepiece
 from tokenizers import Tokenizer
@@ -81,6 +83,27 @@ def test_groups_cover_the_bytes_and_counts_the_vocabularies(spark):
     assert sorted((p.documents, p.best) for p in pairs) == [(1, True), (2, True)]
 
 
+def test_units_are_remembered_in_few_bytes():
+    side = align.Aligner(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model"))
+    units = [f"{chr(97 + i % 26)}nit{i * 7919 % 100_003}" for i in range(20_000)]
+    tracemalloc.start()
+    side.learn(units)
+    kept = tracemalloc.get_traced_memory()[0]
+    tracemalloc.stop()
+    assert kept < 400 * len(units)
+
+
+@pytest.mark.parametrize("few", [1, 40])
+def test_blocks_dont_depend_on_the_runs_of_pairs(monkeypatch, few):
+    texts = [*ODD, "a b a b it's", "\x85", None]
+    part = pa.RecordBatch.from_arrays([pa.array(range(len(texts))), pa.array(texts)], ["doc_id", "text"])
+    rows = []
+    for size in (align.RUN_PAIRS, few):
+        monkeypatch.setattr(align, "RUN_PAIRS", size)
+        rows.append(align._block(align.aligner(P.path("byte_bpe_50k.json"), P.path("piece_bpe_32k.model")), part, 3).to_pydict())
+    assert rows[0] == rows[1] and len(rows[0]["sizes"][0]) == len(texts)
+
+
 @pytest.mark.parametrize("seed", range(5))
 def test_pointer_jumping_labels_components(seed):
     rng = random.Random(seed)
