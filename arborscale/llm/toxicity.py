@@ -27,11 +27,12 @@ from __future__ import annotations
 
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -40,6 +41,8 @@ from arborscale.llm._shared import discard, fold, ship, unused, written
 WORD = re.compile(r"\w+")
 #: Words that a worker remembers before it starts anew, and words of text that it works on at once.
 MEMO_WORDS, BUFFER = 60_000, 150_000
+#: Parts in which the driver fetches the n-grams of the sample, and n-grams that it works on at once.
+PARTS, AT_ONCE = 16, 100_000
 GOLDEN = np.uint64(0x9E3779B97F4A7C15)
 
 
@@ -95,7 +98,10 @@ def differing(n: np.ndarray) -> np.ndarray:
     if not 0 < share < 1:
         return np.zeros(n.shape[1])
     base = int(n.max()) + 1
-    kinds, which, times = np.unique(n[1].astype(np.int64) * base + n[0].astype(np.int64), return_inverse=True, return_counts=True)
+    code = n[1].astype(np.int64)
+    code *= base
+    code += n[0].astype(np.int64)
+    kinds, times = np.unique(code, return_counts=True)
     toxic = (kinds // base).astype(float)
     total = toxic + kinds % base
     own = _log_beta_binomial(toxic, total, share, 1 - share)
@@ -109,20 +115,33 @@ def differing(n: np.ndarray) -> np.ndarray:
             part = float(np.clip((posterior * times).sum() / times.sum(), 1e-9, 0.5))
         likelihood = (times * np.logaddexp(math.log(part) + own, math.log1p(-part) + common)).sum()
         best = max(best, (likelihood, posterior), key=lambda x: x[0])
-    return best[1][which]
+    return best[1][np.searchsorted(kinds, code)]
 
 
 class KneserNeyPair:
     """Both models over the same n-grams: ``log_p`` of a known word, of an unknown one, and of a known bigram, by class."""
 
-    def __init__(self, words: dict[str, np.ndarray], pairs: dict[str, np.ndarray]):
+    def __init__(self, words: dict[str, np.ndarray], parts: Iterable[dict[str, np.ndarray]]):
         """``words`` has ``word`` (a hash) and by class the different words before it (``m0``, ``m1``) and the texts that hold
-        it (``t0``, ``t1``); ``pairs`` has ``before`` (0 is the start of a text), ``word``, by class the different words before
-        both (``n0``, ``n1``) and the texts that hold it (``t0``, ``t1``). What an expression says of its class counts no text
-        and no context twice."""
+        it (``t0``, ``t1``); ``parts``, which are taken one at a time, have ``before`` (0 is the start of a text), ``word``, by class
+        the different words before both (``n0``, ``n1``) and the texts that hold it (``t0``, ``t1``). What an expression says of its
+        class counts no text and no context twice."""
         self.words = np.unique(np.append(words["word"].view(np.uint64), np.uint64(0)))
         size, at = len(self.words), np.searchsorted(self.words, words["word"].view(np.uint64))
-        b, w = (np.searchsorted(self.words, pairs[c].view(np.uint64)) for c in ("before", "word"))
+        # bigrams by the places of their words, in that order: a half or less of what their hashes take
+        kept: dict[str, list[np.ndarray]] = {c: [] for c in ("key", "n0", "n1", "least0", "least1")}
+        for part in parts:
+            b, w = (np.searchsorted(self.words, part[c].view(np.uint64)) for c in ("before", "word"))
+            kept["key"].append(b * (size + 1) + w)
+            for c in (0, 1):
+                kept[f"n{c}"].append(part[f"n{c}"].astype(np.int32))
+                kept[f"least{c}"].append(np.minimum(part[f"n{c}"], part[f"t{c}"]).astype(np.int32))
+        pairs = {c: np.concatenate([*kept.pop(c), np.zeros(0, np.int64 if c == "key" else np.int32)]) for c in list(kept)}
+        order = np.argsort(pairs["key"])
+        pairs = {c: pairs.pop(c)[order] for c in list(pairs)}
+        del order
+        self.pairs, count = pairs["key"], len(pairs["key"])
+        runs = [slice(i, i + AT_ONCE) for i in range(0, count, AT_ONCE)]
         ends, of_texts = np.zeros((2, size)), np.zeros((2, size))
         for c in (0, 1):
             ends[c][at], of_texts[c][at] = words[f"m{c}"], words[f"t{c}"]
@@ -130,24 +149,41 @@ class KneserNeyPair:
         seen, less = max(both.sum(), 1), discount(both)
         # an unknown word and the start have what equal shares of the discounts give
         shared = np.append(np.maximum(both - less, 0), 0) / seen + (less * (both > 0).sum() / seen if both.any() else 1) / (size + 1)
-        keep, keep_pair = np.zeros(size + 1), differing(np.stack([np.minimum(pairs[f"n{c}"], pairs[f"t{c}"]) for c in (0, 1)]))
+        keep, keep_pair = np.zeros(size + 1), differing(np.stack([pairs.pop(f"least{c}") for c in (0, 1)]))
         keep[:-1][both > 0] = differing(np.minimum(ends, of_texts)[:, both > 0])
+
+        def summed(values: Callable[[slice], np.ndarray]) -> np.ndarray:
+            """Sums over the bigrams of each word before."""
+            out = np.zeros(size + 1)
+            for r in runs:
+                first, last = self.pairs[r][[0, -1]] // (size + 1)
+                out[first : last + 1] += np.bincount(self.pairs[r] // (size + 1) - first, weights=values(r))
+            return out
+
         together = pairs["n0"] + pairs["n1"]
-        common = np.maximum(together - discount(together), 0) / np.bincount(b, weights=together, minlength=size + 1)[b]
-        rest = 1 - np.bincount(b, weights=common, minlength=size + 1)
-        unigram, self.back, self.pair_log_p = np.zeros((2, size + 1)), np.zeros((2, size + 1)), np.zeros((2, len(b)), np.float32)
+        less, after = discount(together), summed(lambda r: together[r])
+
+        def common(r: slice) -> np.ndarray:
+            return np.maximum(together[r] - less, 0) / after[self.pairs[r] // (size + 1)]
+
+        rest = 1 - summed(common)
+        unigram, self.back, self.pair_log_p = np.zeros((2, size + 1)), np.zeros((2, size + 1)), np.zeros((2, count), np.float32)
         for c in (0, 1):
-            kept = np.append(keep[:-1] * np.maximum(ends[c] - discount(ends[c]), 0) / max(ends[c].sum(), 1), 0)
-            unigram[c] = kept + (1 - kept.sum()) * shared
+            own = np.append(keep[:-1] * np.maximum(ends[c] - discount(ends[c]), 0) / max(ends[c].sum(), 1), 0)
+            unigram[c] = own + (1 - own.sum()) * shared
             scale, n = unigram[c] / shared, pairs[f"n{c}"]
-            norm = np.bincount(b, weights=common * scale[w], minlength=size + 1) + rest
-            high = keep_pair * np.maximum(n - discount(n), 0) / np.maximum(np.bincount(b, weights=n, minlength=size + 1)[b], 1)
-            left = (1 - np.bincount(b, weights=high, minlength=size + 1)) / norm
-            self.pair_log_p[c] = np.log(high + left[b] * (common + rest[b] * shared[w]) * scale[w])
+            of_class, after_class = discount(n), np.maximum(summed(lambda r, n=n: n[r]), 1)
+
+            def high(r: slice, n=n, of_class=of_class, after_class=after_class) -> np.ndarray:
+                return keep_pair[r] * np.maximum(n[r] - of_class, 0) / after_class[self.pairs[r] // (size + 1)]
+
+            norm = summed(lambda r, scale=scale: common(r) * scale[self.pairs[r] % (size + 1)]) + rest
+            left = (1 - summed(high)) / norm
+            for r in runs:
+                b, w = np.divmod(self.pairs[r], size + 1)
+                self.pair_log_p[c, r] = np.log(high(r) + left[b] * (common(r) + rest[b] * shared[w]) * scale[w])
             self.back[c] = np.log(left * rest)
         self.word_log_p = np.log(unigram)
-        order = np.argsort(b * (size + 1) + w)
-        self.pairs, self.pair_log_p = (b * (size + 1) + w)[order], self.pair_log_p[:, order]
         self._memo: dict[str, int] = {}
 
     def __getstate__(self) -> dict:
@@ -209,14 +245,21 @@ def _logistic(x: np.ndarray, y: np.ndarray, weight: np.ndarray) -> tuple[float,
 
 
 class ToxicityModel:
-    """A fitted pair of models with its calibration; small enough to travel with the tasks."""
+    """A fitted pair of models with its calibration; small enough to travel with the tasks, once for both uses of the pair."""
+
+    def __init__(self, pair: KneserNeyPair, shipped: Broadcast, slope: float, intercept: float):
+        self.pair, self.shipped, self.slope, self.intercept = pair, shipped, slope, intercept
 
-    def __init__(self, pair: KneserNeyPair, slope: float, intercept: float):
-        self.pair, self.slope, self.intercept = pair, slope, intercept
+    def __getstate__(self) -> dict:
+        return self.__dict__ | {"shipped": None}
 
     def scores(self, texts: list[str | None]) -> np.ndarray:
-        means, _ = self.pair.ratios(texts)
-        return 1 / (1 + np.exp(-np.clip(self.slope * means + self.intercept, -30, 30)))
+        return scores(self.pair, self.slope, self.intercept, texts)
+
+
+def scores(pair: KneserNeyPair, slope: float, intercept: float, texts: list[str | None]) -> np.ndarray:
+    means, _ = pair.ratios(texts)
+    return 1 / (1 + np.exp(-np.clip(slope * means + intercept, -30, 30)))
 
 
 def fit(documents: DataFrame, labels: DataFrame, max_docs: int = 3000) -> ToxicityModel:
@@ -249,14 +292,15 @@ def fit(documents: DataFrame, labels: DataFrame, max_docs: int = 3000) -> Toxici
         """Rows of each class, or the sum of a column over them."""
         return [F.sum(F.when(F.col("label") == c, F.col(column) if column else 1).otherwise(0)).cast("int").alias(f"{name}{c}") for c in (0, 1)]
 
-    counts = written(once.groupBy("before", "word").agg(*by_class("n"), *by_class("t", "t"), *by_class("u", "u")), "toxic-bigrams")
+    bigrams = once.groupBy("before", "word").agg(*by_class("n"), *by_class("t", "t"), *by_class("u", "u"))
+    counts = written(bigrams.withColumn("part", F.pmod(F.xxhash64("before", "word"), F.lit(PARTS)).cast("int")).sortWithinPartitions("part"), "toxic-bigrams")
     words = counts.groupBy("word").agg(*(F.count_if(F.col(f"n{c}") > 0).cast("int").alias(f"m{c}") for c in (0, 1)), *(F.sum(f"u{c}").cast("int").alias(f"t{c}") for c in (0, 1)))
 
     def columns(df: DataFrame) -> dict[str, np.ndarray]:
-        # as many rows as the sample has n-grams
         return {c: x.to_numpy() for c, x in zip(df.columns, df.toArrow().columns, strict=True)}
 
-    pair = KneserNeyPair(columns(words), columns(counts.drop("u0", "u1")))
+    # as many rows as the sample has n-grams, a part at a time
+    pair = KneserNeyPair(columns(words), (columns(counts.where(F.col("part") == i).drop("u0", "u1", "part")) for i in range(PARTS)))
     discard(counts)
     shipped = spark.sparkContext.broadcast(pair)
 
@@ -269,16 +313,16 @@ def fit(documents: DataFrame, labels: DataFrame, max_docs: int = 3000) -> Toxici
     discard(texts)
     taken = held["label"].value_counts().to_dict()
     weight = held["label"].map({label: size[False, label] / n for label, n in taken.items()})
-    return ToxicityModel(pair, *_logistic(held["mean"].to_numpy(float), held["label"].to_numpy(float), weight.to_numpy(float)))
+    return ToxicityModel(pair, shipped, *_logistic(held["mean"].to_numpy(float), held["label"].to_numpy(float), weight.to_numpy(float)))
 
 
-def score_column(model: ToxicityModel, documents: DataFrame):
+def score_column(model: ToxicityModel):
     """A UDF of the text column that gives the score of each whole text."""
-    shipped = documents.sparkSession.sparkContext.broadcast(model)
+    shipped, slope, intercept = model.shipped, model.slope, model.intercept
 
     @F.arrow_udf("double")
     def scored(text: pa.Array) -> pa.Array:
-        return pa.array(shipped.value.scores(text.to_pylist()))
+        return pa.array(scores(shipped.value, slope, intercept, text.to_pylist()))
 
     return scored
 
@@ -289,7 +333,7 @@ def score(documents: DataFrame, labels: DataFrame, max_docs: int = 3000) -> Data
     Null and empty texts, and texts without words, get the score of a difference of 0. A repeated row gives a repeated
     result; texts of any length count whole; other columns of ``documents`` are not read; no rows give none."""
     model = fit(documents, labels, max_docs)
-    return documents.select("doc_id", (fold() == 0).alias("held_out"), score_column(model, documents)("text").alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return documents.select("doc_id", (fold() == 0).alias("held_out"), score_column(model)("text").alias("score")).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
 
 
 def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5, max_docs: int = 3000) -> DataFrame:
@@ -298,4 +342,4 @@ def drop_toxic(documents: DataFrame, labels: DataFrame, threshold: float = 0.5,
     Null, empty and repeated texts score as in ``score`` and go or stay accordingly; no rows give none."""
     name = unused(documents, "toxicity_score")
     model = fit(documents, labels, max_docs)
-    return documents.withColumn(name, score_column(model, documents)("text")).where(F.col(name) < threshold).drop(name)
+    return documents.withColumn(name, score_column(model)("text")).where(F.col(name) < threshold).drop(name)

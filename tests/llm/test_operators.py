@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 from itertools import combinations
@@ -465,6 +466,30 @@ def test_likelihoods_match_plain_models_and_sum_to_one(spark):
         assert each.sum(1) + start == pytest.approx([1, 1], abs=1e-4)  # words, an unknown one, and the start as a word
 
 
+def test_models_are_built_from_parts_in_little_memory():
+    rng = np.random.default_rng(19)
+    size, n = 20_000, 400_000
+    hashes = np.unique(rng.integers(1, 1 << 62, size) * 2 + 1)
+    at = np.unique(rng.integers(0, len(hashes) ** 2, n))
+    before, word = hashes[at // len(hashes)], hashes[at % len(hashes)]
+    counts = {f"{k}{c}": (rng.pareto(1.0, len(at)) * (1 - 0.7 * c)).astype(np.int32) + (1 - c) for k in "nt" for c in (0, 1)}
+    pairs = {"before": before, "word": word, **counts}
+    ends = {f"m{c}": np.bincount(at % len(hashes), weights=counts[f"n{c}"] > 0, minlength=len(hashes)).astype(np.int32) for c in (0, 1)}
+    words = {"word": hashes, **ends, "t0": ends["m0"], "t1": ends["m1"]}
+
+    def parts(k):
+        return ({c: x[i::k].copy() for c, x in pairs.items()} for i in range(k))
+
+    whole = toxicity.KneserNeyPair(words, parts(1))
+    tracemalloc.start()
+    split = toxicity.KneserNeyPair(words, parts(16))
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 75 * len(at)
+    for name in ("words", "pairs", "pair_log_p", "word_log_p", "back"):
+        assert np.allclose(getattr(whole, name), getattr(split, name))
+
+
 # --- benchmark
 
 
