@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborscale.llm._shared import discard, ship, written
+from arborscale.llm._shared import discard, remember_only, ship, written
 from arborscale.llm.pack import byte_letters, text_runs, tokenizer_path
 
 #: Files of side A (a ``tokenizers`` file with byte-level letters) and side B (a ``sentencepiece`` model).
@@ -89,7 +89,7 @@ FIGURES = ("n_a", "n_b", "n_groups", "n_links")
 
 class Units:
     """What is remembered of units: their numbers, and by number on shared arrays the figures, the groups as text, and the
-    distinct linked pairs with how often each occurs. A unit takes some 250 bytes. Number 0 stands where a text has no tokens."""
+    distinct linked pairs with how often each occurs. A short unit takes some 280 bytes. Number 0 stands where a text has no tokens."""
 
     def __init__(self):
         self.numbers: dict[str, int] = {}
@@ -279,7 +279,8 @@ _ALIGNERS: dict[tuple[str, str], Aligner] = {}
 
 
 def aligner(a_path: str, b_path: str) -> Aligner:
-    """One a worker process."""
+    """One a worker process, until another operator begins there."""
+    remember_only("units", _ALIGNERS.clear)
     if (a_path, b_path) not in _ALIGNERS:
         _ALIGNERS[a_path, b_path] = Aligner(a_path, b_path)
     return _ALIGNERS[a_path, b_path]
@@ -297,9 +298,9 @@ def groups(documents: DataFrame, a_path: str | None = None, b_path: str | None =
     kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("a", pa.list_(pa.int32())), ("b", pa.list_(pa.int32()))]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        side = aligner(*paths)
         for batch in batches:
             for part in text_runs(batch, limit=BLOCK_BYTES // 8):
-                side = aligner(*paths)
                 units, codes, sizes = side.coded(part.column("text"))
                 texts, out, at = side.units.texts_of(units), [], 0
                 for size in sizes.tolist():

@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from arborscale.llm._shared import ship, unused
+from arborscale.llm._shared import remember_only, ship, unused
 
 WINDOW = 10
 #: Bytes that separate words: all of ASCII but digits and letters. Capital letters turn small.
@@ -109,6 +109,7 @@ def scan_column(scanner: Scanner, documents: DataFrame, text: str = "text") -> C
 
     @F.arrow_udf(kind)
     def scanned(texts: pa.Array) -> pa.Array:
+        remember_only("benchmark")
         out = []
         for text in texts.to_pylist():
             n, runs, items = shipped.value.scan(text)

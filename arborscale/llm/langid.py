@@ -20,7 +20,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborscale.llm._shared import fold, ship, unused
+from arborscale.llm._shared import fold, remember_only, ship, unused
 
 #: The language of a text that is null or has no letters.
 UNKNOWN = "und"
@@ -99,6 +99,7 @@ def predict_column(model: CompressionModel, documents: DataFrame, text: str = "t
 
     @F.arrow_udf("lang_pred string, score double, margin double")
     def predicted(texts: pa.Array) -> pa.Array:
+        remember_only("languages")
         lang, score, margin = zip(*map(shipped.value.predict, texts.to_pylist()), strict=True) if len(texts) else ((), (), ())
         return pa.StructArray.from_arrays([pa.array(lang, pa.string()), pa.array(score, pa.float64()), pa.array(margin, pa.float64())], ["lang_pred", "score", "margin"])
 

@@ -38,7 +38,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import BooleanType
 
-from arborscale.llm._shared import discard, ship, unused, written
+from arborscale.llm._shared import discard, remember_only, ship, unused, written
 from arborscale.llm.graph import components
 
 SHINGLE, THRESHOLD = 5, 0.8
@@ -173,6 +173,7 @@ def _runs(batch: pa.RecordBatch, columns: Sequence[str] = ("text",), limit: int
 
 def _sign(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """``sketch`` (the low byte of each component) and ``bands`` of each row's text; no bands without words."""
+    remember_only("shingles", _HASHES.clear)
     for batch in batches:
         for part in _runs(batch):
             doc, seed, weight = hashed_bags(part.column("text").to_pylist())
@@ -224,6 +225,7 @@ def _unit_pairs(rows: list[dict], how: str) -> Iterator[tuple[bytes, bytes]]:
 
 def _across(batches: Iterator[pa.RecordBatch], how: str) -> Iterator[pa.RecordBatch]:
     """Pairs of the units of comparison, which come one after the other."""
+    remember_only("shingles", _HASHES.clear)
     unit: list[dict] = []
 
     def pairs() -> Iterator[tuple[bytes, bytes]]:
@@ -242,6 +244,7 @@ def _across(batches: Iterator[pa.RecordBatch], how: str) -> Iterator[pa.RecordBa
 
 
 def _finer(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    remember_only("shingles", _HASHES.clear)
     for batch in batches:
         for part in _runs(batch, limit=500_000):
             signed = bag_minhash(part.num_rows, *hashed_bags(part.column("text").to_pylist()), FINE).astype(np.uint8)
@@ -268,6 +271,7 @@ def _resemble(one: pa.Array, other: pa.Array) -> pa.Array:
 def _verify(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The pairs (a, b, text of a, text of b) whose bags overlap enough. Pairs of one text come together, so its bag is
     kept while they last."""
+    remember_only("shingles", _HASHES.clear)
     last, bag = None, Counter()
     for batch in (part for whole in batches for part in _runs(whole, ("ta", "tb"))):
         a, b = [], []
@@ -317,6 +321,7 @@ def _compared(members: DataFrame, signed: DataFrame, how: str) -> DataFrame:
 
 
 def _bags(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    remember_only("shingles", _HASHES.clear)
     for batch in batches:
         for part in _runs(batch):
             doc, run, weight = hashed_bags(part.column("text").to_pylist())

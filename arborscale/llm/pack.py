@@ -22,7 +22,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborscale.llm._shared import TOKENIZER_FILE, discard, ship, written
+from arborscale.llm._shared import TOKENIZER_FILE, discard, remember_only, ship, written
 
 #: Tokens of a sequence, and the id that ends a document.
 LENGTH, END = 4096, 2
@@ -151,8 +151,14 @@ def text_runs(batch: pa.RecordBatch, column: str = "text", limit: int = 4_000_00
 _TOKENIZERS: dict[str, WordTokenizer] = {}
 
 
+def _forget_words() -> None:
+    for t in _TOKENIZERS.values():
+        t.words, t.pieces = {}, {}
+
+
 def word_tokenizer(path: str) -> WordTokenizer:
-    """One tokenizer a worker process."""
+    """One tokenizer a worker process; its words are forgotten when another operator begins there."""
+    remember_only("words", _forget_words)
     if path not in _TOKENIZERS:
         _TOKENIZERS[path] = WordTokenizer(path)
     return _TOKENIZERS[path]

@@ -36,7 +36,7 @@ from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from arborscale.llm._shared import discard, fold, ship, unused, written
+from arborscale.llm._shared import discard, fold, remember_only, ship, unused, written
 
 WORD = re.compile(r"\w+")
 #: Words that a worker remembers before it starts anew, and words of text that it works on at once.
@@ -65,6 +65,7 @@ def _first_of(x: np.ndarray) -> np.ndarray:
 def _contexts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """(class, the two words before as one number, the word before, word) for every word, and whether its text has the
     bigram, and the word, for the first time there."""
+    remember_only("toxicity")
     for batch in batches:
         for label, text in zip(batch.column("label").to_pylist(), batch.column("text").to_pylist(), strict=True):
             word = hashes_of(words_of(text))
@@ -322,6 +323,7 @@ def score_column(model: ToxicityModel):
 
     @F.arrow_udf("double")
     def scored(text: pa.Array) -> pa.Array:
+        remember_only("toxicity")
         return pa.array(scores(shipped.value, slope, intercept, text.to_pylist()))
 
     return scored

@@ -490,6 +490,22 @@ def test_models_are_built_from_parts_in_little_memory():
         assert np.allclose(getattr(whole, name), getattr(split, name))
 
 
+def test_a_worker_forgets_what_other_operators_remember():
+    none = iter(())
+    encoder = pack.word_tokenizer(pack.tokenizer_path())
+    want = encoder.encode(pa.array(["some words here", None]))[0].tolist()
+    assert pack.word_tokenizer(pack.tokenizer_path()) is encoder and encoder.words and encoder.pieces
+    assert list(neardup._sign(none)) == [] and not encoder.words and not encoder.pieces
+    neardup.hashed_bags(["some words here"])
+    assert list(neardup._bags(none)) == [] and neardup._HASHES
+    for other in (toxicity._contexts, lambda _: [pack.word_tokenizer(pack.tokenizer_path())]):
+        list(neardup._finer(none))
+        neardup.hashed_bags(["some words here"])
+        list(other(none))
+        assert not neardup._HASHES
+    assert encoder.encode(pa.array(["some words here", None]))[0].tolist() == want
+
+
 # --- benchmark
 
 
