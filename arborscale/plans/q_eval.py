@@ -30,7 +30,7 @@ def labelled(v: Views) -> DataFrame:
 
 
 def matched(v: Views, radius: float = 12.0, nearest_first: bool = False) -> DataFrame:
-    return ev.greedy_match(ev.candidate_pairs(*tables(v), radius), checkpointed, nearest_first)
+    return ev.matched(*tables(v), radius, nearest_first)
 
 
 def greedy_sql(radius: str = "12", pred: str = "pred", k: str = "") -> str:
@@ -52,7 +52,7 @@ def _(v: Views) -> DataFrame:
 def _(v: Views) -> DataFrame:
     p, t = tables(v)
     radius = F.coalesce(F.greatest(F.least(F.col("dbh") / 4, F.lit(12.0)), F.lit(6.0)), F.lit(6.0))
-    return ev.greedy_match(ev.candidate_pairs(p, t.withColumn("radius", radius), F.col("radius")), checkpointed)
+    return ev.matched(p, t.withColumn("radius", radius), "radius")
 
 
 @query("e3_nearest_first_match", f"""WITH RECURSIVE {EV}, c AS (SELECT p.chip, p.id AS p_id, t.id AS t_id, sqrt((p.x - t.x) ** 2 + (p.y - t.y) ** 2) AS d FROM pred p JOIN truth t USING (chip) WHERE sqrt((p.x - t.x) ** 2 + (p.y - t.y) ** 2) <= 12), o AS MATERIALIZED (SELECT *, row_number() OVER (PARTITION BY chip ORDER BY d, p_id, t_id) AS i FROM c),
@@ -90,7 +90,7 @@ FROM (SELECT id, id IN (FROM old) AS x, id IN (SELECT t_id FROM n WHERE score >=
 def _(v: Views) -> DataFrame:
     p, t = tables(v)
     newer = p.where("part_key % 3 <> 0").withColumn("score", F.col("score") * 0.75)
-    run = lambda pred, radius: ev.greedy_match(ev.candidate_pairs(pred, t, radius), checkpointed)
+    run = lambda pred, radius: checkpointed(ev.matched(pred, t, radius))
     near, wide = run(newer, 8.0), run(newer, 16.0)
     looser = {"score 0.20": ev.above(near, newer, 0.2), "score 0.10": ev.above(near, newer, 0.1), "radius": ev.above(wide, newer, 0.35)}
     return ev.model_diff(t, ev.above(run(p, 8.0), p, 0.35), ev.above(near, newer, 0.35), looser)
