@@ -7,8 +7,12 @@ from itertools import product
 import numpy as np
 import pytest
 
+from arborscale import plans
 from arborscale.functions import nearby
 from arborscale.operators import evalmatch
+from arborscale.plans import registry
+
+plans.load()
 
 
 def brute(p, t, limit, nearest_first):
@@ -58,3 +62,13 @@ def test_dense_chips_are_matched_without_a_list_of_pairs(spark, monkeypatch, nea
     want = brute([r[3:] for r in first], [r[2:] for r in others], [12.0] * len(t), nearest_first)
     got = {(r["p_id"], r["t_id"], r["distance"]) for r in evalmatch.matched(pf, tf, 12.0, nearest_first).collect()}
     assert got == {(first[i][0], others[j][0], d) for j, (i, d) in want.items()}
+
+
+def refused(*_, **__):
+    raise AssertionError("all pairs are listed")
+
+
+@pytest.mark.parametrize("name", ["e1_greedy_match"])
+def test_queries_list_no_pairs(spark, monkeypatch, name):
+    monkeypatch.setattr(evalmatch, "candidate_pairs", refused)
+    assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
