@@ -68,7 +68,7 @@ def refused(*_, **__):
     raise AssertionError("all pairs are listed")
 
 
-@pytest.mark.parametrize("name", ["e1_greedy_match", "e4_mask_aware_counts", "r16_review_rank"])
+@pytest.mark.parametrize("name", ["e1_greedy_match", "e4_mask_aware_counts", "r16_review_rank", "e5_model_diff"])
 def test_queries_list_no_pairs(spark, monkeypatch, name):
     monkeypatch.setattr(evalmatch, "candidate_pairs", refused)
     assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
