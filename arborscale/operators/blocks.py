@@ -35,11 +35,14 @@ def write_vocabulary(df: DataFrame, columns: list[str], path: str) -> None:
 
 def manifest(df: DataFrame, columns: list[str]) -> DataFrame:
     """Rows and content hash of each block and city. The hash is a sum of row hashes of 48 bits, so it needs no order and
-    combines map-side. Each value stands behind its length, so no two rows read alike, whatever signs they hold; a null
+    combines map-side; it is the sum modulo 2^64, so it fits a long for any number of rows. Each value stands behind its length, so no two rows read alike, whatever signs they hold; a null
     is told from any text."""
     marked = [F.coalesce(F.concat(F.length(F.col(c).cast("string")), F.lit("="), F.col(c).cast("string")), F.lit("null")) for c in columns]
     row = F.conv(F.substring(F.md5(F.concat_ws("|", *marked)), 1, 12), 16, 10).cast("long")
-    return df.groupBy("block", "city").agg(F.count("*").alias("rows"), F.sum(row).alias("content"))
+    low = F.lit((1 << 24) - 1).cast("long")
+    n = df.groupBy("block", "city").agg(F.count("*").alias("rows"), F.sum(row.bitwiseAND(low)).alias("low_"), F.sum(F.shiftright(row, 24)).alias("high_"))
+    content = F.shiftleft(F.col("high_") + F.shiftright("low_", 24), 24).bitwiseOR(F.col("low_").bitwiseAND(low))
+    return n.select("block", "city", "rows", content.alias("content"))
 
 
 def compare_manifests(old: DataFrame, new: DataFrame) -> DataFrame:

@@ -1,5 +1,7 @@
 """Generations of blocks: what is rewritten, what readers see, lost runs, refusals; hashes that no other value gives; visible trees."""
 
+import hashlib
+
 import pytest
 from arborscale.functions import folders
 from arborscale.operators import blocks, dedup, publish, quality, rank
@@ -76,3 +78,12 @@ def test_visible_trees_and_foliage_shares_of_odd_rows(spark):
     rows_ = [("Acer", 1.5, 1.5, True, i % 2 == 0) for i in range(20)] + [("Acer", 3.5, 1.5, True, True)] * 3 + [("Acer", 50.0, 1.0, None, None), ("Ulmus", 1.5, 1.5, True, True), (None, 1.0, 1.0, True, True), ("Acer", None, 1.0, True, True)]
     got = {(r.genus, r.cell): (r.deciduous_share, r.level, r.open_trees) for r in rank.foliage_shares(spark.createDataFrame(rows_, "genus string, latitude double, longitude double, identified boolean, deciduous boolean")).collect()}
     assert sorted(got.values(), key=str) == sorted([(0.5, "cell", 0), (13 / 23, "region", 0), (13 / 23, "genus", 1), (None, None, 0)], key=str)
+
+
+def test_content_of_many_rows_in_a_block(spark):
+    """The hashes of some 65,536 rows of a block and city sum up to more than a long holds."""
+    rows = spark.range(150_000).select(F.lit(1).cast("long").alias("block"), F.lit("c").alias("city"), F.col("id").cast("string").alias("tree_id"))
+    want = sum(int(hashlib.md5(f"{len(str(i))}={i}".encode()).hexdigest()[:12], 16) for i in range(150_000))
+    assert want > 1 << 63
+    got = blocks.manifest(rows, ["tree_id"]).collect()
+    assert [(r.rows, r.content % (1 << 64)) for r in got] == [(150_000, want % (1 << 64))]
