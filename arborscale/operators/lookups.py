@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from arborscale.functions import nearby
 from arborscale.operators import cells
 
 
@@ -26,8 +27,8 @@ def best_link(register: DataFrame, trees: DataFrame, reach: float, tolerance: fl
 def two_nearest(df: DataFrame, reach: float) -> DataFrame:
     """For rows (``id``, ``x``, ``y``) with a neighbour within ``reach``: the nearest, its distance, the distance of the
     second, and whether the nearest is mutual."""
-    near = cells.pairs_within(df, df, reach).where("l_id <> r_id")
-    # two rows of each are kept before the shuffle, however crowded its surroundings are
+    # two rows of each come from the search of its tile, however crowded its surroundings are
+    near = nearby.nearest_pairs(df, df, reach, 2, distinct=True)
     two = near.withColumn("place", F.row_number().over(Window.partitionBy("l_id").orderBy("distance", "r_id"))).where("place <= 2")
     at = lambda k, c: F.max(F.when(F.col("place") == k, F.col(c)))
     one = two.groupBy(F.col("l_id").alias("id")).agg(at(1, "r_id").alias("nearest"), at(1, "distance").alias("d1"), at(2, "distance").alias("d2"))
@@ -175,7 +176,7 @@ def dilated(tiles: DataFrame, rings: int) -> DataFrame:
 
 def nearest_n(left: DataFrame, right: DataFrame, reach: float, n: int) -> DataFrame:
     """The ``n`` nearest right rows of each left row within ``reach``."""
-    near = cells.pairs_within(left, right, reach)
+    near = nearby.nearest_pairs(left, right, reach, n)
     rank = F.row_number().over(Window.partitionBy("l_id").orderBy("distance", "r_id"))
     return near.withColumn("place", rank).where(F.col("place") <= n).select(F.col("l_id").alias("id"), F.col("r_id").alias("other"), "place")
 

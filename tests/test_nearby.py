@@ -68,7 +68,43 @@ def refused(*_, **__):
     raise AssertionError("all pairs are listed")
 
 
-@pytest.mark.parametrize("name", ["e1_greedy_match", "e4_mask_aware_counts", "r16_review_rank", "e5_model_diff"])
+@pytest.mark.parametrize("name", ["e1_greedy_match", "e4_mask_aware_counts", "r16_review_rank", "e5_model_diff", "e2_variable_radius_match"])
 def test_queries_list_no_pairs(spark, monkeypatch, name):
     monkeypatch.setattr(evalmatch, "candidate_pairs", refused)
     assert registry.QUERIES[name](spark, "/root/testdata/sf0.001").count() > 0
+
+
+def test_nearest_in_pieces(monkeypatch):
+    monkeypatch.setattr(nearby, "PAIRS", 40)
+    rng = np.random.default_rng(3)
+    a, b = rng.integers(0, 30, (150, 2)) / 2.0, np.concatenate([rng.integers(0, 30, (100, 2)) / 2.0, [[900.0, 0.0]]])
+    for radius, k in ((1.0, 2), (4.0, 3), (50.0, 5), (float("inf"), 1)):
+        d = np.sqrt(((a[:, None] - b[None]) ** 2).sum(axis=2))
+        want = sorted((i, int(j), d[i, j]) for i in range(len(a)) for j in np.lexsort((np.arange(len(b)), d[i]))[:k] if d[i, j] <= radius)
+        assert sorted(zip(*(c.tolist() for c in nearby.nearest(a[:, 0], a[:, 1], b[:, 0], b[:, 1], radius, k)), strict=True)) == want
+
+
+def test_nearest_pairs(spark):
+    """Rows near the edges of tiles, piles of equal places, repeated ids and rows without a place."""
+    rng = random.Random(4)
+    rows = [(f"i{i % 190}", rng.choice([8.0, 16.0, rng.randrange(-60, 200) / 4]), rng.choice([0.0, rng.randrange(-60, 200) / 4])) for i in range(200)]
+    df = spark.createDataFrame([*rows, ("n1", None, 1.0), ("n2", float("nan"), 1.0), ("n3", float("inf"), 1.0)], "id string, x double, y double")
+    for distinct in (False, True):
+        want = []
+        for a in rows:
+            near = sorted((math.sqrt((a[1] - b[1]) ** 2 + (a[2] - b[2]) ** 2), b[0]) for b in rows if not (distinct and a[0] == b[0]))
+            want += [(a[0], b, d) for d, b in near[:3] if d <= 2.0]
+        got = nearby.nearest_pairs(df, df, 2.0, 3, distinct).collect()
+        assert sorted(tuple(r) for r in got) == sorted(want)
+
+
+def test_mutual_pairs(spark):
+    rng = random.Random(9)
+    p = [(f"p{i:02}", f"c{i % 2}", rng.randrange(40) / 4, rng.randrange(40) / 4) for i in range(80)]
+    t = [(f"t{i:02}", f"c{i % 2}", rng.randrange(40) / 4, rng.randrange(40) / 4) for i in range(60)]
+    near = lambda a, others: min(((math.sqrt((a[2] - b[2]) ** 2 + (a[3] - b[3]) ** 2), b[0]) for b in others if a[1] == b[1]), default=(99, None))
+    back = {b[0]: near(b, p)[1] for b in t}
+    want = sorted((a[1], near(a, t)[0]) for a in p if near(a, t)[0] <= 2 and back[near(a, t)[1]] == a[0])
+    schema = "id string, chip string, x double, y double"
+    got = nearby.mutual_pairs(spark.createDataFrame(p, schema), spark.createDataFrame(t, schema), 2.0).collect()
+    assert sorted(tuple(r) for r in got) == want
