@@ -348,9 +348,7 @@ def average_precision(scored: DataFrame, truth: DataFrame) -> DataFrame:
     return envelope.agg(F.sum(F.col("envelope") * F.col("t")).alias("area")).crossJoin(truth).select((F.col("area") / F.col("truth")).alias("average_precision"))
 
 
-def mutual_offsets(pairs: DataFrame, low: float, high: float) -> DataFrame:
-    """Per chip the mutual nearest pairs whose distance lies in a band: their number and median distance."""
-    p = pairs.groupBy("chip", "p_id").agg(F.min(F.struct("distance", "t_id")).alias("m")).select("chip", "p_id", F.col("m.t_id").alias("t_id"), F.col("m.distance").alias("distance"))
-    t = pairs.groupBy("t_id").agg(F.min(F.struct("distance", "p_id")).alias("m")).select("t_id", F.col("m.p_id").alias("p_id"))
-    both = p.join(t, ["t_id", "p_id"]).where((F.col("distance") >= low) & (F.col("distance") <= high))
+def mutual_offsets(predictions: DataFrame, truth: DataFrame, radius: float, low: float, high: float) -> DataFrame:
+    """Per chip the mutual nearest pairs within a radius whose distance lies in a band: their number and median distance."""
+    both = nearby.mutual_pairs(predictions, truth, radius).where((F.col("distance") >= low) & (F.col("distance") <= high))
     return both.groupBy("chip").agg(F.count("*").alias("trees"), F.percentile("distance", F.lit(0.5)).alias("median"))

@@ -301,5 +301,5 @@ def _(v: Views) -> DataFrame:
 , g AS (SELECT a.chip, count(*) AS trees, round(median(a.d), 6) AS median FROM a JOIN b ON a.p_id = b.p_id AND a.t_id = b.t_id WHERE a.d BETWEEN 3 AND 12 GROUP BY a.chip) SELECT *, row_number() OVER (ORDER BY trees DESC, median DESC, chip)::INT AS place FROM g""")
 def _(v: Views) -> DataFrame:
     p, t = tables(v)
-    chips = ev.mutual_offsets(ev.candidate_pairs(p, t.where("dbh >= 16"), 12.0), 3.0, 12.0).withColumn("median", F.round("median", 6))
+    chips = ev.mutual_offsets(p, t.where("dbh >= 16"), 12.0, 3.0, 12.0).withColumn("median", F.round("median", 6))
     return rank.numbered(chips, [F.desc("trees"), F.desc("median"), F.asc("chip")], "place")
