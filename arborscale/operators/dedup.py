@@ -7,7 +7,7 @@ from collections.abc import Callable, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from arborscale.functions import ordered
+from arborscale.functions import nearby, ordered
 from arborscale.functions.groups import join_back
 from arborscale.functions.lineage import checkpointed
 from arborscale.operators import cells
@@ -75,14 +75,25 @@ def _least_of_cells(stacked: DataFrame, key: str) -> DataFrame:
     return stacked.groupBy("city", "grid", "cell").agg(least(kind == "municipal").alias("municipal"), least(kind == "community").alias("person"), least(~kind.isin("osm", "predicted", "notable")).alias("any"), least(kind == "osm").alias("osm"))
 
 
+#: Cells along a side of a block that is looked at as one.
+BLOCK = 16
+
+
 def anchors(obs: DataFrame, size: tuple[float, float] | DataFrame) -> DataFrame:
     """For each row and grid the least id of municipal, person, OSM and all rows of its cell; ``size`` is one cell size in degrees or a
-    table of them by city. One pass: cells are exploded, aggregated once, joined back once and pivoted by grid."""
-    kind = source_kind(F.col("data_source"))
-    stacked = _stacked(_measured(obs, size).withColumn("kind", kind), "tree_id", "kind")
-    joined = stacked.join(_least_of_cells(stacked, "tree_id"), ["city", "grid", "cell"])
-    pick = lambda c, g: F.max(F.when(F.col("grid") == g, F.col(c))).alias(f"{c}_{g}")
-    return joined.groupBy("tree_id", "kind").agg(*[pick(c, g) for c in ("municipal", "person", "any", "osm") for g in range(4)])
+    table of them by city. Rows go to a block of cells, and those at its edge to the blocks beside it, so that what a row finds in its
+    four cells is told in one place and never joined back."""
+    measured = _measured(obs, size).withColumn("kind", source_kind(F.col("data_source")))
+    lat, lon, lat_deg, lon_deg = (F.col(c) for c in ("latitude", "longitude", "lat_deg_", "lon_deg_"))
+    four = [cells.packed(lat, lon, lat_deg, lon_deg, dx, dy).alias(f"cell{g}_") for g, (dx, dy) in enumerate(cells.STAGGERED)]
+    slim = measured.select("tree_id", "city", "kind", F.floor(lon / lon_deg).alias("cx_"), F.floor(lat / lat_deg).alias("cy_"), *four)
+    block = lambda c, by=0: F.floor((F.col(c) + by) / BLOCK)
+    around = F.array_distinct(F.array(*[F.struct(block("cx_", i).alias("bx_"), block("cy_", j).alias("by_")) for i in (-1, 1) for j in (-1, 1)]))
+    known = F.col("city").isNotNull() & F.col("tree_id").isNotNull() & F.col("cell0_").isNotNull()
+    spread = slim.where(known).select("*", F.inline(around)).withColumn("home_", (F.col("bx_") == block("cx_")) & (F.col("by_") == block("cy_")))
+    k = F.col("kind")
+    kinds = {"municipal": k == "municipal", "person": k == "community", "any": ~k.isin("osm", "predicted", "notable"), "osm": k == "osm"}
+    return nearby.cell_anchors(spread, ["city", "bx_", "by_"], [f"cell{g}_" for g in range(4)], {c: F.coalesce(v, F.lit(False)) for c, v in kinds.items()})
 
 
 #: Bits of a key; the choice of a cell stands above them.
