@@ -47,13 +47,15 @@ def pick_fit(rows: DataFrame, fits: DataFrame, levels: Sequence[Sequence[str]],
 
 
 def trimmed_fits(rows: DataFrame, levels: Sequence[Sequence[str]], x: Column, y: Column, gate: Column, stop, rounds: int = 2, sigmas: float = 3.0) -> DataFrame:
-    """Fit, keep the points within some deviations of their chosen fit, and fit again."""
-    kept = stop(rows.where((x > 0) & (y > 0)))
+    """Fit, keep the points within some deviations of their chosen fit, and fit again.
+
+    Only fits are checkpointed by ``stop``, small tables; the points that are kept follow from them and are read again in each round."""
+    kept = rows.where((x > 0) & (y > 0))
     fits = stop(log_log_fits(kept, levels, x, y, gate))
     for _ in range(rounds):
         chosen = pick_fit(kept, fits, levels, F.lit(False))
         near = F.col("fit_level").isNull() | (F.abs(F.log10(y) - F.col("a") - F.col("b") * F.log10(x)) <= sigmas * F.col("sigma"))
-        kept = stop(chosen.where(near).select(*rows.columns))
+        kept = chosen.where(near).select(*rows.columns)
         fits = stop(log_log_fits(kept, levels, x, y, gate))
     return fits
 

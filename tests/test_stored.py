@@ -105,3 +105,16 @@ def test_a_table_without_rows_has_empty_rollups(spark, tmp_path, rows, both):
     assert taken(store.answer({"city": F.col("city")}, ["city"], ["trees"])) == [] and taken(store.answer({}, [], ["trees"])) == [(0,)]
     with pytest.raises(FileNotFoundError):
         stored.Store(spark, str(tmp_path / "nowhere")).catalogue()
+
+
+def test_trimmed_fits_checkpoint_fits_only(spark):
+    """Points were written to a checkpoint in each round, all their columns included."""
+    from arborscale.functions.lineage import checkpointed
+    from arborscale.operators import fits
+
+    rows = spark.range(1, 400).select((F.col("id") % 40 + 1).cast("double").alias("x"), F.when(F.col("id") % 50 == 0, 900.0).otherwise((F.col("id") % 40 + 1) * 2.0 + F.col("id") % 3).alias("y"), F.lit("g").alias("genus"))
+    sizes = []
+    stop = lambda df: sizes.append(df.count()) or checkpointed(df)
+    out = fits.trimmed_fits(rows, [("genus", "genus")], F.col("x"), F.col("y"), F.col("n") > 10, stop, sigmas=2.0).head()
+    assert sizes == [1, 1, 1]
+    assert out["n"] < 399 - 7
